@@ -1,11 +1,15 @@
 """The registered queries of this subpackage and their oracle SQL."""
 
-from . import byte_bpe, chat_format, token_counts
+from . import byte_bpe, chat_format, decontaminate, embedding_dedup, ngram_join, token_counts, toxicity
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.query,
     "op2_token_counts": token_counts.query,
+    "op3_toxicity": toxicity.query,
     "op5_chat_format": chat_format.query,
+    "op7_ngram_join": ngram_join.query,
     "op9_byte_bpe": byte_bpe.query,
+    "op10_embedding_dedup": embedding_dedup.query,
 }
 ORACLE_SQL = {
     "op5_chat_format": chat_format.ORACLE_SQL,
