@@ -34,7 +34,6 @@ from .common import table, written
 from .components import connected_components
 
 BLOCK = 256
-SPARE = 2
 
 
 def differing(total: int, num: int, den: int) -> int:
@@ -58,7 +57,12 @@ def class_id(grams: np.ndarray) -> int:
 
 
 def signatures(grams: np.ndarray, num: int, den: int, starts: list[int]) -> np.ndarray:
-    """Hashes of the set's fragments in its own band and the next."""
+    """Hashes of the set's fragments in its own band and the next.
+
+    Linked sets differ in `most` fragments at most, so they agree on the other
+    `count - most` at least, and the largest of these is among the `most + 1` largest of
+    either set. Only those are given: small fragments would tie unrelated sets together.
+    """
     n = len(grams)
     own = int(np.searchsorted(starts, n, "right")) - 1
     found = []
@@ -67,13 +71,16 @@ def signatures(grams: np.ndarray, num: int, den: int, starts: list[int]) -> np.n
     for band in (own, own + 1):
         # sets of bands band - 1 and band meet here; the larger has fewer than its end
         top = floor(starts[band] * den / num)
-        count = differing(2 * top, num, den) + SPARE
+        most = differing(2 * top, num, den)
+        count = most + 2 * most // 5 + 2
         edges = (np.arange(1, count, dtype=np.uint64) * np.uint64(2**64 // count)).astype(np.uint64)
         at = np.concatenate([[0], np.searchsorted(grams, edges), [n]])
-        empty = at[1:] == at[:-1]
+        sizes = (at[1:] - at[:-1]) * count + np.arange(count)  # equal sizes: by position
+        large = np.argpartition(sizes, count - most - 1)[count - most - 1 :]
+        large = large[sizes[large] >= count]
         part = sums[at[1:]] - sums[at[:-1]]
         part = wordhash.mix(part + np.arange(count, dtype=np.uint64) * wordhash.MULT[10] + np.uint64(band * int(wordhash.MULT[11]) % 2**64))
-        found.append(part[~empty] if empty.sum() < SPARE else part)
+        found.append(part[large])
     return np.concatenate(found)
 
 
