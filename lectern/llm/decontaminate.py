@@ -4,8 +4,8 @@ Words are symbols. An item of w words leaks where a stretch of a document lies w
 distance floor((1 - similarity) * w) of it.
 
 1. Windows of each item size slide over every document, one start per word. A window
-   within edit distance d of its item shares at least w - 1 - 2d word pairs with it, so
-   windows with fewer pairs from the benchmark are passed over without loss.
+   within edit distance d of its item shares at least w - 2 - 3d word triples with it, so
+   windows with fewer triples from the benchmark are passed over without loss.
 2. CGK random walks embed the windows left and the items: at each of 3w steps the current
    word is written and a random bit of (step, word) says whether to move on. Edit distance
    becomes Hamming distance.
@@ -49,8 +49,8 @@ def repetitions(recall: float = RECALL, agree: float = AGREE, sampled: int = SAM
     return ceil(log(1 - recall) / log(1 - agree**sampled))
 
 
-def pair_hashes(words: np.ndarray) -> np.ndarray:
-    return wordhash.mix(words[:-1] * wordhash.MULT[20] + words[1:] * wordhash.MULT[21])
+def triple_hashes(words: np.ndarray) -> np.ndarray:
+    return wordhash.mix(words[:-2] * wordhash.MULT[20] + words[1:-1] * wordhash.MULT[21] + words[2:] * wordhash.MULT[22])
 
 
 def cgk(windows: np.ndarray, seed: int = 1) -> np.ndarray:
@@ -99,12 +99,9 @@ class Matcher:
             allowed = int((1 - similarity) * len(words) + 1e-9)
             self.sizes.setdefault(len(words), []).append(len(self.items))
             self.items.append((item_id, words, allowed))
-            self.table[pair_hashes(words) >> np.uint64(64 - TABLE_BITS)] = True
+            self.table[triple_hashes(words) >> np.uint64(64 - TABLE_BITS)] = True
         self.allowed = {w: self.items[i[0]][2] for w, i in self.sizes.items()}
-        self.need = {w: max(1, w - 1 - 2 * d) for w, d in self.allowed.items()}
-        # the least any window of `span` pairs inside a window that passes must hold
-        self.span = min(self.sizes, default=2) - 1
-        self.low = min((-(-self.need[w] // -(-(w - 1) // self.span)) for w in self.sizes), default=1)
+        self.need = {w: max(1, w - 2 - 3 * d) for w, d in self.allowed.items()}
         rng = np.random.Generator(np.random.PCG64(7))
         self.samples = {w: rng.integers(0, STEPS * w, (repetitions(), SAMPLED)) for w in sorted(self.sizes)}
         self.keys: dict[tuple[int, int], dict[int, list[int]]] = {}
@@ -121,7 +118,7 @@ class Matcher:
 
     def search(self, words: np.ndarray, hit: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(item_id, distance, words of the item, start) of the items found in a document
-        whose words are given; hit[i] says whether words i, i + 1 are a pair of the block."""
+        whose words are given; hit[i] says whether the triple at word i is one of the block."""
         sums = np.concatenate([[0], np.cumsum(hit)])
         spots: dict[int, list[int]] = {}
         for w in self.sizes:
@@ -131,7 +128,7 @@ class Matcher:
                 windows = np.zeros((len(starts), w), np.uint64)
                 windows[:, : len(words)] = words
             else:
-                starts = np.flatnonzero(sums[w - 1 :] - sums[: len(sums) - w + 1] >= self.need[w])
+                starts = np.flatnonzero(sums[w - 2 :] - sums[: len(sums) - w + 2] >= self.need[w])
                 windows = words[starts[:, None] + np.arange(w)] if len(starts) else np.zeros((0, w), np.uint64)
             for at in range(0, len(starts), 4096):
                 embedded = cgk(windows[at : at + 4096])
@@ -159,6 +156,26 @@ class Matcher:
         return found
 
 
+def _documents_with_windows(hit: np.ndarray, bounds: np.ndarray, need: dict[int, int]) -> np.ndarray:
+    """Documents that may hold a window with enough triples, of some of the sizes."""
+    sums = np.concatenate([[0], np.cumsum(hit, dtype=np.int32)])
+    inside = sums[np.minimum(bounds, len(hit))]
+    docs = np.flatnonzero(np.diff(inside) >= min(need.values()))
+    if not len(docs):
+        return docs
+    begun = np.zeros(len(hit), bool)
+    for w, least in need.items():
+        span = min(w - 2, len(hit))
+        begun[: len(hit) - span + 1] |= sums[span:] - sums[: len(sums) - span] >= least
+    # a window may begin in the document before, where that one's triples do no harm
+    starts = np.flatnonzero(begun)
+    ends = np.minimum(starts + max(need), len(hit))
+    near = np.zeros(len(bounds), np.int64)
+    np.add.at(near, np.maximum(np.searchsorted(bounds, starts, "right") - 1, 0), 1)
+    np.add.at(near, np.minimum(np.searchsorted(bounds, ends, "right"), len(near) - 1), -1)
+    return docs[np.cumsum(near)[docs] > 0]
+
+
 def _search(items: list[tuple[int, str]], similarity: float, min_words: int):
     def run(batches):
         import pyarrow as pa
@@ -169,19 +186,17 @@ def _search(items: list[tuple[int, str]], similarity: float, min_words: int):
             rows: list[tuple] = []
             ids = batch.column("doc_id").to_pylist()
             for first, w in wordhash.chunks(batch.column("text")):
-                if len(w.hash) < 2 or not matcher.items:
+                if len(w.hash) < 3 or not matcher.items:
                     continue
-                hit = matcher.table[pair_hashes(w.hash) >> shift]
-                hit[w.bounds[1:-1][(w.bounds[1:-1] > 0) & (w.bounds[1:-1] < len(w.hash))] - 1] = False
-                span = min(matcher.span, len(hit))
-                sums = np.concatenate([[0], np.cumsum(hit)])
-                dense = np.flatnonzero(sums[span:] - sums[:-span] >= matcher.low)
-                # a dense stretch may begin in the document before; each document is looked at by itself
-                docs = np.unique(np.concatenate([np.searchsorted(w.bounds, dense, "right"), np.searchsorted(w.bounds, dense + span, "right")])) - 1
+                hit = matcher.table[triple_hashes(w.hash) >> shift]
+                cuts = w.bounds[1:-1]
+                for back in (1, 2):
+                    at = cuts - back
+                    hit[at[(at >= 0) & (at < len(hit))]] = False
+                docs = _documents_with_windows(hit, w.bounds, matcher.need)
                 for k in docs[(docs >= 0) & (docs < len(w.bounds) - 1)].tolist():
                     a, b = int(w.bounds[k]), int(w.bounds[k + 1])
-                    if b - a > 1:
-                        rows += [(ids[first + k], *x) for x in matcher.search(w.hash[a:b], hit[a : b - 1])]
+                    rows += [(ids[first + k], *x) for x in matcher.search(w.hash[a:b], hit[a : b - 2])]
             cols = list(zip(*rows)) or [[]] * 5
             types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "item_id", "edit_distance", "n_words", "start_word"])

@@ -1,11 +1,12 @@
 """The registered queries of this subpackage and their oracle SQL."""
 
-from . import byte_bpe, chat_format, decontaminate, embedding_dedup, ngram_join, token_counts, toxicity
+from . import byte_bpe, chat_format, decontaminate, embedding_dedup, hmm_lm, ngram_join, token_counts, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
     "op2_token_counts": token_counts.query,
     "op3_toxicity": toxicity.query,
+    "op4_hmm_lm": hmm_lm.query,
     "op5_chat_format": chat_format.query,
     "op7_ngram_join": ngram_join.query,
     "op9_byte_bpe": byte_bpe.query,

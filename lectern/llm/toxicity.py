@@ -1,12 +1,13 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. Each sentence has a logistic score over the words in it,
+A document is a bag of sentences. Each sentence has a logistic score over the words in it
+and over these words' beginnings (so that words built on an offending stem count),
 and the document's score is their noisy-or, 1 - prod(1 - p), so one offending sentence is
 enough. Only documents carry labels; the gradient of the noisy-or passes them on to the
 sentences, which then tell where a document offends.
 
 The classifier is fitted on at most `SAMPLE` labelled documents, chosen by the hash of
-their ids; its words are those whose document frequency differs between the labels by at
+their ids; its features are the words and beginnings whose document frequency differs between the labels by at
 least `Z` standard errors, `FEATURES` at most. Scoring covers every whole text and moves
 no rows.
 
@@ -31,6 +32,7 @@ SAMPLE = 20_000
 FEATURES = 4096
 Z = 4.0
 WORD = r"[^\W_]+"
+STEMS = range(4, 9)
 SENTENCE = r"[.!?\n]+"
 
 
@@ -54,8 +56,37 @@ def sentence_spans(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in spans if text[a:b].strip()] or [(0, len(text))]
 
 
+def features(word: str) -> list[str]:
+    """The word itself and its beginnings."""
+    return ["=" + word, *("^" + word[:n] for n in STEMS if n <= len(word))]
+
+
+def _frequencies(flush: int = 500_000):
+    """Rows of feature, p and n: documents and toxic documents with it, as far as a task
+    has counted when its table is full."""
+
+    def run(batches):
+        import pandas as pd
+
+        word = re.compile(WORD)
+        table: dict[str, list[int]] = {}
+        frame = lambda: pd.DataFrame([(f, *pn) for f, pn in table.items()], columns=["feature", "p", "n"])
+        for pdf in batches:
+            for text, toxic in zip(pdf["text"], pdf["toxic"]):
+                for f in {f for w in set(word.findall(text.lower())) for f in features(w)}:
+                    pn = table.setdefault(f, [0, 0])
+                    pn[0] += int(toxic)
+                    pn[1] += 1
+                if len(table) > flush:
+                    yield frame()
+                    table.clear()
+        yield frame()
+
+    return run
+
+
 def _bags(vocabulary: dict[str, int]):
-    """Rows of toxic, n (sentences without known words) and the others' words."""
+    """Rows of toxic, n (sentences without known features) and the others' features."""
 
     def run(batches):
         import pandas as pd
@@ -66,7 +97,7 @@ def _bags(vocabulary: dict[str, int]):
             for text, toxic in zip(pdf["text"], pdf["toxic"]):
                 plain, bags = 0, []
                 for a, b in sentence_spans(text):
-                    own = sorted({vocabulary[w] for w in word.findall(text[a:b].lower()) if w in vocabulary})
+                    own = sorted({vocabulary[f] for w in set(word.findall(text[a:b].lower())) for f in features(w) if f in vocabulary})
                     if own:
                         bags.append(own)
                     else:
@@ -118,13 +149,12 @@ def fit(docs: DataFrame, labels: DataFrame, train=None, id_col: str = "doc_id",
         pos, neg = total.get(1, 0), total.get(0, 0)
         if not pos + neg:
             return Model({}, -np.inf)
-        words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)[^\W_]+"), F.lit(0))))
-        by_word = bags.select("toxic", words.alias("w")).groupBy("w").agg(F.sum("toxic").alias("p"), F.count("*").alias("n"))
+        by_word = bags.mapInPandas(_frequencies(), "feature string, p long, n long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
         rate_p, rate_n = (F.col("p") + 0.5) / (pos + 1.0), (F.col("n") - F.col("p") + 0.5) / (neg + 1.0)
         pooled = (F.col("n") + 1.0) / (pos + neg + 2.0)
         z = (rate_p - rate_n) / F.sqrt(pooled * (1 - pooled) * (1.0 / (pos + 1) + 1.0 / (neg + 1)))
-        best = by_word.where("n >= 3").select("w", F.abs(z).alias("z")).where(F.col("z") >= Z).orderBy(F.desc("z"), "w").limit(FEATURES)
-        vocabulary = {r["w"]: i for i, r in enumerate(best.collect())}
+        best = by_word.where("n >= 3").select("feature", F.abs(z).alias("z")).where(F.col("z") >= Z).orderBy(F.desc("z"), "feature").limit(FEATURES)
+        vocabulary = {r["feature"]: i for i, r in enumerate(best.collect())}
         rows = bags.mapInPandas(_bags(vocabulary), "toxic int, plain long, bags array<array<int>>").collect()
     finally:
         bags.unpersist()
@@ -138,7 +168,8 @@ def sentence_scores(model: Model, text: str) -> list[tuple[int, int, float]]:
     word = re.compile(WORD)
     out = []
     for a, b in sentence_spans(text):
-        z = model.bias + sum(model.words[w] for w in sorted(set(word.findall(text[a:b].lower()))) if w in model.words)
+        own = {f for w in set(word.findall(text[a:b].lower())) for f in features(w) if f in model.words}
+        z = model.bias + sum(model.words[f] for f in sorted(own))
         out.append((a, b, 1.0 / (1.0 + float(np.exp(-np.clip(z, -500, 500)))) if np.isfinite(z) else 0.0))
     return out
 
@@ -149,10 +180,21 @@ def _score(model: Model, level: float):
 
         word, mark = re.compile(WORD), re.compile(SENTENCE)
         known, plain = model.words, float(softplus(np.float64(model.bias)))
+        seen: dict[str, bool] = {}
         for batch in batches:
             scores, spans = [], []
             for text in batch.column("text").to_pylist():
-                if known.keys().isdisjoint(word.findall(text.lower())):
+                hit = False
+                for w in set(word.findall(text.lower())):
+                    told = seen.get(w)
+                    if told is None:
+                        told = seen[w] = not known.keys().isdisjoint(features(w))
+                    if told:
+                        hit = True
+                        break
+                if len(seen) > 1 << 19:
+                    seen.clear()
+                if not hit:
                     n = sum(1 for x in mark.split(text) if x and not x.isspace()) or 1
                     scores.append(-float(np.expm1(-plain * n)))
                     spans.append([])
