@@ -33,6 +33,7 @@ SAMPLE = 2048
 NODES = 256
 HOME = 2048
 BLOCK = 4096
+LOCAL = 64
 SLACK = 1e-9
 
 
@@ -118,32 +119,35 @@ def _assign(centres: np.ndarray):
     return run
 
 
-def _visits(centres: np.ndarray, radii: dict, blocks: dict, eps: float):
-    """Rows dealt to (node, home block, visiting block) tasks."""
+def _visits(centres: np.ndarray, radii: np.ndarray, blocks: np.ndarray, eps: float):
+    """Rows dealt to (node, lo, hi) tasks: a home row (side 0 or 1) meets its own block and,
+    once per pair of blocks, the others; a guest (side 2) meets every block of its host."""
 
     def run(batches):
         import pandas as pd
 
         for pdf in batches:
-            out = []
-            for cls, weight, v, node in zip(pdf["cls"], pdf["weight"], pdf["v"], pdf["node"]):
-                own = int(cls) % blocks[node]
-                # a home row meets its own block and, once per pair of blocks, the others
-                for other in range(blocks[node]):
-                    out.append((cls, weight, v, node, min(own, other), max(own, other), 0 if own <= other else 1, False))
-            if out:
-                yield pd.DataFrame(out, columns=["cls", "weight", "v", "node", "lo", "hi", "side", "guest"])
-            rows = unit(_vectors(pdf["v"]))
-            reach = np.array([radii.get(j, -9.0) for j in range(len(centres))])
-            d = distance(rows, centres)
-            later = np.arange(len(centres))[None, :] > pdf["node"].to_numpy()[:, None]
-            who, where = np.nonzero(later & (d <= reach[None, :] + eps + SLACK) & (reach[None, :] >= 0))
-            out = []
-            for i, j in zip(who.tolist(), where.tolist()):
-                for other in range(blocks[j]):
-                    out.append((pdf["cls"].iat[i], pdf["weight"].iat[i], pdf["v"].iat[i], j, other, other, 2, True))
-            if out:
-                yield pd.DataFrame(out, columns=["cls", "weight", "v", "node", "lo", "hi", "side", "guest"])
+            if not len(pdf):
+                continue
+            cls, node = pdf["cls"].to_numpy(), pdf["node"].to_numpy()
+            d = distance(unit(_vectors(pdf["v"])), centres)
+            later = np.arange(len(centres))[None, :] > node[:, None]
+            who, host = np.nonzero(later & (d <= radii[None, :] + eps + SLACK))
+            own = cls % blocks[node]
+            parts = []
+            for rows, at in ((np.arange(len(pdf)), node), (who, host)):
+                n = blocks[at]
+                each = np.repeat(np.arange(len(rows)), n)
+                other = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+                i = rows[each]
+                guest = len(parts) > 0
+                lo = other if guest else np.minimum(own[i], other)
+                hi = other if guest else np.maximum(own[i], other)
+                side = np.full(len(i), 2) if guest else (own[i] > other).astype(int)
+                parts.append((i, at[each], lo, hi, side))
+            i, at, lo, hi, side = (np.concatenate(x) for x in zip(*parts))
+            got = pdf[["cls", "weight", "v"]].iloc[i].reset_index(drop=True)
+            yield got.assign(node=at.astype("int32"), lo=lo.astype("int32"), hi=hi.astype("int32"), side=side.astype("int32"))
 
     return run
 
@@ -155,6 +159,7 @@ def _link(cosine: float, eps: float):
         import pandas as pd
 
         rows = unit(_vectors(pdf["v"]))
+        short = rows.astype("f4")
         side, cls, weight = pdf["side"].to_numpy(), pdf["cls"].to_numpy(), pdf["weight"].to_numpy()
         home, other, guests = (np.flatnonzero(side == s) for s in (0, 1, 2))
         counts = np.zeros(len(rows), np.int64)
@@ -169,15 +174,16 @@ def _link(cosine: float, eps: float):
         def meet(a: np.ndarray, b: np.ndarray, same: bool) -> None:
             if not len(a) or not len(b):
                 return
-            ta = CoverTree(rows[a], most=len(a) // 16 + 1)
-            tb = ta if same else CoverTree(rows[b], most=len(b) // 16 + 1)
+            ta = CoverTree(rows[a], most=min(LOCAL, len(a) // 16 + 1))
+            tb = ta if same else CoverTree(rows[b], most=min(LOCAL, len(b) // 16 + 1))
             for x, y in dual_pairs(ta, tb, eps):
                 for at in range(0, len(x), 512):
                     p, q = a[x[at : at + 512]], b[y]
-                    hit = rows[p] @ rows[q].T >= cosine
-                    i, j = np.nonzero(hit)
+                    # single precision with a margin, then double precision for what is left
+                    i, j = np.nonzero(short[p] @ short[q].T >= cosine - 1e-4)
                     i, j = p[i], q[j]
-                    i, j = i[i != j], j[i != j]
+                    sure = (i != j) & (np.einsum("ij,ij->i", rows[i], rows[j]) >= cosine)
+                    i, j = i[sure], j[sure]
                     counts[:] += np.bincount(i, weight[j], len(rows)).astype(np.int64)
                     if not same:
                         counts[:] += np.bincount(j, weight[i], len(rows)).astype(np.int64)
@@ -246,9 +252,10 @@ def _of_width(packed: DataFrame, count: int, cosine: float, eps: float) -> DataF
     centres = rows[tree.levels[-1][1]]
     dealt = written(packed.mapInPandas(_assign(centres), "cls long, weight long, v binary, node int, far double"), "nodes")
     sizes = dealt.groupBy("node").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect()
-    radii = {r.node: r.far for r in sizes}
-    blocks = {j: 1 for j in range(len(centres))} | {r.node: -(-r.n // BLOCK) for r in sizes}
-    visits = dealt.drop("far").mapInPandas(_visits(centres, radii, blocks, eps), "cls long, weight long, v binary, node int, lo int, hi int, side int, guest boolean")
+    radii, blocks = np.full(len(centres), -9.0), np.ones(len(centres), np.int64)
+    for r in sizes:
+        radii[r.node], blocks[r.node] = r.far, -(-r.n // BLOCK)
+    visits = dealt.drop("far").mapInPandas(_visits(centres, radii, blocks, eps), "cls long, weight long, v binary, node int, lo int, hi int, side int")
     return visits.groupBy("node", "lo", "hi").applyInPandas(_link(cosine, eps), "cls long, links long, root long")
 
 
