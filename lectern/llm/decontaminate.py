@@ -25,6 +25,7 @@ benchmark or document table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
 from math import ceil, log
 
 import numpy as np
@@ -176,27 +177,31 @@ def _documents_with_windows(hit: np.ndarray, bounds: np.ndarray, need: dict[int,
     return docs[np.cumsum(near)[docs] > 0]
 
 
+def _matches(matcher: Matcher, column):
+    """(row, item_id, distance, words, start) of every item found in a column of texts."""
+    shift = np.uint64(64 - TABLE_BITS)
+    for first, w in wordhash.chunks(column):
+        if len(w.hash) < 3 or not matcher.items:
+            continue
+        hit = matcher.table[triple_hashes(w.hash) >> shift]
+        cuts = w.bounds[1:-1]
+        for back in (1, 2):
+            at = cuts - back
+            hit[at[(at >= 0) & (at < len(hit))]] = False
+        for k in _documents_with_windows(hit, w.bounds, matcher.need).tolist():
+            a, b = int(w.bounds[k]), int(w.bounds[k + 1])
+            for found in matcher.search(w.hash[a:b], hit[a : b - 2]):
+                yield first + k, *found
+
+
 def _search(items: list[tuple[int, str]], similarity: float, min_words: int):
     def run(batches):
         import pyarrow as pa
 
         matcher = Matcher(items, similarity, min_words)
-        shift = np.uint64(64 - TABLE_BITS)
         for batch in batches:
-            rows: list[tuple] = []
             ids = batch.column("doc_id").to_pylist()
-            for first, w in wordhash.chunks(batch.column("text")):
-                if len(w.hash) < 3 or not matcher.items:
-                    continue
-                hit = matcher.table[triple_hashes(w.hash) >> shift]
-                cuts = w.bounds[1:-1]
-                for back in (1, 2):
-                    at = cuts - back
-                    hit[at[(at >= 0) & (at < len(hit))]] = False
-                docs = _documents_with_windows(hit, w.bounds, matcher.need)
-                for k in docs[(docs >= 0) & (docs < len(w.bounds) - 1)].tolist():
-                    a, b = int(w.bounds[k]), int(w.bounds[k + 1])
-                    rows += [(ids[first + k], *x) for x in matcher.search(w.hash[a:b], hit[a : b - 2])]
+            rows = [(ids[k], *x) for k, *x in _matches(matcher, batch.column("text"))]
             cols = list(zip(*rows)) or [[]] * 5
             types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "item_id", "edit_distance", "n_words", "start_word"])
@@ -207,19 +212,41 @@ def _search(items: list[tuple[int, str]], similarity: float, min_words: int):
 def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, edit_distance, n_words, start_word) of every item found."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = None
+    parts = [texts.mapInArrow(_search(block, similarity, min_words), OUT) for block in blocks(items, item_col, item_text)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def blocks(items: DataFrame, item_col: str = "item_id", item_text: str = "text"):
+    """The items in lists of about BLOCK_BYTES, one at least."""
     block: list[tuple[int, str]] = []
     size = 0
-    wanted = items.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t")).where("t is not null")
-    for row in wanted.toLocalIterator():
+    for row in items.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t")).where("t is not null").toLocalIterator():
         if block and size + len(row.t) > BLOCK_BYTES:
-            part = texts.mapInArrow(_search(block, similarity, min_words), OUT)
-            found = part if found is None else found.unionByName(part)
+            yield block
             block, size = [], 0
         block.append((row.i, row.t))
         size += len(row.t)
-    part = texts.mapInArrow(_search(block, similarity, min_words), OUT)
-    return part if found is None else found.unionByName(part)
+    yield block
+
+
+def _without(items: list[tuple[int, str]], similarity: float, min_words: int, text_col: str):
+    def run(batches):
+        import pyarrow as pa
+
+        matcher = Matcher(items, similarity, min_words)
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            keep[[k for k, *_ in _matches(matcher, batch.column(text_col))]] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def drop_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, in which no item is found."""
+    for block in blocks(items):
+        docs = docs.mapInArrow(_without(block, similarity, min_words, text_col), docs.schema)
+    return docs
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

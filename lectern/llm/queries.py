@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their oracle SQL."""
 
-from . import byte_bpe, chat_format, decontaminate, embedding_dedup, hmm_lm, ngram_join, token_counts, toxicity
+from . import byte_bpe, chat_format, decontaminate, embedding_dedup, hmm_lm, ngram_join, pii, secrets, token_counts, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -8,7 +8,9 @@ QUERIES = {
     "op3_toxicity": toxicity.query,
     "op4_hmm_lm": hmm_lm.query,
     "op5_chat_format": chat_format.query,
+    "op6_secrets": secrets.query,
     "op7_ngram_join": ngram_join.query,
+    "op8_pii": pii.query,
     "op9_byte_bpe": byte_bpe.query,
     "op10_embedding_dedup": embedding_dedup.query,
 }

@@ -174,33 +174,46 @@ def sentence_scores(model: Model, text: str) -> list[tuple[int, int, float]]:
     return out
 
 
+class Scorer:
+    """Noisy-or scores of texts; most texts hold no known feature, and words are
+    remembered (up to a fixed number) so that this is seen quickly."""
+
+    def __init__(self, model: Model):
+        self.model, self.seen = model, {}
+        self.word, self.mark = re.compile(WORD), re.compile(SENTENCE)
+        self.plain = float(softplus(np.float64(model.bias)))
+
+    def _touched(self, text: str) -> bool:
+        known = self.model.words.keys()
+        if len(self.seen) > 1 << 19:
+            self.seen.clear()
+        for w in set(self.word.findall(text.lower())):
+            told = self.seen.get(w)
+            if told is None:
+                told = self.seen[w] = not known.isdisjoint(features(w))
+            if told:
+                return True
+        return False
+
+    def __call__(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
+        """The score, and the sentences where the text holds known features."""
+        if not self._touched(text):
+            n = sum(1 for x in self.mark.split(text) if x and not x.isspace()) or 1
+            return -float(np.expm1(-self.plain * n)), []
+        own = sentence_scores(self.model, text)
+        return -float(np.expm1(sum(np.log1p(-min(p, 1 - 1e-15)) for *_, p in own))), own
+
+
 def _score(model: Model, level: float):
     def run(batches):
         import pyarrow as pa
 
-        word, mark = re.compile(WORD), re.compile(SENTENCE)
-        known, plain = model.words, float(softplus(np.float64(model.bias)))
-        seen: dict[str, bool] = {}
+        scorer = Scorer(model)
         for batch in batches:
             scores, spans = [], []
             for text in batch.column("text").to_pylist():
-                hit = False
-                for w in set(word.findall(text.lower())):
-                    told = seen.get(w)
-                    if told is None:
-                        told = seen[w] = not known.keys().isdisjoint(features(w))
-                    if told:
-                        hit = True
-                        break
-                if len(seen) > 1 << 19:
-                    seen.clear()
-                if not hit:
-                    n = sum(1 for x in mark.split(text) if x and not x.isspace()) or 1
-                    scores.append(-float(np.expm1(-plain * n)))
-                    spans.append([])
-                    continue
-                own = sentence_scores(model, text)
-                scores.append(-float(np.expm1(sum(np.log1p(-min(p, 1 - 1e-15)) for *_, p in own))))
+                value, own = scorer(text)
+                scores.append(value)
                 spans.append([{"start": a, "end": b, "score": p} for a, b, p in own if p >= level])
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
             rest = [batch.column(i) for i, f in enumerate(batch.schema) if f.name != "text"]
@@ -218,6 +231,23 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return out.withColumnRenamed("id", id_col)
 
 
+def _clean(model: Model, text_col: str, threshold: float):
+    def run(batches):
+        import pyarrow as pa
+
+        scorer = Scorer(model)
+        for batch in batches:
+            texts = batch.column(text_col).to_pylist()
+            yield batch.filter(pa.array([scorer(t or "")[0] < threshold for t in texts], pa.bool_()))
+
+    return run
+
+
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, whose score is below the threshold."""
+    return docs.mapInArrow(_clean(model, text_col, threshold), docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
