@@ -39,6 +39,13 @@ def whole_text(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def thinned(df: DataFrame, key: Column, rows: int, among: int) -> DataFrame:
+    """About four times `rows` of `among` rows, those with low hashes of `key`: what a
+    bounded sample is then taken from, so that tasks need not each send a whole sample."""
+    share = min(1.0, 4.0 * rows / max(among, 1))
+    return df if share >= 1 else df.where(F.pmod(F.xxhash64(F.lit(11), key), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+
+
 def crc_mod(col: str, modulus: int) -> Column:
     """crc32 of the id's decimal text modulo `modulus`; a null id counts as 0."""
     return F.coalesce(F.crc32(F.col(col).cast("string")) % modulus, F.lit(0))

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, thinned, written
 from .components import connected_components
 
 SAMPLE = 2048
@@ -246,7 +246,7 @@ def _pack(batches):
 
 def _of_width(packed: DataFrame, count: int, cosine: float, eps: float) -> DataFrame:
     """Links among class representatives of one vector length."""
-    sample = packed.orderBy(F.xxhash64("cls")).limit(SAMPLE).select("v").collect()
+    sample = thinned(packed, F.col("cls"), SAMPLE, count).orderBy(F.xxhash64("cls")).limit(SAMPLE).select("v").collect()
     rows = unit(_vectors([r.v for r in sample]))
     tree = CoverTree(rows, most=min(NODES, -(-count // HOME)))
     centres = rows[tree.levels[-1][1]]
