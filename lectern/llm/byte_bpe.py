@@ -14,6 +14,9 @@ The literal rank map holds, for every pair of symbols that form a token, that to
 character; it is an array of small maps indexed by the pair's CRC-32, since Spark searches
 a map from its start.
 
+A step of the fold looks at all pairs left, so a word costs the square of its length; words
+of more than LONG bytes (texts without spaces) are merged by the same ranks with a heap.
+
 Defined results: null and empty texts have no ids; equal rows are encoded alike; an empty
 table gives no rows; other columns are ignored.
 """
@@ -32,6 +35,7 @@ from .common import table, whole_text
 
 BUCKETS = 1 << 16
 CHUNK = 4096
+LONG = 512
 NONE = "￿"
 OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -91,6 +95,39 @@ def fold_merges(word: Column, merges: Column) -> Column:
     return F.aggregate(steps, start, merge)
 
 
+def merge_with_heap(data: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of one very long word: lowest-ranked, leftmost pairs first, as in the fold."""
+    from heapq import heapify, heappop, heappush
+
+    if data in ranks:
+        return [ranks[data]]
+    n = len(data)
+    part = [data[i : i + 1] for i in range(n)]
+    after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
+
+    def entry(i: int):
+        j = after[i]
+        rank = ranks.get(part[i] + part[j]) if j < n else None
+        return None if rank is None else (rank, i, len(part[i]), len(part[j]))
+
+    heap = [e for e in map(entry, range(n)) if e]
+    heapify(heap)
+    while heap:
+        _, i, size_i, size_j = heappop(heap)
+        j = after[i]
+        if not alive[i] or j >= n or len(part[i]) != size_i or len(part[j]) != size_j:
+            continue
+        part[i] += part[j]
+        alive[j] = False
+        after[i] = after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        for k in (before[i], i):
+            if k >= 0 and (e := entry(k)):
+                heappush(heap, e)
+    return [ranks[part[i]] for i in range(n) if alive[i]]
+
+
 def java_pattern(pattern: str) -> str:
     """The pattern for Java, whose classes cover Unicode only when asked to."""
     return "(?U)" + pattern
@@ -101,23 +138,27 @@ def _blocks(batches):
     as positions among these words. A block is one batch, so its size is bounded."""
     import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
 
-    names = ["words", "ids", "offsets", "positions", "whole"]
-    types = [pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+    names = ["words", "ids", "offsets", "positions", "whole", "long"]
+    types = [pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.string())]
     for batch in batches:
         words = batch.column("words")
         flat = words.flatten()
         coded = flat.dictionary_encode()
-        chunks = [coded.dictionary[i : i + CHUNK] for i in range(0, len(coded.dictionary), CHUNK)]
+        short = pc.less_equal(pc.binary_length(coded.dictionary), LONG)
+        folded = pc.if_else(short, coded.dictionary, pa.scalar(None, pa.string()))
+        chunks = [folded[i : i + CHUNK] for i in range(0, len(folded), CHUNK)]
         lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in chunks]
         lengths = np.diff(words.offsets.to_numpy())
         offsets = np.concatenate([[0], np.cumsum(lengths)]).astype("<i8")
         ids = batch.column("doc_id")
         last = [offsets.tobytes(), coded.indices.to_numpy().astype("<i4").tobytes()]
         known = ids.is_valid().to_numpy(zero_copy_only=False).astype("u1").tobytes()
-        for x in lists:
-            yield pa.RecordBatch.from_arrays([x, *(pa.array([None], t) for t in types[1:])], names=names)
-        end = [None, ids.fill_null(0).to_numpy().astype("<i8").tobytes(), *last, known]
+        for i, x in enumerate(lists):
+            own = coded.dictionary[i * CHUNK : (i + 1) * CHUNK].filter(pc.invert(short[i * CHUNK : (i + 1) * CHUNK])).to_pylist()
+            yield pa.RecordBatch.from_arrays([x, *(pa.array([None], t) for t in types[1:-1]), pa.array([own], types[-1])], names=names)
+        end = [None, ids.fill_null(0).to_numpy().astype("<i8").tobytes(), *last, known, None]
         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(end, types)], names=names)
 
 
@@ -139,8 +180,12 @@ def _assemble(ranks_path: str):
         for batch in batches:
             for row in batch.to_pylist():
                 if row["symbols"] is not None:
+                    very_long = iter(row["long"] or ())
                     for s in row["symbols"]:
-                        got = to_rank[np.frombuffer(s.encode("utf-16-le"), "<u2")]
+                        if s is None:
+                            got = np.array(merge_with_heap(next(very_long).encode(), ranks), "<u4")
+                        else:
+                            got = to_rank[np.frombuffer(s.encode("utf-16-le"), "<u2")]
                         ids_of.append(got)
                         pieces.append(b"".join([by_rank[i] for i in got.tolist()]))
                     continue
@@ -189,8 +234,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     merges = rank_map(read_ranks(ranks_path))
     words = F.regexp_extract_all(whole_text(text_col), F.lit(java_pattern(pattern)), F.lit(0))
     cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), words.alias("words"))
-    blocks = cut.mapInArrow(_blocks, "words array<string>, ids binary, offsets binary, positions binary, whole binary")
-    folded = blocks.select(F.transform("words", lambda w: fold_merges(w, merges)).alias("symbols"), "ids", "offsets", "positions", "whole")
+    blocks = cut.mapInArrow(_blocks, "words array<string>, ids binary, offsets binary, positions binary, whole binary, long array<string>")
+    folded = blocks.select(F.transform("words", lambda w: fold_merges(w, merges)).alias("symbols"), "ids", "offsets", "positions", "whole", "long")
     return folded.mapInArrow(_assemble(ranks_path), OUT)
 
 
