@@ -5,7 +5,8 @@ distance floor((1 - similarity) * w) of it.
 
 1. Windows of each item size slide over every document, one start per word. A window
    within edit distance d of its item shares at least w - 2 - 3d word triples with it, so
-   windows with fewer triples from the benchmark are passed over without loss.
+   windows with fewer triples from the benchmark, or from the item, are passed over
+   without loss.
 2. CGK random walks embed the windows left and the items: at each of 3w steps the current
    word is written and a random bit of (step, word) says whether to move on. Edit distance
    becomes Hamming distance.
@@ -90,72 +91,71 @@ class Matcher:
 
     def __init__(self, items: list[tuple[int, str]], similarity: float = SIMILARITY, min_words: int = MIN_WORDS):
         self.items: list[tuple[int, np.ndarray, int]] = []
-        self.sizes: dict[int, list[int]] = {}
+        self.triples: list[np.ndarray] = []
+        self.least: list[int] = []
+        self.need: dict[int, int] = {}
+        self.postings: dict[int, list[int]] = {}
         self.table = np.zeros(1 << TABLE_BITS, bool)
         for item_id, text in items:
             raw = np.frombuffer((text or "").encode(), np.uint8)
             words = wordhash.Words(raw, np.array([0, len(raw)])).hash
-            if len(words) < min_words:
+            w = len(words)
+            if w < min_words:
                 continue
-            allowed = int((1 - similarity) * len(words) + 1e-9)
-            self.sizes.setdefault(len(words), []).append(len(self.items))
+            allowed = int((1 - similarity) * w + 1e-9)
+            own = np.unique(triple_hashes(words))
+            for t in own.tolist():
+                self.postings.setdefault(t, []).append(len(self.items))
+            self.need[w] = max(1, w - 2 - 3 * allowed)
+            self.least.append(max(1, self.need[w] - (w - 2 - len(own))))
             self.items.append((item_id, words, allowed))
-            self.table[triple_hashes(words) >> np.uint64(64 - TABLE_BITS)] = True
-        self.allowed = {w: self.items[i[0]][2] for w, i in self.sizes.items()}
-        self.need = {w: max(1, w - 2 - 3 * d) for w, d in self.allowed.items()}
+            self.triples.append(own)
+            self.table[own >> np.uint64(64 - TABLE_BITS)] = True
         rng = np.random.Generator(np.random.PCG64(7))
-        self.samples = {w: rng.integers(0, STEPS * w, (repetitions(), SAMPLED)) for w in sorted(self.sizes)}
-        self.keys: dict[tuple[int, int], dict[int, list[int]]] = {}
-        for w, own in self.sizes.items():
-            embedded = cgk(np.stack([self.items[i][1] for i in own]))
-            for r, keys in enumerate(self._keys(embedded, w)):
-                slot = self.keys.setdefault((w, r), {})
-                for i, key in zip(own, keys.tolist()):
-                    slot.setdefault(key, []).append(i)
-
-    def _keys(self, embedded: np.ndarray, w: int):
-        for sample in self.samples[w]:
-            yield wordhash.mix((embedded[:, sample] * wordhash.MULT[30 : 30 + SAMPLED]).sum(1, dtype=np.uint64))
-
-    def search(self, words: np.ndarray, hit: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item_id, distance, words of the item, start) of the items found in a document
-        whose words are given; hit[i] says whether the triple at word i is one of the block."""
-        sums = np.concatenate([[0], np.cumsum(hit)])
-        spots: dict[int, list[int]] = {}
-        for w in self.sizes:
-            if len(words) < w:
-                # a document shorter than the item is one window
-                starts = np.zeros(1 if len(words) >= w - self.allowed[w] and sums[-1] >= self.need[w] else 0, np.int64)
-                windows = np.zeros((len(starts), w), np.uint64)
-                windows[:, : len(words)] = words
-            else:
-                starts = np.flatnonzero(sums[w - 2 :] - sums[: len(sums) - w + 2] >= self.need[w])
-                windows = words[starts[:, None] + np.arange(w)] if len(starts) else np.zeros((0, w), np.uint64)
-            for at in range(0, len(starts), 4096):
-                embedded = cgk(windows[at : at + 4096])
-                for r, keys in enumerate(self._keys(embedded, w)):
-                    slot = self.keys[w, r]
-                    for i, key in zip(starts[at : at + 4096].tolist(), keys.tolist()):
-                        for item in slot.get(key, ()):
-                            spots.setdefault(item, []).append(i)
+        self.samples = {w: rng.integers(0, STEPS * w, (repetitions(), SAMPLED)) for w in sorted(self.need)}
+        self.keys = [self._keys(cgk(words[None, :]))[0] for _, words, _ in self.items]
+
+    def _keys(self, embedded: np.ndarray) -> np.ndarray:
+        """One key per repetition of every embedded row."""
+        sample = self.samples[embedded.shape[1] // STEPS]
+        return wordhash.mix((embedded[:, sample] * wordhash.MULT[30 : 30 + SAMPLED]).sum(2, dtype=np.uint64))
+
+    def search(self, words: np.ndarray, triples: np.ndarray, hit: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(item_id, distance, words of the item, start) of the items found in a document;
+        hit[i] says whether triple i may be one of the block."""
+        votes: dict[int, int] = {}
+        for t in np.unique(triples[hit]).tolist():
+            for i in self.postings.get(t, ()):
+                votes[i] = votes.get(i, 0) + 1
         found = []
-        for item, starts in spots.items():
-            item_id, own, allowed = self.items[item]
-            best = (allowed + 1, 0)
-            starts = sorted(set(starts))
-            first = last = starts[0]
-            for s in [*starts[1:], None]:
-                if s is not None and s <= last + len(own):
-                    last = s
-                    continue
-                a, b = max(0, first - allowed), last + len(own) + allowed
-                d, end = edit_distance_within(own, words[a:b])
-                best = min(best, (d, max(0, a + end - len(own))))
-                first = last = s
+        for i in sorted(i for i, v in votes.items() if v >= self.least[i]):
+            item_id, own, allowed = self.items[i]
+            best = self._best(i, own, allowed, words, triples)
             if best[0] <= allowed:
                 found.append((item_id, best[0], len(own), best[1]))
         return found
 
+    def _best(self, i: int, own: np.ndarray, allowed: int, words: np.ndarray, triples: np.ndarray) -> tuple[int, int]:
+        """Least edit distance of an item at its candidate windows, and where."""
+        w = len(own)
+        sums = np.concatenate([[0], np.cumsum(np.isin(triples, self.triples[i]))])
+        if len(words) < w:  # a document shorter than the item is one window
+            starts = np.zeros(int(sums[-1] >= self.need[w]), np.int64)
+            windows = np.zeros((len(starts), w), np.uint64)
+            windows[:, : len(words)] = words
+        else:
+            starts = np.flatnonzero(sums[w - 2 :] - sums[: len(sums) - w + 2] >= self.need[w])
+            windows = words[starts[:, None] + np.arange(w)]
+        agree = [(self._keys(cgk(windows[at : at + 4096])) == self.keys[i]).any(1) for at in range(0, len(starts), 4096)]
+        starts = starts[np.concatenate(agree)] if agree else starts
+        best = (allowed + 1, 0)
+        for run in np.split(starts, np.flatnonzero(np.diff(starts) > w) + 1):
+            if len(run):
+                a, b = max(0, int(run[0]) - allowed), int(run[-1]) + w + allowed
+                d, end = edit_distance_within(own, words[a:b])
+                best = min(best, (d, max(0, a + end - w)))
+        return best
+
 
 def _documents_with_windows(hit: np.ndarray, bounds: np.ndarray, need: dict[int, int]) -> np.ndarray:
     """Documents that may hold a window with enough triples, of some of the sizes."""
@@ -183,14 +183,15 @@ def _matches(matcher: Matcher, column):
     for first, w in wordhash.chunks(column):
         if len(w.hash) < 3 or not matcher.items:
             continue
-        hit = matcher.table[triple_hashes(w.hash) >> shift]
+        triples = triple_hashes(w.hash)
+        hit = matcher.table[triples >> shift]
         cuts = w.bounds[1:-1]
         for back in (1, 2):
             at = cuts - back
             hit[at[(at >= 0) & (at < len(hit))]] = False
         for k in _documents_with_windows(hit, w.bounds, matcher.need).tolist():
             a, b = int(w.bounds[k]), int(w.bounds[k + 1])
-            for found in matcher.search(w.hash[a:b], hit[a : b - 2]):
+            for found in matcher.search(w.hash[a:b], triples[a : b - 2], hit[a : b - 2]):
                 yield first + k, *found
 
 
