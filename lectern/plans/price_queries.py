@@ -65,7 +65,7 @@ S["w02_target_reached"] = oracle("ph bk", f"+{NEWEST}, {TARGET} SELECT * FROM tg
 EVENTS = """, ev AS (SELECT asin, changed_at AS "at", CASE WHEN current < prev THEN 'drop' ELSE 'rise' END AS kind FROM tr WHERE changed_at IS NOT NULL
 UNION ALL SELECT asin, "at", 'joined' FROM jn UNION ALL SELECT asin, "at", 'left' FROM lf UNION ALL SELECT asin, "at", 'campaign' FROM cp UNION ALL SELECT asin, "at", 'target' FROM tg)"""
 Q["w03_feed_events"] = both(P.feed)
-S["w03_feed_events"] = oracle("ph bk", f"{TREND}, {NEWEST}, {JOINED}, {LEFT}, {CAMPAIGN}, {TARGET}{EVENTS} SELECT asin, "at", kind FROM ev WHERE asin IN (SELECT asin FROM bk WHERE wanted AND NOT purchased) ORDER BY "at" DESC, asin DESC, kind DESC LIMIT 50")
+S["w03_feed_events"] = oracle("ph bk", f"{TREND}, {NEWEST}, {JOINED}, {LEFT}, {CAMPAIGN}, {TARGET}{EVENTS} SELECT asin, \"at\", kind FROM ev WHERE asin IN (SELECT asin FROM bk WHERE wanted AND NOT purchased) ORDER BY \"at\" DESC, asin DESC, kind DESC LIMIT 50")
 
 
 def reasons(b, h):
