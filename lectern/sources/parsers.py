@@ -31,7 +31,8 @@ def parse_clippings(entries: DataFrame) -> DataFrame:
     e = F.regexp_replace(F.regexp_replace("entry", "[\\uFEFF\r]", ""), "^[=\\s]+", "")
     lines = F.split(e, "\n")
     head, meta = F.get(lines, F.lit(0)), F.get(lines, F.lit(1))
-    text = F.trim(F.array_join(F.slice(lines, 3, F.greatest(F.size(lines) - 2, F.lit(0))), "\n"))
+    body = F.array_join(F.slice(lines, 3, F.greatest(F.size(lines) - 2, F.lit(0))), "\n")
+    text = F.regexp_replace(body, r"^\s+|\s+$", "")
     kind = F.lit(None).cast("string")
     for name in ("bookmark", "note", "highlight"):
         kind = F.when(meta.rlike("|".join(KINDS[name])), name).otherwise(kind)
