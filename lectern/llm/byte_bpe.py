@@ -72,7 +72,7 @@ def rank_map(ranks: dict[bytes, int]) -> Column:
 
 def fold_merges(word: Column, merges: Column) -> Column:
     """The symbols of one word: its bytes with the lowest-ranked, leftmost pair merged
-    again and again until none is left."""
+    again and again until none is left, which a mark at the end then tells later steps."""
 
     def best_pair(state: Column) -> Column:
         def at(i: Column) -> Column:
@@ -85,14 +85,15 @@ def fold_merges(word: Column, merges: Column) -> Column:
     def merge(state: Column, _) -> Column:
         def apply(best: Column) -> Column:
             joined = F.concat(F.substring(state, F.lit(1), best["i"] - 1), best["to"], F.substring(state, best["i"] + 2, F.lit(1 << 30)))
-            return F.when(best["to"] == NONE, state).otherwise(joined)
+            return F.when(best["to"] == NONE, F.concat(state, F.lit(NONE))).otherwise(joined)
 
-        return F.when(F.length(state) < 2, state).otherwise(F.get(F.transform(F.array(best_pair(state)), apply), F.lit(0)))
+        over = (F.length(state) < 2) | F.endswith(state, F.lit(NONE))
+        return F.when(over, state).otherwise(F.get(F.transform(F.array(best_pair(state)), apply), F.lit(0)))
 
     data = F.encode(word, "UTF-8")
     start = F.decode(data, "ISO-8859-1")
     steps = F.when(F.octet_length(word) > 1, F.sequence(F.lit(2), F.octet_length(word))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, start, merge)
+    return F.aggregate(steps, start, merge, lambda state: F.replace(state, F.lit(NONE)))
 
 
 def merge_with_heap(data: bytes, ranks: dict[bytes, int]) -> list[int]:
