@@ -8,8 +8,9 @@ ending another) are tied by skip edges however far apart, each to its next occur
 Loopy message passing with the matches as evidence then brings the labels of one document
 into agreement, and undecided tokens with a sure label become further spans.
 
-Weights are trained here by pseudo-likelihood on at most `SAMPLE` texts, with the patterns'
-matches as distant labels. Scoring covers every whole text and moves no rows.
+Weights are trained here by pseudo-likelihood on at most `SAMPLE` distinct texts, with the
+patterns' matches as distant labels. All texts with a match compete for the sample, so matches
+are learnt from however rare they are. Scoring covers every whole text and moves no rows.
 
 Defined results: null and empty texts have no spans; equal rows have equal results; without
 any match in the table nothing is added; an empty table gives no rows; further columns are
@@ -26,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, thinned, whole_text
+from .common import table, whole_text, written
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 4000
@@ -38,6 +39,8 @@ IP = re.compile(r"(?<![0-9])([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
+# for the JVM: every text with a match holds one of these
+MAYBE = r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]+\.[A-Za-z0-9-]|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|[0-9](?:[\x20-]?[0-9]){11}|\+[0-9][\x20().0-9-]+[0-9]"
 TOKEN = re.compile(r"\S+")
 EDGE = ".,;:!?()[]{}<>\"'"
 OUT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
@@ -215,30 +218,62 @@ def find(text: str, weights: Weights | None, level: float = LEVEL) -> tuple[list
     return base, base
 
 
-def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Weights | None:
-    """Weights from at most `sample` texts with a digit or an at sign, by hash."""
-    texts = thinned(docs.select(whole_text(text_col).alias("text")), F.col("text"), 2 * sample, docs.count())
-    texts = texts.where(F.col("text").rlike("[0-9@]"))
-    chosen = texts.select("text", F.xxhash64("text").alias("h")).orderBy("h").limit(sample)
+def _marks(batches):
+    """Rows of h and held: whether the patterns match; texts that cannot match come as null."""
+    import pyarrow as pa
+
+    for batch in batches:
+        held = [t is not None and bool(base_spans(t)) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(held, pa.bool_())], names=["h", "held"])
+
 
-    def nodes(batches):
+def _graphs(last: dict[bool, int]):
+    """Graphs of texts up to the last hash among those with matches or without; a task sends
+    each on once."""
+
+    def run(batches):
         import pandas as pd
 
+        seen: set[int] = set()
         for pdf in batches:
-            graphs = [Graph(t, base_spans(t)) for t in pdf["text"]]
-            yield pd.DataFrame({"label": [g.label.tolist() for g in graphs], "shape": [g.shape.ravel().tolist() for g in graphs], "skip": [[i for e in g.skip for i in e] for g in graphs]})
+            rows = []
+            for t, h in zip(pdf["text"], pdf["h"].tolist()):
+                if h in seen or h > last[bool(base := base_spans(t))]:
+                    continue
+                seen.add(h)
+                g = Graph(t, base)
+                rows.append((h, g.label.tolist(), g.shape.ravel().tolist(), [i for e in g.skip for i in e]))
+            yield pd.DataFrame(rows, columns=["h", "label", "shape", "skip"]).astype({"h": "int64"})
 
-    rows = chosen.select("text").mapInPandas(nodes, "label array<int>, shape array<double>, skip array<int>").collect()
+    return run
+
+
+def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Weights | None:
+    """Weights from at most `sample` distinct texts with a digit or an at sign, by hash. Texts
+    with a match are chosen among all those of the table, half the sample at least where there
+    are as many; None only where the whole table has no match."""
+    texts = docs.select(whole_text(text_col).alias("text")).where(F.col("text").rlike("[0-9@]"))
+    texts = texts.withColumn("h", F.xxhash64("text"))
+    maybe = F.col("text").rlike(MAYBE)
+    marks = texts.select("h", F.when(maybe, F.col("text")).alias("text")).mapInArrow(_marks, "h long, held boolean").distinct()
+    marks = written(marks, "pii-marks")
+    low = {x: [r.h for r in marks.where(F.col("held") == x).select("h").orderBy("h").limit(sample).collect()] for x in (True, False)}
+    if not low[True]:
+        return None
+    others = min(len(low[False]), max(sample // 2, sample - len(low[True])))
+    low = {True: low[True][: sample - others], False: low[False][:others]}
+    last = {x: h[-1] if h else -(2**63) - 1 for x, h in low.items()}
+    chosen = F.col("h") <= last[False] if low[False] else F.lit(False)
+    chosen = texts.where(chosen | (maybe & (F.col("h") <= last[True])))
+    rows = chosen.mapInPandas(_graphs(last), "h long, label array<int>, shape array<double>, skip array<int>").dropDuplicates(["h"]).collect()
     graphs = []
-    for r in rows:
+    for r in sorted(rows, key=lambda r: r["h"]):
         g = Graph("", [])
         g.label = np.array(r["label"], np.int64)
         g.shape = np.array(r["shape"], float).reshape(-1, SHAPES)
         g.chain = [(i, i + 1) for i in range(len(g.label) - 1)]
         g.skip = list(zip(r["skip"][::2], r["skip"][1::2]))
         graphs.append(g)
-    if not any((g.label > 0).any() for g in graphs):
-        return None
     return fit_graphs(graphs)
 
 

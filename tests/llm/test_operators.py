@@ -406,6 +406,20 @@ def test_skip_edges_bring_labels_together():
     assert tied[at, 4] > loose[at, 4]
 
 
+def test_pii_learns_from_rare_matches(spark):
+    """One match in many more texts than the sample holds, and a hot text without one."""
+    docs = spark.range(4000).select(F.when(F.col("id") % 2 == 0, "hot 77").otherwise(F.concat(F.lit("order "), "id")).alias("text"))
+    rare = spark.createDataFrame([("write to a.b@c.example or call +1 (988) 555-2485",)], "text string")
+    assert pii.fit(docs.union(rare), sample=20) is not None
+    assert pii.fit(docs, sample=20) is None
+    again = [pii.fit(docs.union(rare).repartition(n), sample=20) for n in (1, 7)]
+    assert np.allclose(again[0].unary, again[1].unary)
+    r = random.Random(3)
+    for _ in range(3000):
+        t = "".join(r.choice("a.@1+- 9(%") for _ in range(r.randint(1, 60)))
+        assert not pii.base_spans(t) or re.search(pii.MAYBE, t), t
+
+
 # 9 ------------------------------------------------------------------------------------
 
 
