@@ -6,7 +6,9 @@ them. Its nodes are the matches and the undecided tokens of a document; neighbou
 along the text, and repeated or similar tokens (equal letters and digits, or one number
 ending another) are tied by skip edges however far apart, each to its next occurrence.
 Loopy message passing with the matches as evidence then brings the labels of one document
-into agreement, and undecided tokens with a sure label become further spans.
+into agreement, and undecided tokens with a sure label become further spans. Every text with
+an undecided token takes part, be there a match in it or not, and messages pass until they
+settle, so evidence reaches any number of repeats.
 
 Weights are trained here by pseudo-likelihood on at most `SAMPLE` distinct texts, with the
 patterns' matches as distant labels. All texts with a match compete for the sample, so matches
@@ -32,7 +34,7 @@ from .common import table, whole_text, written
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 4000
 LEVEL = 0.9
-SWEEPS = 12
+SETTLED = 1e-4
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
@@ -176,8 +178,10 @@ def fit_graphs(graphs: list[Graph], rounds: int = 300, rate: float = 0.1, decay:
     return Weights(unary, float(pair[0]), float(pair[1]))
 
 
-def posteriors(g: Graph, w: Weights, sweeps: int = SWEEPS) -> np.ndarray:
-    """Label probabilities by loopy sum-product, all messages at once, half damped."""
+def posteriors(g: Graph, w: Weights) -> np.ndarray:
+    """Label probabilities by loopy sum-product, all messages at once, half damped, until the
+    messages settle. Evidence crosses an edge a sweep, so as many sweeps are allowed as the
+    graph has nodes and more; damping grows meanwhile, against messages that swing."""
     local = g.shape @ w.unary
     held = g.label >= 0
     local[held] = -50.0
@@ -190,15 +194,15 @@ def posteriors(g: Graph, w: Weights, sweeps: int = SWEEPS) -> np.ndarray:
     gain = np.expm1(np.concatenate([pull, pull]))[:, None]
     back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
     log_m = np.zeros((len(src), local.shape[1]))
-    for _ in range(sweeps):
+    for sweep in range(1000 + 2 * len(local)):
         belief = local.copy()
         np.add.at(belief, dst, log_m)
         p = _softmax(belief[src] - log_m[back])
         new = np.log(np.maximum(1.0 + gain * p, 1e-12))
         new -= new.max(1, keepdims=True)
-        if np.abs(new - log_m).max() < 1e-4:
+        if np.abs(new - log_m).max() < SETTLED:
             break
-        log_m = 0.5 * (log_m + new)
+        log_m += 0.5 / (1 + sweep / 1000) * (new - log_m)
     belief = local.copy()
     np.add.at(belief, dst, log_m)
     return _softmax(belief)
@@ -207,7 +211,7 @@ def posteriors(g: Graph, w: Weights, sweeps: int = SWEEPS) -> np.ndarray:
 def find(text: str, weights: Weights | None, level: float = LEVEL) -> tuple[list, list]:
     """Base spans and all spans of one text."""
     base = base_spans(text)
-    if weights is None or not base:
+    if weights is None or not ("@" in text or DIGIT.search(text)):
         return base, base
     g = Graph(text, base)
     if (g.label < 0).any():

@@ -420,6 +420,29 @@ def test_pii_learns_from_rare_matches(spark):
         assert not pii.base_spans(t) or re.search(pii.MAYBE, t), t
 
 
+def test_pii_fitted_field_adds_spans(spark):
+    """Repeats of an undecided token are found in a text without a match, as one is beside a match."""
+    mails = [(f"write to {a}{b}@mail.example or {a}{b}@mail.example",) for a in WORDS for b in WORDS[:9]]
+    docs = spark.createDataFrame(mails + [(f"room {i} of {j} at {i + j}",) for i in range(9) for j in range(5)], "text string")
+    w = pii.fit(docs)
+    assert w.skip > 0
+    texts = ["ask user@localhost or user@localhost", "ask user@localhost today or a@b.example.org", "room 3 of 40"]
+    found = [[t[a:b] for a, k, b in pii.find(t, w)[1] if k == 0] for t in texts]
+    assert found == [["user@localhost"] * 2, ["user@localhost", "a@b.example.org"], []]
+    got = pii.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), w).collect()
+    assert {r.doc_id: (r.n_email, r.spans) for r in got} == {i: (n, pii.listed(pii.find(texts[i], w)[1])) for i, n in enumerate((0, 1, 0))}
+
+
+def test_pii_evidence_reaches_every_repeat():
+    """A sure neighbour decides all repeats of a token, not only the first dozen."""
+    unary = np.zeros((pii.SHAPES, 5))
+    w = pii.Weights(unary, 0.0, 9.0)
+    text = "+1 (988) 555-2485 " + "x 9885552485 y " * 60
+    g = pii.Graph(text, pii.base_spans(text))
+    p = pii.posteriors(g, w)
+    assert len(p) == 61 and (p[:, 4] > 0.9).all()
+
+
 # 9 ------------------------------------------------------------------------------------
 
 
