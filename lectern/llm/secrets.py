@@ -74,8 +74,9 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = {k: spans(F.col(f"{k}_p"), F.col(f"{k}_v"), k) for k in KINDS}
     rows = rows.select("doc", "h", "value", *keep, *(v.alias(k) for k, v in found.items()))
     long_enough = F.filter("assign", lambda s, i: F.get(F.col("value"), i) >= LEAST_VALUE)
+    short = F.filter("assign", lambda s, i: F.get(F.col("value"), i) < LEAST_VALUE)
     base = F.array_sort(F.concat(long_enough, F.col("access"), F.col("hex")))
-    return rows.select("doc", "h", *keep, base.alias("base"), F.concat("id", "key", "endpoint").alias("weak"))
+    return rows.select("doc", "h", *keep, base.alias("base"), F.concat("id", "key", "endpoint", short).alias("weak"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
