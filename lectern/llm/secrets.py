@@ -8,8 +8,9 @@ reported only where such a part stands: an identifier needs a secret, a secret n
 identifier or endpoint, an endpoint needs a secret or identifier.
 
 Spans are in code points, ends exclusive. Splitting a text by a pattern and extracting its
-matches interleave exactly, so lengths add up to positions. Scopes are cut into bins, so
-the join is by text and bin and stops at the first complement.
+matches interleave exactly, so lengths add up to positions. Scopes are cut into bins, a span
+lies in every bin that it reaches, so the join is by text and bin and stops at the first
+complement.
 
 Defined results: null and empty texts have no spans; rows without an id are kept; equal
 rows have equal results; an empty table gives no rows; further columns are ignored.
@@ -93,7 +94,8 @@ def link(rows: DataFrame, scope: int = SCOPE) -> DataFrame:
     role = F.element_at(F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(i), F.lit(ROLE[k]))]), F.col("s.rank"))
     weak = some.select("doc", "h", F.explode("weak").alias("s")).withColumn("role", role)
     parts = some.select("doc", "h", F.explode(F.concat("base", "weak")).alias("s")).withColumn("role", role)
-    left = weak.select("doc", "h", "s", "role", F.floor(F.col("s.start") / scope).alias("bin"))
+    own = F.sequence(F.floor(F.col("s.start") / scope), F.floor(F.col("s.end") / scope))
+    left = weak.select("doc", "h", "s", "role", F.explode(own).alias("bin"))
     bins = F.sequence(F.floor((F.col("s.start") - scope) / scope) - 1, F.floor((F.col("s.end") + scope) / scope))
     right = parts.select(F.col("doc").alias("doc2"), F.col("h").alias("h2"), F.col("s").alias("s2"), F.col("role").alias("role2"), F.explode(bins).alias("bin2"))
     near = (F.col("s.start") - F.col("s2.end") <= scope) & (F.col("s2.start") - F.col("s.end") <= scope)

@@ -318,6 +318,14 @@ def test_secrets_short_assignments(spark):
     assert secrets.redact_documents(docs).first().text == "login [SECRET] with [SECRET] here"
 
 
+def test_secrets_long_endpoint(spark):
+    """A complement right behind the end of a weak span far longer than the scope."""
+    texts = ["a " * pad + "https://h.example/" + "x" * size + " ASIAABCDEFGHIJKL" for size in (900, 1100, 2000) for pad in (0, 60, 150)]
+    texts += ["password=hunter2 https://h.example/" + "y" * 2000, "https://h.example/" + "z" * 2000 + " " * 401 + "ASIAABCDEFGHIJKL"]
+    got = {r.doc_id: len(r.spans) for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: 2 for i in range(len(texts) - 1)} | {len(texts) - 1: 0}
+
+
 def test_redaction(spark):
     rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(SECRET_TEXTS)]
     got = secrets.redact_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()
