@@ -62,8 +62,13 @@ def signatures(grams: np.ndarray, num: int, den: int, starts: list[int]) -> np.n
     Linked sets differ in `most` fragments at most, so they agree on the other
     `count - most` at least, and the largest of these is among the `most + 1` largest of
     either set. Only those are given: small fragments would tie unrelated sets together.
+
+    Where all the fragments they agree on are empty, both sets have `most` others at most.
+    Sets with so few are also dealt by n-grams: linked sets share all but
+    `n - ceil(n * num / den)` of their n, so the least shared one is among the first ones.
     """
     n = len(grams)
+    first = n + num * -n // den + 1
     own = int(np.searchsorted(starts, n, "right")) - 1
     found = []
     sums = np.zeros(n + 1, np.uint64)
@@ -81,6 +86,8 @@ def signatures(grams: np.ndarray, num: int, den: int, starts: list[int]) -> np.n
         part = sums[at[1:]] - sums[at[:-1]]
         part = wordhash.mix(part + np.arange(count, dtype=np.uint64) * wordhash.MULT[10] + np.uint64(band * int(wordhash.MULT[11]) % 2**64))
         found.append(part[large])
+        if np.count_nonzero(at[1:] > at[:-1]) <= most:
+            found.append(wordhash.mix(wordhash.mix(grams[:first]) + np.uint64(band * int(wordhash.MULT[11]) % 2**64)))
     return np.concatenate(found)
 
 

@@ -359,6 +359,20 @@ def test_ngram_join_brute_force(spark, odd, k, num, den):
     assert {r.doc: r.n_shingles for r in got} == {i: len(s) for (i, _), s in zip(docs, sets)}
 
 
+@pytest.mark.parametrize("num, den, sizes", [(85, 100, [(6, 7, 6), (13, 13, 12), (11, 12, 11)]), (4, 5, [(4, 5, 4), (5, 6, 5), (8, 10, 8), (9, 9, 8), (20, 23, 20)])])
+def test_ngram_join_small_sets_meet(num, den, sizes):
+    """Random pairs at the threshold share a signature, every one."""
+    r = np.random.default_rng(7)
+    starts = ngram_join.band_starts(4096, num, den)
+    for nx, ny, both in sizes:
+        assert den * both >= num * (nx + ny - both)
+        for _ in range(8000):
+            g = r.integers(0, 2**64, nx + ny - both, np.uint64)
+            x, y = np.sort(g[:nx]), np.sort(g[nx - both :])
+            sx, sy = (ngram_join.signatures(s, num, den, starts) for s in (x, y))
+            assert set(sx.tolist()) & set(sy.tolist()), (nx, ny, both)
+
+
 def test_ngram_join_large_group(spark):
     """More members than a block holds, in one chain of links."""
     words = text_of(300, 9).split()
