@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or an own one where unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset a local session,
+    whose tasks run on this machine, gets a temporary one; a cluster gets an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = os.path.join(tempfile.gettempdir(), "lectern-checkpoints")
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="lectern-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
@@ -23,13 +26,36 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Cut lineage: write the rows to the shared folder once and read them back."""
-    path = new_path(df.sparkSession, name)
+    path = path or new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def runs(batches, keys: list[str], values: list[str]):
+    """(key, rows) of each run of equal keys in batches that come sorted by key; a run may
+    span batches. Memory follows the longest run."""
+    key, rows = None, []
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in (*keys, *values)]
+        for row in zip(*columns):
+            now, rest = row[: len(keys)], row[len(keys) :]
+            if now != key:
+                if rows:
+                    yield key, rows
+                key, rows = now, []
+            rows.append(rest)
+    if rows:
+        yield key, rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop_path, new_path, written
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -13,20 +13,34 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
 
     Alternating large-star and small-star contraction. Each round rewrites every edge at
     most once, so rows never exceed the input's; rounds grow with the logarithm of the
-    graph's size. Each round is written to the shared folder, so an executor's loss costs
-    one round at most. Loops and null ends are ignored; an empty table gives no rows.
+    graph's size. Smallest neighbours are grouped minima that come back by a join, so a node
+    with very many edges is first reduced where its edges are and then split by a skewed
+    join. Each round is written to the shared folder, so an executor's loss costs one round at
+    most, and replaces the one before. Loops and null ends are ignored; an empty table gives
+    no rows.
     """
+    spark = edges.sparkSession
+    last: list[str] = []
+
+    def kept(df: DataFrame) -> DataFrame:
+        last.append(new_path(spark, "components"))
+        out = written(df, "components", last[-1])
+        for old in last[:-1]:
+            drop_path(spark, old)
+        del last[:-1]
+        return out
+
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
-    e = written(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
+    e = kept(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = F.least(F.min("v").over(Window.partitionBy("u")), F.col("u"))
-        large = both.withColumn("m", low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        m = F.min("v").over(Window.partitionBy("u"))
-        small = large.withColumn("m", m)
-        small = small.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        e = written(small, "cc")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = kept(large)
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        ends = F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        e = kept(large.join(low, "u").select(F.explode(ends).alias("e")).select("e.u", "e.v").where("u <> v").distinct())
         seen = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v") % 1000003)).first()
         if seen == state:
             break

@@ -359,18 +359,53 @@ def test_ngram_join_brute_force(spark, odd, k, num, den):
     assert {r.doc: r.n_shingles for r in got} == {i: len(s) for (i, _), s in zip(docs, sets)}
 
 
-@pytest.mark.parametrize("num, den, sizes", [(85, 100, [(6, 7, 6), (13, 13, 12), (11, 12, 11)]), (4, 5, [(4, 5, 4), (5, 6, 5), (8, 10, 8), (9, 9, 8), (20, 23, 20)])])
-def test_ngram_join_small_sets_meet(num, den, sizes):
-    """Random pairs at the threshold share a signature, every one."""
+@pytest.mark.parametrize("num, den", [(85, 100), (4, 5)])
+def test_ngram_join_no_link_is_lost(num, den):
+    """Random pairs of 1 to 40 n-grams at the threshold share a signature and their sketches
+    leave the link possible, every one."""
     r = np.random.default_rng(7)
-    starts = ngram_join.band_starts(4096, num, den)
-    for nx, ny, both in sizes:
-        assert den * both >= num * (nx + ny - both)
-        for _ in range(8000):
-            g = r.integers(0, 2**64, nx + ny - both, np.uint64)
-            x, y = np.sort(g[:nx]), np.sort(g[nx - both :])
-            sx, sy = (ngram_join.signatures(s, num, den, starts) for s in (x, y))
-            assert set(sx.tolist()) & set(sy.tolist()), (nx, ny, both)
+    for _ in range(20000):
+        nx = int(r.integers(1, 41))
+        ny = int(r.integers(nx, nx * den // num + 1))
+        least = -(-num * (nx + ny) // (num + den))
+        if least > nx:
+            continue
+        both = least if r.random() < 0.8 else int(r.integers(least, nx + 1))
+        g = r.integers(0, 2**64, nx + ny - both, np.uint64)
+        x, y = np.sort(g[:nx]), np.sort(g[nx - both :])
+        sx, sy = (set(ngram_join.signatures(s, num, den).tolist()) for s in (x, y))
+        mx, my = ((len(s), 8 * len(m), int.from_bytes(m, "little")) for s, m in ((s, ngram_join.sketch(s)) for s in (x, y)))
+        assert sx & sy and ngram_join.may_link(mx, my, num, den), (nx, ny, both)
+
+
+def test_ngram_join_partial_overlaps():
+    r = np.random.default_rng(2)
+    sets = [np.unique(r.integers(0, 60, r.integers(0, 50), np.uint64)) for _ in range(9)]
+    got = ngram_join.partial_overlaps(sets, [1, 4, 8], width=27)
+    assert got.tolist() == [[len(np.intersect1d(sets[i], s)) for s in sets] for i in (1, 4, 8)]
+
+
+@pytest.mark.parametrize("block, bucket", [(4, 3), (16, 1024)])
+def test_ngram_join_large_groups_brute_force(spark, monkeypatch, block, bucket):
+    """Groups far larger than a block or a bucket, of members that mostly do not link with
+    each other: hubs first, then what they leave apart."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "BUCKET", bucket)
+    monkeypatch.setattr(ngram_join, "HUBS", 2)
+    r = random.Random(block)
+    docs = []
+    for g in range(3):
+        base = text_of(70, g).split()
+        for _ in range(70):
+            own = list(base)
+            for _ in range(r.randint(0, 5)):
+                own[r.randrange(len(own))] = f"w{r.randrange(4)}"
+            docs.append((len(docs), " ".join(own)))
+    sets = [shingle_set(t, 4) for _, t in docs]
+    links = [(i, j) for i in range(len(docs)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    got = ngram_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), 4, 85, 100).collect()
+    want = components(range(len(docs)), links)
+    assert {x.doc: x.component for x in got} == want and 6 < len(set(want.values())) < len(docs)
 
 
 def test_ngram_join_large_group(spark):
