@@ -42,10 +42,11 @@ class Words:
     """The words of some documents: `hash`, byte positions `start` and `end` within `data`,
     and `bounds`, so that document k has words bounds[k] to bounds[k + 1]."""
 
-    def __init__(self, data: np.ndarray, doc_starts: np.ndarray):
+    def __init__(self, data: np.ndarray, doc_starts: np.ndarray, inside: np.ndarray | None = None):
+        """`inside` tells the bytes of words; by default all but spaces are."""
         n = len(data)
         self.data = data
-        solid = np.append(~_SPACE[data], False)
+        solid = np.append(~_SPACE[data] if inside is None else inside, False)
         before = np.empty(n + 1, bool)
         before[0] = False
         before[1:] = solid[:-1]
@@ -56,10 +57,18 @@ class Words:
         stop[cuts] |= before[cuts]
         self.start, self.end = np.flatnonzero(begin), np.flatnonzero(stop)
         self.bounds = np.searchsorted(self.start, doc_starts)
-        up, down = _powers(n)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[data] * up[:n], out=sums[1:])
-        self.hash = mix((sums[self.end] - sums[self.start]) * down[self.start])
+        up, self._down = _powers(n)
+        self._sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTE[data] * up[:n], out=self._sums[1:])
+        self.hash = self._hash(self.start, self.end)
+
+    def _hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self._sums[end] - self._sums[start]) * self._down[start])
+
+    def beginnings(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words of `size` bytes or more, by number, and the hashes of their first bytes."""
+        long = np.flatnonzero(self.end - self.start >= size)
+        return long, self._hash(self.start[long], self.start[long] + size)
 
 
 def _buffers(column) -> tuple[np.ndarray, np.ndarray]:
@@ -74,9 +83,9 @@ def _buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return at, np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
 
 
-def chunks(column, chunk_bytes: int = CHUNK_BYTES):
-    """(first row, Words) for runs of whole rows of about `chunk_bytes`. Memory follows the
-    larger of that and the longest text. Null counts as empty."""
+def chunks(column, chunk_bytes: int = CHUNK_BYTES, kind=Words):
+    """(first row, Words or another kind) for runs of whole rows of about `chunk_bytes`. Memory
+    follows the larger of that and the longest text. Null counts as empty."""
     if column.null_count:
         column = column.fill_null("")
     at, data = _buffers(column)
@@ -84,7 +93,7 @@ def chunks(column, chunk_bytes: int = CHUNK_BYTES):
     while row < rows:
         last = max(row + 1, int(np.searchsorted(at, at[row] + chunk_bytes, "right")) - 1)
         last = min(last, rows)
-        yield row, Words(data[at[row] : at[last]], at[row : last + 1] - at[row])
+        yield row, kind(data[at[row] : at[last]], at[row : last + 1] - at[row])
         row = last
 
 

@@ -179,8 +179,49 @@ def test_toxicity_learns_and_locates(spark, odd, empty):
     assert toxicity.keep_clean(odd, model).columns == odd.columns
 
 
+def brute_toxicity(text, model):
+    """Noisy-or and offending spans, written out from the model."""
+    weight = dict(zip(model.features.tolist(), model.weights.tolist()))
+    text = text or ""
+    parts = [(m.start(), m.end()) for m in re.finditer(r"[^.!?\n]+", text) if m.group().strip(" \t\r\x0b\x0c")] or [(0, len(text))]
+    left, spans = 1.0, []
+    for a, b in parts:
+        words = re.findall(r"(?:[A-Za-z0-9]|[^\x00-\xbf\u2000-\u207f\u3000-\u303f])+", text[a:b])
+        words = {re.sub(b"[A-Z]", lambda m: m.group().lower(), w.encode()) for w in words}
+        own = {toxicity.word_hash(w) for w in words} | {toxicity.stem_hash(w[:n]) for w in words for n in toxicity.STEMS if len(w) >= n}
+        z = model.bias + sum(weight.get(f, 0.0) for f in own)
+        left *= 1.0 - 1.0 / (1.0 + math.exp(-z))
+        if z >= 0:
+            spans.append((a, b))
+    return 1.0 - left, spans
+
+
+def test_toxicity_brute_force(spark):
+    """Scores and offending sentences against noisy-or written out, with known features."""
+    stems = [b"vile", b"nast", "\u00f6d\u00e9".encode()]
+    pairs = {toxicity.word_hash(b"hate"): 3.0, toxicity.word_hash("\u65e5\u672c".encode()): 2.5, **{toxicity.stem_hash(x): 1.5 + i for i, x in enumerate(stems)}}
+    order = np.array(sorted(pairs), np.uint64)
+    model = toxicity.Model(order, np.array([pairs[int(x)] for x in order]), -2.5)
+    r = random.Random(11)
+    bits = ["HATE", "hate", "hates", "vileness", "Vile", "nast", "nastier", "\u00f6d\u00e9x", "\u65e5\u672c", "\u65e5\u672c\u3002", "\u00abhate\u00bb", "sun", "a_b", "moon\u2014hate", "\U0001f600", ".", "!", "?\n", "\n", " ", "  ", "\t", "\u3000"]
+    texts = ["", " \n ", "...", "hate", None] + ["".join(r.choice(bits) + r.choice(["", " "]) for _ in range(r.randint(0, 40))) for _ in range(400)]
+    got = {x.doc_id: x for x in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, t in enumerate(texts):
+        score, spans = brute_toxicity(t, model)
+        assert got[i].score == pytest.approx(score, abs=1e-9), t
+        assert [(s.start, s.end) for s in got[i].sentences] == spans, t
+    assert sum(bool(x.sentences) for x in got.values()) > 100
+
+
 def test_noisy_or_gradient():
+    """The gradient is that of finite differences, and weights follow the labels."""
     toxic, plain, bags = np.array([1, 0, 1, 0]), np.array([1.0, 2, 0, 3]), [[[0]], [[1]], [[0, 1], [1]], []]
+    likelihood = toxicity.NoisyOr(toxic, plain, bags, 2)
+    for theta in np.random.default_rng(0).normal(size=(20, 3)):
+        grad = likelihood(theta)[1]
+        for k in range(3):
+            step = np.eye(3)[k] * 1e-5
+            assert grad[k] == pytest.approx((likelihood(theta + step)[0] - likelihood(theta - step)[0]) / 2e-5, abs=1e-6)
     w, b = toxicity.fit_bags(toxic, plain, bags, 2, rounds=500)
     assert w[0] > 1 > w[1]
 
