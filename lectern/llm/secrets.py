@@ -1,16 +1,22 @@
 """Secret scans with multipart credential linking, in DataFrame functions only.
 
 Base patterns stand by themselves: assignments of long values to words such as `password`,
-access identifiers and long hexadecimal runs. Weaker candidates (other identifiers, bare
-base64 keys, short assignments, endpoints) say little alone. They are joined by interval
-with the parts that complement them, within `SCOPE` characters of the same text, and are
-reported only where such a part stands: an identifier needs a secret, a secret needs an
-identifier or endpoint, an endpoint needs a secret or identifier.
+access identifiers and long hexadecimal runs. Weaker candidates say little alone. They are
+joined by interval with the parts that complement them (`VOUCHED`), within `SCOPE` characters of
+the same text, and are reported only where such a part stands:
+
+* another identifier needs a secret: an assignment of any length, a hexadecimal run or a key;
+* a bare base64 key or a short assignment needs an identifier or an endpoint;
+* an endpoint needs an assignment or a key. A hexadecimal run is no reason to call a link
+  secret, since digests stand beside links everywhere, and neither is an identifier alone.
+
+Weak candidates that overlap a base span are part of it and are left out.
 
 Spans are in code points, ends exclusive. Splitting a text by a pattern and extracting its
-matches interleave exactly, so lengths add up to positions. Scopes are cut into bins, a span
-lies in every bin that it reaches, so the join is by text and bin and stops at the first
-complement.
+matches interleave exactly, so running sums of lengths are positions; these are taken in
+blocks, so that work grows with the number of matches and not with its square. Scopes are cut
+into bins, a span lies in every bin that it reaches, so the join is by text and bin and stops
+at the first complement.
 
 Defined results: null and empty texts have no spans; rows without an id are kept; equal
 rows have equal results; an empty table gives no rows; further columns are ignored.
@@ -24,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import table, whole_text, written
 
 SCOPE = 400
+BLOCK = 256
 KINDS = ("assign", "access", "hex", "id", "key", "endpoint")
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 LEAST_VALUE = 12
@@ -33,7 +40,7 @@ HEX = r"[0-9a-f]{16,}"
 IDENTIFIER = r"(?<![A-Za-z0-9])(?:AKIA|ASIA|AIDA|AROA|AGPA|ANPA|GOOG)[A-Z0-9]{8,}"
 KEY = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])"
 ENDPOINT = r"""(?i:https?|jdbc:[a-z]+|s3|postgres(?:ql)?|mongodb|redis|amqp)://[^\s"'<>]+"""
-ROLE = {"assign": "secret", "access": "id", "hex": "secret", "id": "id", "key": "secret", "endpoint": "endpoint"}
+VOUCHED = {"id": ("assign", "hex", "key"), "key": ("access", "id", "endpoint"), "assign": ("access", "id", "endpoint"), "endpoint": ("assign", "key")}
 SPAN = "array<struct<start:int,rank:int,end:int>>"
 
 
@@ -46,18 +53,51 @@ def match_lengths(text: Column, pattern: str) -> tuple[Column, Column]:
     return pieces, values
 
 
-def spans(pieces: Column, values: Column, kind: str) -> Column:
-    """Spans of one kind from these lengths, in order."""
+def let(value: Column, body) -> Column:
+    """`body` of a value computed once, also where lambdas use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def blocks(values: Column) -> Column:
+    """An array (that is not empty) cut into arrays of BLOCK elements."""
+
+    def cut(whole: Column) -> Column:
+        last = F.floor((F.size(whole) - 1) / BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(whole, b * BLOCK + 1, F.lit(BLOCK)))
+
+    return let(values, cut)
+
+
+def running(values: Column, join) -> Column:
+    """Running results of `join` (a sum or a maximum of numbers from 0) over an array<int>
+    that is not empty: within blocks first, then over the blocks' last ones."""
+
+    def fold(array: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
 
-    def add(state: Column, i: Column) -> Column:
-        start = state["at"] + F.get(pieces, i)
-        end = start + F.get(values, i)
-        one = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"))
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(one)).alias("spans"))
+        def step(state: Column, x: Column) -> Column:
+            return let(join(state["at"], x), lambda now: F.struct(now.alias("at"), F.array_append(state["out"], now).alias("out")))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
-    order = F.when(F.size(values) > 0, F.sequence(F.lit(0), F.size(values) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(order, zero, add, lambda s: s["spans"])
+        return F.aggregate(array, zero, step, lambda s: s["out"])
+
+    def joined(inner: Column) -> Column:
+        def shift(tops: Column) -> Column:
+            def shifted(part: Column, i: Column) -> Column:
+                return let(F.coalesce(F.get(tops, i - 1), F.lit(0)), lambda before: F.transform(part, lambda x: join(before, x)))
+
+            return F.flatten(F.transform(inner, shifted))
+
+        return let(fold(F.transform(inner, lambda x: F.element_at(x, -1))), shift)
+
+    return let(F.transform(blocks(values), fold), joined)
+
+
+def spans(pieces: Column, values: Column, kind: str) -> Column:
+    """Spans of one kind from these lengths, in order."""
+    steps = F.zip_with(F.slice(pieces, F.lit(1), F.size(values)), values, lambda p, v: p + v)
+    ends = running(steps, lambda a, b: a + b)
+    found = F.zip_with(ends, values, lambda e, v: F.struct((e - v).alias("start"), F.lit(KINDS.index(kind)).alias("rank"), e.alias("end")))
+    return F.when(F.size(values) > 0, found).otherwise(F.array().cast(SPAN))
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -88,20 +128,25 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
 
 def link(rows: DataFrame, scope: int = SCOPE) -> DataFrame:
     """Adds to the base spans the weak ones that stand near a complement."""
-    base = F.col("base")
-    apart = F.filter("weak", lambda w: ~F.exists(base, lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    some = rows.where(F.size("weak") > 0).select("doc", "h", "base", apart.alias("weak")).distinct()
-    role = F.element_at(F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(i), F.lit(ROLE[k]))]), F.col("s.rank"))
-    weak = some.select("doc", "h", F.explode("weak").alias("s")).withColumn("role", role)
-    parts = some.select("doc", "h", F.explode(F.concat("base", "weak")).alias("s")).withColumn("role", role)
-    own = F.sequence(F.floor(F.col("s.start") / scope), F.floor(F.col("s.end") / scope))
-    left = weak.select("doc", "h", "s", "role", F.explode(own).alias("bin"))
-    bins = F.sequence(F.floor((F.col("s.start") - scope) / scope) - 1, F.floor((F.col("s.end") + scope) / scope))
-    right = parts.select(F.col("doc").alias("doc2"), F.col("h").alias("h2"), F.col("s").alias("s2"), F.col("role").alias("role2"), F.explode(bins).alias("bin2"))
-    near = (F.col("s.start") - F.col("s2.end") <= scope) & (F.col("s2.start") - F.col("s.end") <= scope)
-    same = F.col("doc").eqNullSafe(F.col("doc2")) & (F.col("h") == F.col("h2")) & (F.col("bin") == F.col("bin2"))
-    complement = F.col("role") != F.col("role2")
-    linked = left.join(right, same & near & complement, "left_semi")
+    some = rows.where(F.size("weak") > 0).select("doc", "h", "base", "weak").distinct()
+    reached = F.sequence(F.floor(F.col("s.start") / scope), F.floor(F.col("s.end") / scope))
+
+    def same(a: str, b: str) -> Column:
+        return F.col(f"{a}.doc").eqNullSafe(F.col(f"{b}.doc")) & (F.col(f"{a}.h") == F.col(f"{b}.h")) & (F.col(f"{a}.bin") == F.col(f"{b}.bin"))
+
+    strong = some.select("doc", "h", F.explode("base").alias("s"))
+    weak = some.select("doc", "h", F.explode("weak").alias("s")).withColumn("bin", F.explode(reached))
+    overlap = (F.col("b.s.start") < F.col("w.s.end")) & (F.col("w.s.start") < F.col("b.s.end"))
+    inside = weak.alias("w").join(strong.withColumn("bin", F.explode(reached)).alias("b"), same("w", "b") & overlap, "left_semi").select("doc", "h", "s").distinct()
+    alone = weak.select("doc", "h", "s").distinct().alias("w")
+    alone = written(alone.join(inside.alias("i"), F.col("w.doc").eqNullSafe(F.col("i.doc")) & (F.col("w.h") == F.col("i.h")) & (F.col("w.s") == F.col("i.s")), "left_anti"), "weak")
+    near_bins = F.sequence(F.floor((F.col("s.start") - scope) / scope) - 1, F.floor((F.col("s.end") + scope) / scope))
+    parts = strong.unionByName(alone).withColumn("bin", F.explode(near_bins))
+    near = (F.col("w.s.start") - F.col("p.s.end") <= scope) & (F.col("p.s.start") - F.col("w.s.end") <= scope)
+    vouches = F.lit(False)
+    for kind, others in VOUCHED.items():
+        vouches = vouches | ((F.col("w.s.rank") == KINDS.index(kind)) & F.col("p.s.rank").isin([KINDS.index(k) for k in others]))
+    linked = alone.withColumn("bin", F.explode(reached)).alias("w").join(parts.alias("p"), same("w", "p") & near & vouches, "left_semi")
     more = linked.groupBy(F.col("doc").alias("doc3"), F.col("h").alias("h3")).agg(F.collect_set("s").alias("more"))
     out = rows.join(more, F.col("doc").eqNullSafe(F.col("doc3")) & (F.col("h") == F.col("h3")), "left")
     every = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(SPAN))))
@@ -115,22 +160,26 @@ def listed(spans_col: Column) -> Column:
 
 
 def redact(text: Column, spans_col: Column, mark: str = "[SECRET]") -> Column:
-    """The text with its spans replaced by a mark; touching or overlapping spans give one."""
+    """The text with its spans replaced by a mark; touching or overlapping spans give one.
+    What stays is cut out of the text block by block of spans."""
+
+    def pieces(part: Column) -> Column:
+        at, end = F.get(part, F.lit(0))["a"], F.element_at(part, -1)["b"]
+        return let(F.substring(text, at + 1, end - at), lambda whole: F.transform(part, lambda g: F.substring(whole, g["a"] - at + 1, g["b"] - g["a"])))
 
-    def step(state: Column, s: Column) -> Column:
-        fresh = s["start"] >= state["at"]
-        gap = F.substring(text, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
-        more = F.when(fresh, F.concat(state["out"], gap, F.lit(mark))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), more.alias("out"))
+    def kept(reached: Column) -> Column:
+        gaps = F.transform(spans_col, lambda s, i: F.struct(F.coalesce(F.get(reached, i - 1), F.lit(0)).alias("a"), s["start"].alias("b"), i.alias("i")))
+        gaps = F.filter(gaps, lambda g: (g["i"] == 0) | (g["b"] > g["a"]))
+        parts = F.array_join(F.flatten(F.transform(blocks(gaps), pieces)), mark)
+        return F.concat(parts, F.lit(mark), F.substring(text, F.element_at(reached, -1) + 1, F.lit(2**31 - 1)))
 
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    whole = F.aggregate(spans_col, zero, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.lit(2**31 - 1))))
+    whole = let(running(F.transform(spans_col, lambda s: s["end"]), F.greatest), kept)
     return F.when(F.size(spans_col) > 0, whole).otherwise(text)
 
 
 def redact_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", scope: int = SCOPE) -> DataFrame:
     """The rows, with all their columns, secrets replaced by a mark and the character count
-    renewed. Only rows with weak candidates take part in the join."""
+    renewed where there is one. Only rows with weak candidates take part in the join."""
     names = docs.columns
     marked = docs.select(F.struct(*names).alias("row"), *[F.col(c).alias(f"_{c}") for c in (id_col, text_col)])
     found = candidates(marked, f"_{id_col}", f"_{text_col}", keep=["row"])
@@ -142,8 +191,13 @@ def redact_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     text = redact(F.col(f"row.{text_col}"), F.col("spans"))
     text = F.when(F.size("spans") > 0, text).otherwise(F.col(f"row.{text_col}"))
     out = every.select("row", "spans", text.alias("new"))
-    chars = F.when(F.size("spans") > 0, F.length("new").cast(docs.schema[chars_col].dataType)).otherwise(F.col(f"row.{chars_col}"))
-    return out.select(*[F.col("new").alias(c) if c == text_col else chars.alias(c) if c == chars_col else F.col(f"row.{c}") for c in names])
+
+    def column(c: str) -> Column:
+        if c == chars_col:
+            return F.when(F.size("spans") > 0, F.length("new").cast(docs.schema[c].dataType)).otherwise(F.col(f"row.{c}")).alias(c)
+        return F.col("new").alias(c) if c == text_col else F.col(f"row.{c}")
+
+    return out.select(*map(column, names))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
