@@ -1,15 +1,20 @@
 """Near-duplicate embeddings by dual traversal of cover trees.
 
-On the unit sphere cos(x, y) >= t means a distance of sqrt(2 - 2t) at most. The upper
-levels of a cover tree (every level nested in the next, radii halving) are built over a
-bounded sample and sent to all tasks; each vector descends to its nearest node of the
-lowest sampled level, and each node's covering radius is then taken over all its vectors,
-so bounds are exact whatever the sample. Pairs of nodes are pruned by their centres'
-distance less both radii; a vector visits each other node whose radius may reach it.
-Within a node (dealt in blocks) a cover tree over all its vectors continues the levels,
-and a dual traversal of it with the visitors' tree gives the exact pairs.
-
-A node sends on link counts and a spanning forest, never the pairs. Equal vectors are one
+On the unit sphere cos(x, y) >= t means a distance of sqrt(2 - 2t) at most. The upper levels
+of a cover tree are built over a sample and sent to all tasks; their leaves are the nodes of
+the whole table: each vector goes to its nearest one, and each node's covering radius is then
+taken over all its vectors, so bounds are exact whatever the sample. The number of nodes grows
+with the table (a node is meant to hold `HOME` vectors) up to `NODES`, beyond which nodes grow.
+A vector visits each later node whose radius may reach it.
+
+Within a node both its vectors and its visitors are dealt in blocks of bounded size, and
+every task holds two blocks at most. Each block gets a cover tree of its own (centres of a
+level are at least the next radius apart, the levels' radii halve as far as `FAN` children
+allow, and children hold what their parent held), and a dual traversal descends both trees
+together: a pair of nodes goes, with all below it, once the distance of its centres exceeds
+both covering radii and the threshold. What is left at the leaves is compared exactly.
+
+A task sends on link counts and a spanning forest, never the pairs. Equal vectors are one
 class with a weight.
 
 Defined results: vectors that are null, zero, empty or hold null or non-finite components
@@ -29,11 +34,12 @@ from pyspark.sql import functions as F
 from .common import table, thinned, written
 from .components import connected_components
 
-SAMPLE = 2048
-NODES = 256
-HOME = 2048
-BLOCK = 4096
-LOCAL = 64
+HOME = 8192
+BLOCK = 8192
+NODES = 16384
+PER_NODE = 16
+FAN = 16
+LEAF = 64
 SLACK = 1e-9
 
 
@@ -46,57 +52,71 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class CoverTree:
-    """Nested levels over rows of unit vectors. Level i's centres are rows at distance more
-    than radius[i] from each other; every row lies within radius[i] of its centre of level
-    i; the radii halve. `members[i]` lists the rows of each centre of the level."""
+    """Nodes over rows of unit vectors: `centre` (a row), `radius` (exact covering radius),
+    `children` and, at leaves, `members` (rows). The first child keeps its parent's centre;
+    the others are the rows farthest from all children before them, while these are farther
+    than half the parent's radius and `FAN` is not reached."""
 
-    def __init__(self, rows: np.ndarray, top: float = 2.0, least: float = 0.05, most: int | None = None):
+    def __init__(self, rows: np.ndarray, leaf: int = LEAF):
         self.rows = rows
-        self.levels: list[tuple[float, np.ndarray, np.ndarray]] = []
-        n = len(rows)
-        centres = np.zeros(0, np.int64)
-        owner = np.zeros(n, np.int64)
-        near = np.full(n, np.inf)
-        radius = top
-        while n:
-            # centres stay centres (nesting); rows farther than the radius from all become new ones
-            while len(far := np.flatnonzero(near > radius)):
-                new = int(far[0])
-                d = distance(rows, rows[new : new + 1])[:, 0]
-                d[new] = 0.0
-                closer = d < near
-                owner[closer], near[closer] = len(centres), d[closer]
-                centres = np.append(centres, new)
-                if most and len(centres) >= most:
-                    break
-            self.levels.append((radius, centres.copy(), owner.copy()))
-            if radius <= least or len(centres) == n or most and len(centres) >= most:
-                break
-            radius /= 2
-
-    def nodes(self, level: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-        """Centres, rows and covering radii of a level's nodes."""
-        _, centres, owner = self.levels[level]
-        order = np.argsort(owner, kind="stable")
-        cuts = np.searchsorted(owner[order], np.arange(len(centres) + 1))
-        members = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
-        cover = np.array([distance(self.rows[m], self.rows[c : c + 1]).max() if len(m) else 0.0 for m, c in zip(members, centres)])
-        return centres, members, cover
+        self.centre: list[int] = []
+        self.radius: list[float] = []
+        self.children: list[list[int]] = []
+        self.members: list[np.ndarray] = []
+        todo = [self._node(0, np.arange(len(rows)))] if len(rows) else []
+        while todo:
+            node = todo.pop()
+            own = self.members[node]
+            if len(own) <= leaf or self.radius[node] <= SLACK:
+                continue
+            near = distance(rows[own], rows[self.centre[node]][None])[:, 0]
+            owner, centres = np.zeros(len(own), np.int64), [self.centre[node]]
+            while len(centres) < FAN and near.max() > self.radius[node] / 2:
+                centres.append(int(own[near.argmax()]))
+                d = distance(rows[own], rows[centres[-1]][None])[:, 0]
+                d[near.argmax()] = 0.0
+                owner[d < near] = len(centres) - 1
+                near = np.minimum(near, d)
+            order = np.argsort(owner, kind="stable")
+            cuts = np.searchsorted(owner[order], np.arange(len(centres) + 1))
+            kids = [self._node(c, own[order[a:b]]) for c, a, b in zip(centres, cuts[:-1], cuts[1:]) if b > a]
+            self.children[node], self.members[node] = kids, own[:0]
+            todo += kids
+
+    def _node(self, centre: int, members: np.ndarray) -> int:
+        self.centre.append(centre)
+        self.radius.append(float(distance(self.rows[members], self.rows[centre][None]).max()))
+        self.children.append([])
+        self.members.append(members)
+        return len(self.centre) - 1
+
+    def leaves(self) -> list[int]:
+        return [i for i, kids in enumerate(self.children) if not kids]
 
 
 def dual_pairs(x: CoverTree, y: CoverTree, eps: float):
-    """Blocks (rows of x, rows of y) which may hold pairs at distance eps or less: node
-    pairs descend level by level and go once their covering radii cannot bridge them."""
-    alive = np.ones((1, 1), bool)
-    for level in range(max(len(x.levels), len(y.levels))):
-        cx, mx, rx = x.nodes(min(level, len(x.levels) - 1))
-        cy, my, ry = y.nodes(min(level, len(y.levels) - 1))
-        alive = distance(x.rows[cx], y.rows[cy]) <= eps + rx[:, None] + ry[None, :] + SLACK
-    if alive.mean() > 0.5:  # hardly anything pruned: one block is quicker than many
-        yield np.arange(len(x.rows)), np.arange(len(y.rows))
-        return
-    for i in np.flatnonzero(alive.any(1)):
-        yield mx[i], np.concatenate([my[j] for j in np.flatnonzero(alive[i])])
+    """Blocks (rows of x, rows of y) that may hold pairs at distance eps or less. Pairs of nodes
+    descend in the tree with the larger radius and go, with all that they hold, once their
+    covering radii cannot bridge their centres' distance."""
+    cx, cy = (np.array(t.centre, np.int64) for t in (x, y))
+    rx, ry = (np.array(t.radius) for t in (x, y))
+    leaf_x, leaf_y = (np.array([not k for k in t.children], bool) for t in (x, y))
+    a = b = np.zeros(min(len(cx), len(cy), 1), np.int64)
+    met: dict[int, list[int]] = {}
+    while len(a):
+        gap = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * np.einsum("ij,ij->i", x.rows[cx[a]], y.rows[cy[b]])))
+        alive = gap <= eps + rx[a] + ry[b] + SLACK
+        a, b = a[alive], b[alive]
+        done = leaf_x[a] & leaf_y[b]
+        for i, j in zip(a[done].tolist(), b[done].tolist()):
+            met.setdefault(i, []).append(j)
+        a, b = a[~done], b[~done]
+        down_x = ~leaf_x[a] & (leaf_y[b] | (rx[a] >= ry[b]))
+        nodes = [(x.children[i], [j]) if down else ([i], y.children[j]) for i, j, down in zip(a.tolist(), b.tolist(), down_x.tolist())]
+        a = np.array([i for p, q in nodes for i in p for _ in q], np.int64)
+        b = np.array([j for p, q in nodes for _ in p for j in q], np.int64)
+    for i, others in met.items():
+        yield x.members[i], np.concatenate([y.members[j] for j in others])
 
 
 def _vectors(column) -> np.ndarray:
@@ -119,9 +139,29 @@ def _assign(centres: np.ndarray):
     return run
 
 
-def _visits(centres: np.ndarray, radii: np.ndarray, blocks: np.ndarray, eps: float):
-    """Rows dealt to (node, lo, hi) tasks: a home row (side 0 or 1) meets its own block and,
-    once per pair of blocks, the others; a guest (side 2) meets every block of its host."""
+def _guests(pdf, centres: np.ndarray, radii: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, host) of the vectors that may lie near another, later node's vectors."""
+    d = distance(unit(_vectors(pdf["v"])), centres)
+    later = np.arange(len(centres))[None, :] > pdf["node"].to_numpy()[:, None]
+    return np.nonzero(later & (d <= radii[None, :] + eps + SLACK))
+
+
+def _guest_counts(centres: np.ndarray, radii: np.ndarray, eps: float):
+    def run(batches):
+        import pandas as pd
+
+        total = np.zeros(len(centres), np.int64)
+        for pdf in batches:
+            if len(pdf):
+                total += np.bincount(_guests(pdf, centres, radii, eps)[1], minlength=len(centres))
+        yield pd.DataFrame({"node": np.flatnonzero(total).astype("int32"), "n": total[total > 0]})
+
+    return run
+
+
+def _visits(centres: np.ndarray, radii: np.ndarray, blocks: np.ndarray, guest_blocks: np.ndarray, eps: float):
+    """Rows dealt to tasks (node, lo, hi): block lo of a node meets block hi of it, or block
+    -1 - hi of its guests. `side` is 0 for block lo and 1 for what it meets."""
 
     def run(batches):
         import pandas as pd
@@ -130,24 +170,26 @@ def _visits(centres: np.ndarray, radii: np.ndarray, blocks: np.ndarray, eps: flo
             if not len(pdf):
                 continue
             cls, node = pdf["cls"].to_numpy(), pdf["node"].to_numpy()
-            d = distance(unit(_vectors(pdf["v"])), centres)
-            later = np.arange(len(centres))[None, :] > node[:, None]
-            who, host = np.nonzero(later & (d <= radii[None, :] + eps + SLACK))
+            who, host = _guests(pdf, centres, radii, eps)
             own = cls % blocks[node]
+            every = np.arange(len(pdf))
             parts = []
-            for rows, at in ((np.arange(len(pdf)), node), (who, host)):
-                n = blocks[at]
+
+            def deal(rows, at, n):
                 each = np.repeat(np.arange(len(rows)), n)
-                other = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-                i = rows[each]
-                guest = len(parts) > 0
-                lo = other if guest else np.minimum(own[i], other)
-                hi = other if guest else np.maximum(own[i], other)
-                side = np.full(len(i), 2) if guest else (own[i] > other).astype(int)
-                parts.append((i, at[each], lo, hi, side))
+                return rows[each], at[each], np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+
+            i, at, other = deal(every, node, blocks[node])
+            parts.append((i, at, np.minimum(own[i], other), np.maximum(own[i], other), (own[i] > other).astype(int)))
+            i, at, other = deal(every, node, guest_blocks[node])
+            parts.append((i, at, own[i], -1 - other, np.zeros(len(i), int)))
+            i, at, other = deal(who, host, blocks[host])
+            parts.append((i, at, other, -1 - cls[i] % guest_blocks[at], np.ones(len(i), int)))
             i, at, lo, hi, side = (np.concatenate(x) for x in zip(*parts))
-            got = pdf[["cls", "weight", "v"]].iloc[i].reset_index(drop=True)
-            yield got.assign(node=at.astype("int32"), lo=lo.astype("int32"), hi=hi.astype("int32"), side=side.astype("int32"))
+            for a in range(0, len(i), 1 << 15):
+                cut = slice(a, a + (1 << 15))
+                got = pdf[["cls", "weight", "v"]].iloc[i[cut]].reset_index(drop=True)
+                yield got.assign(node=at[cut].astype("int32"), lo=lo[cut].astype("int32"), hi=hi[cut].astype("int32"), side=side[cut].astype("int32"))
 
     return run
 
@@ -161,7 +203,6 @@ def _link(cosine: float, eps: float):
         rows = unit(_vectors(pdf["v"]))
         short = rows.astype("f4")
         side, cls, weight = pdf["side"].to_numpy(), pdf["cls"].to_numpy(), pdf["weight"].to_numpy()
-        home, other, guests = (np.flatnonzero(side == s) for s in (0, 1, 2))
         counts = np.zeros(len(rows), np.int64)
         parent = np.arange(len(rows))
 
@@ -171,34 +212,26 @@ def _link(cosine: float, eps: float):
                 a = parent[a]
             return a
 
-        def meet(a: np.ndarray, b: np.ndarray, same: bool) -> None:
-            if not len(a) or not len(b):
-                return
-            ta = CoverTree(rows[a], most=min(LOCAL, len(a) // 16 + 1))
-            tb = ta if same else CoverTree(rows[b], most=min(LOCAL, len(b) // 16 + 1))
-            for x, y in dual_pairs(ta, tb, eps):
-                for at in range(0, len(x), 512):
-                    p, q = a[x[at : at + 512]], b[y]
-                    # single precision with a margin, then double precision for what is left
-                    i, j = np.nonzero(short[p] @ short[q].T >= cosine - 1e-4)
-                    i, j = p[i], q[j]
-                    sure = (i != j) & (np.einsum("ij,ij->i", rows[i], rows[j]) >= cosine)
-                    i, j = i[sure], j[sure]
-                    counts[:] += np.bincount(i, weight[j], len(rows)).astype(np.int64)
-                    if not same:
-                        counts[:] += np.bincount(j, weight[i], len(rows)).astype(np.int64)
-                    for u, w in zip(i.tolist(), j.tolist()):
-                        u, w = find(u), find(w)
-                        if u != w:
-                            u, w = (u, w) if cls[u] < cls[w] else (w, u)
-                            parent[w] = u
-
-        self_block = pdf["lo"].iat[0] == pdf["hi"].iat[0]
-        if self_block:
-            meet(home, home, True)
-            meet(guests, home, False)
-        else:
-            meet(home, other, False)
+        home, other = (np.flatnonzero(side == s) for s in (0, 1))
+        same = pdf["lo"].iat[0] == pdf["hi"].iat[0]
+        tree = CoverTree(rows[home])
+        met, second = (tree, home) if same else (CoverTree(rows[other]), other)
+        for x, y in dual_pairs(tree, met, eps):
+            for at in range(0, len(x), 512):
+                p, q = home[x[at : at + 512]], second[y]
+                # single precision with a margin, then double precision for what is left
+                i, j = np.nonzero(short[p] @ short[q].T >= cosine - 1e-4)
+                i, j = p[i], q[j]
+                sure = (i != j) & (np.einsum("ij,ij->i", rows[i], rows[j]) >= cosine)
+                i, j = i[sure], j[sure]
+                counts += np.bincount(i, weight[j], len(rows)).astype(np.int64)
+                if not same:
+                    counts += np.bincount(j, weight[i], len(rows)).astype(np.int64)
+                for u, w in zip(i.tolist(), j.tolist()):
+                    u, w = find(u), find(w)
+                    if u != w:
+                        u, w = (u, w) if cls[u] < cls[w] else (w, u)
+                        parent[w] = u
         roots = np.array([cls[find(i)] for i in range(len(rows))])
         used = np.flatnonzero((counts > 0) | (roots != cls))
         return pd.DataFrame({"cls": cls[used], "links": counts[used], "root": roots[used]})
@@ -246,16 +279,19 @@ def _pack(batches):
 
 def _of_width(packed: DataFrame, count: int, cosine: float, eps: float) -> DataFrame:
     """Links among class representatives of one vector length."""
-    sample = thinned(packed, F.col("cls"), SAMPLE, count).orderBy(F.xxhash64("cls")).limit(SAMPLE).select("v").collect()
-    rows = unit(_vectors([r.v for r in sample]))
-    tree = CoverTree(rows, most=min(NODES, -(-count // HOME)))
-    centres = rows[tree.levels[-1][1]]
+    nodes = min(NODES, -(-count // HOME))
+    size = PER_NODE * nodes
+    sample = thinned(packed, F.col("cls"), size, count).orderBy(F.xxhash64("cls")).limit(size).select("v").collect()
+    upper = CoverTree(unit(_vectors([r.v for r in sample])), leaf=PER_NODE)
+    centres = upper.rows[[upper.centre[i] for i in upper.leaves()][:nodes]]
     dealt = written(packed.mapInPandas(_assign(centres), "cls long, weight long, v binary, node int, far double"), "nodes")
     sizes = dealt.groupBy("node").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect()
-    radii, blocks = np.full(len(centres), -9.0), np.ones(len(centres), np.int64)
+    radii, blocks, guest_blocks = np.full(len(centres), -9.0), np.ones(len(centres), np.int64), np.zeros(len(centres), np.int64)
     for r in sizes:
         radii[r.node], blocks[r.node] = r.far, -(-r.n // BLOCK)
-    visits = dealt.drop("far").mapInPandas(_visits(centres, radii, blocks, eps), "cls long, weight long, v binary, node int, lo int, hi int, side int")
+    for r in dealt.mapInPandas(_guest_counts(centres, radii, eps), "node int, n long").groupBy("node").agg(F.sum("n").alias("n")).collect():
+        guest_blocks[r.node] = -(-r.n // BLOCK)
+    visits = dealt.drop("far").mapInPandas(_visits(centres, radii, blocks, guest_blocks, eps), "cls long, weight long, v binary, node int, lo int, hi int, side int")
     return visits.groupBy("node", "lo", "hi").applyInPandas(_link(cosine, eps), "cls long, links long, root long")
 
 

@@ -624,7 +624,7 @@ def test_bpe_matches_library_and_round_trips(spark, odd, empty):
 
 def test_embedding_dedup_brute_force(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "HOME", 40)
-    monkeypatch.setattr(embedding_dedup, "BLOCK", 30)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 13)
     r = np.random.default_rng(4)
     centres = r.normal(size=(12, 8))
     rows = [(i, (centres[i % 12] + r.normal(size=8) * (0.15 if i % 3 else 0.02)).tolist()) for i in range(400)]
@@ -651,6 +651,31 @@ def test_embedding_dedup_brute_force(spark, monkeypatch):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_cover_tree_and_dual_traversal():
+    """Children hold what their parent held within exact radii; the traversal keeps every
+    near pair and prunes where clusters are apart."""
+    r = np.random.default_rng(8)
+    centres = embedding_dedup.unit(r.normal(size=(40, 16)))
+    rows = embedding_dedup.unit(centres[r.integers(0, 40, 1500)] + 0.02 * r.normal(size=(1500, 16)))
+    t = embedding_dedup.CoverTree(rows, leaf=8)
+
+    def held(i):
+        return np.sort(np.concatenate([held(k) for k in t.children[i]])) if t.children[i] else np.sort(t.members[i])
+
+    assert held(0).tolist() == list(range(1500))
+    for i, kids in enumerate(t.children):
+        own = held(i)
+        assert embedding_dedup.distance(rows[own], rows[t.centre[i]][None]).max() <= t.radius[i] + 1e-12
+        assert not kids or (t.centre[kids[0]] == t.centre[i] and len(kids) <= embedding_dedup.FAN)
+    other = embedding_dedup.CoverTree(rows[::3], leaf=8)
+    near = {(i, j) for i, j in zip(*np.nonzero(rows @ rows[::3].T >= 0.95))}
+    seen, compared = set(), 0
+    for x, y in embedding_dedup.dual_pairs(t, other, math.sqrt(0.1)):
+        compared += len(x) * len(y)
+        seen |= {(i, j) for i in x.tolist() for j in y.tolist()} & near
+    assert seen == near and compared < 0.2 * 1500 * 500
+
+
 # the pipeline --------------------------------------------------------------------------
 
 
