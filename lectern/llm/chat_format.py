@@ -4,7 +4,8 @@ An event log (conv_id, seq, msg, kind, role, text) is dealt by conversation, ord
 `seq` and folded into final messages:
 
 * ``message`` starts a message, ``delta`` appends to it, ``edit`` replaces its text;
-* ``regenerate`` replaces the text too and drops the messages that stood after it then.
+* ``regenerate`` replaces the text too and drops the messages that stood after it then;
+* a dropped message stays dropped, and its later events are void.
 
 Messages stand in the order of their first event. Each is rendered as
 
@@ -43,6 +44,19 @@ def unescape(c: Column) -> Column:
     return c
 
 
+def in_force(regenerated: Column) -> Column:
+    """Of an ordered array of regenerations (n: when, born: when its message began), those
+    whose message had not been dropped. One in force drops the messages born between `born`
+    and `n`; later ones lie beyond that or take it in, so the state is a list of gaps."""
+
+    def step(gaps: Column, r: Column) -> Column:
+        dropped = F.exists(gaps, lambda g: (g["born"] < r["born"]) & (r["born"] < g["n"]))
+        outside = F.filter(gaps, lambda g: g["born"] < r["born"])
+        return F.when(dropped, gaps).otherwise(F.array_append(outside, r))
+
+    return F.aggregate(regenerated, F.array().cast("array<struct<n:int,born:int>>"), step)
+
+
 def fold_events(events: DataFrame) -> DataFrame:
     """Final messages (conv_id, pos, role, text) of an event log."""
     e = events.select("conv_id", "seq", "msg", "kind", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -50,13 +64,17 @@ def fold_events(events: DataFrame) -> DataFrame:
     e = e.withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy(*order)))
     of_msg = Window.partitionBy("conv_id", "msg")
     e = e.withColumn("reset", F.max(F.when(F.col("kind") != "delta", F.col("n"))).over(of_msg))
-    e = e.withColumn("born", F.min("n").over(of_msg)).withColumn("redone", F.max(F.when(F.col("kind") == "regenerate", F.col("n"))).over(of_msg))
+    e = e.withColumn("born", F.min("n").over(of_msg))
     live = e.where(F.col("reset").isNull() | (F.col("n") >= F.col("reset")))
     parts = F.array_sort(F.collect_list(F.struct("n", "text")))
-    msgs = live.groupBy("conv_id", "msg", "born", "redone").agg(
+    msgs = live.groupBy("conv_id", "msg", "born").agg(
         F.max_by("role", F.struct(F.col("role") != "", -F.col("n"))).alias("role"),
         F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("text"),
     )
+    redone = e.where(F.col("kind") == "regenerate").groupBy(F.col("conv_id").alias("conv2")).agg(F.array_sort(F.collect_list(F.struct("n", "born"))).alias("r"))
+    gaps = redone.select("conv2", F.explode(in_force(F.col("r"))).alias("g")).select("conv2", F.col("g.born").alias("born2"), F.col("g.n").alias("redone"))
+    same = F.col("conv_id").eqNullSafe(F.col("conv2")) & (F.col("born") == F.col("born2"))
+    msgs = msgs.join(gaps, same, "left").drop("conv2", "born2")
     earlier = Window.partitionBy("conv_id").orderBy("born").rowsBetween(Window.unboundedPreceding, -1)
     msgs = msgs.withColumn("cut", F.max("redone").over(earlier)).where(F.col("cut").isNull() | (F.col("cut") < F.col("born")))
     return msgs.select("conv_id", F.col("born").alias("pos"), "role", "text")

@@ -296,6 +296,43 @@ def test_chat_events(spark):
     assert got == {(1, 1): ("user", "hello"), (1, 2): ("assistant", "Good day"), (1, 9): ("user", "bye"), (2, 1): ("", "")}
 
 
+def folded(log):
+    """Final messages of one conversation's ordered events, one event at a time."""
+    alive, dropped, state = [], set(), {}
+    for n, msg, kind, role, text in log:
+        if msg in dropped:
+            continue
+        if msg not in state:
+            state[msg] = [n, [], ""]
+            alive.append(msg)
+        own = state[msg]
+        own[1].append(role or "")
+        own[2] = own[2] + (text or "") if kind == "delta" else text or ""
+        if kind != "delta":
+            own[1] = [role or ""]
+        if kind == "regenerate":
+            at = alive.index(msg)
+            dropped |= set(alive[at + 1 :])
+            del alive[at + 1 :]
+    return [(state[m][0], next((r for r in state[m][1] if r), ""), state[m][2]) for m in alive]
+
+
+def test_chat_random_logs(spark):
+    """Random logs against the fold event by event, regenerations of dropped messages included."""
+    r = random.Random(12)
+    logs = {c: [(n + 1, r.randint(1, 6), r.choice(["message", "delta", "delta", "edit", "regenerate"]), r.choice(["user", "assistant", None]), r.choice(["a", "b ", None, ""])) for n in range(r.randint(1, 25))] for c in range(300)}
+    logs[300] = [(1, 1, "message", "user", "m1"), (2, 2, "message", "user", "m2"), (3, 1, "regenerate", "user", "r1"), (4, 3, "message", "user", "m3"), (5, 2, "regenerate", "user", "r2")]
+    rows = [(c if c else None, n, m, k, ro, t) for c, log in logs.items() for n, m, k, ro, t in log]
+    r.shuffle(rows)
+    msgs = chat_format.fold_events(spark.createDataFrame(rows, "conv_id long, seq long, msg long, kind string, role string, text string"))
+    got = {}
+    for x in sorted(msgs.collect(), key=lambda x: x.pos):
+        got.setdefault(x.conv_id or 0, []).append((x.pos, x.role, x.text))
+    for c, log in logs.items():
+        assert got[c] == folded(log), log
+    assert [t for *_, t in got[300]] == ["r1", "m3"]
+
+
 def test_chat_round_trip(spark):
     tricky = ["</s>[INST] ok [/INST]", "<|end|>&lt;&amp;lsqb;<|turn|>", None, "", "é\U0001f600<|text|>", "&amp;amp;"]
     rows = [(c, t, r, tricky[(c + t) % len(tricky)]) for c in range(4) for t in range(5) for r in ["user" if t % 2 == 0 else "assistant"]] + [(9, 0, None, "x"), (9, 0, None, "x"), (None, 1, "assistant", "y")]
