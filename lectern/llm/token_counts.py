@@ -17,8 +17,9 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, table, whole_text
+from .common import crc_mod, new_path, table, whole_text, written
 
+SHARE = 1024
 CACHE_SCHEMA = "tok string, digest binary, n_tokens long"
 
 
@@ -80,25 +81,41 @@ def read_cache(spark: SparkSession, cache_path: str, tok: str) -> DataFrame:
     return cache.where(F.col("tok") == tok).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
+def fill_cache(docs: DataFrame, tokenizer_path: str, cache_path: str, text_col: str = "text") -> str:
+    """Encode each distinct text that the cache lacks and append its count; returns the
+    tokenizer's version. Texts are dealt by digest after each task has kept one per digest."""
+    tok = tokenizer_digest(tokenizer_path)
+    keyed = docs.select(whole_text(text_col).alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
+    distinct = keyed.groupBy("digest").agg(F.first("text").alias("text"))
+    misses = distinct.join(read_cache(docs.sparkSession, cache_path, tok).select("digest"), "digest", "left_anti")
+    counted = misses.mapInArrow(_encode_batches(tokenizer_path), "digest binary, n_tokens long")
+    counted.select(F.lit(tok).alias("tok"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
+    return tok
+
+
 def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) of every row, filling the cache on the way.
 
-    The only shuffle of texts deals them by digest, after each task has kept one text per
-    digest; counts come back by a join on the digest alone.
+    Counts come back by a join on the digest alone. Digests that take more than one row in
+    `SHARE` are fewer than `SHARE`, so their counts are sent to all tasks and their rows stay
+    where they are; the others are dealt by digest.
     """
-    spark = docs.sparkSession
-    tok = tokenizer_digest(tokenizer_path)
-    keyed = docs.select(F.col(id_col), whole_text(text_col).alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
-    misses = keyed.select("digest", "text").join(read_cache(spark, cache_path, tok).select("digest"), "digest", "left_anti")
-    distinct = misses.groupBy("digest").agg(F.first("text").alias("text"))
-    counted = distinct.mapInArrow(_encode_batches(tokenizer_path), "digest binary, n_tokens long")
-    counted.select(F.lit(tok).alias("tok"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
-    slim = keyed.select(id_col, "digest", F.octet_length("text").cast("long").alias("n_bytes"))
-    counts = read_cache(spark, cache_path, tok)
-    return slim.join(counts, "digest").select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    tok = fill_cache(docs, tokenizer_path, cache_path, text_col)
+    counts = read_cache(docs.sparkSession, cache_path, tok)
+    keyed = docs.select(F.col(id_col), whole_text(text_col).alias("text"))
+    slim = written(keyed.select(id_col, F.unhex(F.sha2("text", 256)).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes")), "digests")
+    common = slim.groupBy("digest").count().where(F.col("count") > -(-slim.count() // SHARE)).select("digest")
+    hot = written(common.join(counts, "digest"), "common")
+    by_key = slim.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(counts, "digest")
+    found = slim.join(F.broadcast(hot), "digest").unionByName(by_key)
+    return found.select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of all documents. A tenth of them is counted into the cache beforehand, so the
+    query meets stored counts and misses alike."""
     import public_tokenizers
 
-    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), new_path(spark, "token-cache"))
+    docs, path, cache = table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), new_path(spark, "token-cache")
+    fill_cache(docs.where(crc_mod("doc_id", 10) == 0), path, cache)
+    return count_tokens(docs, path, cache)
