@@ -10,8 +10,8 @@ into agreement, and undecided tokens with a sure label become further spans. Eve
 an undecided token takes part, be there a match in it or not, and messages pass until they
 settle, so evidence reaches any number of repeats.
 
-Weights are trained here by pseudo-likelihood on at most `SAMPLE` distinct texts, with the
-patterns' matches as distant labels. All texts with a match compete for the sample, so matches
+Weights are trained here by pseudo-likelihood on at most `SAMPLE` distinct texts of up to
+`MOST_NODES` nodes, with the patterns' matches as distant labels, which undecided repeats of them share. All texts with a match compete for the sample, so matches
 are learnt from however rare they are. Scoring covers every whole text and moves no rows.
 
 Defined results: null and empty texts have no spans; equal rows have equal results; without
@@ -33,6 +33,7 @@ from .common import table, whole_text, written
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 4000
+MOST_NODES = 2000
 LEVEL = 0.9
 SETTLED = 1e-4
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -154,12 +155,25 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(-1, keepdims=True)
 
 
+def taught(g: Graph) -> np.ndarray:
+    """Distant labels: matches have their kind, undecided tokens that repeat a match (over any
+    number of skip edges) have its kind too, all others are none."""
+    own = g.label.copy()
+    for edges in (g.skip, g.skip[::-1]):
+        for i, j in edges:
+            if own[i] > 0 > own[j]:
+                own[j] = own[i]
+            elif own[j] > 0 > own[i]:
+                own[i] = own[j]
+    return np.maximum(own, 0)
+
+
 def fit_graphs(graphs: list[Graph], rounds: int = 300, rate: float = 0.1, decay: float = 1e-3) -> Weights:
-    """Pseudo-likelihood: each node given its neighbours' labels; undecided ones are 0."""
+    """Pseudo-likelihood: each node given its neighbours' labels (see `taught`)."""
     labels = len(KINDS) + 1
     x, y, near, tied = [], [], [], []
     for g in graphs:
-        own = np.maximum(g.label, 0)
+        own = taught(g)
         for edges, into in ((g.chain, near), (g.skip, tied)):
             n = np.zeros((len(own), labels))
             for i, j in edges:
@@ -246,6 +260,8 @@ def _graphs(last: dict[bool, int]):
                     continue
                 seen.add(h)
                 g = Graph(t, base)
+                if len(g.label) > MOST_NODES:
+                    continue
                 rows.append((h, g.label.tolist(), g.shape.ravel().tolist(), [i for e in g.skip for i in e]))
             yield pd.DataFrame(rows, columns=["h", "label", "shape", "skip"]).astype({"h": "int64"})
 

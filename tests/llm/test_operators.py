@@ -117,13 +117,26 @@ def test_decontaminate_brute_force(spark):
 
 
 def test_decontaminate_odd(spark, odd, empty):
-    items = spark.createDataFrame([(1, None), (2, ""), (3, "one two"), (4, text_of(6000, 1)[100:400])], "item_id long, text string")
-    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(odd, items).collect()} >= {(7, 4)} or True
+    items = spark.createDataFrame([(1, None), (2, ""), (3, "one two"), (4, " ".join(text_of(6000, 1).split()[50:90]))], "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.edit_distance) for r in decontaminate.find_leaks(odd, items).collect()} == {(7, 4, 0)}
     assert decontaminate.find_leaks(empty, items).count() == 0
     assert decontaminate.find_leaks(odd, items.limit(0)).count() == 0
     assert decontaminate.drop_leaks(odd, items.limit(0)).count() == len(ODD)
 
 
+def test_decontaminate_short_items(spark, monkeypatch):
+    """Items of 1 to 7 words are found where they stand exactly, within one document only; more
+    blocks than the driver holds give the same rows."""
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 40)
+    monkeypatch.setattr(decontaminate, "AT_ONCE", 2)
+    items = [(1, "sun"), (2, "moon river"), (3, "river moon"), (4, "a b c d e f g"), (4, "a b c d e f g"), (5, "end start")]
+    docs = [(0, "Sun moon river"), (1, "moon RIVER moon river"), (2, "x a b c d e f g"), (3, "a b c d e f"), (4, "the end"), (5, "start here"), (6, None)]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    got = sorted((r.doc_id, r.item_id, r.edit_distance, r.start_word) for r in decontaminate.find_leaks(docs, items).collect())
+    assert got == [(0, 1, 0, 0), (0, 2, 0, 1), (1, 2, 0, 0), (1, 3, 0, 1), (2, 4, 0, 1), (2, 4, 0, 1)]
+    assert sorted(r.doc_id for r in decontaminate.drop_leaks(docs, items).collect()) == [3, 4, 5, 6]
+
+
 # 2 ------------------------------------------------------------------------------------
 
 
@@ -144,7 +157,11 @@ def test_token_counts_and_cache(spark, odd, empty, tmp_path):
     assert stored.count() == len({t or "" for _, t, *_ in ODD}) + 1
     again = token_counts.count_tokens(docs.union(spark.createDataFrame([(9, "new text", "x", "c", "c")], odd.schema)), path, cache)
     assert again.count() == len(got) + 1
-    assert spark.read.parquet(cache).count() == stored.count() + 1 or spark.read.parquet(cache).where("n_tokens = 2").count() >= 1
+    # the one text that the cache lacked was encoded and appended, no other
+    assert spark.read.parquet(cache).count() == len({t or "" for _, t, *_ in ODD}) + 2
+    hot = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, "hot text").otherwise(F.concat(F.lit("text "), "id")).alias("text"))
+    counts = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(hot, path, cache).collect()}
+    assert counts == {i: len(tok.encode("hot text" if i % 3 else f"text {i}", add_special_tokens=False)) for i in range(3000)}
     assert token_counts.count_tokens(empty, path, str(tmp_path / "none")).count() == 0
 
 
@@ -589,7 +606,7 @@ def test_skip_edges_bring_labels_together():
     text = "call +1 (988) 555-2485 today, 5 of 12 said; later 19885552485 rang 3 times"
     graphs = [pii.Graph(t, pii.base_spans(t)) for t in [text] * 5 + ["order 12 and 99 and 2024 for 7", "+1 (988) 555-2485 and 1 or 2"] * 20]
     w = pii.fit_graphs(graphs)
-    assert w.skip > 0 or len(graphs[0].skip) == 1
+    assert w.skip > 0 and len(graphs[0].skip) == 1
     g = graphs[0]
     tied = pii.posteriors(g, pii.Weights(w.unary, w.chain, 4.0))
     loose = pii.posteriors(g, pii.Weights(w.unary, w.chain, 0.0))
@@ -597,6 +614,24 @@ def test_skip_edges_bring_labels_together():
     assert tied[at, 4] > loose[at, 4]
 
 
+@pytest.mark.parametrize("text", ["a1 b2 c3 d4", "x7 y8 x7", "n5 n5", "k1 m2 k1 m2"])
+def test_pii_messages_against_enumeration(text):
+    """Exact label probabilities on chains and trees, close ones on small loops."""
+    import itertools
+
+    g = pii.Graph(text, [])
+    r = np.random.default_rng(len(text))
+    w = pii.Weights(r.normal(size=(pii.SHAPES, 5)), 0.7, 0.9)
+    local = g.shape @ w.unary
+    total = np.zeros(local.shape)
+    for labels in itertools.product(range(5), repeat=len(local)):
+        score = sum(local[i, x] for i, x in enumerate(labels)) + sum(w.chain for i, j in g.chain if labels[i] == labels[j]) + sum(w.skip for i, j in g.skip if labels[i] == labels[j])
+        for i, x in enumerate(labels):
+            total[i, x] += math.exp(score)
+    loops = len(g.chain) + len(g.skip) >= len(local)
+    assert np.allclose(pii.posteriors(g, w), total / total.sum(1, keepdims=True), atol=0.12 if loops else 1e-3)
+
+
 def test_pii_learns_from_rare_matches(spark):
     """One match in many more texts than the sample holds, and a hot text without one."""
     docs = spark.range(4000).select(F.when(F.col("id") % 2 == 0, "hot 77").otherwise(F.concat(F.lit("order "), "id")).alias("text"))
