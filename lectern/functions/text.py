@@ -1,9 +1,45 @@
-"""Scalar text functions as expressions."""
+"""Scalar text functions as expressions. Only compatibility normalisation (NFKC), for which
+Spark has no function, and named entities run in Python, a column of a batch at a time."""
 
 from __future__ import annotations
 
+import html
+import re
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+
+ZERO_WIDTH = "[\\u200b-\\u200d\\ufeff]"
+SPACE = "[\\s\\u00a0\\u3000\\u2000-\\u200a\\u2028\\u2029]"
+
+
+@pandas_udf("string")
+def nfkc(texts):
+    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+
+
+def let(value: Column, body) -> Column:
+    """`body` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def normalize_text(c: Column) -> Column:
+    """For comparing: NFKC, no zero-width characters, single spaces, trimmed, lower case; null
+    counts as empty."""
+    c = F.regexp_replace(nfkc(F.coalesce(c, F.lit(""))), ZERO_WIDTH, "")
+    return F.lower(F.trim(F.regexp_replace(c, SPACE + "+", " ")))
+
+
+def book_key(title: Column) -> Column:
+    """The normalised title without white space, punctuation and symbols of any script."""
+    return F.regexp_replace(normalize_text(title), "[\\s\\p{P}\\p{S}]", "")
+
+
+def title_key(title: Column) -> Column:
+    """The key of a title without its bracketed parts."""
+    return book_key(F.regexp_replace(nfkc(F.coalesce(title, F.lit(""))), "[(【\\[][^)】\\]]*[)】\\]]", ""))
 
 
 def clean_text(c: Column) -> Column:
@@ -12,16 +48,161 @@ def clean_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, "\n{3,}", "\n\n"))
 
 
+@pandas_udf("string")
+def decode_entities(texts):
+    """Named and numeric character references; unknown ones and numbers beyond Unicode stay."""
+    mark = re.compile(r"&(#[xX][0-9a-fA-F]+|#[0-9]+|[A-Za-z0-9]+);")
+
+    def one(m):
+        name = m.group(1)
+        if name[0] == "#":
+            code = int(name[2:], 16) if name[1] in "xX" else int(name[1:])
+            return chr(code) if code <= 0x10FFFF else m.group()
+        known = html.entities.html5.get(name + ";") or html.entities.html5.get(name.lower() + ";") or m.group()
+        return known.replace("\u00a0", " ") if name.lower() == "nbsp" else known
+
+    return texts.map(lambda t: t if t is None or "&" not in t else mark.sub(one, t))
+
+
 def html_text(c: Column) -> Column:
-    """Text of HTML: scripts and styles dropped, block tags to line ends, other tags gone."""
+    """Text of HTML: scripts and styles dropped, block tags to line ends, other tags gone,
+    character references decoded."""
     c = F.regexp_replace(c, "(?is)<(script|style)[^>]*>.*?</(script|style)>", "")
     c = F.regexp_replace(c, "(?i)</?(p|div|br|li|ul|tr|td|h[1-6]|table)[^>]*>", "\n")
-    return clean_text(F.regexp_replace(c, "<[^>]*>", ""))
+    return clean_text(decode_entities(F.regexp_replace(c, "<[^>]*>", "")))
 
 
 def mask_credentials(c: Column) -> Column:
-    """user:password@ of URLs."""
-    return F.regexp_replace(c, "://[^/@ ]+@", "://***@")
+    """User names, passwords and tokens of URLs, with or without a scheme."""
+    return F.regexp_replace(c, "(//)[^/\\s@]+@", "$1***@")
+
+
+def search_words(query: str) -> list[str]:
+    """The words of a query, normalised like the texts that it is looked up in."""
+    plain = re.sub("[\u200b-\u200d\ufeff]", "", unicodedata.normalize("NFKC", query))
+    return plain.lower().split()
+
+
+def one_line(c: Column, most: int) -> Column:
+    """Control and zero-width characters and runs of white space as one space, trimmed and cut."""
+    c = F.regexp_replace(F.coalesce(c, F.lit("")), "[\\x00-\\x1f\\x7f-\\x9f\\u200b-\\u200d\\ufeff]", " ")
+    return truncate(F.trim(F.regexp_replace(c, "\\s+", " ")), most)
+
+
+def without_repeated_subtitle(title: Column) -> Column:
+    """A subtitle behind the last colon goes if what stands before holds it already."""
+    head = F.rtrim(F.regexp_extract(title, "^(.*)(?:: |：)(.*)$", 1))
+    squeezed = lambda c: F.regexp_replace(nfkc(c), "\\s+", "")
+    tail = squeezed(F.regexp_extract(title, "^(.*)(?:: |：)(.*)$", 2))
+    return F.when((tail != "") & F.contains(squeezed(head), tail), head).otherwise(title)
+
+
+# What stands behind a series name in trailing brackets, and what is no series.
+_NUMBER = r"(?:\s+[赤青緑白黄A-Za-zぁ-んァ-ン]|[ぁ-ん](?=-?\d+-\d))?\s*[\d-]+$"
+_EDITION = r"\s+新?[赤青緑白黄]版$"
+_NO_LABEL = r"(?i)^[上中下]$|巻$|^版$|[^出]版$|特典|^Vol\.?$|^第"
+
+
+def label(title: Column) -> Column:
+    """The series name in the last brackets of a title, or in those before where the last hold
+    an edition; empty without any."""
+    whole = nfkc(F.coalesce(title, F.lit("")))
+    tail = r"[(\[【]([^()\[\]【】]*)[)\]】]\s*$"
+
+    def of(c: Column) -> Column:
+        name = F.trim(F.regexp_extract(c, tail, 1))
+        return F.trim(F.regexp_replace(F.regexp_replace(name, _NUMBER, ""), _EDITION, ""))
+
+    first, second = of(whole), of(F.regexp_replace(whole, tail, ""))
+    fits = lambda c: (c != "") & ~c.rlike(_NO_LABEL)
+    return F.when(fits(first), first).when(whole.rlike(tail) & fits(second), second).otherwise("")
+
+
+def color_name(hex_color: Column) -> Column:
+    """The name of a colour's hue; greys have none, words stay, three digits count double."""
+    h = F.regexp_replace(F.lower(F.coalesce(hex_color, F.lit(""))), "#", "")
+    six = F.when(h.rlike("^[0-9a-f]{3}$"), F.regexp_replace(h, "(.)", "$1$1")).otherwise(h)
+    parts = F.struct(*[(F.conv(F.substring(six, i, 2), 16, 10).cast("double") / 255).alias(n) for i, n in ((1, "r"), (3, "g"), (5, "b"))])
+
+    def hue(c: Column) -> Column:
+        r, g, b = c["r"], c["g"], c["b"]
+        top, d = F.greatest(r, g, b), F.greatest(r, g, b) - F.least(r, g, b)
+        turn = F.when(top == r, (g - b) / d).when(top == g, (b - r) / d + 2).otherwise((r - g) / d + 4)
+        return F.when(d >= 0.08, F.pmod(turn * 60, F.lit(360.0)))
+
+    def name(u: Column) -> Column:
+        return F.when(u.isNull(), "").when((u < 20) | (u >= 345), "red").when(u < 40, "orange").when(u < 70, "yellow").when(u < 170, "green").when(u < 260, "blue").when(u < 300, "purple").otherwise("pink")
+
+    return F.when(six.rlike("^[0-9a-f]{6}$"), let(let(parts, hue), name)).when(h.rlike("^[a-z]+$"), h).otherwise("")
+
+
+def expanded_end(start: Column, end: Column) -> Column:
+    """The end of a range whose leading digits were left out: 1234-56 is 1234 to 1256, and
+    1998-02 carries to 2002."""
+    unit = F.pow(F.lit(10), F.length(end)).cast("long")
+    tail = end.cast("long")
+    short = F.length(end) < F.length(start.cast("string"))
+    return F.when(short, F.floor(start / unit) * unit + tail + F.when(tail < start % unit, unit).otherwise(0)).otherwise(tail)
+
+
+def points_of(c: Column) -> Column:
+    """The first number of a text about points; 0 without one."""
+    return F.coalesce(F.regexp_replace(F.regexp_extract(nfkc(c), "([0-9][0-9,]*)", 1), ",", "").try_cast("bigint"), F.lit(0))
+
+
+def publisher_of(c: Column) -> Column:
+    """The publisher of a details line: label, edition and date go, at most 100 characters."""
+    c = F.trim(F.regexp_replace(F.regexp_replace(nfkc(F.coalesce(c, F.lit(""))), "[\\u200b-\\u200f\\u202a-\\u202e\\u2060\\ufeff]", ""), "\\s+", " "))
+    c = F.regexp_replace(c, r"(?i)^\s*(?:出版社|Publisher)\s*:\s*", "")
+    return F.substring(F.trim(F.regexp_replace(F.substring_index(c, ";", 1), r"\s*\([^()]*\d{4}[^()]*\)\s*$", "")), 1, 100)
+
+
+def is_store_id(c: Column) -> Column:
+    """Whether a product number is that of an electronic book."""
+    return F.coalesce(c, F.lit("")).rlike("^B0[A-Z0-9]{8}$")
+
+
+def store_id_of_url(url: Column) -> Column:
+    """The ten characters behind /dp/ or /product/ of a URL; null without any."""
+    return F.nullif(F.regexp_extract(url, r"/(?:dp|gp/product|product)/([A-Z0-9]{10})(?:[/?#]|$)", 1), F.lit(""))
+
+
+def effective_price(price: Column, points: Column) -> Column:
+    """What a book costs after its points; null without a price."""
+    return price - F.coalesce(points, F.lit(0))
+
+
+def escape_markdown(c: Column) -> Column:
+    """Marks of Markdown lose their meaning, list marks at line starts included."""
+    c = F.regexp_replace(F.coalesce(c, F.lit("")), r"([\\`*_\[\]()<>#!|~{}])", r"\\$1")
+    return F.regexp_replace(F.regexp_replace(c, "^([-+])", r"\\$1"), r"^(\d+)\.", r"$1\\.")
+
+
+def note_file_name(title: Column, fallback: str = "untitled") -> Column:
+    """A file name for a book's notes."""
+    base = F.regexp_replace(F.coalesce(title, F.lit("")), r'[\\/:*?"<>|#^\[\]\x00-\x1f]', "_")
+    base = F.substring(F.regexp_replace(F.trim(F.regexp_replace(base, "\\s+", " ")), "[. ]+$", ""), 1, 120)
+    return F.concat(F.when(base == "", fallback).otherwise(base), F.lit(".md"))
+
+
+def embed_text(*parts: Column) -> Column:
+    """The text that a vector stands for: what is not blank, one part a line."""
+    return F.concat_ws("\n", *[F.nullif(p, F.lit("")) for p in parts])
+
+
+def title_candidates(title: Column) -> Column:
+    """Titles to look a book up by: whole, without brackets, without subtitle, longest word."""
+    full = F.trim(F.coalesce(title, F.lit("")))
+    plain = F.trim(F.regexp_replace(F.regexp_replace(full, "[（(【［\\[][^)）】］\\]]*[)）】］\\]]", " "), "\\s+", " "))
+    short = F.trim(F.get(F.split(plain, "[:：―～]"), F.lit(0)))
+    longest = F.aggregate(F.split(short, "\\s+"), F.lit(""), lambda a, b: F.when(F.length(b) > F.length(a), b).otherwise(a))
+    return F.array_distinct(F.filter(F.array(full, plain, short, longest), lambda c: c != ""))
+
+
+def cited(answer: Column, count: int) -> Column:
+    """The numbers in square brackets of an answer that name one of `count` sources, in order."""
+    found = F.transform(F.regexp_extract_all(answer, F.lit(r"\[(\d{1,2})\]"), F.lit(1)), lambda n: n.cast("int"))
+    return F.array_sort(F.array_distinct(F.filter(found, lambda n: (n >= 1) & (n <= count))))
 
 
 def truncate(c: Column, n: int) -> Column:
