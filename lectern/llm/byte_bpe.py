@@ -163,49 +163,71 @@ def _blocks(batches):
         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(end, types)], names=names)
 
 
+class Tokens:
+    """Tables of a rank file for whole arrays of symbols and ids."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        import numpy as np
+
+        self.ranks = ranks
+        self.symbol_of = {r: symbol(t, r) for t, r in ranks.items()}
+        codes = np.array([ord(c) for c in self.symbol_of.values()])
+        self.rank_of_code = np.zeros(int(codes.max()) + 1, "<u4")
+        self.rank_of_code[codes] = list(self.symbol_of)
+        sizes = np.zeros(max(ranks.values()) + 2, np.int64)
+        for t, r in ranks.items():
+            sizes[r + 1] = len(t)
+        self.piece_at = np.cumsum(sizes)
+        by_rank = {r: t for t, r in ranks.items()}
+        self.pieces = np.frombuffer(b"".join(by_rank.get(r, b"") for r in range(len(sizes) - 1)), np.uint8)
+
+    def ids(self, symbols: str):
+        import numpy as np
+
+        return self.rank_of_code[np.frombuffer(symbols.encode("utf-32-le"), "<u4")]
+
+
+def spread(starts, sizes):
+    """Positions of consecutive runs, each of a start and a size."""
+    import numpy as np
+
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
 def _assemble(ranks_path: str):
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        ranks = read_ranks(ranks_path)
-        by_rank = {r: t for t, r in ranks.items()}
-        one_byte = [ranks[bytes([i])] for i in range(256)]
-        top = max(ranks.values()) + 1
-        to_rank = np.full(0x10000, 0, "<u4")
-        to_rank[:256] = one_byte
-        for r in range(top):
-            to_rank[ord(_char(r))] = r
-        ids_of: list = []
-        pieces: list[bytes] = []
+        tokens = Tokens(read_ranks(ranks_path))
+        found: list[str] = []
+        sizes: list = []
         for batch in batches:
             for row in batch.to_pylist():
                 if row["symbols"] is not None:
                     very_long = iter(row["long"] or ())
-                    for s in row["symbols"]:
-                        if s is None:
-                            got = np.array(merge_with_heap(next(very_long).encode(), ranks), "<u4")
-                        else:
-                            got = to_rank[np.frombuffer(s.encode("utf-16-le"), "<u2")]
-                        ids_of.append(got)
-                        pieces.append(b"".join([by_rank[i] for i in got.tolist()]))
+                    own = [s if s is not None else "".join(tokens.symbol_of[i] for i in merge_with_heap(next(very_long).encode(), tokens.ranks)) for s in row["symbols"]]
+                    found.append("".join(own))
+                    sizes.append(np.array([len(s) for s in own], np.int64))
                     continue
-                docs = np.frombuffer(row["ids"], "<i8")
-                known = np.frombuffer(row["whole"], "u1")
+                docs, known = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["whole"], "u1")
                 offsets, positions = np.frombuffer(row["offsets"], "<i8"), np.frombuffer(row["positions"], "<i4")
-                sizes = np.array([len(x) for x in ids_of], "i8")
-                starts = np.concatenate([[0], np.cumsum(sizes)])
-                flat = np.concatenate(ids_of) if ids_of else np.zeros(0, "<u4")
+                n_ids = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+                flat = tokens.ids("".join(found))
+                starts = np.cumsum(n_ids) - n_ids
+                # the words' bytes, by concatenating their ids' pieces
+                lengths = tokens.piece_at[flat + 1] - tokens.piece_at[flat]
+                pieces = tokens.pieces[spread(tokens.piece_at[flat], lengths)]
+                ends = np.concatenate([[0], np.cumsum(lengths)])
+                first, last = ends[starts], ends[starts + n_ids]
                 out: list[tuple] = []
                 for k, doc in enumerate(docs.tolist()):
                     own = positions[offsets[k] : offsets[k + 1]]
-                    n = sizes[own]
-                    ends = np.cumsum(n)
-                    total = int(ends[-1]) if len(own) else 0
-                    at = np.arange(total) + np.repeat(starts[own] - (ends - n), n)
-                    decoded = hashlib.sha256(b"".join([pieces[i] for i in own.tolist()])).hexdigest()
-                    out.append((doc if known[k] else None, total, hashlib.sha256(flat[at].tobytes()).hexdigest(), decoded))
-                ids_of, pieces = [], []
+                    ids = flat[spread(starts[own], n_ids[own])]
+                    decoded = pieces[spread(first[own], last[own] - first[own])]
+                    out.append((doc if known[k] else None, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(decoded.tobytes()).hexdigest()))
+                found, sizes = [], []
                 if out:
                     a, b, c, d = zip(*out)
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c), pa.array(d)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
@@ -218,7 +240,7 @@ def encode_words(words: DataFrame, ranks_path: str, word: str = "word") -> DataF
     ranks = read_ranks(ranks_path)
     merges = rank_map(ranks)
     singles = F.lit([ranks[bytes([i])] for i in range(256)])
-    code = F.transform(F.split(fold_merges(F.col(word), merges), ""), lambda c: F.conv(F.hex(F.encode(c, "UTF-16BE")), 16, 10).cast("int"))
+    code = F.transform(F.split(fold_merges(F.col(word), merges), ""), lambda c: F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("int"))
     to_id = F.transform(code, lambda c: F.when(c < 256, F.get(singles, c)).when(c < 0xD800, c - 256).otherwise(c - 0x2900))
     return words.select(word, F.when(F.col(word) == "", F.array().cast("array<int>")).otherwise(to_id).alias("ids"))
 
