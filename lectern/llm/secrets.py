@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import table, whole_text, written
 
 SCOPE = 400
+SENT_ROWS = 1 << 18
+SENT_SPANS = 1 << 20
 BLOCK = 256
 KINDS = ("assign", "access", "hex", "id", "key", "endpoint")
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -100,10 +102,11 @@ def spans(pieces: Column, values: Column, kind: str) -> Column:
     return F.when(F.size(values) > 0, found).otherwise(F.array().cast(SPAN))
 
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """(doc, h, base, weak): spans of every text; h tells texts with one id apart."""
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, weak: bool = True) -> DataFrame:
+    """(doc, h, base, weak): spans of every text; h tells texts with one id apart. The weak ones
+    may be left out."""
     text = whole_text(text_col)
-    patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "id": IDENTIFIER, "key": KEY, "endpoint": ENDPOINT}
+    patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX} | ({"id": IDENTIFIER, "key": KEY, "endpoint": ENDPOINT} if weak else {})
     lengths = []
     for kind, pattern in patterns.items():
         pieces, values = match_lengths(F.col("text"), pattern)
@@ -112,12 +115,13 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keep = keep or []
     rows = docs.select(F.col(id_col).alias("doc"), text.alias("text"), *keep).select("doc", F.xxhash64("text").alias("h"), "text", *keep, *lengths)
     rows = rows.select("*", value.alias("value"))
-    found = {k: spans(F.col(f"{k}_p"), F.col(f"{k}_v"), k) for k in KINDS}
+    found = {k: spans(F.col(f"{k}_p"), F.col(f"{k}_v"), k) for k in patterns}
     rows = rows.select("doc", "h", "value", *keep, *(v.alias(k) for k, v in found.items()))
     long_enough = F.filter("assign", lambda s, i: F.get(F.col("value"), i) >= LEAST_VALUE)
     short = F.filter("assign", lambda s, i: F.get(F.col("value"), i) < LEAST_VALUE)
     base = F.array_sort(F.concat(long_enough, F.col("access"), F.col("hex")))
-    return rows.select("doc", "h", *keep, base.alias("base"), F.concat("id", "key", "endpoint", short).alias("weak"))
+    others = F.concat("id", "key", "endpoint", short) if weak else F.array().cast(SPAN)
+    return rows.select("doc", "h", *keep, base.alias("base"), others.alias("weak"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
@@ -179,17 +183,24 @@ def redact(text: Column, spans_col: Column, mark: str = "[SECRET]") -> Column:
 
 def redact_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", scope: int = SCOPE) -> DataFrame:
     """The rows, with all their columns, secrets replaced by a mark and the character count
-    renewed where there is one. Only rows with weak candidates take part in the join."""
+    renewed where there is one.
+
+    A first pass writes the spans, without texts, of rows with weak candidates and links them;
+    the second finds the base spans again and adds the linked ones, which are sent to all tasks
+    if they are few and else met by a join.
+    """
     names = docs.columns
-    marked = docs.select(F.struct(*names).alias("row"), *[F.col(c).alias(f"_{c}") for c in (id_col, text_col)])
-    found = candidates(marked, f"_{id_col}", f"_{text_col}", keep=["row"])
-    plain = found.where(F.size("weak") == 0).select("row", F.col("base").alias("spans"))
-    some = found.where(F.size("weak") > 0)
-    more = link(some.select("doc", "h", "base", "weak").distinct(), scope)
-    near = some.select("doc", "h", "row").join(more.select(F.col("doc").alias("doc2"), F.col("h").alias("h2"), "spans"), F.col("doc").eqNullSafe(F.col("doc2")) & (F.col("h") == F.col("h2")))
-    every = plain.unionByName(near.select("row", "spans"))
-    text = redact(F.col(f"row.{text_col}"), F.col("spans"))
-    text = F.when(F.size("spans") > 0, text).otherwise(F.col(f"row.{text_col}"))
+    held = F.explode(F.array(F.struct("base", "weak"))).alias("f")  # evaluated once, filters stay above it
+    found = candidates(docs, id_col, text_col).select("doc", "h", held).where(F.size("f.weak") > 0)
+    linked = link(written(found.select("doc", "h", "f.base", "f.weak"), "secrets"), scope)
+    linked = written(linked.where(F.size("spans") > F.size("base")).select(F.col("doc").alias("doc2"), F.col("h").alias("h2"), F.col("spans").alias("linked")).distinct(), "linked")
+    size = linked.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("linked")), F.lit(0)).alias("spans")).first()
+    sent = F.broadcast(linked) if size["rows"] <= SENT_ROWS and size["spans"] <= SENT_SPANS else linked
+    rows = docs.select(F.struct(*names).alias("row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    base = candidates(rows, "_id", "_text", keep=["row"], weak=False).select("doc", "h", "row", "base")
+    every = base.join(sent, F.col("doc").eqNullSafe(F.col("doc2")) & (F.col("h") == F.col("h2")), "left")
+    every = every.select("row", F.explode(F.array(F.coalesce("linked", "base"))).alias("spans"))
+    text = F.when(F.size("spans") > 0, redact(F.col(f"row.{text_col}"), F.col("spans"))).otherwise(F.col(f"row.{text_col}"))
     out = every.select("row", "spans", text.alias("new"))
 
     def column(c: str) -> Column:
