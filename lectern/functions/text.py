@@ -10,12 +10,13 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 ZERO_WIDTH = "[\\u200b-\\u200d\\ufeff]"
 SPACE = "[\\s\\u00a0\\u3000\\u2000-\\u200a\\u2028\\u2029]"
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfkc(texts):
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
@@ -48,7 +49,7 @@ def clean_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, "\n{3,}", "\n\n"))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def decode_entities(texts):
     """Named and numeric character references; unknown ones and numbers beyond Unicode stay."""
     mark = re.compile(r"&(#[xX][0-9a-fA-F]+|#[0-9]+|[A-Za-z0-9]+);")

@@ -1,15 +1,23 @@
-"""Vector and text-similarity operators in double precision, without Python.
+"""Vector and text-similarity operators in double precision.
 
-Points are rows (id, line, source, v). Centroids are one row per line; they are broadcast
-only while they are few (`FEW`), otherwise the join is left to the engine.
+Points are rows (id, line, source, v). Centroids and queries are sent to all tasks in blocks
+of `FEW`, which may be any number of blocks; points are compared with a block as matrices, an
+Arrow batch at a time, and only the best per row are kept. Lines are compared with lines'
+members in blocks of `BLOCK` rows.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.text import normalize_text
+
 FEW = 4096
+BLOCK = 1024
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -29,20 +37,89 @@ def centroids(points: DataFrame) -> DataFrame:
     return whole.select("line", normalised(F.col("c")).alias("c"))
 
 
-def _against(points: DataFrame, few: DataFrame) -> DataFrame:
-    """Every point with every row of a small table whose size is checked first."""
-    n = few.limit(FEW + 1).count()
-    if n > FEW:
-        raise ValueError(f"more than {FEW} centroids; cluster them first")
-    return points.join(F.broadcast(few))
+def _blocks(few: DataFrame, key: str, vector: str):
+    """(keys, matrix) of a table in blocks of `FEW` rows, ordered by key."""
+    keys, rows = [], []
+    for r in few.select(key, vector).orderBy(key).toLocalIterator():
+        keys.append(r[0])
+        rows.append(r[1])
+        if len(keys) == FEW:
+            yield np.array(keys), np.array(rows, float)
+            keys, rows = [], []
+    if keys:
+        yield np.array(keys), np.array(rows, float)
+
+
+def _best(sims: np.ndarray, keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, similarity) of the n highest of each row; keys ascend, the lowest wins ties."""
+    at = np.argsort(-sims, axis=1, kind="stable")[:, :n]
+    rows = np.repeat(np.arange(len(sims)), at.shape[1])
+    at = at.ravel()
+    fine = sims[rows, at] > -np.inf
+    return rows[fine], keys[at[fine]], sims[rows[fine], at[fine]]
+
+
+def merged_top(parts: DataFrame, key: str, other: str, n: int) -> DataFrame:
+    """(key, other, sim, rank): the n most similar of partial results; the lowest wins ties."""
+    list_ = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("down"), F.col(other).alias("k")))), 1, n)
+    top = parts.groupBy(key).agg(list_.alias("t")).select(key, F.posexplode("t").alias("r", "t"))
+    return top.select(key, F.col("t.k").alias(other), (-F.col("t.down")).alias("sim"), (F.col("r") + 1).alias("rank"))
+
+
+def closest(points: DataFrame, centres: DataFrame, n: int) -> DataFrame:
+    """(id, centre, sim, rank): the n closest centres (line, c) of every point."""
+    parts = None
+    for keys, matrix in _blocks(centres, "line", "c"):
+
+        def run(batches, keys=keys, matrix=matrix):
+            import pandas as pd
+
+            for pdf in batches:
+                if len(pdf):
+                    row, key, sim = _best(np.round(np.stack(pdf["v"]) @ matrix.T, 9), keys, n)
+                    yield pd.DataFrame({"id": pdf["id"].to_numpy()[row], "centre": key, "sim": sim})
+
+        part = points.select("id", "v").mapInPandas(run, "id long, centre long, sim double")
+        parts = part if parts is None else parts.unionByName(part)
+    if parts is None:
+        return points.sparkSession.createDataFrame([], "id long, centre long, sim double, rank int")
+    return merged_top(parts, "id", "centre", n)
+
+
+def search(queries: DataFrame, points: DataFrame, n: int, skip: DataFrame | None = None) -> DataFrame:
+    """(query, id, sim, rank): the n points most similar to each query (id, v), itself and the
+    skipped pairs (query, id) left out. Every batch of points sends on its best n per query."""
+    parts = None
+    for keys, matrix in _blocks(queries, "id", "v"):
+        most = n
+        if skip is not None:  # so many more are kept as a query skips at most
+            most += int(skip.groupBy("query").count().agg(F.max("count")).first()[0] or 0)
+
+        def run(batches, keys=keys, matrix=matrix, most=most):
+            import pandas as pd
+
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                pdf = pdf.sort_values("id")
+                ids = pdf["id"].to_numpy()
+                sims = np.round(matrix @ np.stack(pdf["v"]).T, 6)
+                sims[keys[:, None] == ids[None, :]] = -np.inf
+                row, other, sim = _best(sims, ids, most)
+                yield pd.DataFrame({"query": keys[row], "id": other, "sim": sim})
+
+        part = points.select("id", "v").mapInPandas(run, "query long, id long, sim double")
+        parts = part if parts is None else parts.unionByName(part)
+    if parts is None:
+        return points.sparkSession.createDataFrame([], "query long, id long, sim double, rank int")
+    if skip is not None:
+        parts = parts.join(skip.select("query", "id"), ["query", "id"], "left_anti")
+    return merged_top(parts, "query", "id", n)
 
 
 def nearest_centroid(points: DataFrame, centres: DataFrame) -> DataFrame:
     """(id, best, sim): the closest centre, the lowest on ties."""
-    met = _against(points, centres.select(F.col("line").alias("centre"), "c"))
-    sim = F.round(dot(F.col("v"), F.col("c")), 9)
-    best = met.groupBy("id").agg(F.max(F.struct(sim.alias("sim"), (-F.col("centre")).alias("k"))).alias("b"))
-    return best.select("id", (-F.col("b.k")).alias("best"), F.col("b.sim").alias("sim"))
+    return closest(points, centres, 1).select("id", F.col("centre").alias("best"), "sim")
 
 
 def line_similarities(points: DataFrame, centres: DataFrame) -> DataFrame:
@@ -64,30 +141,50 @@ def outliers(points: DataFrame, centres: DataFrame, width: float = 1.5) -> DataF
     return s.where("sim < limit").select("id", "line")
 
 
-def neighbours(points: DataFrame, centres: DataFrame, n: int = 5, lines: int = 8) -> DataFrame:
-    """(id, other, sim, rank): nearest points of other sources among the members of the
-    `lines` closest lines."""
-    met = _against(points.select("id", "source", "v"), centres.select(F.col("line").alias("centre"), "c"))
-    w = Window.partitionBy("id").orderBy(F.round(dot(F.col("v"), F.col("c")), 9).desc(), "centre")
-    near = met.withColumn("r", F.row_number().over(w)).where(F.col("r") <= lines).select("id", "source", "v", F.col("centre").alias("line"))
-    other = points.select(F.col("id").alias("other"), "line", F.col("source").alias("source2"), F.col("v").alias("v2"))
-    cand = near.join(other, "line").where("source <> source2")
-    sim = F.round(dot(F.col("v"), F.col("v2")), 6)
-    top = Window.partitionBy("id").orderBy(F.col("sim").desc(), "other")
-    return cand.select("id", "other", sim.alias("sim")).withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= n)
+def _top_of_block(n: int):
+    """The n most similar members of other sources for each visitor of a block of a line."""
+
+    def run(pdf):
+        import pandas as pd
+
+        q, m = pdf[pdf["visitor"]], pdf[~pdf["visitor"]].sort_values("id")
+        if not len(q) or not len(m):
+            return pd.DataFrame({"id": [], "other": [], "sim": []})
+        sims = np.round(np.stack(q["v"]) @ np.stack(m["v"]).T, 6)
+        sims[q["source"].to_numpy()[:, None] == m["source"].to_numpy()[None, :]] = -np.inf
+        row, other, sim = _best(sims, m["id"].to_numpy(), n)
+        return pd.DataFrame({"id": q["id"].to_numpy()[row], "other": other, "sim": sim})
+
+    return run
 
 
-def ranked_for(points: DataFrame, query_id: int, n: int = 30) -> DataFrame:
-    """(id, sim): the points closest to one point's vector."""
-    q = F.broadcast(points.where(F.col("id") == query_id).select(F.col("v").alias("q")).limit(1))
-    met = points.where(F.col("id") != query_id).join(q)
-    return met.select("id", F.round(dot(F.col("v"), F.col("q")), 6).alias("sim")).orderBy(F.col("sim").desc(), "id").limit(n)
+def neighbours(points: DataFrame, centres: DataFrame, n: int = 5, lines: int = 8) -> DataFrame:
+    """(id, other, sim, rank): nearest points of other sources among the members of the
+    `lines` closest lines and the isolated points (those without a line).
+
+    A point visits its lines; members and visitors of a line meet in blocks, so large lines
+    are many tasks, and each block sends on the best n per visitor.
+    """
+    lone = F.coalesce(F.col("line").cast("long"), F.lit(-1)).alias("line")
+    near = closest(points, centres, lines).select("id", F.col("centre").alias("line"))
+    near = near.unionByName(points.select("id", F.lit(-1).cast("long").alias("line")))
+    size = points.groupBy(lone).agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("blocks"))
+    visits = near.groupBy("line").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("calls"))
+    plan = size.join(visits, "line")
+    own = F.xxhash64("id")
+    members = points.select("id", "source", "v", lone).join(plan, "line").withColumn("block", F.pmod(own, F.col("blocks")).cast("int"))
+    members = members.withColumn("call", F.explode(F.sequence(F.lit(0), F.col("calls") - 1))).withColumn("visitor", F.lit(False))
+    guests = near.join(points.select("id", "source", "v"), "id").join(plan, "line").withColumn("call", F.pmod(own, F.col("calls")).cast("int"))
+    guests = guests.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("visitor", F.lit(True))
+    columns = ["line", "block", "call", "visitor", "id", "source", "v"]
+    met = members.select(columns).unionByName(guests.select(columns)).groupBy("line", "block", "call").applyInPandas(_top_of_block(n), "id long, other long, sim double")
+    return merged_top(met.distinct(), "id", "other", n)
 
 
 def ask_context(ranked: DataFrame, gate: float = 0.58, level: float = 0.5, most: int = 8) -> DataFrame:
-    """Nothing unless the best reaches the gate, else what reaches the level."""
-    best = ranked.agg(F.max("sim").alias("best"))
-    return ranked.join(F.broadcast(best)).where((F.col("best") >= gate) & (F.col("sim") >= level)).orderBy(F.col("sim").desc(), "id").limit(most).select("id", "sim")
+    """Per query nothing unless its best reaches the gate, else what reaches the level."""
+    fit = ranked.groupBy("query").agg(F.max("sim").alias("best")).where(F.col("best") >= gate).select("query")
+    return ranked.join(fit, "query", "left_semi").where((F.col("sim") >= level) & (F.col("rank") <= most)).select("query", "id", "sim")
 
 
 def band(pairs: DataFrame, low: float = 0.15, high: float = 0.45) -> DataFrame:
@@ -102,8 +199,9 @@ def band(pairs: DataFrame, low: float = 0.15, high: float = 0.45) -> DataFrame:
 
 
 def grams(texts: DataFrame, id_col: str = "id", text_col: str = "text", sizes: tuple[int, ...] = (2, 3)) -> DataFrame:
-    """(id, gram, tf): character n-grams of the lower-cased letters and digits."""
-    plain = F.regexp_replace(F.lower(text_col), "[^a-z0-9]", "")
+    """(id, gram, tf): character n-grams of the normalised text without white space and
+    punctuation of any script."""
+    plain = F.regexp_replace(normalize_text(F.col(text_col)), r"[\s\p{P}\p{S}]", "")
 
     def of_size(n: int) -> Column:
         cut = F.transform(F.sequence(F.lit(1), F.length("p") - (n - 1)), lambda i: F.substring(F.col("p"), i, F.lit(n)))
@@ -118,3 +216,50 @@ def tfidf(grams_df: DataFrame, n_texts: int) -> DataFrame:
     df = grams_df.groupBy("gram").agg(F.count("*").alias("df"))
     w = (1 + F.log("tf")) * (F.log(F.lit(n_texts + 1.0) / (F.col("df") + 1)) + 1) * F.when(F.col("df") > 1, 1.0).otherwise(0.3)
     return grams_df.join(df, "gram").select("id", "gram", w.alias("w"))
+
+
+def related(points: DataFrame, centres: DataFrame, most: int = 12) -> DataFrame:
+    """(line, id, sim, rank): points of other lines whose second-closest line (their own left out)
+    is this one and that are as close to it as its own median member."""
+    own = points.select("id", F.col("line").cast("long").alias("own"))
+    two = closest(points, centres, 2).join(own, "id").where("centre <> own")
+    second = two.groupBy("id").agg(F.min_by(F.struct("centre", "sim"), "rank").alias("b")).select("id", F.col("b.centre").alias("line"), F.col("b.sim").alias("sim"))
+    low = line_similarities(points, centres).groupBy("line").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY sim)").alias("median"))
+    fine = second.join(low, "line").where(F.col("sim") >= F.round("median", 9))
+    return merged_top(fine.select("line", "id", "sim"), "line", "id", most)
+
+
+def left_out_limits(points: DataFrame, centres: DataFrame, width: float = 1.5) -> DataFrame:
+    """(id, line, limit): for each member the mean less `width` deviations of the others'
+    similarities to their line, from sums over the line."""
+    s = line_similarities(points, centres)
+    sums = s.groupBy("line").agg(F.sum("sim").alias("s"), F.sum(F.col("sim") ** 2).alias("q"), F.count("*").alias("n"))
+    rest = s.join(sums, "line").where("n > 1")
+    mean = (F.col("s") - F.col("sim")) / (F.col("n") - 1)
+    spread = F.sqrt(F.greatest((F.col("q") - F.col("sim") ** 2) / (F.col("n") - 1) - mean**2, F.lit(0.0)))
+    return rest.select("id", "line", (mean - width * spread).alias("limit"))
+
+
+def sunflower(points: DataFrame, gap: float = 1.0) -> DataFrame:
+    """(id, x, y): the members of a line in a spiral by id, each turned by the golden angle."""
+    k = F.row_number().over(Window.partitionBy("line").orderBy("id")) - 1
+    angle = k * (math.pi * (3 - math.sqrt(5)))
+    r = gap * F.sqrt(k + F.lit(0.5))
+    return points.select("id", (r * F.cos(angle)).alias("x"), (r * F.sin(angle)).alias("y"))
+
+
+def spherical_kmeans(points: DataFrame, k: int, rounds: int = 10) -> DataFrame:
+    """(line, c): centroids of k clusters on the sphere. Starts from the k points with the lowest
+    hashes; each round assigns all points and adds up the vectors by cluster before the
+    shuffle. A cluster without points keeps its centroid."""
+    start = points.orderBy(F.xxhash64("id"), "id").limit(k).select("id", normalised(F.col("v")).alias("c")).collect()
+    centres = {i: list(r.c) for i, r in enumerate(start)}
+    spark = points.sparkSession
+    for _ in range(rounds):
+        table = spark.createDataFrame(list(centres.items()), "line long, c array<double>")
+        own = points.join(nearest_centroid(points, table), "id").select(F.col("best").alias("line"), "v")
+        new = {r.line: list(r.c) for r in centroids(own).collect()}
+        if all(np.allclose(new[i], centres[i]) for i in new):
+            break
+        centres |= new
+    return spark.createDataFrame(list(centres.items()), "line long, c array<double>")

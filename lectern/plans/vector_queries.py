@@ -35,11 +35,35 @@ S["a09_neighbours"] = oracle("px", ALL + """, nr AS (SELECT id, centre AS line F
 ps AS (SELECT DISTINCT id, line, source FROM px), cd AS (SELECT nr.id, b.id AS other FROM nr JOIN ps a ON nr.id = a.id JOIN ps b ON nr.line = b.line AND a.source <> b.source),
 sc AS (SELECT cd.id, other, round(list_dot_product(CAST(ea.embedding AS DOUBLE[]), CAST(eb.embedding AS DOUBLE[])), 6) AS sim FROM cd JOIN embeddings ea ON cd.id = ea.vec_id JOIN embeddings eb ON cd.other = eb.vec_id)
 SELECT id, other, sim FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, other) AS r FROM sc) WHERE r <= 5""")
-RANK = "rk AS (SELECT a.id, round(sum(a.x * b.x), 6) AS sim FROM px a JOIN px b ON a.i = b.i AND b.id = 7 AND a.id <> 7 GROUP BY a.id ORDER BY sim DESC, a.id LIMIT 30)"
-Q["a12_semantic_rank"] = pt(lambda p: V.ranked_for(p, 7))
-S["a12_semantic_rank"] = oracle("px", "+" + RANK + " SELECT * FROM rk")
-Q["a13_ask_context"] = pt(lambda p: V.ask_context(V.ranked_for(p, 7), 0.2, 0.15))
-S["a13_ask_context"] = oracle("px", "+" + RANK + " SELECT id, sim FROM rk WHERE sim >= 0.15 AND (SELECT max(sim) FROM rk) >= 0.2 ORDER BY sim DESC, id LIMIT 8")
+RANK = "rk AS (SELECT b.id AS query, a.id, round(sum(a.x * b.x), 6) AS sim FROM px a JOIN px b ON a.i = b.i AND b.id % 100 = 0 AND a.id <> b.id GROUP BY b.id, a.id), tp AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, id) AS r FROM rk)"
+
+
+def asked(p, n=30):
+    return V.search(p.where("id % 100 = 0"), p, n)
+
+
+Q["a12_semantic_rank"] = pt(lambda p: asked(p).select("query", "id", "sim"))
+S["a12_semantic_rank"] = oracle("px", "+" + RANK + " SELECT query, id, sim FROM tp WHERE r <= 30")
+Q["a13_ask_context"] = pt(lambda p: V.ask_context(asked(p), 0.2, 0.15))
+S["a13_ask_context"] = oracle("px", "+" + RANK + " SELECT query, id, sim FROM tp WHERE r <= 8 AND sim >= 0.15 AND query IN (SELECT query FROM tp GROUP BY query HAVING max(sim) >= 0.2)")
+
+
+def uncited(p):
+    cited = p.where("id % 100 = 0").select(F.col("id").alias("query"), F.explode(F.sequence(F.col("id") - 20, F.col("id") + 20)).alias("id"))
+    return V.search(p.where("id % 100 = 0"), p, 10, cited).select("query", "id", "sim")
+
+
+Q["a11_note_neighbours"] = pt(uncited)
+S["a11_note_neighbours"] = oracle("px", "+" + RANK + " SELECT query, id, sim FROM (SELECT query, id, sim, row_number() OVER (PARTITION BY query ORDER BY sim DESC, id) AS n FROM rk WHERE abs(query - id) > 20) WHERE n <= 10")
+Q["a10_related"] = pt(lambda p: V.related(p, V.centroids(p)).select("line", "id", F.round("sim", 6).alias("sim")))
+S["a10_related"] = oracle("px", ALL + """, own AS (SELECT DISTINCT id, line FROM px), sec AS (SELECT * FROM (SELECT al.id, al.centre, al.sim, row_number() OVER (PARTITION BY al.id ORDER BY al.sim DESC, al.centre) AS r FROM al JOIN own ON al.id = own.id AND al.centre <> own.line) WHERE r = 1),
+md AS (SELECT own.line, percentile_disc(0.5) WITHIN GROUP (ORDER BY al.sim) AS median FROM al JOIN own ON al.id = own.id AND al.centre = own.line GROUP BY own.line)
+SELECT line, id, round(sim, 6) AS sim FROM (SELECT sec.centre AS line, sec.id, sec.sim, row_number() OVER (PARTITION BY sec.centre ORDER BY sec.sim DESC, sec.id) AS n FROM sec JOIN md ON sec.centre = md.line WHERE sec.sim >= md.median) WHERE n <= 12""")
+Q["a14_left_out_limits"] = pt(lambda p: V.left_out_limits(p, V.centroids(p)).select("id", "line", F.round("limit", 5).alias("limit")))
+S["a14_left_out_limits"] = oracle("px", OWN + ', lo AS (SELECT a.id, a.line, avg(b.sim) - 1.5 * stddev_pop(b.sim) AS "limit" FROM sm a JOIN sm b ON a.line = b.line AND a.id <> b.id GROUP BY a.id, a.line) SELECT id, line, round("limit", 5) AS "limit" FROM lo')
+Q["a26_sunflower"] = pt(lambda p: V.sunflower(p).select("id", F.round("x", 5).alias("x"), F.round("y", 5).alias("y")))
+S["a26_sunflower"] = oracle("pt", "+n AS (SELECT id, row_number() OVER (PARTITION BY line ORDER BY id) - 1 AS k FROM pt) SELECT id, round(sqrt(k + 0.5) * cos(k * pi() * (3 - sqrt(5))), 5) AS x, round(sqrt(k + 0.5) * sin(k * pi() * (3 - sqrt(5))), 5) AS y FROM n")
+Q["a04_spherical_kmeans"] = pt(lambda p: V.nearest_centroid(p, V.spherical_kmeans(p, 8, 3)))
 Q["w08_similarity_band"] = pt(lambda p: V.band(V.line_similarities(p, V.centroids(p)).withColumn("sim", F.round("sim", 9))).select("id"))
 S["w08_similarity_band"] = oracle("px", OWN + ", o AS (SELECT id, round(sim, 9) AS sim, row_number() OVER (ORDER BY round(sim, 9)) - 1 AS k, count(*) OVER () AS m FROM sm) SELECT id FROM o WHERE sim >= (SELECT min(sim) FROM o WHERE k = floor(0.15 * m)) AND sim <= (SELECT max(sim) FROM o WHERE k = floor(0.45 * m))")
 
@@ -110,7 +134,7 @@ S["o06_keep_with_quota"] = "SELECT id FROM (SELECT o_orderkey AS id, sum(CASE WH
 Q["c02_clean_text"] = lambda spark, d: A.read(spark, d, "documents").select("doc_id", F.md5(T.clean_text(F.concat("text", F.lit("  \r\n \n\n\nend ")))).alias("h"))
 S["c02_clean_text"] = r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(text || '  ' || chr(13) || chr(10) || ' ' || chr(10) || chr(10) || chr(10) || 'end ', chr(13) || chr(10) || '?', chr(10), 'g'), '[ ' || chr(9) || ']+' || chr(10), chr(10), 'g'), chr(10) || '{3,}', chr(10) || chr(10), 'g'), ' ')) AS h FROM documents"
 Q["c08_html_text"] = lambda spark, d: A.read(spark, d, "pages").select("page_id", F.md5(T.html_text(F.col("html"))).alias("h"))
-S["c08_html_text"] = r"SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '(?i)</?(p|div|br|li|ul|tr|td|h[1-6]|table)[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g'), chr(13) || chr(10) || '?', chr(10), 'g'), '[ ' || chr(9) || ']+' || chr(10), chr(10), 'g'), chr(10) || '{3,}', chr(10) || chr(10), 'g'), ' ')) AS h FROM pages"
+S["c08_html_text"] = r'''SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '(?i)</?(p|div|br|li|ul|tr|td|h[1-6]|table)[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g').replace('&copy;', '©').replace('&middot;', '·').replace('&quot;', '"').replace('&amp;', '&'), chr(13) || chr(10) || '?', chr(10), 'g'), '[ ' || chr(9) || ']+' || chr(10), chr(10), 'g'), chr(10) || '{3,}', chr(10) || chr(10), 'g'), ' ')) AS h FROM pages'''
 Q["c09_mask_credentials"] = lambda spark, d: A.read(spark, d, "pages").select("page_id", T.mask_credentials(F.concat(F.lit("https://me:pw@"), F.col("url"))).alias("u"))
 S["c09_mask_credentials"] = "SELECT page_id, regexp_replace('https://me:pw@' || url, '://[^/@ ]+@', '://***@', 'g') AS u FROM pages"
 Q["c15_price_text"] = lambda spark, d: A.read(spark, d, "part").select("p_partkey", T.price_of(F.concat(F.lit("¥ "), F.format_number(F.col("p_partkey") * 37, 0), F.lit(" incl."))).alias("price"))
