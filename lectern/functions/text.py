@@ -44,9 +44,10 @@ def title_key(title: Column) -> Column:
 
 
 def clean_text(c: Column) -> Column:
-    """Unix line ends, no trailing blanks on lines, one empty line at most, trimmed."""
-    c = F.regexp_replace(F.regexp_replace(c, "\r\n?", "\n"), "[ \t]+\n", "\n")
-    return F.trim(F.regexp_replace(c, "\n{3,}", "\n\n"))
+    """Unix line ends, no zero-width characters, no trailing blanks on lines, one empty line at
+    most, trimmed."""
+    c = F.regexp_replace(F.regexp_replace(c, ZERO_WIDTH, ""), "\r\n?", "\n")
+    return F.btrim(F.regexp_replace(F.regexp_replace(c, "[ \t]+\n", "\n"), "\n{3,}", "\n\n"), F.lit(" \n\t\r"))
 
 
 @pandas_udf(StringType())

@@ -132,9 +132,9 @@ Q["o06_keep_with_quota"] = quota
 S["o06_keep_with_quota"] = "SELECT id FROM (SELECT o_orderkey AS id, sum(CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 END) OVER (ORDER BY CAST(o_orderdate AS DATE) DESC, o_orderkey DESC ROWS UNBOUNDED PRECEDING) AS k FROM orders) WHERE k <= 50"
 
 Q["c02_clean_text"] = lambda spark, d: A.read(spark, d, "documents").select("doc_id", F.md5(T.clean_text(F.concat("text", F.lit("  \r\n \n\n\nend ")))).alias("h"))
-S["c02_clean_text"] = r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(text || '  ' || chr(13) || chr(10) || ' ' || chr(10) || chr(10) || chr(10) || 'end ', chr(13) || chr(10) || '?', chr(10), 'g'), '[ ' || chr(9) || ']+' || chr(10), chr(10), 'g'), chr(10) || '{3,}', chr(10) || chr(10), 'g'), ' ')) AS h FROM documents"
+S["c02_clean_text"] = r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(text || '  ' || chr(13) || chr(10) || ' ' || chr(10) || chr(10) || chr(10) || 'end ', chr(13) || chr(10) || '?', chr(10), 'g'), '[ ' || chr(9) || ']+' || chr(10), chr(10), 'g'), chr(10) || '{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9) || chr(13))) AS h FROM documents"
 Q["c08_html_text"] = lambda spark, d: A.read(spark, d, "pages").select("page_id", F.md5(T.html_text(F.col("html"))).alias("h"))
-S["c08_html_text"] = r'''SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '(?i)</?(p|div|br|li|ul|tr|td|h[1-6]|table)[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g').replace('&copy;', '©').replace('&middot;', '·').replace('&quot;', '"').replace('&amp;', '&'), chr(13) || chr(10) || '?', chr(10), 'g'), '[ ' || chr(9) || ']+' || chr(10), chr(10), 'g'), chr(10) || '{3,}', chr(10) || chr(10), 'g'), ' ')) AS h FROM pages'''
+S["c08_html_text"] = r'''SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '(?i)</?(p|div|br|li|ul|tr|td|h[1-6]|table)[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g').replace('&copy;', '©').replace('&middot;', '·').replace('&quot;', '"').replace('&amp;', '&'), chr(13) || chr(10) || '?', chr(10), 'g'), '[ ' || chr(9) || ']+' || chr(10), chr(10), 'g'), chr(10) || '{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9) || chr(13))) AS h FROM pages'''
 Q["c09_mask_credentials"] = lambda spark, d: A.read(spark, d, "pages").select("page_id", T.mask_credentials(F.concat(F.lit("https://me:pw@"), F.col("url"))).alias("u"))
 S["c09_mask_credentials"] = "SELECT page_id, regexp_replace('https://me:pw@' || url, '://[^/@ ]+@', '://***@', 'g') AS u FROM pages"
 Q["c15_price_text"] = lambda spark, d: A.read(spark, d, "part").select("p_partkey", T.price_of(F.concat(F.lit("¥ "), F.format_number(F.col("p_partkey") * 37, 0), F.lit(" incl."))).alias("price"))
