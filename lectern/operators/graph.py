@@ -2,19 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .order import numbered, running_total
+
 HOPS = 10
 
 
 def current_ids(pointers: DataFrame, hops: int = HOPS) -> DataFrame:
-    """(id, current): `next` followed while there is one, at most `hops` times."""
-    step = pointers.select(F.col("id").alias("at"), F.col("next").alias("to"))
-    out = pointers.select("id", F.col("id").alias("current"))
-    for _ in range(hops):
-        moved = out.join(step, out["current"] == step["at"], "left")
-        out = moved.select("id", F.coalesce("to", "current").alias("current"))
+    """(id, current): `next` followed while there is one, at most `hops` times. Steps of one, two,
+    four and so on hops are made by joining a step with itself, and those that add up to
+    `hops` are chained."""
+
+    def chain(first: DataFrame, then: DataFrame) -> DataFrame:
+        step = then.select(F.col("id").alias("at"), F.col("current").alias("to"))
+        return first.join(step, F.col("current") == F.col("at"), "left").select("id", F.coalesce("to", "current").alias("current"))
+
+    power = pointers.select("id", F.coalesce("next", "id").alias("current"))
+    out = None
+    while hops:
+        if hops & 1:
+            out = power if out is None else chain(out, power)
+        hops >>= 1
+        if hops:
+            power = chain(power, power)
     return out
 
 
@@ -40,20 +52,20 @@ def main_plane(evidence: DataFrame, planes: DataFrame) -> DataFrame:
     return best.select("note", (-F.col("b.k")).alias("plane"))
 
 
-def tree_edges(regions: DataFrame, nations: DataFrame, suppliers: DataFrame) -> DataFrame:
-    """(src, dst, kind): plane to line and line to point edges."""
-    a = nations.select(F.concat(F.lit("p"), "n_regionkey").alias("src"), F.concat(F.lit("l"), "n_nationkey").alias("dst"), F.lit("plane").alias("kind"))
-    b = suppliers.select(F.concat(F.lit("l"), "s_nationkey").alias("src"), F.concat(F.lit("h"), "s_suppkey").alias("dst"), F.lit("line").alias("kind"))
-    return a.join(regions.select(F.concat(F.lit("p"), "r_regionkey").alias("src")), "src", "left_semi").unionByName(b)
+def tree_edges(planes: DataFrame, members: DataFrame) -> DataFrame:
+    """(src, dst, kind): edges from planes to lines (plane, line) and from lines to points
+    (line, point), each once."""
+    a = planes.select(F.concat(F.lit("p"), "plane").alias("src"), F.concat(F.lit("l"), "line").alias("dst"), F.lit("plane").alias("kind"))
+    b = members.select(F.concat(F.lit("l"), "line").alias("src"), F.concat(F.lit("h"), "point").alias("dst"), F.lit("line").alias("kind"))
+    return a.unionByName(b).distinct()
 
 
 def interleave(lists: DataFrame) -> DataFrame:
     """(item, pos): the first of each list, then the seconds and so on; rows (lst, k, item)."""
-    w = Window.orderBy("k", "lst")
-    return lists.select("item", F.row_number().over(w).cast("long").alias("pos"))
+    return numbered(lists, [(F.col("k"), False), (F.col("lst"), False)], ident="item").select("item", "pos")
 
 
 def keep_with_quota(rows: DataFrame, n: int) -> DataFrame:
     """Newest rows while fewer than n unmarked ones came before; marked ones do not count."""
-    w = Window.orderBy(F.col("at").desc(), F.col("id").desc())
-    return rows.withColumn("k", F.sum(F.when(F.col("wrong"), 0).otherwise(1)).over(w)).where(F.col("k") <= n).drop("k")
+    counted = F.when(F.col("wrong"), 0).otherwise(1)
+    return running_total(rows, [(F.col("at"), True), (F.col("id"), True)], counted, "k").where(F.col("k") <= n).drop("k")

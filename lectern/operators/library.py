@@ -2,33 +2,48 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TECHNICAL = r"src1[0-4]$"
-ENDS = ".!?"
+from lectern.functions.text import normalize_text, search_words
+
+# Words and phrases of technical books' titles, publishers named like one of
+# them, marks that end a sentence, and characters a place of a book holds.
+TECH_WORDS = "sql mysql postgresql php python javascript typescript java ruby rails golang rust c++ c# html css linux unix git github docker kubernetes aws azure gcp tcp/ip http api react vue laravel devops"
+TECH_PHRASES = "データベース db設計 プログラミング プログラマ ソフトウェア フロントエンド バックエンド インフラ ネットワーク入門 オブジェクト指向 アルゴリズム データ構造 機械学習 深層学習 ディープラーニング コマンドライン シェルスクリプト itエンジニア 要件定義 システム設計 システム開発 aiのしくみ web技術 webを支える コンピュータ 情報処理 テスト駆動 リファクタリング"
+TECH_PUBLISHERS = "新書 文庫 研究所 ビジネス新書 文芸文庫 エディターズ"
+ENDS = "。．.！!？?」』）)]］}｝】》〉〕\"”'’…‥"
+CHARS_PER_PLACE = 30
+
+
+def _any(words: str) -> str:
+    return "|".join(re.escape(w) for w in words.split())
 
 
 def live(highlights: DataFrame) -> DataFrame:
     return highlights.where(~F.coalesce("deleted", F.lit(False)))
 
 
-def technical(book: Column, override: Column | None = None) -> Column:
-    """An explicit mark wins over the guess by name."""
-    guess = book.rlike(TECHNICAL)
+def technical(title: Column, override: Column | None = None) -> Column:
+    """An explicit mark wins over the guess by the title's words and phrases; words stand
+    between characters that are no letters."""
+    t = F.regexp_replace(normalize_text(title), f"php(?:{_any(TECH_PUBLISHERS)})", "")
+    guess = t.rlike(f"(?:^|[^a-z])(?:{_any(TECH_WORDS)})(?![a-z])|{_any(TECH_PHRASES)}")
     return guess if override is None else F.coalesce(override, guess)
 
 
-def points(highlights: DataFrame) -> DataFrame:
+def points(highlights: DataFrame, is_technical: Column) -> DataFrame:
     """Live highlights of books that are not technical."""
-    return live(highlights).where(~technical(F.col("book")))
+    return live(highlights).where(~is_technical)
 
 
 def search(highlights: DataFrame, query: str, fields: tuple[str, ...] = ("text", "book")) -> DataFrame:
     """Rows that hold every word of the query somewhere in their fields, newest first."""
-    hay = F.lower(F.concat_ws("\n", *fields))
+    hay = normalize_text(F.concat_ws("\n", *fields))
     out = live(highlights)
-    for word in query.lower().split():
+    for word in search_words(query):
         out = out.where(F.contains(hay, F.lit(word)))
     return out.orderBy(F.col("id").desc())
 
@@ -47,7 +62,7 @@ def join_candidates(highlights: DataFrame, gap: int = 1) -> DataFrame:
     """(id, next_id): points that stop in mid-sentence right before the next one."""
     w = Window.partitionBy("book").orderBy(*in_book())
     rows = live(highlights).select("id", "book", "chapter", "location", "text", F.lead("id").over(w).alias("next_id"), F.lead("chapter").over(w).alias("next_chapter"), F.lead("location").over(w).alias("next_location"))
-    open_end = ~F.substring(F.rtrim("text"), -1, 1).isin(*ENDS)
+    open_end = ~F.substring(F.regexp_replace("text", r"\s+$", ""), -1, 1).isin(*ENDS)
     near = (F.col("chapter") == F.col("next_chapter")) & (F.col("next_location") <= F.col("location") + gap)
     return rows.where(F.col("next_id").isNotNull() & open_end & near).select("id", "book", "next_id")
 
@@ -56,14 +71,13 @@ def book_counts(highlights: DataFrame) -> DataFrame:
     return live(highlights).groupBy("book").agg(F.count("*").alias("n"), F.max("id").alias("last_id"))
 
 
-def stats(highlights: DataFrame) -> DataFrame:
+def stats(highlights: DataFrame, is_technical: Column) -> DataFrame:
     is_live = ~F.col("deleted")
-    return highlights.agg(F.count_if(is_live).alias("live"), F.count_if("deleted").alias("deleted"), F.count_if(is_live & F.col("favorite")).alias("favorites"), F.count_if(is_live & technical(F.col("book"))).alias("technical"), F.countDistinct(F.when(is_live, F.col("book"))).alias("books"))
+    return highlights.agg(F.count_if(is_live).alias("live"), F.count_if("deleted").alias("deleted"), F.count_if(is_live & F.col("favorite")).alias("favorites"), F.count_if(is_live & is_technical).alias("technical"), F.countDistinct(F.when(is_live, F.col("book"))).alias("books"))
 
 
-def daily_picks(highlights: DataFrame, day: str, n: int = 5, seen: DataFrame | None = None) -> DataFrame:
+def daily_picks(rows: DataFrame, day: str, n: int = 5, seen: DataFrame | None = None) -> DataFrame:
     """n points by the hash of day and id; points seen lately come last."""
-    rows = points(highlights)
     late = F.lit(0)
     if seen is not None:
         rows = rows.join(seen.select("id", F.lit(1).alias("late")).distinct(), "id", "left")
@@ -79,14 +93,39 @@ def trash(highlights: DataFrame) -> DataFrame:
 def contained(highlights: DataFrame, gap: int = 1) -> DataFrame:
     """(id, keeper): points whose text lies in a longer one at the same place of the book.
 
-    An equi-join on book and place bin bounds the comparisons; the longest container (then
-    the smallest id) keeps the note.
+    Places are cut into bins of gap + 1, so a point meets three bins. Ids and lengths meet
+    first; texts come to the pairs that are near enough. The longest container (then the
+    smallest id) keeps the note.
     """
     rows = live(highlights).select("id", "book", "location", "text", F.length("text").alias("n"))
-    a, b = rows.alias("a"), rows.select("*", F.explode(F.sequence(F.col("location") - gap, F.col("location") + gap)).alias("at")).alias("b")
+    slim = rows.select("id", "book", "location", "n", F.floor(F.col("location") / (gap + 1)).alias("bin"))
+    a = slim.alias("a")
+    b = slim.withColumn("bin", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1))).alias("b")
     longer = (F.col("b.n") > F.col("a.n")) | ((F.col("b.n") == F.col("a.n")) & (F.col("b.id") < F.col("a.id")))
-    met = a.join(b, (F.col("a.book") == F.col("b.book")) & (F.col("a.location") == F.col("b.at")) & longer & F.contains(F.col("b.text"), F.col("a.text")))
-    return met.groupBy(F.col("a.id").alias("id")).agg(F.min(F.struct((-F.col("b.n")).alias("n"), F.col("b.id").alias("id")))["id"].alias("keeper"))
+    near = F.abs(F.col("a.location") - F.col("b.location")) <= gap
+    pairs = a.join(b, (F.col("a.book") == F.col("b.book")) & (F.col("a.bin") == F.col("b.bin")) & longer & near).select(F.col("a.id").alias("id"), F.col("b.id").alias("keeper"), F.col("b.n").alias("n"))
+    inner, outer = rows.select("id", F.col("text").alias("inner")), rows.select(F.col("id").alias("keeper"), F.col("text").alias("outer"))
+    met = pairs.join(inner, "id").join(outer, "keeper").where(F.contains("outer", "inner"))
+    return met.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("keeper").alias("id")))["id"].alias("keeper"))
+
+
+def status_counts(rows: DataFrame, statuses: list[str]) -> DataFrame:
+    """Per group the number of rows with each status, zeros included."""
+    return rows.groupBy("group").pivot("status", statuses).count().na.fill(0)
+
+
+def health(reports: DataFrame, now: Column, interval: str) -> DataFrame:
+    """(source, status): none without any report, stale after three intervals, else what the last
+    report says."""
+    last = reports.groupBy("source").agg(F.max_by("state", F.struct("at", "id")).alias("state"), F.max("at").alias("at"))
+    stale = F.col("at") < now - F.expr(f"INTERVAL {interval}") * 3
+    return last.select("source", F.when(F.col("at").isNull(), "none").when(stale, "stale").when(F.col("state").isin("login", "error"), F.col("state")).otherwise("ok").alias("status"))
+
+
+def carried(reports: DataFrame, good: Column) -> DataFrame:
+    """(id, last_ok): when a source was last well, as of each report."""
+    w = Window.partitionBy("source").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, 0)
+    return reports.select("id", F.last(F.when(good, F.col("at")), ignorenulls=True).over(w).alias("last_ok"))
 
 
 def attach_notes(notes: DataFrame, highlights: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import normalize_text
 
+from .order import running_total
+
 FEW = 4096
 BLOCK = 1024
 
@@ -189,13 +191,12 @@ def ask_context(ranked: DataFrame, gate: float = 0.58, level: float = 0.5, most:
 
 def band(pairs: DataFrame, low: float = 0.15, high: float = 0.45) -> DataFrame:
     """Pairs whose similarity lies between the values at floor(low * m) and floor(high * m)."""
-    m = pairs.count()
-    if not m:
-        return pairs
-    at = lambda r: min(int(r * m), m - 1)
-    cut = pairs.select("sim").orderBy("sim")
-    a, b = (cut.offset(at(r)).limit(1).first()["sim"] for r in (low, high))
-    return pairs.where(F.col("sim").between(a, b))
+    upto = running_total(pairs.groupBy("sim").agg(F.count("*").alias("n")), [(F.col("sim"), False)], F.col("n"), "upto", "sim")
+    m = F.broadcast(pairs.agg(F.count("*").alias("m")))
+    at = lambda r: F.floor(F.lit(r) * F.col("m"))
+    # the value at an index is the least one that reaches beyond it
+    cuts = upto.join(m, F.col("upto") <= F.col("m")).agg(F.min(F.when(F.col("upto") > at(low), F.col("sim"))).alias("lo"), F.min(F.when(F.col("upto") > at(high), F.col("sim"))).alias("hi"))
+    return pairs.join(F.broadcast(cuts), F.col("sim").between(F.col("lo"), F.col("hi"))).drop("lo", "hi")
 
 
 def grams(texts: DataFrame, id_col: str = "id", text_col: str = "text", sizes: tuple[int, ...] = (2, 3)) -> DataFrame:

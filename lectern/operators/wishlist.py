@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.text import title_key
+
+from .order import numbered
+
 
 def shelf(name: str) -> Column:
     """Purchased books stand on that shelf only."""
@@ -31,10 +35,30 @@ def filtered(books: DataFrame, shelf_name: str | None = None, words: str = "", k
     return out.withColumn("range_ignored", F.lit(inverted))
 
 
-def facets(books: DataFrame) -> DataFrame:
-    """(facet, n): a book may count under several."""
-    marks = F.filter(F.array(F.when(shelf("purchased"), "purchased"), F.when(shelf("wanted"), "wanted"), F.when(F.col("ku"), "ku"), F.when(F.col("price").isNull(), "missing"), F.when(F.col("price") < 1000, "cheap")), lambda x: x.isNotNull())
-    return books.select(F.explode(marks).alias("facet")).groupBy("facet").agg(F.count("*").alias("n"))
+def facets(books: DataFrame, **marks: Column) -> DataFrame:
+    """(facet, n): how many books each named mark holds for; a book may count under several."""
+    held = F.filter(F.array(*[F.when(c, name) for name, c in marks.items()]), lambda x: x.isNotNull())
+    return books.select(F.explode(held).alias("facet")).groupBy("facet").agg(F.count("*").alias("n"))
+
+
+def stop_reason(manga: Column, purchased: Column, seen: Column) -> Column:
+    """Why a book's price is no longer looked up; the first reason holds."""
+    return F.when(manga, "manga").when(purchased, "purchased").when(seen, "seen")
+
+
+def is_manga(label: Column, override: Column, pattern: str = r"(?i)コミック|comic|ジャンプ|マガジン|まんが|manga") -> Column:
+    """A kind set by hand wins over the guess by the label."""
+    return F.coalesce(override, F.coalesce(label, F.lit("")).rlike(pattern))
+
+
+def seen_summary(marks: DataFrame) -> DataFrame:
+    """(kind, seen, rated): read books of each kind, and those with stars."""
+    return marks.groupBy("kind").agg(F.count_if("seen").alias("seen"), F.count_if(F.col("seen") & (F.col("rating") > 0)).alias("rated"))
+
+
+def first_days(stamps: DataFrame, zone: str = "Asia/Tokyo") -> DataFrame:
+    """(book, first_on): the day of the first highlight in a time zone."""
+    return stamps.groupBy("book").agg(F.min(F.from_utc_timestamp(F.col("at").cast("timestamp"), zone).cast("date")).alias("first_on"))
 
 
 def label_counts(books: DataFrame) -> DataFrame:
@@ -54,29 +78,25 @@ def summary(books: DataFrame, top: int = 3) -> DataFrame:
 
 def ranked(books: DataFrame, by: str, descending: bool = False) -> DataFrame:
     """Position under a sort; missing values stand last either way, input order breaks ties."""
-    key = F.col(by).desc_nulls_last() if descending else F.col(by).asc_nulls_last()
-    return books.select("idx", F.row_number().over(Window.orderBy(key, "idx")).cast("long").alias("pos"))
+    return numbered(books.select("idx", by), [(F.col(by), descending), (F.col("idx"), False)], ident="idx").select("idx", "pos")
 
 
 def page(books: DataFrame, number: int, size: int = 100) -> DataFrame:
     return books.orderBy("idx").offset((number - 1) * size).limit(size)
 
 
-def title_key(title: Column) -> Column:
-    """Letters and digits only, lower case, without bracketed parts."""
-    return F.regexp_replace(F.lower(F.regexp_replace(title, r"\([^)]*\)|\[[^\]]*\]", "")), r"[^a-z0-9]", "")
-
-
 def match_titles(left: DataFrame, right: DataFrame, least: int = 5) -> DataFrame:
     """(l, r, exact): equal keys before prefixes of `least` characters or more, either way.
 
-    Prefix pairs meet on their first `least` characters, an equi-join, not a nested loop.
+    Distinct keys meet, each with its first row, on their first `least` characters: an equi-join
+    whose size follows the number of different titles.
     """
     a = left.select(F.col("id").alias("l"), title_key(F.col("title")).alias("a")).where(F.length("a") >= least)
     b = right.select(F.col("id").alias("r"), title_key(F.col("title")).alias("b")).where(F.length("b") >= least)
-    met = a.join(b, (F.substring("a", 1, least) == F.substring("b", 1, least)) & (F.startswith(F.col("a"), F.col("b")) | F.startswith(F.col("b"), F.col("a"))))
-    best = met.groupBy("l").agg(F.min(F.struct((F.col("a") != F.col("b")).alias("loose"), "r")).alias("m"))
-    return best.select("l", F.col("m.r").alias("r"), (~F.col("m.loose")).alias("exact"))
+    x, y = a.select("a").distinct(), b.groupBy("b").agg(F.min("r").alias("r"))
+    met = x.join(y, (F.substring("a", 1, least) == F.substring("b", 1, least)) & (F.startswith(F.col("a"), F.col("b")) | F.startswith(F.col("b"), F.col("a"))))
+    best = met.groupBy("a").agg(F.min(F.struct((F.col("a") != F.col("b")).alias("loose"), "r")).alias("m"))
+    return a.join(best, "a").select("l", F.col("m.r").alias("r"), (~F.col("m.loose")).alias("exact"))
 
 
 def reading_state(books: DataFrame, by_id: DataFrame, by_title: DataFrame) -> DataFrame:
@@ -105,5 +125,5 @@ def automatic_records(first_dates: DataFrame, manual: DataFrame, excluded: DataF
 
 def keep_newest(rows: DataFrame, n: int, pinned: Column) -> DataFrame:
     """The newest n snapshots, and the pinned ones."""
-    w = Window.orderBy(F.col("at").desc(), F.col("id").desc())
-    return rows.withColumn("r", F.row_number().over(w)).where((F.col("r") <= n) | pinned).drop("r")
+    top = rows.orderBy(F.col("at").desc(), F.col("id").desc()).limit(n)
+    return top.unionByName(rows.where(pinned).join(F.broadcast(top.select("id")), "id", "left_anti"))

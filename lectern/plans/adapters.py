@@ -31,6 +31,11 @@ def highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("id"), F.col("source").alias("book"), F.col("lang").alias("chapter"), F.col("n_chars").alias("location"), "text", F.coalesce("favorite", F.lit(False)).alias("favorite"), F.coalesce("deleted", F.lit(False)).alias("deleted"))
 
 
+def title_of(book):
+    """The title of a highlight's book: those of five sources are technical."""
+    return F.when(book.isin("src10", "src11", "src12", "src13", "src14"), F.concat(F.lit("Ｌearning SQL, "), book)).otherwise(F.concat(F.lit("The javanese digital sea "), book))
+
+
 def wishlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(idx, title, price, label, kind, size, ku, wanted, purchased)."""
     p = read(spark, sf_dir, "part")

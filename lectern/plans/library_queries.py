@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import library as L
 from lectern.operators import merge as M
+from lectern.operators import wishlist as W
 
 from . import adapters as A
 from .adapters import oracle
@@ -19,32 +20,38 @@ def vs(f):
     return lambda spark, d: f(A.versions(spark, d))
 
 
+
+
+def tech():
+    return L.technical(A.title_of(F.col("book")))
+
+
 Q["f01_live_highlights"] = hl(lambda h: L.live(h).select("id", "book", "favorite"))
 S["f01_live_highlights"] = oracle("hl", "SELECT id, book, favorite FROM hl WHERE NOT deleted")
-Q["f02_points"] = hl(lambda h: L.points(h).select("id", "book"))
+Q["f02_points"] = hl(lambda h: L.points(h, tech()).select("id", "book"))
 S["f02_points"] = oracle("hl", "SELECT id, book FROM hl WHERE NOT deleted AND book NOT IN ('src10', 'src11', 'src12', 'src13', 'src14')")
-Q["f03_technical_books"] = hl(lambda h: h.select("book").distinct().select("book", L.technical(F.col("book"), F.when(F.col("book") == "src11", F.lit(False))).alias("technical")))
+Q["f03_technical_books"] = hl(lambda h: h.select("book").distinct().select("book", L.technical(A.title_of(F.col("book")), F.when(F.col("book") == "src11", F.lit(False))).alias("technical")))
 S["f03_technical_books"] = oracle("hl", "SELECT DISTINCT book, book IN ('src10', 'src12', 'src13', 'src14') AS technical FROM hl")
 Q["f04_search_all_words"] = hl(lambda h: L.search(h, "the src3").select("id", "book"))
 S["f04_search_all_words"] = oracle("hl", "SELECT id, book FROM hl WHERE NOT deleted AND contains(lower(text || chr(10) || book), 'the') AND contains(lower(text || chr(10) || book), 'src3')")
 Q["g01_book_counts"] = hl(L.book_counts)
 S["g01_book_counts"] = oracle("hl", "SELECT book, count(*) AS n, max(id) AS last_id FROM hl WHERE NOT deleted GROUP BY book")
-Q["g02_library_stats"] = hl(L.stats)
+Q["g02_library_stats"] = hl(lambda h: L.stats(h, tech()))
 S["g02_library_stats"] = oracle("hl", "SELECT count(*) FILTER (WHERE NOT deleted) AS live, count(*) FILTER (WHERE deleted) AS deleted, count(*) FILTER (WHERE NOT deleted AND favorite) AS favorites, count(*) FILTER (WHERE NOT deleted AND book IN ('src10', 'src11', 'src12', 'src13', 'src14')) AS technical, count(DISTINCT CASE WHEN NOT deleted THEN book END) AS books FROM hl")
-Q["g03_status_counts"] = hl(lambda h: h.groupBy("book").pivot("chapter", ["de", "en", "es", "fr"]).count().na.fill(0))
-S["g03_status_counts"] = oracle("hl", "SELECT book, count(*) FILTER (WHERE chapter = 'de') AS de, count(*) FILTER (WHERE chapter = 'en') AS en, count(*) FILTER (WHERE chapter = 'es') AS es, count(*) FILTER (WHERE chapter = 'fr') AS fr FROM hl GROUP BY book")
+Q["g03_status_counts"] = lambda spark, d: L.status_counts(A.versions(spark, d).select(F.col("user").alias("group"), F.col("field").alias("status")), ["click", "error", "purchase", "signup"])
+S["g03_status_counts"] = oracle("vs", 'SELECT "user" AS "group", count(*) FILTER (WHERE field = \'click\') AS click, count(*) FILTER (WHERE field = \'error\') AS error, count(*) FILTER (WHERE field = \'purchase\') AS purchase, count(*) FILTER (WHERE field = \'signup\') AS signup FROM vs GROUP BY "user"')
 Q["w04_book_order"] = hl(lambda h: L.live(h).select("id", "book", F.row_number().over(L.Window.partitionBy("book").orderBy(*L.in_book())).cast("long").alias("pos")))
 S["w04_book_order"] = oracle("hl", "SELECT id, book, row_number() OVER (PARTITION BY book ORDER BY location NULLS LAST, id) AS pos FROM hl WHERE NOT deleted")
 Q["w05_neighbours_in_book"] = hl(L.neighbours)
 S["w05_neighbours_in_book"] = oracle("hl", "SELECT id, book, lag(id) OVER (PARTITION BY book ORDER BY location NULLS LAST, id) AS prev_id, lead(id) OVER (PARTITION BY book ORDER BY location NULLS LAST, id) AS next_id FROM hl WHERE NOT deleted")
-JOINABLE = "+nx AS (SELECT id, book, chapter, location, text, lead(id) OVER w AS next_id, lead(chapter) OVER w AS nc, lead(location) OVER w AS nl FROM hl WHERE NOT deleted WINDOW w AS (PARTITION BY book ORDER BY location NULLS LAST, id)), jc AS (SELECT id, book, next_id FROM nx WHERE next_id IS NOT NULL AND right(rtrim(text, ' '), 1) NOT IN ('.', '!', '?') AND chapter = nc AND nl <= location + 25)"
+JOINABLE = "+nx AS (SELECT id, book, chapter, location, text, lead(id) OVER w AS next_id, lead(chapter) OVER w AS nc, lead(location) OVER w AS nl FROM hl WHERE NOT deleted WINDOW w AS (PARTITION BY book ORDER BY location NULLS LAST, id)), jc AS (SELECT id, book, next_id FROM nx WHERE next_id IS NOT NULL AND right(rtrim(text, ' ' || chr(9) || chr(10) || chr(13)), 1) NOT IN ('。', '．', '.', '！', '!', '？', '?', '」', '』', '）', ')', ']', '］', '}', '｝', '】', '》', '〉', '〕', chr(34), '”', chr(39), '’', '…', '‥') AND chapter = nc AND nl <= location + 25)"
 Q["f19_join_candidates"] = hl(lambda h: L.join_candidates(h, 25))
 S["f19_join_candidates"] = oracle("hl", JOINABLE + " SELECT * FROM jc")
 Q["g17_join_candidate_counts"] = hl(lambda h: L.join_candidates(h, 25).groupBy("book").agg(F.count("*").alias("n")))
 S["g17_join_candidate_counts"] = oracle("hl", JOINABLE + " SELECT book, count(*) AS n FROM jc GROUP BY book")
 Q["f22_trash"] = hl(L.trash)
 S["f22_trash"] = oracle("hl", "SELECT book, count(*) FILTER (WHERE deleted) AS n_deleted, count(*) FILTER (WHERE NOT deleted) AS n_live FROM hl GROUP BY book HAVING count(*) FILTER (WHERE deleted) > 0")
-Q["f23_daily_picks"] = hl(lambda h: L.daily_picks(h, "2024-05-01", 10, h.where("id % 2 = 0")).select("id", "book"))
+Q["f23_daily_picks"] = hl(lambda h: L.daily_picks(L.points(h, tech()), "2024-05-01", 10, h.where("id % 2 = 0")).select("id", "book"))
 S["f23_daily_picks"] = oracle("hl", "SELECT id, book FROM hl WHERE NOT deleted AND book NOT IN ('src10', 'src11', 'src12', 'src13', 'src14') ORDER BY CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END, md5('2024-05-01' || CAST(id AS VARCHAR)), id LIMIT 10")
 Q["j15_contained_points"] = hl(lambda h: L.contained(h, 40))
 S["j15_contained_points"] = oracle("hl", "SELECT id, keeper FROM (SELECT a.id, b.id AS keeper, row_number() OVER (PARTITION BY a.id ORDER BY length(b.text) DESC, b.id) AS r FROM hl a JOIN hl b ON a.book = b.book AND NOT a.deleted AND NOT b.deleted AND abs(a.location - b.location) <= 40 AND (length(b.text) > length(a.text) OR (length(b.text) = length(a.text) AND b.id < a.id)) AND contains(b.text, a.text)) WHERE r = 1")
@@ -52,15 +59,15 @@ S["j15_contained_points"] = oracle("hl", "SELECT id, keeper FROM (SELECT a.id, b
 
 def notes(h):
     spans = h.select("id", "book", F.col("location").alias("start"), (F.col("location") + 5 + F.col("id") % 60).alias("end"), F.floor(F.col("location") / 400).alias("page"))
-    own = h.where("id % 10 = 3").select("id", "book", (F.col("location") + 9).alias("at"), F.floor(F.col("location") / 400).alias("page"))
+    own = h.select("id", "book", (F.col("location") + 9).alias("at"), F.floor(F.col("location") / 400).alias("page"))
     return L.attach_notes(own, spans)
 
 
 Q["s04_attach_notes"] = hl(notes)
-S["s04_attach_notes"] = oracle("hl", """+n AS (SELECT id AS note, book, location + 9 AS "at", floor(location / 400) AS page FROM hl WHERE id % 10 = 3), s AS (SELECT id AS highlight, book, location AS "start", location + 5 + id % 60 AS "end", floor(location / 400) AS page FROM hl),
+S["s04_attach_notes"] = oracle("hl", """+n AS (SELECT id AS note, book, location + 9 AS "at", floor(location / 400) AS page FROM hl), s AS (SELECT id AS highlight, book, location AS "start", location + 5 + id % 60 AS "end", floor(location / 400) AS page FROM hl),
 m AS (SELECT note, highlight, CASE WHEN "at" = "end" THEN 0 ELSE 1 END AS level FROM n JOIN s ON n.book = s.book AND "at" BETWEEN "start" AND "end" UNION ALL SELECT note, highlight, 2 FROM n JOIN s ON n.book = s.book AND n.page = s.page)
 SELECT note, highlight, level FROM (SELECT *, row_number() OVER (PARTITION BY note ORDER BY level, highlight) AS r FROM m) WHERE r = 1""")
-Q["g11_first_highlight"] = lambda spark, d: A.read(spark, d, "events").groupBy(F.col("user_id").alias("book")).agg(F.min(F.from_utc_timestamp(F.col("ts").cast("timestamp"), "Asia/Tokyo").cast("date")).alias("first_on"))
+Q["g11_first_highlight"] = lambda spark, d: W.first_days(A.read(spark, d, "events").select(F.col("user_id").alias("book"), F.col("ts").alias("at")))
 S["g11_first_highlight"] = "SELECT user_id AS book, min(CAST(ts + INTERVAL 9 HOUR AS DATE)) AS first_on FROM events GROUP BY user_id"
 
 KEYS = ["user", "field"]
@@ -104,20 +111,14 @@ Q["t07_clock_policy"] = vs(clamped)
 S["t07_clock_policy"] = oracle("vs", "SELECT id, CASE WHEN id % 17 = 0 THEN TIMESTAMP '1970-01-01' WHEN updated > TIMESTAMP '2024-01-21' THEN TIMESTAMP '2024-01-20' ELSE updated END AS stamp FROM vs")
 
 
-def carry(v):
-    w = L.Window.partitionBy("user").orderBy("updated", "id").rowsBetween(L.Window.unboundedPreceding, 0)
-    return v.select("id", F.last(F.when(F.col("field") == "purchase", F.col("updated")), ignorenulls=True).over(w).alias("last_ok"))
+def reports(v):
+    state = F.when(F.col("field") == "signup", "login").when(F.col("field") == "error", "error").otherwise("ok")
+    return v.select("id", F.col("user").alias("source"), F.col("updated").alias("at"), state.alias("state"), "field")
 
 
-Q["t06_carry_forward"] = vs(carry)
+Q["t06_carry_forward"] = vs(lambda v: L.carried(reports(v), F.col("field") == "purchase"))
 S["t06_carry_forward"] = oracle("vs", 'SELECT id, max(CASE WHEN field = \'purchase\' THEN updated END) OVER (PARTITION BY "user" ORDER BY updated, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_ok FROM vs')
 
 
-def health(v):
-    last = v.groupBy("user").agg(F.max_by("field", F.struct("updated", "id")).alias("field"), F.max("updated").alias("at"))
-    stale = F.col("at") < F.lit("2024-01-20").cast("timestamp_ntz")
-    return last.select("user", F.when(stale, "stale").when(F.col("field") == "signup", "login").when(F.col("field") == "error", "error").otherwise("ok").alias("status"))
-
-
-Q["t05_health_status"] = vs(health)
+Q["t05_health_status"] = vs(lambda v: L.health(reports(v), F.lit("2024-01-23").cast("timestamp_ntz"), "1 DAY").withColumnRenamed("source", "user"))
 S["t05_health_status"] = oracle("vs", """SELECT "user", CASE WHEN updated < TIMESTAMP '2024-01-20' THEN 'stale' WHEN field = 'signup' THEN 'login' WHEN field = 'error' THEN 'error' ELSE 'ok' END AS status FROM (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY updated DESC, id DESC) AS r FROM vs) WHERE r = 1""")

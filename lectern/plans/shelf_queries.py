@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lectern.operators import shelves as H
+from lectern.operators import wishlist as W
 
 from . import adapters as A
 from .adapters import oracle
@@ -18,10 +19,10 @@ def bk(f):
     return lambda spark, d: f(A.books(spark, d))
 
 
-Q["j13_unique_external_id"] = wl(lambda b: H.unique_match(b.where("idx % 3 = 0").select("idx", "title"), b.where("idx % 4 = 0").select("title", F.col("size").alias("ext")), "title", "ext").select("idx", "ext"))
-S["j13_unique_external_id"] = oracle("wl", "SELECT a.idx, e.ext FROM wl a LEFT JOIN (SELECT title, min(size) AS ext FROM wl WHERE idx % 4 = 0 GROUP BY title HAVING count(DISTINCT size) = 1) e ON a.title = e.title WHERE a.idx % 3 = 0")
-Q["j12_fill_truncated_title"] = wl(lambda b: H.fill_truncated(b.where("idx % 3 = 0").select(F.col("idx").alias("id"), F.substring("title", 1, 9).alias("title")), b.select("title"), 9))
-S["j12_fill_truncated_title"] = oracle("wl", "+f AS (SELECT substr(title, 1, 9) AS head, min(title) AS ft FROM wl GROUP BY 1 HAVING count(DISTINCT title) = 1) SELECT idx AS id, CASE WHEN length(substr(title, 1, 9)) >= 9 THEN coalesce(ft, substr(title, 1, 9)) ELSE substr(title, 1, 9) END AS title FROM wl LEFT JOIN f ON substr(title, 1, 9) = head WHERE idx % 3 = 0")
+Q["j13_unique_external_id"] = wl(lambda b: H.unique_match(b.select("idx", "title"), b.select("title", F.col("size").alias("ext")), "title", "ext").select("idx", "ext"))
+S["j13_unique_external_id"] = oracle("wl", "SELECT a.idx, e.ext FROM wl a LEFT JOIN (SELECT title, min(size) AS ext FROM wl GROUP BY title HAVING count(DISTINCT size) = 1) e ON a.title = e.title")
+Q["j12_fill_truncated_title"] = wl(lambda b: H.fill_truncated(b.select(F.col("idx").alias("id"), F.substring("title", 1, 9).alias("title")), b.select("title"), 9))
+S["j12_fill_truncated_title"] = oracle("wl", "+f AS (SELECT substr(title, 1, 9) AS head, min(title) AS ft FROM wl GROUP BY 1 HAVING count(DISTINCT title) = 1) SELECT idx AS id, CASE WHEN length(substr(title, 1, 9)) >= 9 THEN coalesce(ft, substr(title, 1, 9)) ELSE substr(title, 1, 9) END AS title FROM wl LEFT JOIN f ON substr(title, 1, 9) = head")
 Q["m12_mapping_upsert"] = bk(lambda b: H.upsert_mapping(b.where("asin % 3 <> 0"), b.where("asin % 2 = 0").select((F.col("asin") + 300).alias("asin"), "wanted", "purchased", "title"), "asin", ["wanted", "purchased"], ["title"]))
 S["m12_mapping_upsert"] = oracle("bk", "+b AS (SELECT * FROM bk WHERE asin % 3 <> 0), i AS (SELECT asin + 300 AS asin, wanted, purchased, title FROM bk WHERE asin % 2 = 0) SELECT coalesce(b.asin, i.asin) AS asin, coalesce(b.wanted, false) OR coalesce(i.wanted, false) AS wanted, coalesce(b.purchased, false) OR coalesce(i.purchased, false) AS purchased, coalesce(b.title, i.title) AS title FROM b FULL JOIN i ON b.asin = i.asin")
 
@@ -65,9 +66,9 @@ Q["j21_evidence_overlap"] = lambda spark, d: H.evidence_overlap(A.read(spark, d,
 S["j21_evidence_overlap"] = 'SELECT l_orderkey AS note, true AS "any", count(DISTINCT l_suppkey) = 2 AS "all" FROM lineitem WHERE l_suppkey IN (3, 5) GROUP BY l_orderkey'
 Q["t04_auto_recompute"] = lambda spark, d: H.auto_recompute(A.read(spark, d, "events").groupBy(F.col("user_id").alias("user")).agg(F.count_if(F.col("event_type") == "purchase").alias("n"), F.floor((F.max(F.unix_micros(F.col("ts").cast("timestamp"))) - F.min(F.unix_micros(F.col("ts").cast("timestamp")))) / 3600000000).alias("hours")))
 S["t04_auto_recompute"] = 'SELECT user_id AS "user", count(*) FILTER (WHERE event_type = \'purchase\') >= 10 OR (count(*) FILTER (WHERE event_type = \'purchase\') > 0 AND floor((max(epoch_us(ts)) - min(epoch_us(ts))) / 3600000000) >= 24) AS due FROM events GROUP BY user_id'
-Q["g13_seen_summary"] = wl(lambda b: b.groupBy(F.col("label").alias("kind")).agg(F.count_if("purchased").alias("seen"), F.count_if(F.col("purchased") & (F.col("size") % 6 > 0)).alias("rated")))
+Q["g13_seen_summary"] = wl(lambda b: W.seen_summary(b.select(F.col("label").alias("kind"), F.col("purchased").alias("seen"), (F.col("size") % 6).alias("rating"))))
 S["g13_seen_summary"] = oracle("wl", "SELECT label AS kind, count(*) FILTER (WHERE purchased) AS seen, count(*) FILTER (WHERE purchased AND size % 6 > 0) AS rated FROM wl GROUP BY label")
-Q["f13_manga_classifier"] = wl(lambda b: b.select("idx", F.coalesce(F.when(F.col("idx") % 100 == 1, F.lit(True)), F.col("kind").rlike("(?i)tin|copper")).alias("manga")))
+Q["f13_manga_classifier"] = wl(lambda b: b.select("idx", W.is_manga(F.col("kind"), F.when(F.col("idx") % 100 == 1, F.lit(True)), "(?i)tin|copper").alias("manga")))
 S["f13_manga_classifier"] = oracle("wl", "SELECT idx, idx % 100 = 1 OR regexp_matches(kind, '(?i)tin|copper') AS manga FROM wl")
 Q["f17_pending_points"] = lambda spark, d: A.highlights(spark, d).where("not deleted").select("id").join(A.points(spark, d).select("id"), "id", "left_anti")
 S["f17_pending_points"] = oracle("hl", "SELECT id FROM hl WHERE NOT deleted AND id NOT IN (SELECT vec_id FROM embeddings)")

@@ -101,11 +101,11 @@ S["j18_pointer_chase"] = "WITH c AS (SELECT c_custkey AS id, CAST(12 - (c_custke
 
 def links(spark, d):
     li = A.read(spark, d, "lineitem")
-    return G.newest_per_peer(li.where("l_linenumber = 1").select(F.col("l_suppkey").alias("a"), (F.col("l_suppkey") + F.col("l_partkey") % 5 + 1).alias("b"), F.col("l_shipdate").cast("date").alias("at")))
+    return G.newest_per_peer(li.select(F.col("l_suppkey").alias("a"), (F.col("l_suppkey") + F.col("l_partkey") % 5 + 1).alias("b"), F.col("l_shipdate").cast("date").alias("at")))
 
 
 Q["j20_newest_per_peer"] = links
-S["j20_newest_per_peer"] = "WITH l AS (SELECT l_suppkey AS a, l_suppkey + l_partkey % 5 + 1 AS b, CAST(l_shipdate AS DATE) AS t FROM lineitem WHERE l_linenumber = 1) SELECT node, peer, max(t) AS \"at\" FROM (SELECT a AS node, b AS peer, t FROM l UNION ALL SELECT b, a, t FROM l) GROUP BY node, peer"
+S["j20_newest_per_peer"] = "WITH l AS (SELECT l_suppkey AS a, l_suppkey + l_partkey % 5 + 1 AS b, CAST(l_shipdate AS DATE) AS t FROM lineitem) SELECT node, peer, max(t) AS \"at\" FROM (SELECT a AS node, b AS peer, t FROM l UNION ALL SELECT b, a, t FROM l) GROUP BY node, peer"
 Q["a21_snapshot_diff"] = pt(lambda p: G.diff(p.where("id % 3 <> 0 and line <> 4").select("line", F.col("id").alias("point")), p.where("line <> 5").select("line", F.col("id").alias("point"))))
 S["a21_snapshot_diff"] = oracle("pt", "SELECT line, CASE WHEN line = 4 THEN 'added' WHEN line = 5 THEN 'removed' WHEN count(*) FILTER (WHERE id % 3 = 0) > 0 THEN 'grown' ELSE 'kept' END AS state, CASE WHEN line = 4 THEN count(*) WHEN line = 5 THEN 0 ELSE count(*) FILTER (WHERE id % 3 = 0) END AS n_new FROM pt GROUP BY line HAVING line <> 5 OR count(*) FILTER (WHERE id % 3 <> 0) > 0")
 
@@ -119,7 +119,7 @@ def planes(spark, d):
 
 Q["j22_main_plane"] = planes
 S["j22_main_plane"] = "SELECT note, plane FROM (SELECT l_orderkey AS note, s_nationkey AS plane, row_number() OVER (PARTITION BY l_orderkey ORDER BY count(*) DESC, s_nationkey) AS r FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY l_orderkey, s_nationkey) WHERE r = 1"
-Q["a25_graph_edges"] = lambda spark, d: G.tree_edges(A.read(spark, d, "region"), A.read(spark, d, "nation"), A.read(spark, d, "supplier"))
+Q["a25_graph_edges"] = lambda spark, d: G.tree_edges(A.read(spark, d, "nation").select(F.col("n_regionkey").alias("plane"), F.col("n_nationkey").alias("line")), A.read(spark, d, "supplier").select(F.col("s_nationkey").alias("line"), F.col("s_suppkey").alias("point")))
 S["a25_graph_edges"] = "SELECT 'p' || n_regionkey AS src, 'l' || n_nationkey AS dst, 'plane' AS kind FROM nation UNION ALL SELECT 'l' || s_nationkey, 'h' || s_suppkey, 'line' FROM supplier"
 
 

@@ -24,11 +24,11 @@ Q["f07_inverted_range"] = wl(lambda b: W.filtered(b, None, "", True, "Brand#12",
 S["f07_inverted_range"] = oracle("wl", "SELECT idx, true AS range_ignored FROM wl WHERE ku AND label = 'Brand#12'")
 Q["f08_shelves"] = wl(lambda b: b.select("idx", F.when(W.shelf("purchased"), "purchased").when(W.shelf("wanted"), "wanted").otherwise("other").alias("shelf")))
 S["f08_shelves"] = oracle("wl", "SELECT idx, CASE WHEN purchased THEN 'purchased' WHEN wanted THEN 'wanted' ELSE 'other' END AS shelf FROM wl")
-Q["f10_price_stop"] = wl(lambda b: b.select("idx", F.when(F.col("kind").contains("TIN"), "manga").when(F.col("purchased"), "purchased").when(F.col("size") > 40, "seen").alias("stop")))
+Q["f10_price_stop"] = wl(lambda b: b.select("idx", W.stop_reason(F.col("kind").contains("TIN"), F.col("purchased"), F.col("size") > 40).alias("stop")))
 S["f10_price_stop"] = oracle("wl", "SELECT idx, CASE WHEN contains(kind, 'TIN') THEN 'manga' WHEN purchased THEN 'purchased' WHEN size > 40 THEN 'seen' END AS stop FROM wl")
 Q["g04_label_counts"] = wl(W.label_counts)
 S["g04_label_counts"] = oracle("wl", "SELECT label, count(*) AS n FROM wl GROUP BY label")
-Q["g05_facets"] = wl(W.facets)
+Q["g05_facets"] = wl(lambda b: W.facets(b, purchased=W.shelf("purchased"), wanted=W.shelf("wanted"), ku=F.col("ku"), missing=F.col("price").isNull(), cheap=F.col("price") < 1000))
 S["g05_facets"] = oracle("wl", "SELECT 'purchased' AS facet, count(*) AS n FROM wl WHERE purchased UNION ALL SELECT 'wanted', count(*) FROM wl WHERE wanted AND NOT purchased UNION ALL SELECT 'ku', count(*) FROM wl WHERE ku UNION ALL SELECT 'missing', count(*) FROM wl WHERE price IS NULL UNION ALL SELECT 'cheap', count(*) FROM wl WHERE price < 1000")
 Q["g06_price_total"] = wl(W.totals)
 S["g06_price_total"] = oracle("wl", "SELECT round(sum(price), 2) AS total, count(price) AS priced, count(*) FILTER (WHERE price IS NULL) AS unpriced FROM wl")
@@ -52,14 +52,13 @@ S["j09_reading_state"] = oracle("wl", "SELECT idx, CASE WHEN idx % 9 = 0 OR titl
 
 
 def matched(b):
-    left = b.where("idx % 20 = 0").select(F.col("idx").alias("id"), "title")
-    right = b.where("idx % 20 = 1").select(F.col("idx").alias("id"), F.when(F.col("idx") % 3 == 0, F.concat("title", F.lit(" extra"))).otherwise(F.col("title")).alias("title"))
-    return W.match_titles(left, right)
+    right = b.select(F.col("idx").alias("id"), F.when(F.col("idx") % 3 == 0, F.concat("title", F.lit(" extra"))).when(F.col("idx") % 3 == 1, F.concat("title", F.lit(" more"))).otherwise(F.col("title")).alias("title"))
+    return W.match_titles(b.select(F.col("idx").alias("id"), "title"), right)
 
 
 Q["j10_title_match"] = wl(matched)
-S["j10_title_match"] = oracle("wl", """+a AS (SELECT idx AS l, regexp_replace(lower(title), '[^a-z0-9]', '', 'g') AS k FROM wl WHERE idx % 20 = 0), b AS (SELECT idx AS r, regexp_replace(lower(CASE WHEN idx % 3 = 0 THEN title || ' extra' ELSE title END), '[^a-z0-9]', '', 'g') AS k FROM wl WHERE idx % 20 = 1)
-SELECT l, r, exact FROM (SELECT l, r, a.k = b.k AS exact, row_number() OVER (PARTITION BY l ORDER BY CASE WHEN a.k = b.k THEN 0 ELSE 1 END, r) AS n FROM a JOIN b ON starts_with(a.k, b.k) OR starts_with(b.k, a.k) WHERE length(a.k) >= 5 AND length(b.k) >= 5) WHERE n = 1""")
+S["j10_title_match"] = oracle("wl", """+a AS (SELECT idx AS l, regexp_replace(lower(title), '[^a-z0-9]', '', 'g') AS k FROM wl), b AS (SELECT min(idx) AS r, regexp_replace(lower(CASE idx % 3 WHEN 0 THEN title || ' extra' WHEN 1 THEN title || ' more' ELSE title END), '[^a-z0-9]', '', 'g') AS k FROM wl GROUP BY 2), d AS (SELECT DISTINCT k FROM a WHERE length(k) >= 5),
+m AS (SELECT d.k, arg_min(r, (d.k <> b.k, r)) AS r, bool_or(d.k = b.k) AS exact FROM d JOIN b ON starts_with(d.k, b.k) OR starts_with(b.k, d.k) WHERE length(b.k) >= 5 GROUP BY d.k) SELECT l, r, exact FROM a JOIN m ON a.k = m.k""")
 Q["g08_day_rollup"] = rd(W.month_summary)
 S["g08_day_rollup"] = oracle("rd", "SELECT read_on, count(*) AS books, coalesce(sum(pages), 0) AS pages, count(*) FILTER (WHERE pages IS NULL) AS unknown FROM rd GROUP BY read_on UNION ALL SELECT NULL, count(*), coalesce(sum(pages), 0), count(*) FILTER (WHERE pages IS NULL) FROM rd")
 Q["g09_year_months"] = rd(lambda r: W.year_summary(r, 1998))

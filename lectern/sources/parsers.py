@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.functions.dates import annotated_on, loose_date
+from lectern.functions.text import clean_text
+from lectern.operators.library import attach_notes
+
 # Words of the clippings format, by language.
 KINDS = {"highlight": ("Highlight", "ハイライト", "Markierung", "surlignement", "subrayado"), "note": ("Note", "メモ", "Notiz", "note", "nota"), "bookmark": ("Bookmark", "ブックマーク", "Lesezeichen", "signet", "marcador")}
 
@@ -20,6 +24,10 @@ BOOK = T.StructType(
 )
 
 
+# What stands before the time of an entry.
+ADDED = "(?i)(?:Added on|作成日[:：]?|追加日[:：]?|Hinzugefügt am|Añadido el|Ajouté le|Aggiunto in data|Toegevoegd op|Adicionado:?|添加于)\\s*(.+)$"
+
+
 def read_clippings(spark: SparkSession, path: str) -> DataFrame:
     """(title, author, kind, location, location_end, page, text) of clippings files, one
     record per entry between rules of equal signs; bookmarks and empty texts are dropped."""
@@ -46,16 +54,34 @@ def parse_clippings(entries: DataFrame) -> DataFrame:
     author = F.regexp_extract(head, r"\(((?:[^()]|\([^()]*\))*)\)\s*$", 1)
     title = F.trim(F.regexp_replace(head, r"\((?:[^()]|\([^()]*\))*\)\s*$", ""))
     page = F.regexp_extract(meta, r"(?:page|ページ|Seite)\s*([0-9ivxlc]+)", 1)
-    rows = entries.select(title.alias("title"), author.alias("author"), kind.alias("kind"), start.alias("location"), F.coalesce(end, start).cast("long").alias("location_end"), F.nullif(page, F.lit("")).alias("page"), text.alias("text"))
+    rows = entries.select(title.alias("title"), author.alias("author"), kind.alias("kind"), start.alias("location"), F.coalesce(end, start).cast("long").alias("location_end"), F.nullif(page, F.lit("")).alias("page"), loose_date(F.regexp_extract(meta, ADDED, 1)).alias("at"), text.alias("text"))
     return rows.where("kind in ('highlight', 'note') and text <> ''")
 
 
+def with_notes(entries: DataFrame) -> DataFrame:
+    """(title, author, kind, location, location_end, page, at, text, note): notes joined to the
+    highlight whose range ends at them, or holds them, or shares their page where both have no
+    place; the others stay rows of their own."""
+    e = entries.withColumn("id", F.xxhash64("title", "kind", "location", "page", "text"))
+    h, n = e.where("kind = 'highlight'"), e.where("kind = 'note'")
+    spans = h.select("id", F.col("title").alias("book"), F.col("location").alias("start"), F.coalesce("location_end", "location").alias("end"), F.when(F.col("location").isNull(), F.col("page")).alias("page"))
+    own = n.select("id", F.col("title").alias("book"), F.col("location").alias("at"), F.when(F.col("location").isNull(), F.col("page")).alias("page"))
+    found = attach_notes(own, spans).where("highlight is not null")
+    said = found.join(n.select(F.col("id").alias("note"), F.col("location").alias("place"), "text"), "note").groupBy(F.col("highlight").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), "\n").alias("note"))
+    rest = n.join(found.select(F.col("note").alias("id")), "id", "left_anti").withColumn("note", F.lit(""))
+    return h.join(said, "id", "left").withColumn("note", F.coalesce("note", F.lit(""))).unionByName(rest).drop("id")
+
+
 def read_notebook(spark: SparkSession, path: str) -> DataFrame:
-    """One row per highlight of notebook JSON; books without any are dropped."""
+    """One row per highlight of notebook JSON, with the day of the book's last one; a note without
+    a text stands for itself; empty ones and books without any are dropped."""
     raw = spark.read.schema(T.StructType([T.StructField("books", T.ArrayType(BOOK))])).json(path, multiLine=True)
-    b = raw.select(F.explode("books").alias("b")).select("b.asin", "b.title", "b.author", F.explode("b.highlights").alias("h"))
+    b = raw.select(F.explode("books").alias("b")).select("b.asin", "b.title", "b.author", "b.lastAnnotated", F.explode("b.highlights").alias("h"))
     location = F.regexp_replace("h.location", ",", "").try_cast("long")
-    return b.select("asin", "title", "author", "h.text", "h.note", location.alias("location"), "h.page", "h.color")
+    said = clean_text(F.coalesce(F.nullif("h.text", F.lit("")), "h.note"))
+    own = F.coalesce("h.text", F.lit("")) != ""
+    rows = b.select("asin", "title", "author", annotated_on(F.col("lastAnnotated")).alias("annotated_on"), F.when(own, "highlight").otherwise("note").alias("kind"), said.alias("text"), F.when(own, F.coalesce("h.note", F.lit(""))).otherwise("").alias("note"), location.alias("location"), "h.page", "h.color")
+    return rows.where("text <> ''")
 
 
 def html_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", tags: str = "p|h1|h2|li") -> DataFrame:

@@ -107,10 +107,18 @@ def test_clippings(spark, tmp_path):
     ]
 
 
+def test_clippings_with_notes(spark):
+    entry = lambda kind, place, text: (f"Book (Ann)\n- Your {kind} on {place} | Added on Sunday, January 1, 2023 12:34:56 PM\n\n{text}\n",)
+    rows = [entry("Highlight", "location 10-20", "one"), entry("Highlight", "location 30-40", "two"), entry("Note", "location 20", "at end"), entry("Note", "location 33", "inside"), entry("Note", "location 99", "alone")]
+    got = parsers.with_notes(parsers.parse_clippings(spark.createDataFrame(rows, "entry string"))).orderBy("location").collect()
+    assert [(r.kind, r.text, r.note) for r in got] == [("highlight", "one", "at end"), ("highlight", "two", "inside"), ("note", "alone", "")]
+    assert {str(r["at"]) for r in got} == {"2023-01-01 12:34:56"}
+
+
 def test_notebook(spark, tmp_path):
     (tmp_path / "n.json").write_text('{"books": [{"asin": "A", "title": "T", "highlights": [{"text": "x", "location": "1,020"}, {"note": "only"}]}, {"asin": "B", "highlights": []}]}')
     got = parsers.read_notebook(spark, str(tmp_path / "n.json")).collect()
-    assert [(r.asin, r.text, r.note, r.location) for r in got] == [("A", "x", None, 1020), ("A", None, "only", None)]
+    assert [(r.asin, r.kind, r.text, r.note, r.location) for r in got] == [("A", "highlight", "x", "", 1020), ("A", "note", "only", "", None)]
 
 
 def test_pointers_and_guard(spark):
