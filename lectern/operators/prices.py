@@ -89,15 +89,39 @@ def target_reached(history: DataFrame, targets: DataFrame) -> DataFrame:
     return transitions(met, F.col("price") <= F.col("target"), ~F.col("ku") & F.col("price").isNotNull())
 
 
+def change_events(books: DataFrame, history: DataFrame) -> DataFrame:
+    """(asin, at, kind) of all five kinds of events in one pass over each book's rows: the last
+    change of a paid price, and where the state a book is in now began among its newest rows."""
+    targets = books.select("asin", "target")
+    h = history.join(targets, "asin", "left")
+    forward = Window.partitionBy("asin").orderBy("ts", "id")
+    earlier = forward.rowsBetween(Window.unboundedPreceding, -1)
+    h = h.withColumn("r", F.row_number().over(Window.partitionBy("asin").orderBy(F.col("ts").desc(), F.col("id").desc())))
+    known, paid, lately = F.col("price").isNotNull(), ~F.col("ku") & F.col("price").isNotNull(), F.col("r") <= NEWEST
+    states = {
+        "joined": (F.col("ku") | known, F.col("ku")),
+        "left": (F.col("ku") | known, ~F.col("ku")),
+        "campaign": (paid, F.coalesce("campaign", F.lit("")) != ""),
+        "target": (paid & F.col("target").isNotNull(), F.col("price") <= F.col("target")),
+    }
+    h = h.withColumns({f"s_{k}": F.when(lately & fit, state) for k, (fit, state) in states.items()} | {"paid": F.when(paid, F.col("price"))})
+    h = h.withColumns({f"b_{k}": F.last(f"s_{k}", ignorenulls=True).over(earlier) for k in states} | {"before": F.last("paid", ignorenulls=True).over(earlier)})
+    at = F.struct("ts", "id")
+    changed = F.col("paid").isNotNull() & F.col("before").isNotNull() & (F.col("before") != F.col("paid"))
+    aggs = [F.max_by("paid", F.when(F.col("paid").isNotNull(), at)).alias("current"), F.max_by("before", F.when(changed, at)).alias("prev"), F.max(F.when(changed, F.col("ts"))).alias("changed_at")]
+    for k in states:
+        aggs += [F.max_by(f"s_{k}", F.when(F.col(f"s_{k}").isNotNull(), at)).alias(f"now_{k}"), F.max(F.when(F.col(f"s_{k}") & ~F.col(f"b_{k}"), F.col("ts"))).alias(f"at_{k}")]
+    g = h.groupBy("asin").agg(*aggs)
+    kind = F.when(F.col("current") < F.col("prev"), "drop").otherwise("rise")
+    found = [F.when(F.col("changed_at").isNotNull(), F.struct(F.col("changed_at").alias("at"), kind.alias("kind")))]
+    found += [F.when(F.col(f"now_{k}") & F.col(f"at_{k}").isNotNull(), F.struct(F.col(f"at_{k}").alias("at"), F.lit(k).alias("kind"))) for k in states]
+    return g.select("asin", F.explode(F.filter(F.array(*found), lambda e: e.isNotNull())).alias("e")).select("asin", "e.at", "e.kind")
+
+
 def feed(books: DataFrame, history: DataFrame, picked: bool = True, limit: int = 50) -> DataFrame:
     """The newest events of all kinds; only wanted, unpurchased books where `picked`. The
     filter comes before the limit."""
-    t = trend(history).where("changed_at is not null")
-    price = t.select("asin", F.col("changed_at").alias("at"), F.when(F.col("current") < F.col("prev"), "drop").otherwise("rise").alias("kind"))
-    parts = [joined_unlimited(history).withColumn("kind", F.lit("joined")), left_unlimited(history).withColumn("kind", F.lit("left")), campaign_started(history).withColumn("kind", F.lit("campaign")), target_reached(history, books).withColumn("kind", F.lit("target"))]
-    events = price
-    for p in parts:
-        events = events.unionByName(p)
+    events = change_events(books, history)
     if picked:
         events = events.join(books.where("wanted and not purchased").select("asin"), "asin", "left_semi")
     return events.orderBy(F.col("at").desc(), F.col("asin").desc(), F.col("kind").desc()).limit(limit)
