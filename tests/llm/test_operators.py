@@ -292,6 +292,20 @@ def test_language_scores(spark, odd, empty):
     assert hmm_lm.language_scores(empty, F.lit(False)).count() == 0
 
 
+def test_language_model_uses_context(spark):
+    """Held-out texts that keep to one of two vocabularies are likelier than by counts alone, and
+    likelier than texts that mix both, which the counts cannot tell apart."""
+    tongues = [["sun", "moon", "river", "stone", "cloud", "wolf"], ["soleil", "lune", "fleuve", "pierre", "nuage", "loup"]]
+    r = random.Random(2)
+    say = lambda *words: " ".join(r.choice(r.choice(words)) for _ in range(30))
+    docs = [(d, say(tongues[d % 2])) for d in range(400)] + [(1000 + d, say(*tongues)) for d in range(40)]
+    held = (crc_mod("doc_id", 10) == 0) | (F.col("doc_id") >= 1000)
+    got = hmm_lm.language_scores(spark.createDataFrame(docs, "doc_id long, text string"), held).collect()
+    own = [x.score - x.base_score for x in got if x.doc_id < 1000 and x.held_out]
+    mixed = [x.score - x.base_score for x in got if x.doc_id >= 1000]
+    assert len(own) > 20 and np.mean(own) > 3 and np.mean(mixed) < np.mean(own) - 3
+
+
 # 5 ------------------------------------------------------------------------------------
 
 
@@ -788,3 +802,21 @@ def test_pipeline_stages(spark, tmp_path):
     assert seen["secrets"][40].text.endswith(" [SECRET]") and set(seen["secrets"]) == set(seen["decontaminate"])
     assert seen["byte_bpe"][50].decoded_sha256 == hashlib.sha256(docs[50][1].encode()).hexdigest()
     assert len(C.run(spark, str(folder)).collect()) == len(seen["byte_bpe"])
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Null ids and texts, repeated rows, very long texts, a clashing column, no character count,
+    and empty tables, through every stage."""
+    import corpus_pipeline as C
+
+    odd = spark.createDataFrame([(i, t, "en") for i, t, _ in ODD], "doc_id long, text string, lang string").withColumn("component", F.lit("clash")).withColumn("spans", F.lit(1))
+    folder = str(tmp_path / "sf")
+    spark.createDataFrame([(1, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, None), (2, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    for docs in (odd, odd.limit(0)):
+        n = docs.count()
+        for name, stage in C.STAGES:
+            out = stage(spark, docs, folder)
+            if name != "byte_bpe":
+                assert out.columns == odd.columns
+            assert out.count() == n, name
