@@ -31,7 +31,7 @@ import zlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, whole_text
+from .common import release, table, whole_text
 
 BUCKETS = 1 << 16
 CHUNK = 4096
@@ -156,10 +156,12 @@ def _blocks(batches):
         ids = batch.column("doc_id")
         last = [offsets.tobytes(), coded.indices.to_numpy().astype("<i4").tobytes()]
         known = ids.is_valid().to_numpy(zero_copy_only=False).astype("u1").tobytes()
+        end = [None, ids.fill_null(0).to_numpy().astype("<i8").tobytes(), *last, known, None]
+        distinct = coded.dictionary
+        del batch, words, flat, coded, folded, last, ids  # only distinct words are held while they are folded
         for i, x in enumerate(lists):
-            own = coded.dictionary[i * CHUNK : (i + 1) * CHUNK].filter(pc.invert(short[i * CHUNK : (i + 1) * CHUNK])).to_pylist()
+            own = distinct[i * CHUNK : (i + 1) * CHUNK].filter(pc.invert(short[i * CHUNK : (i + 1) * CHUNK])).to_pylist()
             yield pa.RecordBatch.from_arrays([x, *(pa.array([None], t) for t in types[1:-1]), pa.array([own], types[-1])], names=names)
-        end = [None, ids.fill_null(0).to_numpy().astype("<i8").tobytes(), *last, known, None]
         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(end, types)], names=names)
 
 
@@ -201,33 +203,32 @@ def _assemble(ranks_path: str):
         import pyarrow as pa
 
         tokens = Tokens(read_ranks(ranks_path))
-        found: list[str] = []
-        sizes: list = []
+        none = [np.zeros(0, t) for t in ("<u4", np.int64, np.uint8, np.int64)]
+        held: list[list] = [[x] for x in none]
         for batch in batches:
             for row in batch.to_pylist():
                 if row["symbols"] is not None:
                     very_long = iter(row["long"] or ())
                     own = [s if s is not None else "".join(tokens.symbol_of[i] for i in merge_with_heap(next(very_long).encode(), tokens.ranks)) for s in row["symbols"]]
-                    found.append("".join(own))
-                    sizes.append(np.array([len(s) for s in own], np.int64))
+                    n_ids = np.array([len(s) for s in own], np.int64)
+                    ids = tokens.ids("".join(own))
+                    # the words' bytes, by concatenating their ids' pieces
+                    lengths = tokens.piece_at[ids + 1] - tokens.piece_at[ids]
+                    ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(n_ids)])]
+                    for into, x in zip(held, (ids, n_ids, tokens.pieces[spread(tokens.piece_at[ids], lengths)], np.diff(ends))):
+                        into.append(x)
                     continue
                 docs, known = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["whole"], "u1")
                 offsets, positions = np.frombuffer(row["offsets"], "<i8"), np.frombuffer(row["positions"], "<i4")
-                n_ids = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-                flat = tokens.ids("".join(found))
-                starts = np.cumsum(n_ids) - n_ids
-                # the words' bytes, by concatenating their ids' pieces
-                lengths = tokens.piece_at[flat + 1] - tokens.piece_at[flat]
-                pieces = tokens.pieces[spread(tokens.piece_at[flat], lengths)]
-                ends = np.concatenate([[0], np.cumsum(lengths)])
-                first, last = ends[starts], ends[starts + n_ids]
+                flat, n_ids, pieces, n_bytes = (np.concatenate(x) for x in held)
+                held = [[x] for x in none]
+                starts, first = np.cumsum(n_ids) - n_ids, np.cumsum(n_bytes) - n_bytes
                 out: list[tuple] = []
                 for k, doc in enumerate(docs.tolist()):
                     own = positions[offsets[k] : offsets[k + 1]]
                     ids = flat[spread(starts[own], n_ids[own])]
-                    decoded = pieces[spread(first[own], last[own] - first[own])]
+                    decoded = pieces[spread(first[own], n_bytes[own])]
                     out.append((doc if known[k] else None, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(decoded.tobytes()).hexdigest()))
-                found, sizes = [], []
                 if out:
                     a, b, c, d = zip(*out)
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c), pa.array(d)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
@@ -254,6 +255,7 @@ def decode_ids(ids: DataFrame, ranks_path: str, col: str = "ids") -> DataFrame:
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row."""
+    release(docs.sparkSession)
     merges = rank_map(read_ranks(ranks_path))
     words = F.regexp_extract_all(whole_text(text_col), F.lit(java_pattern(pattern)), F.lit(0))
     cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), words.alias("words"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -39,6 +40,14 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Collect what finished steps left on the driver. Spark removes shuffle files and broadcasts
+    only once the objects that stand for them are collected, so many short steps in a row
+    otherwise keep their files, and their plans, until memory runs short."""
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+
+
 def runs(batches, keys: list[str], values: list[str]):
     """(key, rows) of each run of equal keys in batches that come sorted by key; a run may
     span batches. Memory follows the longest run."""

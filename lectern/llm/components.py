@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_path, new_path, written
+from .common import drop_path, new_path, release, written
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -47,5 +47,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         state = seen
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    release(spark)
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots).distinct()
