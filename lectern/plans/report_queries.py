@@ -27,14 +27,13 @@ S["x03_live_collections"] = oracle("vs", "SELECT field, count(*) AS n, max(updat
 
 
 def sides(v):
-    one = lambda r: v.where(F.col("replica") == r).groupBy("user").agg(F.max_by("value", F.struct("updated", "id")).alias("value"), F.max_by(F.when(F.col("field") != "error", F.col("field")), F.struct("updated", "id")).alias("field"), F.max("updated").alias("updated"))
+    one = lambda r: v.where(F.col("replica") == r).groupBy("user").agg(F.max_by("value", F.struct("updated", "id")).alias("value"), F.max_by(F.when(F.col("id") % 3 > 0, F.col("field")), F.struct("updated", "id")).alias("field"), F.max("updated").alias("updated"))
     return R.merged_tables(one(0), one(1), "user", ["value", "field"], "updated")
 
 
 Q["j08_merged_tables"] = lambda spark, d: sides(A.versions(spark, d))
-S["j08_merged_tables"] = oracle("vs", """+s AS (SELECT * FROM (SELECT *, CASE WHEN field <> 'error' THEN field END AS f, row_number() OVER (PARTITION BY replica, "user" ORDER BY updated DESC, id DESC) AS r FROM vs) WHERE r = 1), t AS (SELECT replica, "user", max(updated) AS u FROM vs GROUP BY replica, "user"),
-fv AS (SELECT replica, "user", arg_max(f, (updated, id)) AS f, arg_max(value, (updated, id)) AS v FROM (SELECT *, CASE WHEN field <> 'error' THEN field END AS f FROM vs) GROUP BY replica, "user"), b AS (SELECT t."user", u, v, f FROM t JOIN fv ON t."user" = fv."user" AND t.replica = fv.replica WHERE t.replica = 0), i AS (SELECT t."user", u, v, f FROM t JOIN fv ON t."user" = fv."user" AND t.replica = fv.replica WHERE t.replica = 1)
-SELECT coalesce(b."user", i."user") AS "user", CASE WHEN b."user" IS NULL OR i.u > b.u THEN coalesce(i.v, b.v) ELSE coalesce(b.v, i.v) END AS value, CASE WHEN b."user" IS NULL OR i.u > b.u THEN coalesce(i.f, b.f) ELSE coalesce(b.f, i.f) END AS field, greatest(b.u, i.u) AS updated FROM b FULL JOIN i ON b."user" = i."user\"""")
+S["j08_merged_tables"] = oracle("vs", """+l AS (SELECT replica AS p, "user" AS u, updated AS t, value AS v, CASE WHEN id % 3 > 0 THEN field END AS f FROM (SELECT *, row_number() OVER (PARTITION BY replica, "user" ORDER BY updated DESC, id DESC) AS r FROM vs) WHERE r = 1), b AS (SELECT * FROM l WHERE p = 0), i AS (SELECT * FROM l WHERE p = 1)
+SELECT coalesce(b.u, i.u) AS "user", CASE WHEN b.u IS NULL OR i.t > b.t THEN coalesce(i.v, b.v) ELSE coalesce(b.v, i.v) END AS value, CASE WHEN b.u IS NULL OR i.t > b.t THEN coalesce(i.f, b.f) ELSE coalesce(b.f, i.f) END AS field, greatest(b.t, i.t) AS updated FROM b FULL JOIN i ON b.u = i.u""")
 Q["o05_limits"] = lambda spark, d: R.limited(A.versions(spark, d).select("id", "field", "updated"), "field", [F.col("updated").desc(), F.col("id").desc()], {"click": 30, "error": 8, "signup": 12}).select("id", "field")
 S["o05_limits"] = oracle("vs", "SELECT id, field FROM (SELECT id, field, row_number() OVER (PARTITION BY field ORDER BY updated DESC, id DESC) AS r FROM vs) WHERE r <= CASE field WHEN 'click' THEN 30 WHEN 'error' THEN 8 WHEN 'signup' THEN 12 ELSE 0 END")
 Q["x13_outline_materials"] = lambda spark, d: R.outline_materials(A.read(spark, d, "lineitem").select(F.col("l_suppkey").alias("outline"), F.col("l_partkey").alias("id"), F.col("l_returnflag").alias("source"), "l_orderkey").withColumnRenamed("l_orderkey", "place"), 12)
