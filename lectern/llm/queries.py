@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their oracle SQL."""
 
-from . import byte_bpe, chat_format, decontaminate, embedding_dedup, hmm_lm, ngram_join, pii, secrets, token_counts, toxicity
+from . import byte_bpe, chat_format, decontaminate, embedding_dedup, filter_audit, hmm_lm, ngram_join, pii, secrets, token_counts, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -13,7 +13,9 @@ QUERIES = {
     "op8_pii": pii.query,
     "op9_byte_bpe": byte_bpe.query,
     "op10_embedding_dedup": embedding_dedup.query,
+    "op12_filter_audit": filter_audit.query,
 }
 ORACLE_SQL = {
     "op5_chat_format": chat_format.ORACLE_SQL,
+    "op12_filter_audit": filter_audit.ORACLE_SQL,
 }
