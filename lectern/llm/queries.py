@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their oracle SQL."""
 
-from . import byte_bpe, chat_format, decontaminate, embedding_dedup, filter_audit, hmm_lm, ngram_join, pii, prefix_trie, secrets, token_counts, toxicity
+from . import byte_bpe, chat_format, decontaminate, embedding_dedup, filter_audit, hmm_lm, html_extract, ngram_join, pii, prefix_trie, secrets, token_counts, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_pii": pii.query,
     "op9_byte_bpe": byte_bpe.query,
     "op10_embedding_dedup": embedding_dedup.query,
+    "op11_html_extract": html_extract.query,
     "op12_filter_audit": filter_audit.query,
     "op13_prefix_trie": prefix_trie.query,
 }
