@@ -421,7 +421,8 @@ def extract(pages: DataFrame, parts: int | None = None) -> DataFrame:
     keys = ["host", "path", "row"]
     ranged = in_ranges(digests, keys, "lines", parts)
     found = written(with_neighbours(ranged, keys, parts).mapInArrow(_compare, "row binary, paired boolean, shared binary"), "shared-lines")
-    met = rows.join(found, "row", "left").select("page_id", "url", "html", "paired", "shared")
+    # verdicts are as many as pages: never sent to all tasks, however few they are here
+    met = rows.join(found.hint("merge"), "row", "left").select("page_id", "url", "html", "paired", "shared")
     id_kind = pages.schema["page_id"].dataType.simpleString()
     return met.mapInArrow(_text, f"page_id {id_kind}, url string, {OUT}")
 
