@@ -1,10 +1,10 @@
 """Byte-level BPE encoding and decoding with ranked merges folded by Spark functions.
 
-Texts are cut into words by the tokenizer's pattern. Every task collects the distinct
-words of its documents; Spark higher-order functions fold the ranked merges over the byte
-array of each distinct word, looking pairs up in a literal rank map; the documents then
-take their words' ids, and decoding concatenates the ids' byte pieces. Words never leave
-their task, so nothing is shuffled.
+Texts are cut into words by the tokenizer's pattern. Every task numbers the distinct
+words of its documents as it meets them; Spark higher-order functions fold the ranked merges
+over the byte array of each new word, looking pairs up in a literal rank map; the documents
+then take their words' ids, and decoding concatenates the ids' byte pieces. Words never leave
+their task, so nothing is shuffled, and a table of KNOWN words begins anew.
 
 A symbol (one byte, or one token of the rank file) is written as one character: bytes as
 U+0000 to U+00FF, the token of rank r as U+0100 + r (or past the surrogates). A word is then a short
@@ -31,10 +31,12 @@ import zlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, table, whole_text
+from .common import table, whole_text
 
 BUCKETS = 1 << 16
 CHUNK = 4096
+DOCS = 256
+KNOWN = 1 << 18
 LONG = 512
 NONE = "￿"
 OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -135,34 +137,37 @@ def java_pattern(pattern: str) -> str:
 
 
 def _blocks(batches):
-    """Documents with their words -> rows of distinct words, then a row with the documents
-    as positions among these words. A block is one batch, so its size is bounded."""
+    """Documents with their words -> rows of the words that the task has not met yet, then a row
+    with the documents as numbers of words; an empty row where the table of words is full and
+    begins anew. Documents are taken DOCS at a time, so what is held beside the table is small."""
     import numpy as np
     import pyarrow as pa
-    import pyarrow.compute as pc
 
     names = ["words", "ids", "offsets", "positions", "whole", "long"]
     types = [pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.string())]
+    known: dict[str, int] = {}
+
+    def row(*values):
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=names)
+
     for batch in batches:
-        words = batch.column("words")
-        flat = words.flatten()
-        coded = flat.dictionary_encode()
-        short = pc.less_equal(pc.binary_length(coded.dictionary), LONG)
-        folded = pc.if_else(short, coded.dictionary, pa.scalar(None, pa.string()))
-        chunks = [folded[i : i + CHUNK] for i in range(0, len(folded), CHUNK)]
-        lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in chunks]
-        lengths = np.diff(words.offsets.to_numpy())
-        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype("<i8")
-        ids = batch.column("doc_id")
-        last = [offsets.tobytes(), coded.indices.to_numpy().astype("<i4").tobytes()]
-        known = ids.is_valid().to_numpy(zero_copy_only=False).astype("u1").tobytes()
-        end = [None, ids.fill_null(0).to_numpy().astype("<i8").tobytes(), *last, known, None]
-        distinct = coded.dictionary
-        del batch, words, flat, coded, folded, last, ids  # only distinct words are held while they are folded
-        for i, x in enumerate(lists):
-            own = distinct[i * CHUNK : (i + 1) * CHUNK].filter(pc.invert(short[i * CHUNK : (i + 1) * CHUNK])).to_pylist()
-            yield pa.RecordBatch.from_arrays([x, *(pa.array([None], t) for t in types[1:-1]), pa.array([own], types[-1])], names=names)
-        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(end, types)], names=names)
+        for first in range(0, batch.num_rows, DOCS):
+            words, ids = batch.column("words").slice(first, DOCS), batch.column("doc_id").slice(first, DOCS)
+            coded = words.flatten().dictionary_encode()
+            met = len(known)
+            number = np.fromiter((known.setdefault(w, len(known)) for w in coded.dictionary.to_pylist()), "<i4", len(coded.dictionary))
+            new = coded.dictionary.take(pa.array(np.flatnonzero(number >= met))).to_pylist()
+            for i in range(0, len(new), CHUNK):
+                part = new[i : i + CHUNK]
+                sizes = [len(w.encode()) for w in part]
+                yield row([w if n <= LONG else None for w, n in zip(part, sizes)], None, None, None, None, [w for w, n in zip(part, sizes) if n > LONG])
+            offsets = np.concatenate([[0], np.cumsum(np.diff(words.offsets.to_numpy()))]).astype("<i8")
+            positions = number[coded.indices.to_numpy()]
+            whole = ids.is_valid().to_numpy(zero_copy_only=False).astype("u1")
+            yield row(None, ids.fill_null(0).to_numpy().astype("<i8").tobytes(), offsets.tobytes(), positions.tobytes(), whole.tobytes(), None)
+            if len(known) > KNOWN:
+                known.clear()
+                yield row(*[None] * len(types))
 
 
 class Tokens:
@@ -197,14 +202,38 @@ def spread(starts, sizes):
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
+class _Known:
+    """Ids and bytes of numbered words, in flat arrays."""
+
+    def __init__(self):
+        import numpy as np
+
+        self.parts: list[list] = [[np.zeros(0, t)] for t in ("<u4", np.int64, np.uint8, np.int64)]
+        self.starts = None
+
+    def add(self, *arrays):
+        for into, x in zip(self.parts, arrays):
+            into.append(x)
+        self.starts = None
+
+    def take(self, numbers):
+        """The ids and the bytes of words, one after the other."""
+        import numpy as np
+
+        if self.starts is None:
+            self.parts = [[np.concatenate(x)] for x in self.parts]
+            self.flat, self.n_ids, self.pieces, self.n_bytes = (x[0] for x in self.parts)
+            self.starts, self.first = np.cumsum(self.n_ids) - self.n_ids, np.cumsum(self.n_bytes) - self.n_bytes
+        ids = self.flat[spread(self.starts[numbers], self.n_ids[numbers])]
+        return ids, self.pieces[spread(self.first[numbers], self.n_bytes[numbers])]
+
+
 def _assemble(ranks_path: str):
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        tokens = Tokens(read_ranks(ranks_path))
-        none = [np.zeros(0, t) for t in ("<u4", np.int64, np.uint8, np.int64)]
-        held: list[list] = [[x] for x in none]
+        tokens, known = Tokens(read_ranks(ranks_path)), _Known()
         for batch in batches:
             for row in batch.to_pylist():
                 if row["symbols"] is not None:
@@ -215,20 +244,17 @@ def _assemble(ranks_path: str):
                     # the words' bytes, by concatenating their ids' pieces
                     lengths = tokens.piece_at[ids + 1] - tokens.piece_at[ids]
                     ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(n_ids)])]
-                    for into, x in zip(held, (ids, n_ids, tokens.pieces[spread(tokens.piece_at[ids], lengths)], np.diff(ends))):
-                        into.append(x)
+                    known.add(ids, n_ids, tokens.pieces[spread(tokens.piece_at[ids], lengths)], np.diff(ends))
+                    continue
+                if row["ids"] is None:
+                    known = _Known()
                     continue
-                docs, known = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["whole"], "u1")
+                docs, whole = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["whole"], "u1")
                 offsets, positions = np.frombuffer(row["offsets"], "<i8"), np.frombuffer(row["positions"], "<i4")
-                flat, n_ids, pieces, n_bytes = (np.concatenate(x) for x in held)
-                held = [[x] for x in none]
-                starts, first = np.cumsum(n_ids) - n_ids, np.cumsum(n_bytes) - n_bytes
                 out: list[tuple] = []
                 for k, doc in enumerate(docs.tolist()):
-                    own = positions[offsets[k] : offsets[k + 1]]
-                    ids = flat[spread(starts[own], n_ids[own])]
-                    decoded = pieces[spread(first[own], n_bytes[own])]
-                    out.append((doc if known[k] else None, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(decoded.tobytes()).hexdigest()))
+                    ids, decoded = known.take(positions[offsets[k] : offsets[k + 1]])
+                    out.append((doc if whole[k] else None, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(decoded.tobytes()).hexdigest()))
                 if out:
                     a, b, c, d = zip(*out)
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c), pa.array(d)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
@@ -255,7 +281,6 @@ def decode_ids(ids: DataFrame, ranks_path: str, col: str = "ids") -> DataFrame:
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row."""
-    release(docs.sparkSession)
     merges = rank_map(read_ranks(ranks_path))
     words = F.regexp_extract_all(whole_text(text_col), F.lit(java_pattern(pattern)), F.lit(0))
     cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), words.alias("words"))
