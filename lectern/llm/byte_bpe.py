@@ -31,7 +31,7 @@ import zlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, whole_text
+from .common import short_batches, table, whole_text
 
 BUCKETS = 1 << 16
 CHUNK = 4096
@@ -281,6 +281,7 @@ def decode_ids(ids: DataFrame, ranks_path: str, col: str = "ids") -> DataFrame:
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row."""
+    short_batches(docs.sparkSession)
     merges = rank_map(read_ranks(ranks_path))
     words = F.regexp_extract_all(whole_text(text_col), F.lit(java_pattern(pattern)), F.lit(0))
     cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), words.alias("words"))

@@ -48,6 +48,20 @@ def release(spark: SparkSession) -> None:
     spark._jvm.java.lang.System.gc()
 
 
+BATCH_MB = 8
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Lower the session's limit for a batch sent to Python to BATCH_MB. Whole texts are long, and
+    a batch is held several times over: by the task, by Arrow outside its heap, and by the worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).lower().rstrip("b")
+    unit = {"k": 1 / 1024, "m": 1, "g": 1024}.get(now[-1])
+    size = float(now[:-1]) * unit if unit else float(now) / (1 << 20)
+    if not 0 < size <= BATCH_MB:
+        spark.conf.set(key, f"{BATCH_MB}m")
+
+
 def runs(batches, keys: list[str], values: list[str]):
     """(key, rows) of each run of equal keys in batches that come sorted by key; a run may
     span batches. Memory follows the longest run."""

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import crc_mod, table, whole_text
+from .common import crc_mod, short_batches, table, whole_text
 
 SAMPLE = 20_000
 FEATURES = 4096
@@ -233,6 +233,7 @@ def fit_bags(toxic: np.ndarray, plain: np.ndarray, bags: list, features: int, ro
 
 def fit(docs: DataFrame, labels: DataFrame, train=None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
     """Learn from labelled documents for whose id `train` (a column, default all) holds."""
+    short_batches(docs.sparkSession)
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     if train is not None:
         known = known.where(train)
