@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import normalize_text
 
+from .graph import with_former
+
 
 def rebuild(points: int, last: int | None, same_version: bool, lines_left: int) -> bool:
     """Whether all lines are made anew: without a last full analysis, after growth by half and by
@@ -46,11 +48,37 @@ def without_dismissed(planes: DataFrame, members: DataFrame, gone: DataFrame) ->
     return left.join(kept, "plane", "left_semi").join(members, "line").select("plane", "line", "id")
 
 
-def discoveries(found: DataFrame, order: tuple[str, ...] = ("cross", "line", "isolated"), most: int = 20) -> DataFrame:
-    """(id, kind): newly found points, each once by the first of the kinds, at most so many."""
-    rank = F.array_position(F.array(*[F.lit(k) for k in order]), F.col("kind"))
-    once = found.groupBy("id").agg(F.min(F.struct(rank.alias("rank"), (-F.col("sim")).alias("down"), "kind")).alias("b"))
-    return once.orderBy("b.rank", "b.down", "id").limit(most).select("id", F.col("b.kind").alias("kind"))
+KINDS = ("isolated", "cross", "line")
+
+
+def discoveries(after: DataFrame, before: DataFrame, isolated: DataFrame, former: DataFrame, most: int = 20) -> DataFrame:
+    """(kind, line, a, b): what joined since the snapshot before, at most so many.
+
+    `after` (line, id, place, source, v) as it is, `before` (line, id) and `isolated` (id) as they
+    were, `former` (id, former) the ids that points replaced; a point that only replaced one of its
+    line has not joined. A new line shows its first point and the first of another source; a point
+    that was isolated shows the closest of another source, or of any if there is none; another
+    that joined shows the closest of another source. A pair of a line counts once, by the first of
+    KINDS."""
+    old = before.select("line").distinct()
+    alias = with_former(after.select("line", "id"), former, "id")
+    stayed = alias.join(before.select("line", F.col("id").alias("alias")), ["line", "alias"]).select("line", "id").distinct()
+    lone = alias.join(isolated.select(F.col("id").alias("alias")), "alias").select("id").distinct().withColumn("lone", F.lit(True))
+    new = after.join(old, "line", "left_anti")
+    first = new.groupBy("line").agg(F.min_by(F.struct("id", "source"), "place").alias("f"))
+    second = new.join(first, "line").where("source <> f.source").groupBy("line").agg(F.min("f.id").alias("a"), F.min_by("id", "place").alias("b"))
+    lines = second.select(F.lit("line").alias("kind"), "line", F.lit(0).cast("long").alias("place"), "a", "b")
+    joined = after.join(old, "line", "left_semi").join(stayed, ["line", "id"], "left_anti").join(lone, "id", "left")
+    p = joined.select("line", F.col("id").alias("a"), F.col("place").alias("at"), F.col("source").alias("own"), F.col("v").alias("w"), F.coalesce("lone", F.lit(False)).alias("lone"))
+    met = p.join(after, "line").where("id <> a")
+    sim = F.aggregate(F.zip_with("v", "w", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    met = met.withColumn("same", F.col("source") == F.col("own")).where("lone or not same")
+    near = F.struct("same", (-F.coalesce(F.round(sim, 9), F.lit(float("-inf")))).alias("far"), "place")
+    best = met.groupBy("line", "a", "at", "lone").agg(F.min_by("id", near).alias("b"))
+    points = best.select(F.when(F.col("lone"), "isolated").otherwise("cross").alias("kind"), "line", F.col("at").alias("place"), "a", "b")
+    rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
+    once = lines.unionByName(points).groupBy("line", F.least("a", "b"), F.greatest("a", "b")).agg(F.min(F.struct(rank.alias("rank"), "line", "place", "a", "b", "kind")).alias("d"))
+    return once.orderBy("d.rank", "d.line", "d.place", "d.a").limit(most).select("d.kind", "d.line", "d.a", "d.b")
 
 
 def far_reps(reps: DataFrame, isolated: DataFrame, judged: DataFrame, most: int = 600) -> DataFrame:
@@ -62,30 +90,17 @@ def far_reps(reps: DataFrame, isolated: DataFrame, judged: DataFrame, most: int
 
 
 def far_pairs(reps: DataFrame) -> DataFrame:
-    """(a, b, sim) of numbered representatives of different sources and planes: each is dealt to
-    the places behind its own and meets what stands there."""
+    """(a, b, sim) of numbered representatives of different sources and planes (an isolated one's
+    plane is null and differs from all): each is dealt to the places behind its own and meets what
+    stands there."""
     last = reps.agg(F.max("pos").alias("last"))
     a = reps.join(F.broadcast(last), F.col("pos") < F.col("last")).withColumn("at", F.explode(F.sequence(F.col("pos") + 1, F.col("last"))))
     b = reps.select(F.col("pos").alias("at"), F.col("id").alias("b"), F.col("source").alias("source2"), F.col("plane").alias("plane2"), F.col("v").alias("v2"))
-    met = a.join(b, "at").where("source <> source2 and plane <> plane2")
+    met = a.join(b, "at").where("source <> source2 and coalesce(plane <> plane2, true)")
     sim = F.aggregate(F.zip_with("v", "v2", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     return met.select(F.col("id").alias("a"), "b", F.round(sim, 6).alias("sim"))
 
 
-def picked_pairs(pairs: DataFrame, slots: int = 10) -> list[tuple[int, int]]:
-    """Pairs by falling similarity, each end used once. Pairs come from a bounded number of
-    representatives, and only the best that `slots` can use are looked at."""
-    used: set[int] = set()
-    out: list[tuple[int, int]] = []
-    for r in pairs.orderBy(F.col("sim").desc(), "a", "b").toLocalIterator():
-        if len(out) == slots:
-            break
-        if r.a not in used and r.b not in used:
-            used |= {r.a, r.b}
-            out.append((r.a, r.b))
-    return out
-
-
 def peers(edges: DataFrame) -> DataFrame:
     """(node, kind, n): how many other nodes a node is tied to, by kind of edge."""
     both = edges.select(F.col("src").alias("node"), F.col("dst").alias("peer"), "kind").unionByName(edges.select(F.col("dst").alias("node"), F.col("src").alias("peer"), "kind"))
@@ -170,20 +185,26 @@ def valid_picks(picks: DataFrame, known: DataFrame, most: int) -> DataFrame:
     return once.orderBy("pos", "asin").limit(most)
 
 
-def with_required(picks: DataFrame, kinds: tuple[str, ...], most: int) -> list[tuple[int, str]]:
-    """The first `most` (id, kind) by position; for each required kind that is missing the last
-    pick of a kind that has more than one makes room. At most so many rows per kind are read."""
-    w = Window.partitionBy("kind").orderBy("pos", "id")
-    rows = picks.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).orderBy("pos", "id").limit(most * (len(kinds) + 1)).collect()
-    chosen, rest = [(r.id, r.kind) for r in rows[:most]], [(r.id, r.kind) for r in rows[most:]]
+def with_required(picks: DataFrame, kinds: tuple[str, ...], most: int) -> DataFrame:
+    """(pos, id, kind): the first `most` picks (id, kind, pos); for each required kind that is
+    missing its first pick takes the place of the last one of a kind that has more than one. Only
+    `most` picks and one of each required kind meet in the list that is folded."""
+    top = picks.select("pos", "id", "kind").orderBy("pos", "id").limit(most)
+    spare = picks.where(F.col("kind").isin(*kinds)).join(top.select("id"), "id", "left_anti").groupBy("kind").agg(F.min(F.struct("pos", "id", "kind")).alias("r"))
+    rows = top.select(F.struct("pos", "id", "kind").alias("r"), F.lit(True).alias("in")).unionByName(spare.select("r", F.lit(False).alias("in")))
+    lists = rows.agg(F.array_sort(F.collect_list(F.when(F.col("in"), F.col("r")))).alias("c"), F.collect_list(F.when(~F.col("in"), F.col("r"))).alias("s"))
     for kind in kinds:
-        if any(k == kind for _, k in chosen):
-            continue
-        new = next((x for x in rest if x[1] == kind), None)
-        spare = next((i for i in range(len(chosen) - 1, -1, -1) if sum(k == chosen[i][1] for _, k in chosen) > 1), None)
-        if new and spare is not None:
-            chosen[spare] = new
-    return chosen
+        lists = lists.withColumn("new", F.get(F.filter("s", _of_kind(kind)), F.lit(0)))
+        twice = F.transform("c", lambda x, i: F.when(F.size(F.filter("c", lambda y: y["kind"] == x["kind"])) > 1, i))
+        lists = lists.withColumn("at", F.array_max(twice))
+        needed = ~F.exists("c", _of_kind(kind)) & F.col("new").isNotNull() & F.col("at").isNotNull()
+        swapped = F.transform("c", lambda x, i: F.when(i == F.col("at"), F.col("new")).otherwise(x))
+        lists = lists.select(F.when(needed, swapped).otherwise(F.col("c")).alias("c"), "s")
+    return lists.select(F.posexplode("c").alias("pos", "r")).select("pos", "r.id", "r.kind")
+
+
+def _of_kind(kind: str):
+    return lambda x: x["kind"] == kind
 
 
 def catalogue_hits(rows: DataFrame, sources: tuple[str, ...], year: int | None = None, window: int = 25) -> DataFrame:

@@ -36,15 +36,33 @@ def newest_per_peer(links: DataFrame) -> DataFrame:
     return both.groupBy("node", "peer").agg(F.max("at").alias("at"))
 
 
-def diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(line, state, n_new): lines added, removed, grown or kept between two snapshots of
-    (line, point)."""
-    a, b = before.withColumn("was", F.lit(1)), after.withColumn("is", F.lit(1))
-    met = a.join(b, ["line", "point"], "full").groupBy("line").agg(F.count("was").alias("n_was"), F.count("is").alias("n_is"), F.count_if(F.col("was").isNull()).alias("n_new"))
+def with_former(points: DataFrame, former: DataFrame | None, key: str) -> DataFrame:
+    """Rows once for their own id and once for each id that theirs replaced (id, former), as `alias`."""
+    own = points.withColumn("alias", F.col(key))
+    if former is None:
+        return own
+    return own.unionByName(points.join(former.select(F.col("id").alias(key), F.col("former").alias("alias")), key))
+
+
+def diff(before: DataFrame, after: DataFrame, former: DataFrame | None = None) -> DataFrame:
+    """(line, state, n_new): lines added, removed, grown or kept between two snapshots of (line,
+    point). A point that only replaced one of the line is none of its new ones."""
+    was = with_former(after.select("line", "point"), former, "point").join(before.select("line", F.col("point").alias("alias")), ["line", "alias"]).select("line", "point").distinct()
+    now = after.join(was.withColumn("was", F.lit(1)), ["line", "point"], "left").groupBy("line").agg(F.count("*").alias("n_is"), F.count_if(F.col("was").isNull()).alias("n_new"))
+    met = before.groupBy("line").agg(F.count("*").alias("n_was")).join(now, "line", "full").na.fill(0)
     state = F.when(F.col("n_was") == 0, "added").when(F.col("n_is") == 0, "removed").when(F.col("n_new") > 0, "grown").otherwise("kept")
     return met.select("line", state.alias("state"), "n_new")
 
 
+def connected(before: DataFrame, after: DataFrame, former: DataFrame) -> DataFrame:
+    """(point, line, state): points in a line that were in none before: connected, or extended
+    where they replaced a point that was in one."""
+    members = before.select(F.col("point").alias("alias")).distinct()
+    new = after.join(members, after["point"] == members["alias"], "left_anti")
+    longer = new.join(former, new["point"] == former["id"]).select("line", "point", F.col("former").alias("alias")).join(members, "alias").select("line", "point").distinct()
+    return new.join(longer.withColumn("longer", F.lit(True)), ["line", "point"], "left").select("point", "line", F.when(F.col("longer"), "extended").otherwise("connected").alias("state"))
+
+
 def main_plane(evidence: DataFrame, planes: DataFrame) -> DataFrame:
     """(note, plane): the plane a note's evidence hits most often, the lowest on ties."""
     n = evidence.join(planes, "point").groupBy("note", "plane").agg(F.count("*").alias("n"))

@@ -29,19 +29,6 @@ Q["a20_without_dismissed"] = pt(lambda p: N.without_dismissed(p.select("line", (
 S["a20_without_dismissed"] = oracle("pt", "+l AS (SELECT DISTINCT line, line % 6 AS plane FROM pt WHERE line % 4 <> 1), k AS (SELECT plane FROM l GROUP BY plane HAVING count(*) >= 2) SELECT plane, pt.line, id FROM pt JOIN l ON pt.line = l.line WHERE plane IN (SELECT plane FROM k)")
 
 
-def found(p):
-    near = V.neighbours(p, V.centroids(p), 1, 8)
-    kind = F.when(F.col("id") % 5 == 0, "isolated").when(F.col("id") % 5 < 3, "cross").otherwise("line")
-    return N.discoveries(near.select("id", "sim", kind.alias("kind")).unionByName(near.where("id % 10 = 0").select("id", "sim", F.lit("line").alias("kind"))), most=40)
-
-
-Q["a22_discoveries"] = pt(found)
-S["a22_discoveries"] = oracle("px", """+cs AS (SELECT line, i, sum(x) AS x FROM px GROUP BY line, i), cn AS (SELECT line, sqrt(sum(x * x)) AS n FROM cs GROUP BY line), al AS (SELECT px.id, cs.line AS centre, round(sum(px.x * cs.x / n), 9) AS sim FROM px JOIN cs ON px.i = cs.i JOIN cn ON cn.line = cs.line GROUP BY px.id, cs.line),
-nr AS (SELECT id, centre AS line FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, centre) AS r FROM al) WHERE r <= 8), ps AS (SELECT DISTINCT id, line, source FROM px),
-sc AS (SELECT nr.id, max(round(list_dot_product(CAST(ea.embedding AS DOUBLE[]), CAST(eb.embedding AS DOUBLE[])), 6)) AS sim FROM nr JOIN ps a ON nr.id = a.id JOIN ps b ON nr.line = b.line AND a.source <> b.source JOIN embeddings ea ON a.id = ea.vec_id JOIN embeddings eb ON b.id = eb.vec_id GROUP BY nr.id),
-f AS (SELECT id, sim, CASE WHEN id % 10 = 0 THEN 2 WHEN id % 5 = 0 THEN 3 WHEN id % 5 < 3 THEN 1 ELSE 2 END AS k FROM sc) SELECT id, ['cross', 'line', 'isolated'][k] AS kind FROM f ORDER BY k, sim DESC, id LIMIT 40""")
-
-
 def reps(p):
     low = p.groupBy("line").agg(F.min("id").alias("id"))
     judged = p.select("id", (F.col("id") % 4).cast("long").alias("n")).where("n > 0")
@@ -62,7 +49,6 @@ Q["j16_far_pairs"] = pt(far)
 S["j16_far_pairs"] = oracle("pt", FAR + " SELECT a, b, sim FROM fp")
 Q["a24_far_candidates"] = pt(lambda p: V.band(far(p)).select("a", "b"))
 S["a24_far_candidates"] = oracle("pt", FAR + ", o AS (SELECT *, row_number() OVER (ORDER BY sim) - 1 AS k, count(*) OVER () AS m FROM fp) SELECT a, b FROM o WHERE sim >= (SELECT min(sim) FROM o WHERE k = floor(0.15 * m)) AND sim <= (SELECT max(sim) FROM o WHERE k = floor(0.45 * m))")
-Q["w07_picked_pairs"] = lambda spark, d: spark.createDataFrame(N.picked_pairs(V.band(far(A.points(spark, d)))), "a long, b long")
 Q["a27_peers"] = lambda spark, d: N.peers(A.read(spark, d, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"), F.col("l_returnflag").alias("kind")))
 S["a27_peers"] = "SELECT 'p' || l_partkey AS node, l_returnflag AS kind, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY ALL UNION ALL SELECT 's' || l_suppkey, l_returnflag, count(DISTINCT l_partkey) FROM lineitem GROUP BY ALL"
 
@@ -125,7 +111,6 @@ Q["r02_valid_picks"] = lambda spark, d: N.valid_picks(A.read(spark, d, "orders")
 S["r02_valid_picks"] = oracle("bk", "+r AS (SELECT o_orderkey AS pos, CASE WHEN o_orderkey % 2 = 0 AND o_custkey IN (SELECT asin FROM bk) THEN o_custkey ELSE (SELECT min(asin) FROM bk WHERE lower(title) = 'customer#' || lpad(CAST(o_orderkey % 400 AS VARCHAR), 9, '0')) END AS asin FROM orders) SELECT asin, min(pos) AS pos FROM r WHERE asin IS NOT NULL GROUP BY asin ORDER BY pos, asin LIMIT 200")
 Q["r03_catalogue_hits"] = lambda spark, d: N.catalogue_hits(A.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("query"), F.when(F.col("l_quantity") > 10, F.col("l_partkey")).alias("isbn"), F.year("l_shipdate").alias("year"), F.col("l_returnflag").alias("source")), ("R", "A"), 1996, 3).groupBy("query", "source").agg(F.count("*").alias("n"))
 S["r03_catalogue_hits"] = "WITH f AS (SELECT l_orderkey AS query, l_returnflag AS source, CASE l_returnflag WHEN 'R' THEN 1 ELSE 2 END AS k FROM lineitem WHERE l_quantity > 10 AND abs(year(l_shipdate) - 1996) <= 3 AND l_returnflag IN ('R', 'A')) SELECT query, source, count(*) AS n FROM f WHERE k = (SELECT min(k) FROM f g WHERE g.query = f.query) GROUP BY ALL"
-Q["r05_required_kinds"] = lambda spark, d: spark.createDataFrame(N.with_required(A.read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("kind"), F.col("p_partkey").alias("pos")), ("ECONOMY", "PROMO", "SMALL"), 5), "id long, kind string")
 Q["r06_named_candidate"] = lambda spark, d: N.named_candidate(A.read(spark, d, "orders").select(F.col("o_orderkey").alias("pick"), (F.col("o_orderkey") % 50).alias("index"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("read 『Customer#"), F.lpad((F.col("o_orderkey") % 200).cast("string"), 9, "0"), F.lit("』 next"))).otherwise("good").alias("reason")), A.books(spark, d).select(F.col("asin").alias("id"), F.col("asin").alias("index"), "title"))
 S["r06_named_candidate"] = oracle("bk", "SELECT o_orderkey AS pick, coalesce((SELECT asin FROM bk WHERE o_orderkey % 3 = 0 AND title = 'Customer#' || lpad(CAST(o_orderkey % 200 AS VARCHAR), 9, '0')), o_orderkey % 50) AS id FROM orders")
 Q["r07_existence"] = lambda spark, d: A.read(spark, d, "lineitem").groupBy("l_orderkey").agg(N.existence(F.count("*"), F.count_if(F.col("l_quantity") > 5), F.count_if(F.col("l_quantity") > 40)).alias("state"))

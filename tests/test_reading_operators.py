@@ -69,23 +69,12 @@ def test_spherical_kmeans_gains(cloud):
     assert gain[0] <= gain[1] + 1e-6 <= gain[2] + 2e-6
 
 
-def test_greedy_picks(spark):
-    r = random.Random(4)
-    pairs = [(r.randrange(30), 100 + r.randrange(30), r.random()) for _ in range(200)]
-    got = analysis.picked_pairs(spark.createDataFrame(pairs, "a long, b long, sim double"), 10)
-    used, want = set(), []
-    for a, b, _ in sorted(pairs, key=lambda p: (-p[2], p[0], p[1])):
-        if len(want) < 10 and not {a, b} & used:
-            used |= {a, b}
-            want.append((a, b))
-    assert got == want
-
-
 def test_required_kinds(spark):
     rows = [(i, k, i) for i, k in enumerate("aaabac")]
     df = spark.createDataFrame(rows, "id long, kind string, pos long")
-    assert analysis.with_required(df, ("b", "c"), 3) == [(0, "a"), (5, "c"), (3, "b")]
-    assert analysis.with_required(df, ("z",), 3) == [(0, "a"), (1, "a"), (2, "a")]
+    got = lambda *kinds: [(x.id, x.kind) for x in analysis.with_required(df, kinds, 3).orderBy("pos").collect()]
+    assert got("b", "c") == [(0, "a"), (5, "c"), (3, "b")]
+    assert got("z") == [(0, "a"), (1, "a"), (2, "a")]
 
 
 def test_pointers_stop_after_ten_hops(spark):
