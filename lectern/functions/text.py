@@ -99,25 +99,64 @@ def without_repeated_subtitle(title: Column) -> Column:
     return F.when((tail != "") & F.contains(squeezed(head), tail), head).otherwise(title)
 
 
-# What stands behind a series name in trailing brackets, and what is no series.
-_NUMBER = r"(?:\s+[赤青緑白黄A-Za-zぁ-んァ-ン]|[ぁ-ん](?=-?\d+-\d))?\s*[\d-]+$"
-_EDITION = r"\s+新?[赤青緑白黄]版$"
-_NO_LABEL = r"(?i)^[上中下]$|巻$|^版$|[^出]版$|特典|^Vol\.?$|^第"
+# Colours that number and name the branches of a series, and brackets that hold one.
+BRANCHES = "赤青緑白黄"
+OPENING, CLOSING = "([【", ")]】"
+
+
+def _last_brackets(c: Column) -> tuple[Column, Column]:
+    """(what the brackets at a text's end hold, the text before them); the first is null where
+    it ends in none, or in brackets within brackets."""
+    plain = F.translate(F.rtrim(c), OPENING + CLOSING, "(((" + ")))")
+    start = F.length(plain) - F.length(F.substring_index(plain, "(", -1))
+    inner = F.substring(plain, start + 1, F.length(plain) - start - 1)
+    ends = F.endswith(plain, F.lit(")")) & (start > 0) & ~F.contains(inner, F.lit(")"))
+    return F.when(ends, inner), F.when(ends, F.substring(c, F.lit(1), start - 1))
+
+
+def _series(c: Column) -> Column:
+    """A series' name without its catalogue number: a last word of digits and hyphens with the
+    single letter before it (or the kana that it is glued to), digits at the end of the last word,
+    and then the branch of the edition."""
+
+    def without_number(words: Column) -> Column:
+        last, rest = F.element_at(words, -1), F.slice(words, 1, F.size(words) - 1)
+        name = F.rtrim(last, F.lit("0123456789-"))
+        number = F.substring(last, F.length(name) + 1, F.length(last))
+        kana = F.substring(name, -1, 1).between("ぁ", "ん") & F.rlike(number, F.lit("^-?[0-9]+-[0-9]"))
+        letter = lambda x: (F.length(x) == 1) & (x.rlike("^[A-Za-z]$") | x.between("ぁ", "ン") | F.contains(F.lit(BRANCHES), x))
+        whole = F.when((F.size(rest) > 1) & letter(F.element_at(rest, -1)), F.slice(rest, 1, F.size(rest) - 1)).otherwise(rest)
+        shorter = F.concat(rest, F.array(F.when(kana, F.substring(name, F.lit(1), F.length(name) - 1)).otherwise(name)))
+        glued = letter(name) & (F.size(rest) > 0)
+        return F.when(number == "", words).when((name == "") & (F.size(rest) > 0), whole).when(glued, rest).otherwise(shorter)
+
+    def without_branch(words: Column) -> Column:
+        last = F.element_at(words, -1)
+        branch = F.endswith(last, F.lit("版")) & F.contains(F.lit(BRANCHES), F.substring(last, -2, 1)) & ((F.length(last) == 2) | (F.length(last) == 3) & F.startswith(last, F.lit("新")))
+        return F.when(branch & (F.size(words) > 1), F.slice(words, 1, F.size(words) - 1)).otherwise(words)
+
+    words = F.split(F.trim(F.coalesce(c, F.lit(""))), r"\s+")
+    return F.trim(F.array_join(let(let(words, without_number), without_branch), " "))
+
+
+def _is_series(c: Column) -> Column:
+    """Whether brackets name a series: not a volume, a part, an edition (a publisher's name may end
+    alike) or an extra."""
+    edition = F.endswith(c, F.lit("版")) & ~F.endswith(c, F.lit("出版"))
+    volume = c.isin("上", "中", "下") | F.endswith(c, F.lit("巻")) | F.startswith(c, F.lit("第")) | F.lower(c).isin("vol", "vol.")
+    return (c != "") & ~edition & ~volume & ~F.contains(c, F.lit("特典"))
 
 
 def label(title: Column) -> Column:
     """The series name in the last brackets of a title, or in those before where the last hold
     an edition; empty without any."""
-    whole = nfkc(F.coalesce(title, F.lit("")))
-    tail = r"[(\[【]([^()\[\]【】]*)[)\]】]\s*$"
+    inner, rest = _last_brackets(nfkc(F.coalesce(title, F.lit(""))))
+    before, _ = _last_brackets(rest)
 
-    def of(c: Column) -> Column:
-        name = F.trim(F.regexp_extract(c, tail, 1))
-        return F.trim(F.regexp_replace(F.regexp_replace(name, _NUMBER, ""), _EDITION, ""))
+    def choose(names: Column) -> Column:
+        return F.when(_is_series(names["a"]), names["a"]).when(_is_series(names["b"]), names["b"]).otherwise("")
 
-    first, second = of(whole), of(F.regexp_replace(whole, tail, ""))
-    fits = lambda c: (c != "") & ~c.rlike(_NO_LABEL)
-    return F.when(fits(first), first).when(whole.rlike(tail) & fits(second), second).otherwise("")
+    return let(F.struct(_series(inner).alias("a"), _series(before).alias("b")), choose)
 
 
 def color_name(hex_color: Column) -> Column:
@@ -152,11 +191,25 @@ def points_of(c: Column) -> Column:
     return F.coalesce(F.regexp_replace(F.regexp_extract(nfkc(c), "([0-9][0-9,]*)", 1), ",", "").try_cast("bigint"), F.lit(0))
 
 
+# What a details line calls the publisher, and how long a name may be.
+PUBLISHER_WORDS, PUBLISHER_CHARS = ("出版社", "publisher"), 100
+
+
 def publisher_of(c: Column) -> Column:
-    """The publisher of a details line: label, edition and date go, at most 100 characters."""
-    c = F.trim(F.regexp_replace(F.regexp_replace(nfkc(F.coalesce(c, F.lit(""))), "[\\u200b-\\u200f\\u202a-\\u202e\\u2060\\ufeff]", ""), "\\s+", " "))
-    c = F.regexp_replace(c, r"(?i)^\s*(?:出版社|Publisher)\s*:\s*", "")
-    return F.substring(F.trim(F.regexp_replace(F.substring_index(c, ";", 1), r"\s*\([^()]*\d{4}[^()]*\)\s*$", "")), 1, 100)
+    """The publisher of a details line: what calls it so, the edition behind a semicolon and a
+    date in brackets go."""
+    visible = F.regexp_replace(nfkc(F.coalesce(c, F.lit(""))), "\\p{Cf}", "")
+    words = F.trim(F.regexp_replace(visible, "\\s+", " "))
+
+    def name(line: Column) -> Column:
+        head = F.lower(F.trim(F.substring_index(line, ":", 1)))
+        value = F.when(head.isin(*PUBLISHER_WORDS), F.substring(line, F.length(F.substring_index(line, ":", 1)) + 2, F.length(line))).otherwise(line)
+        value = F.trim(F.substring_index(value, ";", 1))
+        last = F.substring_index(value, "(", -1)
+        dated = F.endswith(value, F.lit(")")) & last.rlike("[0-9]{4}") & (F.length(F.replace(last, F.lit(")"), F.lit(""))) == F.length(last) - 1)
+        return F.when(dated & (last != value), F.substring(value, F.lit(1), F.length(value) - F.length(last) - 1)).otherwise(value)
+
+    return F.substring(F.trim(let(words, name)), 1, PUBLISHER_CHARS)
 
 
 def is_store_id(c: Column) -> Column:
@@ -212,8 +265,8 @@ def truncate(c: Column, n: int) -> Column:
 
 
 def price_of(c: Column) -> Column:
-    """The first number of a price text, thousands separators removed."""
-    return F.regexp_replace(F.regexp_extract(c, "([0-9][0-9,]*)", 1), ",", "").try_cast("bigint")
+    """The first number of a price text in digits of any width, thousands separators removed."""
+    return F.regexp_replace(F.regexp_extract(nfkc(c), "([0-9][0-9,]*)", 1), ",", "").try_cast("bigint")
 
 
 def host(c: Column) -> Column:
@@ -228,5 +281,6 @@ def isbn10(digits: Column) -> Column:
 
 
 def status_reason(code: Column) -> Column:
-    """Why a page gave no price, by its HTTP status."""
-    return F.when(code == 404, "not_found").when(code.isin(403, 429, 503), "blocked").when(code >= 400, "page_error").otherwise("no_price")
+    """Why an opened page gave no price, by its HTTP status (null: unknown): it is gone, it failed
+    and is to be fetched again, or it shows no price."""
+    return F.when(code == 404, "not_found").when(code >= 400, "page_error").otherwise("no_price")

@@ -80,7 +80,7 @@ def tree_edges(planes: DataFrame, members: DataFrame) -> DataFrame:
 
 def interleave(lists: DataFrame) -> DataFrame:
     """(item, pos): the first of each list, then the seconds and so on; rows (lst, k, item)."""
-    return numbered(lists, [(F.col("k"), False), (F.col("lst"), False)], ident="item").select("item", "pos")
+    return numbered(lists, [(F.col("k"), False), (F.col("lst"), False)]).select("item", "pos")
 
 
 def keep_with_quota(rows: DataFrame, n: int) -> DataFrame:

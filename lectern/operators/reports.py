@@ -6,16 +6,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Fixed forms of ids: points, thoughts, notes, outlines.
-ID_FORMS = {"point": "^h[0-9a-z]+$", "thought": "^t[0-9a-z]{8,}$", "note": "^n[0-9a-z]{8,}$", "outline": "^o[0-9a-z]{8,}$"}
+from .order import total_in_group
+
+#: The letter that ids of a kind begin with, before 1 to 40 small letters and digits.
+ID_LETTERS = {"highlight": "h", "thought": "t", "note": "n", "outline": "o", "link": "k", "discovery": "d", "far": "f"}
 
 
 def id_kind(c: Column) -> Column:
     """What an id names by its form; null for none."""
     out = F.lit(None).cast("string")
-    for kind, form in ID_FORMS.items():
-        out = F.when(c.rlike(form), kind).otherwise(out)
-    return out
+    for kind, letter in ID_LETTERS.items():
+        out = F.when(F.substring(c, 1, 1) == letter, kind).otherwise(out)
+    return F.when(c.rlike("^[a-z][0-9a-z]{1,40}$"), out)
+
+
+def is_point(c: Column) -> Column:
+    """Highlights and thoughts are points."""
+    return F.coalesce(id_kind(c).isin("highlight", "thought"), F.lit(False))
+
+
+def is_link_end(c: Column) -> Column:
+    """A link joins points and notes; so does a far connection."""
+    return is_point(c) | F.coalesce(id_kind(c) == "note", F.lit(False))
 
 
 def point_states(asked: DataFrame, points: DataFrame, current: DataFrame) -> DataFrame:
@@ -67,9 +79,22 @@ def far_links(far: DataFrame, reactions: DataFrame) -> DataFrame:
     return far.join(kept, "id").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "at")
 
 
-def page_label(url: Column, title: Column, body_chars: Column) -> Column:
-    """Whether a landed page is a block page: by its address, its title or its short body."""
-    return F.when(url.rlike("(?i)/(captcha|errors/validate|signin)"), "blocked-url").when(title.rlike("(?i)robot|captcha|sorry|アクセス"), "blocked-title").when(body_chars < 500, "short").otherwise("page")
+#: What addresses and titles of block pages hold, with the label each stands for,
+#: and the length below which a page's text is suspicious.
+BLOCKED_URLS = {"/errors/validatecaptcha": "captcha", "/ap/cvf/": "robot_check", "/robot": "robot_check", "ref=cs_503_link": "robot_check"}
+BLOCKED_TITLES = {"captcha": "captcha", "robot check": "robot_check", "ロボット": "robot_check", "不審なアクセス": "access_denied", "sorry": "access_denied", "verify": "access_denied", "エラーが発生しました": "access_denied"}
+SHORT_PAGE = 200
+
+
+def page_label(url: Column, title: Column, body: Column) -> Column:
+    """ok, or what a landed page is instead: by its address, then by its title (where "captcha"
+    counts before all else, and what stands first in the list before the rest), then suspicious if
+    its text is short."""
+    out = F.when(F.length(F.coalesce(body, F.lit(""))) < SHORT_PAGE, "suspicious").otherwise("ok")
+    for where, marks in ((F.lower(F.coalesce(title, F.lit(""))), BLOCKED_TITLES), (F.lower(F.coalesce(url, F.lit(""))), BLOCKED_URLS)):
+        for mark, label in reversed(marks.items()):
+            out = F.when(F.contains(where, F.lit(mark)), label).otherwise(out)
+    return out
 
 
 def first_unsponsored(cards: DataFrame) -> DataFrame:
@@ -80,15 +105,22 @@ def first_unsponsored(cards: DataFrame) -> DataFrame:
 
 
 def distinct_names(rows: DataFrame) -> DataFrame:
-    """(id, name): repeats of a name get ` (2)`, ` (3)` in order of their ids. A made name that
-    stands in the table already moves on by as many as are taken there."""
-    n = F.row_number().over(Window.partitionBy("name").orderBy("id"))
-    numbered = rows.withColumn("n", n)
-    made = numbered.where("n > 1").withColumn("made", F.concat("name", F.lit(" ("), F.col("n"), F.lit(")")))
-    taken = made.join(rows.select(F.col("name").alias("made")).distinct(), "made", "left_semi").groupBy("name").agg(F.count("*").alias("skip"))
-    out = numbered.join(taken, "name", "left")
-    shown = F.concat("name", F.lit(" ("), F.col("n") + F.coalesce("skip", F.lit(0)), F.lit(")"))
-    return out.select("id", F.when(F.col("n") == 1, F.col("name")).otherwise(shown).alias("name"))
+    """(id, name): the first of equal names by id keeps it, the k-th repeat gets the k-th number
+    from 2 on that no name of the table bears already, as ` (2)`.
+
+    Of a name's numbers that are taken, in order t1, t2, ..., exactly tj - 1 - j free ones stand
+    before tj, so the k-th repeat passes those taken for which that is less than k: a running
+    count over taken numbers and repeats together, without a task for all of a name."""
+    rows = rows.select("id", "name")
+    key = [(F.col("id"), False)]
+    repeats = total_in_group(rows, "name", key, F.lit(1), "n").withColumn("k", F.col("n") - 1)
+    form = r"^(?s)(.*) \(([1-9][0-9]{0,8})\)$"
+    made = rows.select(F.regexp_extract("name", form, 1).alias("name"), F.regexp_extract("name", form, 2).try_cast("long").alias("t")).where("t >= 2").distinct()
+    taken = total_in_group(made, "name", [(F.col("t"), False)], F.lit(1), "j").select("name", (F.col("t") - 1 - F.col("j")).alias("k"), F.lit(1).alias("taken"), F.col("t").alias("id"))
+    both = repeats.select("name", "k", F.lit(0).alias("taken"), "id").unionByName(taken)
+    passed = total_in_group(both, "name", [(F.col("k"), False), (F.col("taken"), False), (F.col("id"), False)], F.col("taken"), "passed")
+    shown = F.concat("name", F.lit(" ("), F.col("k") + 1 + F.col("passed"), F.lit(")"))
+    return passed.where("taken = 0").select("id", F.when(F.col("k") == 0, F.col("name")).otherwise(shown).alias("name"))
 
 
 def vector_cache(rows: DataFrame, width: int) -> DataFrame:

@@ -59,7 +59,7 @@ def publishable(tag: Column, rating: Column, allowed: tuple[str, ...] = ("want",
 def work_list(books: DataFrame, done: DataFrame, seen: DataFrame, start: int = 1) -> DataFrame:
     """Books still to be looked at, from position `start` on."""
     rest = books.where("not manga and not purchased").join(done.select("asin"), "asin", "left_anti").join(seen.select("asin"), "asin", "left_anti")
-    return numbered(rest.select("asin"), [(F.col("asin"), False)], ident="asin").where(F.col("pos") >= start).select("asin", "pos")
+    return numbered(rest.select("asin"), [(F.col("asin"), False)]).where(F.col("pos") >= start).select("asin", "pos")
 
 
 def seen_inputs(marks: DataFrame, per_kind: int = 60) -> DataFrame:

@@ -191,7 +191,7 @@ def ask_context(ranked: DataFrame, gate: float = 0.58, level: float = 0.5, most:
 
 def band(pairs: DataFrame, low: float = 0.15, high: float = 0.45) -> DataFrame:
     """Pairs whose similarity lies between the values at floor(low * m) and floor(high * m)."""
-    upto = running_total(pairs.groupBy("sim").agg(F.count("*").alias("n")), [(F.col("sim"), False)], F.col("n"), "upto", "sim")
+    upto = running_total(pairs.groupBy("sim").agg(F.count("*").alias("n")), [(F.col("sim"), False)], F.col("n"), "upto")
     m = F.broadcast(pairs.agg(F.count("*").alias("m")))
     at = lambda r: F.floor(F.lit(r) * F.col("m"))
     # the value at an index is the least one that reaches beyond it

@@ -78,7 +78,7 @@ def summary(books: DataFrame, top: int = 3) -> DataFrame:
 
 def ranked(books: DataFrame, by: str, descending: bool = False) -> DataFrame:
     """Position under a sort; missing values stand last either way, input order breaks ties."""
-    return numbered(books.select("idx", by), [(F.col(by), descending), (F.col("idx"), False)], ident="idx").select("idx", "pos")
+    return numbered(books.select("idx", by), [(F.col(by), descending), (F.col("idx"), False)]).select("idx", "pos")
 
 
 def page(books: DataFrame, number: int, size: int = 100) -> DataFrame:

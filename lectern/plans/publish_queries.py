@@ -60,7 +60,7 @@ Q["x31_read_discoveries"] = lambda spark, d: A.read(spark, d, "orders").select(F
 S["x31_read_discoveries"] = "SELECT o_orderkey AS id, o_orderkey IN (SELECT l_orderkey FROM lineitem) AS read FROM orders"
 Q["x11_analysis_counts"] = lambda spark, d: PT.pending(A.points(spark, d).select("id"), A.points(spark, d).where("id % 10 < 6"), A.points(spark, d).where("id % 10 = 7")).agg(F.count("*").alias("pending"))
 S["x11_analysis_counts"] = "SELECT count(*) AS pending FROM embeddings WHERE vec_id % 10 >= 6 AND vec_id % 10 <> 7"
-Q["o03_books_by_last"] = lambda spark, d: O.numbered(A.highlights(spark, d).groupBy("book").agg(F.max("location").alias("last")), [(F.col("last"), True), (F.col("book"), False)], ident="book").select("book", "pos")
+Q["o03_books_by_last"] = lambda spark, d: O.numbered(A.highlights(spark, d).groupBy("book").agg(F.max("location").alias("last")), [(F.col("last"), True), (F.col("book"), False)]).select("book", "pos")
 S["o03_books_by_last"] = oracle("hl", "SELECT book, row_number() OVER (ORDER BY max(location) DESC, book) AS pos FROM hl GROUP BY book")
 Q["o04_newest_first"] = lambda spark, d: O.numbered(A.versions(spark, d).select("id", "updated"), [(F.col("updated"), True), (F.col("id"), True)]).select("id", "pos")
 S["o04_newest_first"] = oracle("vs", "SELECT id, row_number() OVER (ORDER BY updated DESC, id DESC) AS pos FROM vs")

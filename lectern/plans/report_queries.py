@@ -10,8 +10,9 @@ from .adapters import oracle
 
 Q, S = {}, {}
 
-Q["x01_id_kinds"] = lambda spark, d: A.read(spark, d, "orders").select("o_orderkey", R.id_kind(F.concat(F.when(F.col("o_orderkey") % 4 == 0, "h").when(F.col("o_orderkey") % 4 == 1, "t").when(F.col("o_orderkey") % 4 == 2, "n").otherwise("z"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0"))).alias("kind"))
-S["x01_id_kinds"] = "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'point' WHEN 1 THEN 'thought' WHEN 2 THEN 'note' END AS kind FROM orders"
+#: Numbers of one to 41 places behind eight letters, one of them a capital.
+Q["x01_id_kinds"] = lambda spark, d: A.read(spark, d, "orders").select("o_orderkey", F.concat(F.substring(F.lit("htnokdfzH"), (F.col("o_orderkey") % 9 + 1).cast("int"), F.lit(1)), F.repeat(F.lit("7"), (F.col("o_orderkey") % 42).cast("int"))).alias("c")).select("o_orderkey", R.id_kind(F.col("c")).alias("kind"), R.is_point(F.col("c")).alias("point"), R.is_link_end(F.col("c")).alias("link_end"))
+S["x01_id_kinds"] = "WITH k AS (SELECT o_orderkey, CASE WHEN o_orderkey % 42 BETWEEN 1 AND 40 THEN ['highlight', 'thought', 'note', 'outline', 'link', 'discovery', 'far'][o_orderkey % 9 + 1] END AS kind FROM orders) SELECT o_orderkey, kind, coalesce(kind IN ('highlight', 'thought'), false) AS point, coalesce(kind IN ('highlight', 'thought', 'note'), false) AS link_end FROM k"
 
 
 def states(spark, d):
@@ -42,12 +43,14 @@ Q["x04_note_drafts"] = lambda spark, d: R.note_drafts(A.read(spark, d, "supplier
 S["x04_note_drafts"] = "SELECT s_suppkey AS line, s_name AS title, string_agg(l_partkey, ',' ORDER BY l_orderkey, l_partkey) AS evidence FROM supplier JOIN lineitem ON s_suppkey = l_suppkey WHERE l_quantity > 45 GROUP BY ALL"
 Q["x07_far_links"] = lambda spark, d: R.far_links(A.read(spark, d, "lineitem").where("l_linenumber = 2").groupBy(F.col("l_orderkey").alias("id")).agg(F.min("l_partkey").alias("a"), F.max("l_suppkey").alias("b")), A.read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "interesting").otherwise("wrong").alias("reaction"), F.col("o_orderdate").alias("at")))
 S["x07_far_links"] = "SELECT least(a, b) AS a, greatest(a, b) AS b, o_orderdate AS \"at\" FROM (SELECT l_orderkey, min(l_partkey) AS a, max(l_suppkey) AS b FROM lineitem WHERE l_linenumber = 2 GROUP BY l_orderkey) JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F'"
-Q["x37_page_labels"] = lambda spark, d: A.read(spark, d, "pages").select("page_id", R.page_label(F.when(F.col("page_id") % 7 == 0, F.concat("url", F.lit("/captcha"))).otherwise(F.col("url")), F.when(F.col("page_id") % 5 == 0, "Robot check").otherwise("x"), F.length("html")).alias("label"))
-S["x37_page_labels"] = "SELECT page_id, CASE WHEN page_id % 7 = 0 OR regexp_matches(url, '(?i)/(captcha|errors/validate|signin)') THEN 'blocked-url' WHEN page_id % 5 = 0 THEN 'blocked-title' WHEN length(html) < 500 THEN 'short' ELSE 'page' END AS label FROM pages"
+Q["x37_page_labels"] = lambda spark, d: A.read(spark, d, "pages").select("page_id", R.page_label(F.when(F.col("page_id") % 7 == 0, F.concat("url", F.lit("/Errors/validateCaptcha"))).when(F.col("page_id") % 7 == 1, F.concat("url", F.lit("/robots.txt"))).when(F.col("page_id") % 7 == 2, F.concat("url", F.lit("&ref=cs_503_link"))).otherwise(F.col("url")), F.element_at(F.array(*[F.lit(x) for x in ("Robot Check", "Sorry, verify", "Sorry: CAPTCHA", "エラーが発生しました", "ロボット", "a book", "a book")], F.lit(None).cast("string")), (F.col("page_id") % 8 + 1).cast("int")), F.substring("html", 1, 195 + F.col("page_id").cast("int") % 10)).alias("label"))
+S["x37_page_labels"] = "SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'captcha' WHEN page_id % 7 <= 2 THEN 'robot_check' ELSE coalesce(['robot_check', 'access_denied', 'captcha', 'access_denied', 'robot_check', NULL, NULL, NULL][page_id % 8 + 1], CASE WHEN least(length(html), 195 + page_id % 10) < 200 THEN 'suspicious' ELSE 'ok' END) END AS label FROM pages"
 Q["x36_first_unsponsored"] = lambda spark, d: R.first_unsponsored(A.read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("query"), F.col("l_linenumber").alias("pos")).agg(F.min("l_partkey").alias("asin"), F.max(F.col("l_returnflag") == "R").alias("sponsored"), F.max(F.col("l_quantity") > 49).alias("blocked")))
 S["x36_first_unsponsored"] = "WITH c AS (SELECT l_orderkey AS query, l_linenumber AS pos, min(l_partkey) AS asin, bool_or(l_returnflag = 'R') AS ad, bool_or(l_quantity > 49) AS bl FROM lineitem GROUP BY ALL) SELECT query, arg_min(asin, pos) FILTER (WHERE NOT ad) AS asin FROM c GROUP BY query HAVING NOT bool_or(bl) AND count(*) FILTER (WHERE NOT ad) > 0"
-Q["w10_distinct_names"] = lambda spark, d: R.distinct_names(A.read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")))
-S["w10_distinct_names"] = "SELECT p_partkey AS id, CASE WHEN n = 1 THEN p_name ELSE p_name || ' (' || n || ')' END AS name FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS n FROM part)"
+Q["w10_distinct_names"] = lambda spark, d: R.distinct_names(A.read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 40 == 0, F.concat("p_brand", F.lit(" ("), F.col("p_partkey") % 23, F.lit(")"))).otherwise(F.col("p_brand")).alias("name")))
+S["w10_distinct_names"] = """WITH r AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 40 = 0 THEN p_brand || ' (' || p_partkey % 23 || ')' ELSE p_brand END AS name FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY id) - 1 AS k FROM r),
+f AS (SELECT name, i, row_number() OVER (PARTITION BY name ORDER BY i) AS k FROM (SELECT name, unnest(range(2, 40 + 2 * count(*))) AS i FROM r GROUP BY name) WHERE name || ' (' || i || ')' NOT IN (SELECT name FROM r))
+SELECT n.id, CASE WHEN n.k = 0 THEN n.name ELSE n.name || ' (' || f.i || ')' END AS name FROM n LEFT JOIN f ON n.name = f.name AND n.k = f.k"""
 Q["k09_vector_cache"] = lambda spark, d: R.vector_cache(A.read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 6 == 0, F.slice("embedding", 1, 10)).when(F.col("vec_id") % 6 == 1, F.transform("embedding", lambda x: F.when(x > 0, x))).otherwise(F.col("embedding")).alias("v")), 64).select("id")
 S["k09_vector_cache"] = "SELECT vec_id AS id FROM embeddings WHERE vec_id % 6 > 1"
 Q["s11_empty_exports"] = lambda spark, d: R.empty_export(A.read(spark, d, "pages").select(F.col("page_id").alias("name"), "html", F.length(F.regexp_replace("html", "(?i)<li>", "")).cast("long").alias("m")).select("name", "html", (F.length("html") - F.col("m")).alias("n")))

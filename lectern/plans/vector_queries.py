@@ -137,9 +137,9 @@ Q["c08_html_text"] = lambda spark, d: A.read(spark, d, "pages").select("page_id"
 S["c08_html_text"] = r'''SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '(?i)</?(p|div|br|li|ul|tr|td|h[1-6]|table)[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g').replace('&copy;', '©').replace('&middot;', '·').replace('&quot;', '"').replace('&amp;', '&'), chr(13) || chr(10) || '?', chr(10), 'g'), '[ ' || chr(9) || ']+' || chr(10), chr(10), 'g'), chr(10) || '{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9) || chr(13))) AS h FROM pages'''
 Q["c09_mask_credentials"] = lambda spark, d: A.read(spark, d, "pages").select("page_id", T.mask_credentials(F.concat(F.lit("https://me:pw@"), F.col("url"))).alias("u"))
 S["c09_mask_credentials"] = "SELECT page_id, regexp_replace('https://me:pw@' || url, '://[^/@ ]+@', '://***@', 'g') AS u FROM pages"
-Q["c15_price_text"] = lambda spark, d: A.read(spark, d, "part").select("p_partkey", T.price_of(F.concat(F.lit("¥ "), F.format_number(F.col("p_partkey") * 37, 0), F.lit(" incl."))).alias("price"))
+Q["c15_price_text"] = lambda spark, d: A.read(spark, d, "part").select("p_partkey", T.price_of(F.concat(F.lit("¥ "), F.when(F.col("p_partkey") % 2 == 0, F.translate(F.format_number(F.col("p_partkey") * 37, 0), "0123456789,", "０１２３４５６７８９，")).otherwise(F.format_number(F.col("p_partkey") * 37, 0)), F.lit(" incl. 10"))).alias("price"))
 S["c15_price_text"] = "SELECT p_partkey, CAST(p_partkey * 37 AS BIGINT) AS price FROM part"
-Q["c16_status_reason"] = lambda spark, d: A.read(spark, d, "orders").select("o_orderkey", T.status_reason((200 + F.col("o_orderkey") % 4 * 101).cast("int")).alias("reason"))
-S["c16_status_reason"] = "SELECT o_orderkey, CASE WHEN c IN (403, 429, 503) THEN 'blocked' WHEN c = 404 THEN 'not_found' WHEN c >= 400 THEN 'page_error' ELSE 'no_price' END AS reason FROM (SELECT o_orderkey, 200 + o_orderkey % 4 * 101 AS c FROM orders)"
+Q["c16_status_reason"] = lambda spark, d: A.read(spark, d, "orders").select("o_orderkey", T.status_reason(F.element_at(F.array(*[F.lit(x) for x in (200, 301, 403, 404, 429, 500, 503)], F.lit(None).cast("int")), (F.col("o_orderkey") % 8 + 1).cast("int"))).alias("reason"))
+S["c16_status_reason"] = "SELECT o_orderkey, CASE WHEN o_orderkey % 8 IN (2, 4, 5, 6) THEN 'page_error' WHEN o_orderkey % 8 = 3 THEN 'not_found' ELSE 'no_price' END AS reason FROM orders"
 Q["f25_isbn10"] = lambda spark, d: A.read(spark, d, "customer").select("c_custkey", T.isbn10(F.lpad((F.col("c_custkey") * 66601).cast("string"), 9, "0")).alias("isbn"))
 S["f25_isbn10"] = "WITH a AS (SELECT c_custkey, lpad(CAST(c_custkey * 66601 AS VARCHAR), 9, '0') AS d FROM customer), b AS (SELECT c_custkey, d, (11 - (10 * CAST(substr(d, 1, 1) AS INTEGER) + 9 * CAST(substr(d, 2, 1) AS INTEGER) + 8 * CAST(substr(d, 3, 1) AS INTEGER) + 7 * CAST(substr(d, 4, 1) AS INTEGER) + 6 * CAST(substr(d, 5, 1) AS INTEGER) + 5 * CAST(substr(d, 6, 1) AS INTEGER) + 4 * CAST(substr(d, 7, 1) AS INTEGER) + 3 * CAST(substr(d, 8, 1) AS INTEGER) + 2 * CAST(substr(d, 9, 1) AS INTEGER)) % 11) % 11 AS k FROM a) SELECT c_custkey, d || CASE WHEN k = 10 THEN 'X' ELSE CAST(k AS VARCHAR) END AS isbn FROM b"

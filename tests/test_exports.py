@@ -113,3 +113,31 @@ def test_loose_dates(spark):
 def test_unicode_text(spark):
     row = spark.range(1).select(text.title_key(F.lit("ファスト＆スロー（上） 【合本版】 Vol.1")).alias("key"), text.decode_entities(F.lit("&lt;&#x41;&#66; &eacute;&nbsp;&bogus; &#99999999;")).alias("ent"), text.mask_credentials(F.lit("see //me:pw@host and https://tok@x.example/a@b")).alias("mask"), text.label(F.lit("夜と霧 (みすず文庫 し 4-1)【上】")).alias("label"), text.normalize_text(F.lit(None).cast("string")).alias("none")).first()
     assert (row.key, row.ent, row.mask, row.label, row.none) == ("ファストスローvol1", "<AB é &bogus; &#99999999;", "see //***@host and https://***@x.example/a@b", "みすず文庫", "")
+
+
+def test_series_and_publishers(spark):
+    """Catalogue numbers, branches and what is no series; names of publishers."""
+    series = {
+        "本 (岩波文庫 赤435-5)": "岩波文庫", "本 (文春文庫 し 4-1)": "文春文庫", "本 (日経文庫 E 52)": "日経文庫", "本 (平凡社新書0911)": "平凡社新書", "本 (中公文庫ま-1-1)": "中公文庫",
+        "本 (岩波新書 新赤版 1234)": "岩波新書", "本 (文庫) [Kindle版]": "文庫", "本 (文庫)【電子書籍限定特典付き】": "文庫", "本 (日本経済新聞出版)": "日本経済新聞出版", "本 (上)": "", "本 (第2巻)": "", "本 (Vol.)": "", "本": "", "本 (a(b))": "", None: "",
+    }
+    df = spark.createDataFrame([(k,) for k in series], "s string")
+    assert {r.s: r.v for r in df.select("s", text.label(F.col("s")).alias("v")).collect()} == series
+    names = {"出版社 \u200f : \u200e 光文社; 第2版 (2020/10/14)": "光文社", "Publisher: A & B (May 1, 2020)": "A & B", "光文社 (東京)": "光文社 (東京)", "PUBLISHER:X": "X", "a:b": "a:b", "": "", None: "", "y" * 130: "y" * 100}
+    df = spark.createDataFrame([(k,) for k in names], "s string")
+    assert {r.s: r.v for r in df.select("s", text.publisher_of(F.col("s")).alias("v")).collect()} == names
+
+
+def test_headings_and_days(spark):
+    heads = {
+        "ハイライト(黄色) - 第1章 始まり > 位置 1,234": ("highlight", 1234, "", "第1章 始まり"), "メモ - 位置No. 12": ("note", 12, "", ""), "Note - Page xii · Location 30": ("note", 30, "xii", ""),
+        "Highlight(yellow) - Part A - B > Page 7": ("highlight", None, "7", "Part A - B"), "Bookmark - Page 9": ("bookmark", None, "9", ""), "ブックマーク - 位置3": ("bookmark", 3, "", ""), "": ("highlight", None, "", ""), "Notation - x > y > Seite 4": ("highlight", None, "4", "x > y"),
+    }
+    df = spark.createDataFrame([(k,) for k in heads], "s string").select("s", E.read_heading(F.col("s")).alias("h"))
+    assert {r.s: tuple(r.h) for r in df.collect()} == heads
+    days = {"2023年1月2日": True, "2023年 1月 2日": True, "January 1, 2023": True, "Mar. 1, 2023": True, "3 mars 2024": True, "2024/1/2": True, "2024-01-02": True, "on 2024-01-02": False, "2024": False, "": False, None: False}
+    df = spark.createDataFrame([(k,) for k in days], "s string").select("s", dates.is_day(F.col("s")).alias("d"))
+    assert {r.s: r.d for r in df.collect()} == days
+    on = {"2023年3月4日": datetime.date(2023, 3, 4), "Sunday March 5, 2023": datetime.date(2023, 3, 5), "2023年2月30日": None, "2023-03-04": None, "": None}
+    df = spark.createDataFrame([(k,) for k in on], "s string").select("s", dates.annotated_on(F.col("s")).alias("d"))
+    assert {r.s: r.d for r in df.collect()} == on

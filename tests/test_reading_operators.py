@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import analysis, graph, order, points, vectors
+from lectern.operators import analysis, graph, order, points, reports, vectors
 
 
 def test_positions_and_running_totals(spark):
@@ -95,3 +95,24 @@ def test_rebuild_rule():
 def test_search_folds_widths(spark):
     rows = spark.createDataFrame([(1, "Ｐｙｔｈｏｎ　入門", ["仕事"]), (2, "other", None)], "id long, text string, tags array<string>")
     assert [r.id for r in points.matching(rows, "python #仕事", F.col("text"), points.tagged(F.col("tags"))).collect()] == [1]
+
+
+def test_names_never_repeat(spark):
+    """Repeats take the free numbers; names that look made stay, whatever their number."""
+    r = random.Random(11)
+    names = [r.choice(["a", "a", "a", "b", "a (2)", "a (3)", "a (5)", "b (2)", "a (3) (2)", "a (02)", "a (1)", "c\nd", ""]) for _ in range(120)] + ["a", "a", "a", "a (3)"]
+    rows = list(enumerate(names))
+    r.shuffle(rows)
+    got = {x.id: x.name for x in reports.distinct_names(spark.createDataFrame(rows, "id long, name string")).collect()}
+    given, seen, want = set(names), set(), {}
+    for i, name in enumerate(names):
+        n, made = 1, name
+        if name in seen:
+            while made in given or made in want.values():
+                n += 1
+                made = f"{name} ({n})"
+        seen.add(name)
+        want[i] = made
+    assert got == want and len(set(got.values())) == len(names)
+    few = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (4, "a (3)")], "id long, name string")
+    assert [x.name for x in reports.distinct_names(few).orderBy("id").collect()] == ["a", "a (2)", "a (4)", "a (3)"]
