@@ -31,7 +31,7 @@ import zlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import short_batches, table, whole_text
+from .common import lean, short_batches, table, whole_text
 
 BUCKETS = 1 << 16
 CHUNK = 4096
@@ -285,9 +285,9 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     merges = rank_map(read_ranks(ranks_path))
     words = F.regexp_extract_all(whole_text(text_col), F.lit(java_pattern(pattern)), F.lit(0))
     cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), words.alias("words"))
-    blocks = cut.mapInArrow(_blocks, "words array<string>, ids binary, offsets binary, positions binary, whole binary, long array<string>")
+    blocks = cut.mapInArrow(lean(_blocks), "words array<string>, ids binary, offsets binary, positions binary, whole binary, long array<string>")
     folded = blocks.select(F.transform("words", lambda w: fold_merges(w, merges)).alias("symbols"), "ids", "offsets", "positions", "whole", "long")
-    return folded.mapInArrow(_assemble(ranks_path), OUT)
+    return folded.mapInArrow(lean(_assemble(ranks_path)), OUT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

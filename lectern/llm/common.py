@@ -48,7 +48,7 @@ def release(spark: SparkSession) -> None:
     spark._jvm.java.lang.System.gc()
 
 
-BATCH_MB = 8
+BATCH_MB = 4
 
 
 def short_batches(spark: SparkSession) -> None:
@@ -62,6 +62,30 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set(key, f"{BATCH_MB}m")
 
 
+def lean(run):
+    """`run`, a function over batches, in a worker that returns what it has freed. Workers live on
+    from task to task, several beside each executor; large blocks go back to the system at once,
+    small ones when the task ends."""
+
+    def task(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        pa.set_memory_pool(pa.system_memory_pool())
+        libc = ctypes.CDLL(None)
+        tune, trim = getattr(libc, "mallopt", None), getattr(libc, "malloc_trim", None)  # glibc's
+        if tune:
+            tune(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        try:
+            yield from run(batches)
+        finally:
+            if trim:
+                trim(0)
+
+    return task
+
+
 def runs(batches, keys: list[str], values: list[str]):
     """(key, rows) of each run of equal keys in batches that come sorted by key; a run may
     span batches. Memory follows the longest run."""

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import table, written
+from .common import lean, table, written
 
 SIMILARITY = 0.8
 MIN_WORDS = 8
@@ -277,7 +277,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY
     for block in blocks(items, item_col, item_text):
         if len(parts) >= AT_ONCE:  # the driver holds no more blocks than these
             parts = [written(reduce(DataFrame.unionByName, parts), "leaks")]
-        parts.append(texts.mapInArrow(_search(block, similarity, min_words), OUT))
+        parts.append(texts.mapInArrow(lean(_search(block, similarity, min_words)), OUT))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -312,7 +312,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY
     for n, block in enumerate(blocks(items)):
         if n and n % AT_ONCE == 0:
             docs = written(docs, "clean")
-        docs = docs.mapInArrow(_without(block, similarity, min_words, text_col), docs.schema)
+        docs = docs.mapInArrow(lean(_without(block, similarity, min_words, text_col)), docs.schema)
     return docs
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import runs, table, written
+from .common import lean, runs, table, written
 from .components import connected_components
 
 BAND = 4
@@ -268,7 +268,7 @@ def dealt(rows: DataFrame, block: int) -> DataFrame:
 
 def by_run(rows: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
     """`run` over the rows, dealt by the keys and sorted by them."""
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lean(run), schema)
 
 
 def buckets(sigs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -369,7 +369,7 @@ def overlapping(texts: DataFrame, members: DataFrame, k: int, num: int, den: int
     # sent to all tasks only where it is known to be small
     sent = F.broadcast(members) if members.count() <= SENT_ROWS else members
     picked = texts.join(sent, "doc").select("cls", "grp", "size", "probes", "chosen", "text")
-    parts = picked.mapInArrow(_fragments(k), "cls long, grp long, size long, probes long, chosen boolean, n long, f int, grams binary")
+    parts = picked.mapInArrow(lean(_fragments(k)), "cls long, grp long, size long, probes long, chosen boolean, n long, f int, grams binary")
     matrices = by_run(dealt(parts, BLOCK), ["grp", "pc", "mc", "f"], _partial, "grp long, pc int, mc int, f int, cls binary, n binary, probe binary, sums binary")
     return by_run(matrices, ["grp", "pc", "mc"], _summed(num, den), "a long, b long")
 
@@ -401,9 +401,9 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, id_col: str
     """(doc, n_shingles, component) of every row: documents linked when their k-word
     shingle sets have Jaccard similarity num/den or more."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    sets = texts.mapInArrow(_sets(k), "doc long, n_shingles long, cls long, sketch binary")
+    sets = texts.mapInArrow(lean(_sets(k)), "doc long, n_shingles long, cls long, sketch binary")
     sets = written(sets.withColumn("cls", F.when(F.col("doc").isNotNull(), F.col("cls"))), "sets")
-    sigs = texts.where("doc is not null").select("text").mapInArrow(_signatures(k, num, den), "sig long, cls long")
+    sigs = texts.where("doc is not null").select("text").mapInArrow(lean(_signatures(k, num, den)), "sig long, cls long")
     tied = connected_components(ties(buckets(sigs, sets), num, den))
     reps = sets.where("cls is not null").groupBy("cls").agg(F.min("doc").alias("doc"))
     groups = written(tied.select(F.col("node").alias("cls"), F.col("root").alias("grp")).join(reps, "cls"), "groups")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import crc_mod, short_batches, table, whole_text
+from .common import crc_mod, lean, short_batches, table, whole_text
 
 SAMPLE = 20_000
 FEATURES = 4096
@@ -248,13 +248,13 @@ def fit(docs: DataFrame, labels: DataFrame, train=None, id_col: str = "doc_id",
         pos, neg = total.get(1, 0), total.get(0, 0)
         if not pos + neg:
             return Model(np.zeros(0, np.uint64), np.zeros(0), -np.inf)
-        by_word = bags.mapInArrow(_frequencies, "feature long, p long, n long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+        by_word = bags.mapInArrow(lean(_frequencies), "feature long, p long, n long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
         rate_p, rate_n = (F.col("p") + 0.5) / (pos + 1.0), (F.col("n") - F.col("p") + 0.5) / (neg + 1.0)
         pooled = (F.col("n") + 1.0) / (pos + neg + 2.0)
         z = (rate_p - rate_n) / F.sqrt(pooled * (1 - pooled) * (1.0 / (pos + 1) + 1.0 / (neg + 1)))
         best = by_word.where("n >= 3").select("feature", F.abs(z).alias("z")).where(F.col("z") >= Z).orderBy(F.desc("z"), "feature").limit(FEATURES)
         known = np.sort(np.array([r["feature"] for r in best.collect()], np.int64).view(np.uint64))
-        rows = bags.mapInArrow(_bags(known), "toxic int, plain double, bags array<array<int>>").collect()
+        rows = bags.mapInArrow(lean(_bags(known)), "toxic int, plain double, bags array<array<int>>").collect()
     finally:
         bags.unpersist()
     toxic, plain = np.array([r["toxic"] for r in rows], np.int64), np.array([r["plain"] for r in rows], float)
@@ -300,7 +300,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """(id, score, sentences): the noisy-or and the spans of sentences at `level` or more."""
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
-    out = texts.mapInArrow(_score(model, level), f"id {kind}, score double, sentences array<struct<start:int,end:int,score:double>>")
+    out = texts.mapInArrow(lean(_score(model, level)), f"id {kind}, score double, sentences array<struct<start:int,end:int,score:double>>")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -318,7 +318,7 @@ def _clean(model: Model, text_col: str, threshold: float):
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows, with all their columns, whose score is below the threshold."""
-    return docs.mapInArrow(_clean(model, text_col, threshold), docs.schema)
+    return docs.mapInArrow(lean(_clean(model, text_col, threshold)), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
