@@ -683,6 +683,42 @@ def test_pii_evidence_reaches_every_repeat():
     assert len(p) == 61 and (p[:, 4] > 0.9).all()
 
 
+def test_pii_time_follows_the_text():
+    """Long texts of repeats and of distinct tokens, at weights that agree, differ and do not care."""
+    import time
+
+    for chain, skip in ((2.0, 3.0), (-0.8, 3.4), (0.0, 0.0)):
+        w = pii.Weights(np.random.default_rng(1).normal(size=(pii.SHAPES, 5)), chain, skip)
+        for text in ("x1 " * 60000, "+1 (988) 555-2485 " + "a1 b2 c3 " * 20000, " ".join(f"n{i}" for i in range(40000))):
+            began = time.time()
+            p = pii.posteriors(pii.Graph(text, pii.base_spans(text)), w)
+            assert np.isfinite(p).all() and time.time() - began < 40
+
+
+def test_pii_recovers_hidden_matches(spark):
+    """Matches whose evidence is taken away, in texts that the field was not fitted on."""
+    r = random.Random(4)
+    sure = lambda: r.choice([f"{r.choice(WORDS)}.{r.randrange(99)}@mail{r.randrange(9)}.example.com", ".".join(str(r.randrange(256)) for _ in range(4)), f"+1 ({r.randrange(200, 999)}) 555-{r.randrange(1000, 9999)}"])
+    texts = []
+    for _ in range(400):
+        a, b = sure(), sure()
+        texts.append(f"{text_of(8, r.random())} {a} {text_of(3, r.random())} {b} room {r.randrange(90)} v{r.randrange(9)}.{r.randrange(9)} {text_of(2, r.random())} {a}")
+    w = pii.fit(spark.createDataFrame([(t,) for t in texts[:200]], "text string"))
+    right = wrong = hidden = 0
+    for t in texts[200:]:
+        g = pii.Graph(t, pii.base_spans(t))
+        truth = g.label.copy()
+        for i in np.flatnonzero(truth > 0)[::2]:
+            g.label[i] = -1
+        p = pii.posteriors(g, w)
+        open_ = g.label < 0
+        said = np.where((p[:, 1:].max(1) >= pii.LEVEL) & open_, p[:, 1:].argmax(1) + 1, 0)
+        hidden += int((truth[open_] > 0).sum())
+        right += int(((said == truth) & (said > 0)).sum())
+        wrong += int(((said != truth) & (said > 0)).sum())
+    assert right >= 0.9 * hidden and wrong <= 0.02 * right
+
+
 # 9 ------------------------------------------------------------------------------------
 
 
