@@ -107,10 +107,24 @@ def parse(formatted: Column) -> Column:
 
 
 def table_events(conversations: DataFrame) -> DataFrame:
-    """Rows of a turn table as an event log: each row starts a message of its own."""
+    """Rows of a turn table as the log of a chat in which they came about. In turn, a message is
+    streamed in two deltas; or a draft is edited into it; or a first answer and a message that
+    follows it are undone by a regeneration, which is streamed too."""
     order = [F.col("turn").asc_nulls_first(), "role", "text"]
     n = F.row_number().over(Window.partitionBy("conv_id").orderBy(*order)).cast("long")
-    return conversations.select("conv_id", n.alias("seq"), n.alias("msg"), F.lit("message").alias("kind"), "role", "text")
+    rows = conversations.select("conv_id", n.alias("n"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    half = (F.length("text") / 2).cast("int")
+    first, rest = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))
+
+    def events(*parts) -> Column:
+        made = [(F.lit(10) * F.col("n") + i, F.col("n") if own else -F.col("n"), kind, text) for i, (own, kind, text) in enumerate(parts)]
+        return F.array(*[F.struct(seq.alias("seq"), msg.alias("msg"), F.lit(kind).alias("kind"), (F.lit(text) if isinstance(text, str) else text).alias("text")) for seq, msg, kind, text in made])
+
+    streamed = events((True, "message", ""), (True, "delta", first), (True, "delta", rest))
+    edited = events((True, "message", "a draft"), (True, "delta", " cut off"), (True, "edit", F.col("text")))
+    redone = events((True, "message", "another "), (True, "delta", F.col("text")), (False, "message", "and what"), (False, "delta", " follows"), (True, "regenerate", first), (True, "delta", rest))
+    log = F.when(F.col("n") % 3 == 0, streamed).when(F.col("n") % 3 == 1, redone).otherwise(edited)
+    return rows.select("conv_id", "role", F.explode(log).alias("e")).select("conv_id", "e.seq", "e.msg", "e.kind", "role", "e.text")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
