@@ -27,10 +27,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: No marker file beside a step's table: nobody waits for it, and on file systems without a native
+#: library the driver starts a process for each.
+UNMARKED = {"mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
+
+
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Cut lineage: write the rows to the shared folder once and read them back."""
     path = path or new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**UNMARKED).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
