@@ -8,23 +8,27 @@ from pyspark.sql import functions as F
 from .common import drop_path, new_path, release, written
 
 
+PART_ROWS = 100_000
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of `edges`; root is the smallest node reachable.
 
     Alternating large-star and small-star contraction. Each round rewrites every edge at
     most once, so rows never exceed the input's; rounds grow with the logarithm of the
-    graph's size. Smallest neighbours are grouped minima that come back by a join, so a node
-    with very many edges is first reduced where its edges are and then split by a skewed
-    join. Each round is written to the shared folder, so an executor's loss costs one round at
+    graph's size, and a round takes a task for each PART_ROWS edges, no more. Smallest
+    neighbours are grouped minima that come back by a join, so a node with very many edges is
+    first reduced where its edges are and then split by a skewed join. Each round is written to the shared folder, so an executor's loss costs one round at
     most, and replaces the one before. Loops and null ends are ignored; an empty table gives
     no rows.
     """
     spark = edges.sparkSession
     last: list[str] = []
+    parts = None
 
     def kept(df: DataFrame) -> DataFrame:
         last.append(new_path(spark, "components"))
-        out = written(df, "components", last[-1])
+        out = written(df if parts is None else df.coalesce(parts), "components", last[-1])
         for old in last[:-1]:
             drop_path(spark, old)
         del last[:-1]
@@ -32,6 +36,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
 
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     e = kept(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    parts = max(1, -(-e.count() // PART_ROWS))  # edges never become more, so this bounds all rounds
     state = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
