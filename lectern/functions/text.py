@@ -17,8 +17,14 @@ SPACE = "[\\s\\u00a0\\u3000\\u2000-\\u200a\\u2028\\u2029]"
 
 
 @pandas_udf(StringType())
-def nfkc(texts):
-    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+def _composed(texts):
+    return texts.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))
+
+
+def nfkc(c: Column) -> Column:
+    """Compatibility normalisation. Texts in ASCII are in that form and never leave the JVM."""
+    plain = c.rlike(r"^\p{ASCII}*$")
+    return F.when(plain, c).otherwise(_composed(F.when(~plain, c)))
 
 
 def let(value: Column, body) -> Column:

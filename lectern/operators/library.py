@@ -109,6 +109,33 @@ def contained(highlights: DataFrame, gap: int = 1) -> DataFrame:
     return met.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("keeper").alias("id")))["id"].alias("keeper"))
 
 
+def import_changes(existing: DataFrame, incoming: DataFrame, width: int = 64) -> DataFrame:
+    """(id, change, former): what an import does with each of its points (id, book, start, end,
+    text), given those there are (with deleted): `known` and `gone` ones stay as they are; one that
+    lies in a longer point of the same spot is `contained`; one that holds a shorter live point of
+    the same spot, the one with the lowest id, `extends` it (former); the others are `added`.
+
+    Spots overlap, and are dealt to bins of `width` places; without places two points never share
+    one. Texts are compared as `normalize_text` leaves them."""
+    here = existing.select("id", F.col("deleted").alias("there"))
+    known = incoming.join(here, "id").select("id", F.when(F.col("there"), "gone").otherwise("known").alias("change"), F.lit(None).cast(incoming.schema["id"].dataType).alias("former"))
+    new = incoming.join(here, "id", "left_anti")
+
+    def dealt(rows: DataFrame, n: str) -> DataFrame:
+        last = F.coalesce("end", "start")
+        bins = F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(last / width)))
+        return rows.where("start is not null").select(F.col("id").alias("id" + n), "book", F.col("start").alias("s" + n), last.alias("e" + n), normalize_text(F.col("text")).alias("t" + n), F.length("text").alias("n" + n), *(["deleted"] if n == "2" else []), bins.alias("bin"))
+
+    a, b = dealt(new, "1"), dealt(existing, "2")
+    met = a.join(b, ["book", "bin"]).where((F.col("s1") <= F.col("e2")) & (F.col("s2") <= F.col("e1")))
+    longer = (F.col("n2") > F.col("n1")) & F.contains("t2", "t1")
+    shorter = ~F.col("deleted") & (F.col("n2") < F.col("n1")) & F.contains("t1", "t2")
+    found = met.groupBy(F.col("id1").alias("id")).agg(F.max(longer).alias("inside"), F.min(F.when(shorter, F.col("id2"))).alias("former"))
+    change = F.when(F.col("inside"), "contained").when(F.col("former").isNotNull(), "extends").otherwise("added")
+    rest = new.select("id").join(found, "id", "left").select("id", change.alias("change"), F.when(change == "extends", F.col("former")).alias("former"))
+    return known.unionByName(rest)
+
+
 def status_counts(rows: DataFrame, statuses: list[str]) -> DataFrame:
     """Per group the number of rows with each status, zeros included."""
     return rows.groupBy("group").pivot("status", statuses).count().na.fill(0)

@@ -24,6 +24,53 @@ def atom_entries(events: DataFrame) -> DataFrame:
     return events.select("asin", "kind", entry.alias("entry"))
 
 
+#: Links of books, the number of entries, and the name space of feeds.
+BOOK_URL, NEWEST, ATOM = "https://www.amazon.co.jp/dp/", 50, "http://www.w3.org/2005/Atom"
+
+
+def atom_feed(events: DataFrame, site: str, name: str, title: str, author: str, otherwise: Column | None = None, most: int = NEWEST) -> DataFrame:
+    """One row (feed): the newest `most` events (id, asin, at, title) as a feed, newest first; equal
+    data give equal text. Without events it is dated by `otherwise`. Only these few meet in a list."""
+    site = site if site.endswith("/") else site + "/"
+    time = lambda c: atom_time(F.date_format(c, "yyyy-MM-dd HH:mm:ss"))
+    link = F.when(F.col("asin").cast("string").rlike("^[A-Z0-9]{10}$"), F.concat(F.lit(BOOK_URL), F.col("asin").cast("string"))).otherwise(site)
+    entry = F.concat(
+        F.lit(f" <entry>\n  <id>{site}{name}#"), xml(F.col("id").cast("string")), F.lit("</id>\n  <title>"), xml(F.col("title")), F.lit("</title>\n  <updated>"), time("at"),
+        F.lit('</updated>\n  <link rel="alternate" href="'), link, F.lit('" />\n </entry>\n'),
+    )
+    top = events.orderBy(F.desc("at"), F.desc("id")).limit(most).select(F.struct("at", "id", entry.alias("entry")).alias("e"))
+    rows = F.reverse(F.array_sort(F.collect_list("e")))
+    head = f'<?xml version="1.0" encoding="utf-8"?>\n<feed xmlns="{ATOM}">\n <id>{site}{name}</id>\n <title>{title}</title>\n <link rel="self" href="{site}{name}" />\n <link rel="alternate" href="{site}" />\n <updated>'
+    newest = F.coalesce(F.get("rows", F.lit(0))["at"], otherwise if otherwise is not None else F.lit(None).cast("timestamp"))
+    body = F.concat(F.lit(head), time(newest), F.lit(f"</updated>\n <author>\n  <name>{author}</name>\n </author>\n"), F.array_join(F.transform("rows", lambda e: e["entry"]), ""), F.lit("</feed>\n"))
+    return top.agg(rows.alias("rows")).select(body.alias("feed"))
+
+
+def wishlist_items(books: DataFrame) -> DataFrame:
+    """(asin, item): each book of the published list as JSON with its 23 fields. Unlimited books
+    and those not fetched have no price; what moves with a price (its trend, the price before
+    points, points and campaign) is only there with one, the reason only without."""
+    unlimited = F.coalesce("is_unlimited", F.lit(False))
+    price = F.when(~unlimited, F.col("actual_price"))
+    priced = price.isNotNull()
+    said = lambda c, other: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit(other))
+    flags = F.filter(F.array(F.when(F.col("from_store"), "kindle"), F.when(F.col("from_reader"), "bookmeter")), lambda x: x.isNotNull())
+    fields = {
+        "asin": said("asin", ""), "title": said("title", "(unknown)"), "price": price, "ku": unlimited, "wanted": F.coalesce("wanted", F.lit(False)), "purchased": F.coalesce("purchased", F.lit(False)),
+        "sources": flags, "kind": F.col("kind"), "tag": F.col("tag"), "rating": F.col("rating"), "scraped_at": F.col("scraped_at"),
+        "price_prev": F.when(priced, F.col("trend.prev")), "price_changed_at": F.when(priced, F.col("trend.changed_at")), "price_low": F.when(priced, F.col("trend.low")), "price_low_at": F.when(priced, F.col("trend.low_at")),
+        "target_price": F.col("target_price"), "price_history": F.coalesce("history", F.array().cast(books.schema["history"].dataType)), "price_reason": F.when(~priced, F.col("reason")),
+        "bookmeter_id": F.when(F.col("reader_id").rlike("^[0-9]{1,12}$"), F.col("reader_id")), "publisher": F.nullif(F.trim("publisher"), F.lit("")),
+        "sell_price": F.when(priced, F.col("sell_price")), "points": F.when(priced, F.coalesce("points", F.lit(0))).otherwise(0), "campaign": F.when(priced, F.coalesce("campaign", F.lit(""))).otherwise(""),
+    }
+    return books.select(F.col("asin"), F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]), {"ignoreNullFields": "false"}).alias("item"))
+
+
+def wishlist_header(books: DataFrame, name: str = "wishlist", version: int = 1) -> DataFrame:
+    """One row: the form, its version and when any book was last fetched."""
+    return books.agg(F.lit(name).alias("format"), F.lit(version).alias("version"), F.max("scraped_at").alias("last_scraped"))
+
+
 def book_markdown(points: DataFrame) -> DataFrame:
     """(book, text): a book's points under its chapters, chapters by their first place."""
     chapter = points.groupBy("book", "chapter").agg(F.min("location").alias("first"), F.array_sort(F.collect_list(F.struct("location", "id", F.concat(F.lit("- "), "text").alias("t")))).alias("l"))

@@ -122,3 +122,23 @@ S["t06_carry_forward"] = oracle("vs", 'SELECT id, max(CASE WHEN field = \'purcha
 
 Q["t05_health_status"] = vs(lambda v: L.health(reports(v), F.lit("2024-01-23").cast("timestamp_ntz"), "1 DAY").withColumnRenamed("source", "user"))
 S["t05_health_status"] = oracle("vs", """SELECT "user", CASE WHEN updated < TIMESTAMP '2024-01-20' THEN 'stale' WHEN field = 'signup' THEN 'login' WHEN field = 'error' THEN 'error' ELSE 'ok' END AS status FROM (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY updated DESC, id DESC) AS r FROM vs) WHERE r = 1""")
+
+
+def imported(h):
+    """Points as they are, and an import that brings them again, longer and shorter ones among them."""
+    place = lambda t, i, x: t.select(i.alias("id"), "book", F.col("location").alias("start"), (F.col("location") + 5).alias("end"), x.alias("text"), "deleted")
+    i, t = F.col("id"), F.col("text")
+    here = place(h.where("id % 3 > 0"), i, t)
+    long = place(h.where("id % 10 = 1"), i + 1000000, F.concat(t, F.lit(" and more")))
+    short = place(h.where("id % 10 = 2"), i + 2000000, F.substring(t, F.lit(1), F.length(t) - 5))
+    return here, place(h, i, t).unionByName(long).unionByName(short).drop("deleted")
+
+
+Q["m10_import_changes"] = hl(lambda h: L.import_changes(*imported(h)))
+#: Texts of the tables are in a normal form but for case and white space.
+S["m10_import_changes"] = oracle("hl", """+nt AS (SELECT *, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS norm FROM hl), e AS (SELECT id, book, location AS s, text, deleted, norm FROM nt WHERE id % 3 > 0),
+i AS (SELECT id, book, location AS s, text FROM hl UNION ALL SELECT id + 1000000, book, location, text || ' and more' FROM hl WHERE id % 10 = 1 UNION ALL SELECT id + 2000000, book, location, substr(text, 1, length(text) - 5) FROM hl WHERE id % 10 = 2),
+n AS (SELECT *, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS norm FROM i WHERE id NOT IN (SELECT id FROM e)),
+m AS (SELECT n.id, bool_or(length(e.text) > length(n.text) AND contains(e.norm, n.norm)) AS inside, min(CASE WHEN NOT e.deleted AND length(e.text) < length(n.text) AND contains(n.norm, e.norm) THEN e.id END) AS former FROM n JOIN e ON n.book = e.book AND abs(n.s - e.s) <= 5 GROUP BY n.id)
+SELECT id, CASE WHEN deleted THEN 'gone' ELSE 'known' END AS change, CAST(NULL AS BIGINT) AS former FROM e UNION ALL
+SELECT n.id, CASE WHEN inside THEN 'contained' WHEN former IS NOT NULL THEN 'extends' ELSE 'added' END, CASE WHEN NOT inside THEN former END FROM n LEFT JOIN m ON n.id = m.id""")

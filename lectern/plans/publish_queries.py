@@ -68,3 +68,42 @@ Q["s24_filtered_scan"] = lambda spark, d: A.read(spark, d, "events").where((F.co
 S["s24_filtered_scan"] = "SELECT event_id, user_id FROM events WHERE event_type = 'purchase' AND ts >= TIMESTAMP '2024-01-10'"
 Q["x17_month_reading"] = lambda spark, d: A.records(spark, d).where((F.year("read_on") == 1998) & (F.month("read_on") == 5)).agg(F.count("*").alias("books"), F.sum("pages").alias("pages"), F.count_if(F.col("pages").isNull()).alias("unknown"))
 S["x17_month_reading"] = oracle("rd", "SELECT count(*) AS books, sum(pages) AS pages, count(*) FILTER (WHERE pages IS NULL) AS unknown FROM rd WHERE year(read_on) = 1998 AND month(read_on) = 5")
+
+
+def listed(spark, d):
+    """Books with all that the published list takes: unlimited, unpriced and blank ones among them."""
+    c = A.read(spark, d, "customer")
+    k = F.col("c_custkey")
+    n = lambda e: e.cast("int")
+    return c.select(
+        F.concat(F.lit("C"), k).alias("asin"), F.when(k % 13 != 0, F.col("c_name")).alias("title"), F.when(k % 5 != 0, n(k * 37 % 2000)).alias("actual_price"), F.when(k % 7 != 0, k % 11 == 0).alias("is_unlimited"),
+        (F.col("c_acctbal") > 0).alias("wanted"), (F.col("c_mktsegment") == "BUILDING").alias("purchased"), (k % 2 == 0).alias("from_store"), (k % 3 == 0).alias("from_reader"), F.lit("novel").alias("kind"),
+        F.when(k % 4 == 0, "seen").alias("tag"), F.when(k % 4 == 0, n(k % 5 + 1)).alias("rating"), F.when(k % 7 != 0, F.concat(F.lit("2024-01-0"), k % 9 + 1)).alias("scraped_at"),
+        F.struct(n(k % 900).alias("prev"), F.lit("2024").alias("changed_at"), n(k % 300).alias("low"), F.lit("2023").alias("low_at")).alias("trend"), F.when(k % 6 == 0, 500).alias("target_price"),
+        F.when(k % 3 != 1, F.array(F.struct(F.lit("2024-01-01").alias("at"), n(k).alias("price")))).alias("history"), F.lit("no_price").alias("reason"), F.when(k % 5 == 0, "x").otherwise(k.cast("string")).alias("reader_id"),
+        F.when(k % 8 == 0, "  ").otherwise(" Pub ").alias("publisher"), n(k * 37 % 2000 + 10).alias("sell_price"), F.when(k % 2 == 0, 10).alias("points"), F.when(k % 3 == 0, "sale").alias("campaign"),
+    )
+
+
+Q["k01_wishlist_items"] = lambda spark, d: W.wishlist_items(listed(spark, d))
+S["k01_wishlist_items"] = """WITH b AS (SELECT c_custkey AS k, c_name, c_acctbal, c_mktsegment, coalesce(CASE WHEN c_custkey % 7 <> 0 THEN c_custkey % 11 = 0 END, false) AS ku FROM customer), p AS (SELECT *, CASE WHEN NOT ku AND k % 5 <> 0 THEN k * 37 % 2000 END AS price FROM b)
+SELECT 'C' || k AS asin, CAST(to_json({'asin': 'C' || k, 'title': CASE WHEN k % 13 <> 0 THEN c_name ELSE '(unknown)' END, 'price': price, 'ku': ku, 'wanted': c_acctbal > 0, 'purchased': c_mktsegment = 'BUILDING',
+  'sources': list_filter([CASE WHEN k % 2 = 0 THEN 'kindle' END, CASE WHEN k % 3 = 0 THEN 'bookmeter' END], lambda x: x IS NOT NULL), 'kind': 'novel', 'tag': CASE WHEN k % 4 = 0 THEN 'seen' END, 'rating': CASE WHEN k % 4 = 0 THEN k % 5 + 1 END,
+  'scraped_at': CASE WHEN k % 7 <> 0 THEN '2024-01-0' || (k % 9 + 1) END, 'price_prev': CASE WHEN price IS NOT NULL THEN k % 900 END, 'price_changed_at': CASE WHEN price IS NOT NULL THEN '2024' END, 'price_low': CASE WHEN price IS NOT NULL THEN k % 300 END,
+  'price_low_at': CASE WHEN price IS NOT NULL THEN '2023' END, 'target_price': CASE WHEN k % 6 = 0 THEN 500 END, 'price_history': CASE WHEN k % 3 <> 1 THEN [{'at': '2024-01-01', 'price': k}] ELSE [] END, 'price_reason': CASE WHEN price IS NULL THEN 'no_price' END,
+  'bookmeter_id': CASE WHEN k % 5 <> 0 THEN CAST(k AS VARCHAR) END, 'publisher': CASE WHEN k % 8 <> 0 THEN 'Pub' END, 'sell_price': CASE WHEN price IS NOT NULL THEN k * 37 % 2000 + 10 END, 'points': CASE WHEN price IS NOT NULL AND k % 2 = 0 THEN 10 ELSE 0 END,
+  'campaign': CASE WHEN price IS NOT NULL AND k % 3 = 0 THEN 'sale' ELSE '' END}) AS VARCHAR) AS item FROM p"""
+Q["k01_wishlist_header"] = lambda spark, d: W.wishlist_header(listed(spark, d))
+S["k01_wishlist_header"] = "SELECT 'wishlist' AS format, CAST(1 AS INTEGER) AS version, max(CASE WHEN c_custkey % 7 <> 0 THEN '2024-01-0' || (c_custkey % 9 + 1) END) AS last_scraped FROM customer"
+
+
+def news(spark, d):
+    e, k = A.read(spark, d, "events"), F.col("event_id")
+    return e.select(k.alias("id"), F.when(k % 2 == 0, F.concat(F.lit("B"), F.lpad(F.col("user_id").cast("string"), 9, "0"))).otherwise("none").alias("asin"), F.col("ts").alias("at"), F.concat(F.col("event_type"), F.lit(" <"), k, F.lit("> & more")).alias("title"))
+
+
+Q["k02_atom_feed"] = lambda spark, d: W.atom_feed(news(spark, d), "https://site.example", "feed.xml", "News", "lectern")
+S["k02_atom_feed"] = """WITH n AS (SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN 'https://www.amazon.co.jp/dp/B' || lpad(CAST(user_id AS VARCHAR), 9, '0') ELSE 'https://site.example/' END AS link, CAST(ts AS TIMESTAMP) AS t, event_type || ' &lt;' || event_id || '&gt; &amp; more' AS title FROM events ORDER BY t DESC, id DESC LIMIT 50)
+SELECT '<?xml version="1.0" encoding="utf-8"?>' || chr(10) || '<feed xmlns="http://www.w3.org/2005/Atom">' || chr(10) || ' <id>https://site.example/feed.xml</id>' || chr(10) || ' <title>News</title>' || chr(10) || ' <link rel="self" href="https://site.example/feed.xml" />' || chr(10) || ' <link rel="alternate" href="https://site.example/" />' || chr(10)
+  || ' <updated>' || strftime(max(t), '%Y-%m-%dT%H:%M:%S+00:00') || '</updated>' || chr(10) || ' <author>' || chr(10) || '  <name>lectern</name>' || chr(10) || ' </author>' || chr(10)
+  || string_agg(' <entry>' || chr(10) || '  <id>https://site.example/feed.xml#' || id || '</id>' || chr(10) || '  <title>' || title || '</title>' || chr(10) || '  <updated>' || strftime(t, '%Y-%m-%dT%H:%M:%S+00:00') || '</updated>' || chr(10) || '  <link rel="alternate" href="' || link || '" />' || chr(10) || ' </entry>' || chr(10), '' ORDER BY t DESC, id DESC) || '</feed>' || chr(10) AS feed FROM n"""

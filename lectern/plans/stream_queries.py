@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import ids as I
 from lectern.sources import catalogues as C
+from lectern.sources import exports as E
 from lectern.streaming import inbox, jobs
 
 from . import adapters as A
@@ -115,3 +116,16 @@ s AS (
 ), z AS (SELECT s.* FROM s JOIN (SELECT job, max(r) AS r FROM n GROUP BY job) m ON s.job = m.job AND s.r = m.r), f AS (
   SELECT job, unnest(list_concat(found, CASE WHEN began IS NOT NULL AND e.last > z.last + CAST((least(30.0, 1.5 * power(2, bad)) + 20) * 1000000 AS BIGINT) THEN [{'began': began, 'ended': z.last, 'outcome': 'lost'}] ELSE [] END)) AS x FROM z, e
 ) SELECT job, x.began AS began, x.ended AS ended, x.outcome AS outcome FROM f"""
+
+
+def note_files(spark, d):
+    """A note file for each brand: chapters by type, some items of two lines, some without an id."""
+    p, k = A.read(spark, d, "part"), F.col("p_partkey")
+    item = F.concat(F.lit("- "), F.col("p_name"), F.when(k % 3 == 0, "\n    and more").otherwise(""), F.when(k % 4 > 0, F.concat(F.lit(" ^h"), k)).otherwise(""), F.when(k % 2 == 0, "\n  - メモ: mine").otherwise(""), F.when(k % 5 == 0, "\n  - タグ: #a #b #a").otherwise(""), F.when(k % 7 == 0, "\n  - ★").otherwise(""), F.lit("\n"))
+    part = p.groupBy("p_brand", "p_type").agg(F.concat(F.lit("## "), F.col("p_type"), F.lit("\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", item.alias("t")))), lambda x: x["t"]), "")).alias("t"))
+    rows = part.groupBy("p_brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_type", "t"))), lambda x: x["t"]), "\n").alias("t"))
+    return rows.select(F.col("p_brand").alias("name"), F.concat(F.lit("---\nbookId: "), F.col("p_brand"), F.lit("\ntitle: T\n---\n"), F.col("t")).alias("text"))
+
+
+Q["s22_note_files"] = lambda spark, d: E.note_file(note_files(spark, d)).select("book", "id", "text", "note", F.array_join("tags", ",").alias("tags"), "star", "chapter")
+S["s22_note_files"] = "SELECT p_brand AS book, CASE WHEN p_partkey % 4 > 0 THEN 'h' || p_partkey END AS id, p_name || CASE WHEN p_partkey % 3 = 0 THEN chr(10) || 'and more' ELSE '' END AS text, CASE WHEN p_partkey % 2 = 0 THEN 'mine' END AS note, CASE WHEN p_partkey % 5 = 0 THEN 'a,b' ELSE '' END AS tags, p_partkey % 7 = 0 AS star, p_type AS chapter FROM part"

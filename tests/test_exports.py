@@ -96,8 +96,14 @@ def test_json_files(spark):
     assert [(r.asin, r.rating) for r in E.marks_file(files(spark, ("m", marks))).orderBy("asin").collect()] == [("A", 4), ("B", None), ("C", None)]
     records = '{"records": [{"title": "T", "readOn": "2024-02-29", "pages": 10}, {"title": "U", "readOn": "2023-02-29"}, {"title": "V"}]}'
     assert [(r.title, r.read_on, r.pages) for r in E.records_file(files(spark, ("r", records))).collect()] == [("T", DAY(2024, 2, 29), 10)]
-    note = "# Book\n- First point ^p1\n  - Note: mine\n  - Tags: #a, b\n  - ★\n- no id\n  - Note: lost\n- Second ^p-2\n"
-    assert [(r.id, r.text, r.note, r.tags, r.star) for r in E.note_file(files(spark, ("n", note))).orderBy("id").collect()] == [("p-2", "Second", None, [], False), ("p1", "First point", "mine", ["a", "b"], True)]
+    note = "# Book\n- First point ^p1\n  - Note: mine\n  - Tags: #a, b #a\n  - ★\n- no id\n  - Note: new\n- Second ^p-2\n"
+    got = E.note_file(files(spark, ("n", note))).orderBy("pos")
+    assert [(r.id, r.text, r.note, r.tags, r.star, r.chapter, r.book) for r in got.collect()] == [("p1", "First point", "mine", ["a", "b"], True, "Book", ""), (None, "no id", "new", [], False, "Book", ""), ("p-2", "Second", None, [], False, "Book", "")]
+    front = "\ufeff---\r\nbookId: b1\r\ntitle: A: title\r\nauthor:\r\n---\r\n- before ^h0\r\n## One\r\n- two\r\n    lines ^h1\r\n  - メモ: 自分\r\n  - メモ: later\r\n  - タグ: #x #y\r\n\r\nloose text\r\n### Two\r\n  - メモ: of nothing\r\n- ^h9\r\n-  \r\n- last ^H ^h2 \r\n"
+    got = E.note_file(files(spark, ("f", front), ("open", "---\nbookId: b2\n- x"))).orderBy("name", "pos").collect()
+    assert [(r.book, r.title, r.author, r.id, r.text, r.note, r.tags, r.chapter) for r in got] == [
+        ("b1", "A: title", "", "h0", "before", None, [], ""), ("b1", "A: title", "", "h1", "two\nlines", "later", ["x", "y"], "One"), ("b1", "A: title", "", None, "^h9", None, [], "Two"), ("b1", "A: title", "", "h2", "last ^H", None, [], "Two"), ("", "", "", None, "x", None, [], ""),
+    ]
 
 
 def test_loose_dates(spark):
