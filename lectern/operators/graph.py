@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .order import numbered, running_total
+from .order import numbered, running_total, total_in_group
 
 HOPS = 10
 
@@ -79,8 +79,10 @@ def tree_edges(planes: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def interleave(lists: DataFrame) -> DataFrame:
-    """(item, pos): the first of each list, then the seconds and so on; rows (lst, k, item)."""
-    return numbered(lists, [(F.col("k"), False), (F.col("lst"), False)]).select("item", "pos")
+    """(item, pos): the first of each list, then the seconds and so on; rows (lst, k, item), k in
+    the order of the list and unique in it."""
+    place = total_in_group(lists.select("lst", "k", "item"), "lst", [(F.col("k"), False)], F.lit(1), "_n")
+    return numbered(place, [(F.col("_n"), False), (F.col("lst"), False)]).select("item", "pos")
 
 
 def keep_with_quota(rows: DataFrame, n: int) -> DataFrame:

@@ -109,6 +109,17 @@ def contained(highlights: DataFrame, gap: int = 1) -> DataFrame:
     return met.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("keeper").alias("id")))["id"].alias("keeper"))
 
 
+def without_contained(highlights: DataFrame, gap: int = 1) -> DataFrame:
+    """The live points that lie in no longer one of their place, with their notes; a point without
+    a note takes that of the longest one it holds (then of the lowest id) that has any."""
+    pairs = contained(highlights, gap)
+    rows = live(highlights)
+    notes = rows.where(F.col("note") != "").select("id", "note", F.length("text").alias("n"))
+    moved = pairs.join(notes, "id").groupBy("keeper").agg(F.min_by("note", F.struct((-F.col("n")).alias("n"), "id")).alias("moved")).withColumnRenamed("keeper", "id")
+    kept = rows.join(pairs.select("id"), "id", "left_anti").join(moved, "id", "left")
+    return kept.withColumn("note", F.coalesce(F.nullif("note", F.lit("")), "moved", F.lit(""))).drop("moved")
+
+
 def import_changes(existing: DataFrame, incoming: DataFrame, width: int = 64) -> DataFrame:
     """(id, change, former): what an import does with each of its points (id, book, start, end,
     text), given those there are (with deleted): `known` and `gone` ones stay as they are; one that

@@ -100,3 +100,27 @@ def memo_texts(answers: DataFrame, context: DataFrame, labels: DataFrame) -> Dat
     got = rows.groupBy("query", "answer", (F.size("used") > 0).alias("cited")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(cite)), lambda x: x["t"]), " / ").alias("cites"))
     tail = F.concat(F.lit("\n\n"), F.when(F.col("cited"), GROUNDS).otherwise(HANDED), F.lit(": "), F.col("cites"))
     return got.select("query", F.when(F.col("cites") != "", F.concat("answer", tail)).otherwise(F.col("answer")).alias("text"))
+
+
+def edited(rows: DataFrame, edits: DataFrame, fields: list[str]) -> DataFrame:
+    """Rows (id, deleted, created, updated and `fields`) after edits (id, at, op and `fields`, null
+    where untouched). `add` begins a row that is not there; `update` changes what it touches;
+    `delete` leaves a tombstone without fields, and what comes after it is void, as are edits of
+    rows that are missing or deleted. Edits of a row are taken by time, adds first among equals."""
+    rank = F.when(F.col("op") == "add", 0).when(F.col("op") == "update", 1).otherwise(2)
+    there = rows.select("id", F.col("deleted").alias("was_gone"), F.col("created").alias("was_created"), F.col("updated").alias("was_updated"), *[F.col(f).alias("was_" + f) for f in fields], F.lit(True).alias("there"))
+    log = edits.withColumn("rank", rank).join(there.select("id", "there", "was_gone"), "id", "left").where(~F.coalesce("was_gone", F.lit(False)))
+    began = log.where("op = 'add' and there is null").groupBy("id").agg(F.min("at").alias("began"))
+    log = log.join(began, "id", "left").where(F.col("there").isNotNull() | (F.col("at") >= F.col("began")))
+    log = log.where((F.col("op") != "add") | F.col("there").isNull() & (F.col("at") == F.col("began")))
+    ended = log.where("op = 'delete'").groupBy("id").agg(F.min("at").alias("ended"))
+    log = log.join(ended, "id", "left").where(F.col("ended").isNull() | (F.col("at") < F.col("ended")) | (F.col("at") == F.col("ended")) & (F.col("rank") <= 2))
+    order = F.struct("at", "rank")
+    said = log.where("op <> 'delete'")
+    last = said.groupBy("id").agg(F.max("at").alias("changed"), *[F.max_by(f, F.when(F.col(f).isNotNull(), order)).alias("new_" + f) for f in fields])
+    out = there.join(last, "id", "full").join(began, "id", "left").join(ended, "id", "left")
+    gone = F.coalesce("was_gone", F.lit(False)) | F.col("ended").isNotNull()
+    return out.select(
+        "id", gone.alias("deleted"), F.coalesce("was_created", "began").alias("created"), F.coalesce("ended", F.greatest("changed", "was_updated")).alias("updated"),
+        *[F.when(~gone, F.coalesce("new_" + f, "was_" + f)).alias(f) for f in fields],
+    )

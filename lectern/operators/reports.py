@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order import total_in_group
+from .order import numbered, total_in_group
 
 #: The letter that ids of a kind begin with, before 1 to 40 small letters and digits.
 ID_LETTERS = {"highlight": "h", "thought": "t", "note": "n", "outline": "o", "link": "k", "discovery": "d", "far": "f"}
@@ -137,6 +137,7 @@ def empty_export(pages: DataFrame) -> DataFrame:
 
 
 def batches(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """Rows with the number of the batch they are fetched in, by hash: batches of about `size`."""
-    n = max(1, -(-rows.count() // size))
-    return rows.withColumn("batch", F.pmod(F.crc32(F.col(key).cast("string")), F.lit(n)))
+    """Rows with the number of the batch that they are fetched in, in the order of a key that tells
+    them apart: every batch but the last holds `size`."""
+    numbered_ = numbered(rows, [(F.col(key), False)], "_n")
+    return numbered_.withColumn("batch", F.floor((F.col("_n") - 1) / size)).drop("_n")

@@ -142,3 +142,9 @@ n AS (SELECT *, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS norm FROM
 m AS (SELECT n.id, bool_or(length(e.text) > length(n.text) AND contains(e.norm, n.norm)) AS inside, min(CASE WHEN NOT e.deleted AND length(e.text) < length(n.text) AND contains(n.norm, e.norm) THEN e.id END) AS former FROM n JOIN e ON n.book = e.book AND abs(n.s - e.s) <= 5 GROUP BY n.id)
 SELECT id, CASE WHEN deleted THEN 'gone' ELSE 'known' END AS change, CAST(NULL AS BIGINT) AS former FROM e UNION ALL
 SELECT n.id, CASE WHEN inside THEN 'contained' WHEN former IS NOT NULL THEN 'extends' ELSE 'added' END, CASE WHEN NOT inside THEN former END FROM n LEFT JOIN m ON n.id = m.id""")
+
+
+Q["j15_moved_notes"] = hl(lambda h: L.without_contained(h.withColumn("note", F.when(F.col("id") % 4 == 0, F.concat(F.lit("n"), "id")).otherwise(""))).select("id", "note"))
+S["j15_moved_notes"] = oracle("hl", """+lv AS (SELECT * FROM hl WHERE NOT deleted), p AS (SELECT a.id, arg_min(b.id, (-length(b.text), b.id)) AS keeper FROM lv a JOIN lv b ON a.book = b.book AND abs(a.location - b.location) <= 1 AND a.id <> b.id AND (length(b.text) > length(a.text) OR (length(b.text) = length(a.text) AND b.id < a.id)) AND contains(b.text, a.text) GROUP BY a.id),
+m AS (SELECT p.keeper, arg_min('n' || p.id, (-length(lv.text), p.id)) AS note FROM p JOIN lv ON p.id = lv.id WHERE p.id % 4 = 0 GROUP BY p.keeper)
+SELECT lv.id, CASE WHEN lv.id % 4 = 0 THEN 'n' || lv.id ELSE coalesce(m.note, '') END AS note FROM lv LEFT JOIN m ON lv.id = m.keeper WHERE lv.id NOT IN (SELECT id FROM p)""")

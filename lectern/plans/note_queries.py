@@ -83,3 +83,23 @@ Q["x14_memo_texts"] = memos
 S["x14_memo_texts"] = oracle("px", "+" + ASK + """, a AS (SELECT DISTINCT id AS query, id // 100 AS k FROM px WHERE id % 100 = 0 AND id // 100 % 5 <> 4), m AS (
   SELECT a.query, k, string_agg('[' || n || '] Book ' || cx.id, ' / ' ORDER BY n) FILTER (WHERE cx.id % 4 > 0 AND (a.query % 200 > 0 OR n = 2 OR (n = 1 AND k % 3 = 0) OR (n = 3 AND k % 2 = 0))) AS cites FROM a LEFT JOIN cx ON a.query = cx.query GROUP BY a.query, k)
 SELECT query, 'As said [2] and [77]' || CASE WHEN k % 3 = 0 THEN ' [1]' ELSE '' END || coalesce(chr(10) || chr(10) || CASE WHEN query % 200 = 0 THEN '根拠' ELSE 'AI に渡した点' END || ': ' || cites, '') AS text FROM m""")
+
+
+def changed(spark, d):
+    """Rows of even ids, edited by the events of their user: signups add, errors delete."""
+    e = A.read(spark, d, "events")
+    op = F.when(F.col("event_type") == "signup", "add").when(F.col("event_type") == "error", "delete").otherwise("update")
+    edits = e.select(F.col("user_id").alias("id"), F.struct("ts", "event_id").alias("at"), op.alias("op"), F.when(F.col("event_id") % 3 > 0, F.col("event_type")).alias("title"), F.when(F.col("event_id") % 2 > 0, F.col("event_id")).alias("body"))
+    zero = F.struct(F.lit("2000-01-01").cast("timestamp_ntz").alias("ts"), F.lit(0).cast("long").alias("event_id"))
+    rows = e.where("user_id % 2 = 0").groupBy(F.col("user_id").alias("id")).agg(F.lit(False).alias("deleted")).select("id", (F.col("id") % 14 == 0).alias("deleted"), zero.alias("created"), zero.alias("updated"), F.lit("first").alias("title"), F.lit(-1).cast("long").alias("body"))
+    return N.edited(rows, edits, ["title", "body"])
+
+
+Q["m22_edited_notes"] = lambda spark, d: changed(spark, d).select("id", "deleted", F.col("created.event_id").alias("created"), F.col("updated.event_id").alias("updated"), "title", "body")
+S["m22_edited_notes"] = """WITH e AS (SELECT user_id AS id, event_id AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r, event_type AS type, CASE WHEN event_id % 3 > 0 THEN event_type END AS title, CASE WHEN event_id % 2 > 0 THEN event_id END AS body FROM events),
+b AS (SELECT id, CASE WHEN id % 2 = 0 THEN 0 ELSE min(CASE WHEN type = 'signup' THEN r END) END AS began FROM e WHERE id % 14 > 0 GROUP BY id), x AS (SELECT e.id, min(r) AS ended FROM e JOIN b ON e.id = b.id WHERE type = 'error' AND r > began GROUP BY e.id),
+l AS (SELECT e.*, b.began, x.ended FROM e JOIN b ON e.id = b.id LEFT JOIN x ON e.id = x.id WHERE r >= began AND (ended IS NULL OR r < ended) AND type <> 'error' AND (type <> 'signup' OR (e.id % 2 > 0 AND r = began))),
+g AS (SELECT id, max(r) AS last, arg_max(title, r) FILTER (WHERE title IS NOT NULL) AS title, arg_max(body, r) FILTER (WHERE body IS NOT NULL) AS body FROM l GROUP BY id)
+SELECT id, true AS deleted, CAST(0 AS BIGINT) AS created, CAST(0 AS BIGINT) AS updated, CAST(NULL AS VARCHAR) AS title, CAST(NULL AS BIGINT) AS body FROM (SELECT DISTINCT user_id AS id FROM events WHERE user_id % 14 = 0)
+UNION ALL SELECT b.id, x.ended IS NOT NULL, CASE WHEN b.id % 2 = 0 THEN 0 ELSE s.k END, coalesce(z.k, u.k, 0), CASE WHEN x.ended IS NULL THEN coalesce(g.title, CASE WHEN b.id % 2 = 0 THEN 'first' END) END, CASE WHEN x.ended IS NULL THEN coalesce(g.body, CASE WHEN b.id % 2 = 0 THEN -1 END) END
+FROM b LEFT JOIN x ON b.id = x.id LEFT JOIN g ON b.id = g.id LEFT JOIN e s ON s.id = b.id AND s.r = b.began LEFT JOIN e z ON z.id = b.id AND z.r = x.ended LEFT JOIN e u ON u.id = b.id AND u.r = g.last WHERE b.began IS NOT NULL"""

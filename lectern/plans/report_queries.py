@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.operators import graph as G
 from lectern.operators import reports as R
 
 from . import adapters as A
@@ -65,3 +66,7 @@ Q["x30_sniffed_ends"] = lambda spark, d: A.read(spark, d, "part").select("p_part
 S["x30_sniffed_ends"] = "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'html' ELSE '' END AS ending FROM part"
 Q["t08_resume"] = lambda spark, d: A.books(spark, d).select("asin").join(A.price_history(spark, d).where(F.col("ts") >= F.lit("2024-01-15").cast("timestamp_ntz")).select("asin"), "asin", "left_anti")
 S["t08_resume"] = oracle("bk ph", "SELECT asin FROM bk WHERE asin NOT IN (SELECT asin FROM ph WHERE ts >= TIMESTAMP '2024-01-15')")
+Q["w09_interleave"] = lambda spark, d: G.interleave(A.read(spark, d, "part").select(F.col("p_brand").alias("lst"), F.col("p_partkey").alias("k"), F.col("p_partkey").alias("item")))
+S["w09_interleave"] = "SELECT p_partkey AS item, row_number() OVER (ORDER BY n, p_brand) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part)"
+Q["t10_batches"] = lambda spark, d: R.batches(A.read(spark, d, "orders").select("o_orderkey"), "o_orderkey", 400)
+S["t10_batches"] = "SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 400 AS batch FROM orders"
