@@ -247,20 +247,3 @@ def sunflower(points: DataFrame, gap: float = 1.0) -> DataFrame:
     angle = k * (math.pi * (3 - math.sqrt(5)))
     r = gap * F.sqrt(k + F.lit(0.5))
     return points.select("id", (r * F.cos(angle)).alias("x"), (r * F.sin(angle)).alias("y"))
-
-
-def spherical_kmeans(points: DataFrame, k: int, rounds: int = 10) -> DataFrame:
-    """(line, c): centroids of k clusters on the sphere. Starts from the k points with the lowest
-    hashes; each round assigns all points and adds up the vectors by cluster before the
-    shuffle. A cluster without points keeps its centroid."""
-    start = points.orderBy(F.xxhash64("id"), "id").limit(k).select("id", normalised(F.col("v")).alias("c")).collect()
-    centres = {i: list(r.c) for i, r in enumerate(start)}
-    spark = points.sparkSession
-    for _ in range(rounds):
-        table = spark.createDataFrame(list(centres.items()), "line long, c array<double>")
-        own = points.join(nearest_centroid(points, table), "id").select(F.col("best").alias("line"), "v")
-        new = {r.line: list(r.c) for r in centroids(own).collect()}
-        if all(np.allclose(new[i], centres[i]) for i in new):
-            break
-        centres |= new
-    return spark.createDataFrame(list(centres.items()), "line long, c array<double>")

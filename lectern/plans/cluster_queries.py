@@ -39,6 +39,7 @@ st AS (
 ), fin AS (SELECT unnest(range(len(own))) AS id, unnest(own) AS line FROM st WHERE s = (SELECT steps FROM lim))
 SELECT id, line FROM fin WHERE line >= 0""").replace("WITH ", "WITH RECURSIVE ", 1)
 
+Q["a04_spherical_kmeans"] = pt(lambda p: C.kmeans(p, 8, 3)[0].select("id", "line", "sim"))
 Q["a07_grouped_points"] = pt(lambda p: C.group_points(p, target=25, rounds=4))
 Q["a08_grouped_lines"] = lambda spark, d: C.group_lines(V.centroids(A.points(spark, d).withColumn("line", F.col("line") * 100 + F.col("id") % 4)).select(F.col("line").alias("id"), F.col("c").alias("v")), rounds=4)
 

@@ -63,7 +63,6 @@ Q["a14_left_out_limits"] = pt(lambda p: V.left_out_limits(p, V.centroids(p)).sel
 S["a14_left_out_limits"] = oracle("px", OWN + ', lo AS (SELECT a.id, a.line, avg(b.sim) - 1.5 * stddev_pop(b.sim) AS "limit" FROM sm a JOIN sm b ON a.line = b.line AND a.id <> b.id GROUP BY a.id, a.line) SELECT id, line, round("limit", 5) AS "limit" FROM lo')
 Q["a26_sunflower"] = pt(lambda p: V.sunflower(p).select("id", F.round("x", 5).alias("x"), F.round("y", 5).alias("y")))
 S["a26_sunflower"] = oracle("pt", "+n AS (SELECT id, row_number() OVER (PARTITION BY line ORDER BY id) - 1 AS k FROM pt) SELECT id, round(sqrt(k + 0.5) * cos(k * pi() * (3 - sqrt(5))), 5) AS x, round(sqrt(k + 0.5) * sin(k * pi() * (3 - sqrt(5))), 5) AS y FROM n")
-Q["a04_spherical_kmeans"] = pt(lambda p: V.nearest_centroid(p, V.spherical_kmeans(p, 8, 3)))
 Q["w08_similarity_band"] = pt(lambda p: V.band(V.line_similarities(p, V.centroids(p)).withColumn("sim", F.round("sim", 9))).select("id"))
 S["w08_similarity_band"] = oracle("px", OWN + ", o AS (SELECT id, round(sim, 9) AS sim, row_number() OVER (ORDER BY round(sim, 9)) - 1 AS k, count(*) OVER () AS m FROM sm) SELECT id FROM o WHERE sim >= (SELECT min(sim) FROM o WHERE k = floor(0.15 * m)) AND sim <= (SELECT max(sim) FROM o WHERE k = floor(0.45 * m))")
 

@@ -77,6 +77,15 @@ def test_start_in_passes_costs_no_more(spark):
     assert got <= 1.1 * usual
 
 
+def test_rounds_gain(spark):
+    r = np.random.default_rng(7)
+    df = frame(spark, unit(r.normal(size=(150, 6))))
+    gain = [C.kmeans(df, 5, n)[0].agg(F.sum("sim")).first()[0] for n in (1, 2, 8)]
+    assert gain[0] <= gain[1] + 1e-6 <= gain[2] + 2e-6
+    capped = C.kmeans(df, 5, 3, 31)[0].groupBy("line").count().collect()
+    assert max(x["count"] for x in capped) <= 31 and sum(x["count"] for x in capped) == 150
+
+
 def test_points_and_lines(spark):
     r = np.random.default_rng(4)
     v = np.vstack([cloud(r, 4, 10), unit(r.normal(size=(3, 8)))])
