@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import analysis as N
 from lectern.operators import clusters as C
+from lectern.operators import far as R
 from lectern.operators import graph as G
 from lectern.operators import vectors as V
 
@@ -145,3 +146,22 @@ Q["r05_required_kinds"] = lambda spark, d: N.with_required(A.read(spark, d, "par
 S["r05_required_kinds"] = "WITH p AS (SELECT p_partkey AS id, split_part(p_type, ' ', 1) AS kind, row_number() OVER (ORDER BY p_partkey) - 1 AS pos FROM part), c0 AS (SELECT pos, id, kind FROM p WHERE pos < 5)" + "".join(f""",
 n{k} AS (SELECT id, kind FROM p WHERE pos >= 5 AND kind = '{kind}' AND NOT EXISTS (SELECT 1 FROM c{k - 1} WHERE kind = '{kind}') ORDER BY pos LIMIT 1), o{k} AS (SELECT max(pos) AS pos FROM c{k - 1} WHERE kind IN (SELECT kind FROM c{k - 1} GROUP BY kind HAVING count(*) > 1)),
 c{k} AS (SELECT c.pos, coalesce(n.id, c.id) AS id, coalesce(n.kind, c.kind) AS kind FROM c{k - 1} c LEFT JOIN n{k} n ON c.pos = (SELECT pos FROM o{k}))""" for k, kind in enumerate(("ECONOMY", "PROMO", "SMALL"), 1)) + " SELECT id, kind FROM c3"
+
+
+def said(spark, d):
+    """Answers on the parts of an order: some fail, some cannot be read."""
+    li = A.read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("pos")).agg(F.min("l_partkey").alias("a"), F.max("l_suppkey").alias("b"))
+    n = F.col("a") + F.col("b")
+    shared = F.when(n % 4 == 0, "True").when(n % 4 == 1, "false").when(n % 4 == 2, " true ").otherwise("maybe")
+    return li.select("run", "pos", "a", "b", (n % 3 == 0).alias("failed"), shared.alias("shared"), F.when(n % 5 > 0, F.concat(F.lit("an\n idea of "), n)).alias("idea"), F.repeat(F.lit("why "), (n % 90).cast("int")).alias("explanation"))
+
+
+SAID = "WITH l AS (SELECT l_orderkey AS run, l_linenumber AS pos, min(l_partkey) AS a, max(l_suppkey) AS b FROM lineitem GROUP BY 1, 2), n AS (SELECT *, a + b AS n, row_number() OVER (PARTITION BY run ORDER BY pos) AS r FROM l), e AS (SELECT x.run, min(x.r) AS stop FROM n x JOIN n y ON x.run = y.run AND y.r = x.r - 1 AND x.n % 3 = 0 AND y.n % 3 = 0 GROUP BY x.run), j AS (SELECT n.run, a, b, n, CASE WHEN n % 2 = 0 AND n % 5 > 0 AND n % 90 > 0 THEN 'shared' WHEN n % 4 = 1 THEN 'apart' ELSE 'unreadable' END AS verdict FROM n LEFT JOIN e ON n.run = e.run WHERE n % 3 > 0 AND (stop IS NULL OR r <= stop))"
+Q["x08_judged"] = lambda spark, d: R.judged(said(spark, d)).select("run", "a", "b", "verdict", "idea", F.length("explanation").alias("chars"))
+S["x08_judged"] = SAID + " SELECT run, a, b, verdict, CASE WHEN verdict = 'shared' THEN 'an idea of ' || n ELSE '' END AS idea, CAST(CASE WHEN verdict = 'shared' THEN least(300, 4 * (n % 90) - 1) ELSE 0 END AS INTEGER) AS chars FROM j"
+Q["x08_to_judge"] = lambda spark, d: R.to_judge(said(spark, d).select("a", "b").distinct(), R.judged(said(spark, d)))
+S["x08_to_judge"] = SAID + " SELECT DISTINCT a, b FROM l WHERE (a, b) NOT IN (SELECT (a, b) FROM j GROUP BY a, b HAVING bool_or(verdict <> 'unreadable') OR count(*) >= 2)"
+Q["x09_far_discoveries"] = lambda spark, d: R.far_discoveries(R.judged(said(spark, d)), F.lit("2024-01-01").cast("date")).groupBy("a", "b").agg(F.countDistinct("id").alias("ids"), F.min("name").alias("name"), F.max("at").alias("at"))
+S["x09_far_discoveries"] = SAID + " SELECT a, b, CAST(1 AS BIGINT) AS ids, 'an idea of ' || min(n) AS name, DATE '2024-01-01' AS \"at\" FROM j WHERE verdict = 'shared' GROUP BY a, b"
+Q["x09_has_changes"] = pt(lambda p: R.has_changes(G.diff(*moved(p)), G.connected(*moved(p))))
+S["x09_has_changes"] = "SELECT count(*) FILTER (WHERE label = 4 OR label = 5 OR (vec_id % 9 = 0 AND vec_id % 27 > 0)) > 0 AS changed FROM embeddings"
