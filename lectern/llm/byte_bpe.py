@@ -35,9 +35,11 @@ from .common import lean, short_batches, table, whole_text
 
 BUCKETS = 1 << 16
 CHUNK = 4096
-DOCS = 256
-KNOWN = 1 << 18
+DOCS = 1024
+KNOWN = 1 << 20
 LONG = 512
+#: Signs in rising order, for the places of a word.
+PLACES = "".join(chr(0x100 + i) for i in range(LONG))
 NONE = "￿"
 OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -74,20 +76,24 @@ def rank_map(ranks: dict[bytes, int]) -> Column:
 
 def fold_merges(word: Column, merges: Column) -> Column:
     """The symbols of one word: its bytes with the lowest-ranked, leftmost pair merged
-    again and again until none is left, which a mark at the end then tells later steps."""
+    again and again until none is left, which a mark at the end then tells later steps.
+
+    A step merges all occurrences of the best pair, which would follow one another anyway: what
+    a merge makes ranks behind it, as all tokens do that a file's own merges can reach. Pairs
+    compare as texts of the merged symbol, the place and the pair."""
 
     def best_pair(state: Column) -> Column:
         def at(i: Column) -> Column:
             pair = F.substring(state, i, F.lit(2))
-            bucket = F.get(merges, (F.crc32(pair) % BUCKETS).cast("int"))
-            return F.struct(F.coalesce(F.try_element_at(bucket, pair), F.lit(NONE)).alias("to"), i.alias("i"))
+            bucket = F.get(merges, F.crc32(pair).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
+            return F.concat(F.try_element_at(bucket, pair), F.substring(F.lit(PLACES), i, F.lit(1)), pair)
 
         return F.array_min(F.transform(F.sequence(F.lit(1), F.length(state) - 1), at))
 
     def merge(state: Column, _) -> Column:
         def apply(best: Column) -> Column:
-            joined = F.concat(F.substring(state, F.lit(1), best["i"] - 1), best["to"], F.substring(state, best["i"] + 2, F.lit(1 << 30)))
-            return F.when(best["to"] == NONE, F.concat(state, F.lit(NONE))).otherwise(joined)
+            joined = F.replace(state, F.substring(best, F.lit(3), F.lit(2)), F.substring(best, F.lit(1), F.lit(1)))
+            return F.when(best.isNull(), F.concat(state, F.lit(NONE))).otherwise(joined)
 
         over = (F.length(state) < 2) | F.endswith(state, F.lit(NONE))
         return F.when(over, state).otherwise(F.get(F.transform(F.array(best_pair(state)), apply), F.lit(0)))
@@ -263,7 +269,7 @@ def _assemble(ranks_path: str):
 
 
 def encode_words(words: DataFrame, ranks_path: str, word: str = "word") -> DataFrame:
-    """(word, ids array<int>) of a table of words, by the fold alone."""
+    """(word, ids array<int>) of a table of words of up to LONG bytes, by the fold alone."""
     ranks = read_ranks(ranks_path)
     merges = rank_map(ranks)
     singles = F.lit([ranks[bytes([i])] for i in range(256)])
