@@ -148,10 +148,11 @@ def _blocks(batches):
     begins anew. Documents are taken DOCS at a time, so what is held beside the table is small."""
     import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     names = ["words", "ids", "offsets", "positions", "whole", "long"]
     types = [pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.string())]
-    known: dict[str, int] = {}
+    known: dict[bytes, int] = {}
 
     def row(*values):
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=names)
@@ -161,12 +162,15 @@ def _blocks(batches):
             words, ids = batch.column("words").slice(first, DOCS), batch.column("doc_id").slice(first, DOCS)
             coded = words.flatten().dictionary_encode()
             met = len(known)
-            number = np.fromiter((known.setdefault(w, len(known)) for w in coded.dictionary.to_pylist()), "<i4", len(coded.dictionary))
-            new = coded.dictionary.take(pa.array(np.flatnonzero(number >= met))).to_pylist()
+            keys = coded.dictionary.cast(pa.binary()).to_pylist()
+            number = np.fromiter((known.setdefault(w, len(known)) for w in keys), "<i4", len(keys))
+            new = coded.dictionary.take(pa.array(np.flatnonzero(number >= met)))
+            short = pc.less_equal(pc.binary_length(new), LONG)
+            folded = pc.if_else(short, new, pa.scalar(None, pa.string()))
             for i in range(0, len(new), CHUNK):
-                part = new[i : i + CHUNK]
-                sizes = [len(w.encode()) for w in part]
-                yield row([w if n <= LONG else None for w, n in zip(part, sizes)], None, None, None, None, [w for w, n in zip(part, sizes) if n > LONG])
+                part, rest = folded[i : i + CHUNK], new[i : i + CHUNK].filter(pc.invert(short[i : i + CHUNK]))
+                words_ = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part)
+                yield pa.RecordBatch.from_arrays([words_, *(pa.array([None], t) for t in types[1:-1]), pa.array([rest.to_pylist()], types[-1])], names=names)
             offsets = np.concatenate([[0], np.cumsum(np.diff(words.offsets.to_numpy()))]).astype("<i8")
             positions = number[coded.indices.to_numpy()]
             whole = ids.is_valid().to_numpy(zero_copy_only=False).astype("u1")
