@@ -108,6 +108,24 @@ def runs(batches, keys: list[str], values: list[str]):
         yield key, rows
 
 
+def record_batches(rows, names: list[str], types: list, most: int = 8192):
+    """Tuples as Arrow batches of at most so many rows."""
+    import pyarrow as pa
+
+    out: list[tuple] = []
+
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+
+    for row in rows:
+        out.append(row)
+        if len(out) == most:
+            yield batch()
+            out.clear()
+    if out:
+        yield batch()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

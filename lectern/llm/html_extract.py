@@ -2,7 +2,7 @@
 
 Pages are cut into text lines (a line per block of markup). Pages of a host lie in the order of
 their URL paths; a page is paired with the one of its two neighbours whose path shares the longer
-beginning, the lines of the pair are aligned by a longest common subsequence (LCS), and shared
+beginning (the one before, if both do), the lines of the pair are aligned by a longest common subsequence (LCS), and shared
 lines are the site's template: they are deleted.
 
 Differencing alone is wrong in two cases, so markup takes part:
@@ -35,8 +35,7 @@ from html import unescape
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
-from .prefix_trie import _batches
+from .common import record_batches, table, written
 from .ranges import in_ranges, with_neighbours
 
 COPY = 0.8
@@ -326,7 +325,7 @@ def _digests(batches):
                 coded = b"".join(blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest() for x in lines)
                 yield (row, *url_place(url), coded, np.array([len(x) for x in lines], "<i4").tobytes(), bytes(zones))
 
-    yield from _batches(rows(), ["row", "host", "path", "lines", "sizes", "zones"], [pa.binary(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.binary()], 1024)
+    yield from record_batches(rows(), ["row", "host", "path", "lines", "sizes", "zones"], [pa.binary(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.binary()], 1024)
 
 
 class _Page:
@@ -384,7 +383,7 @@ def _compare(batches):
         if real:
             yield verdict(before, now, None)
 
-    yield from _batches(rows(), ["row", "paired", "shared"], [pa.binary(), pa.bool_(), pa.binary()])
+    yield from record_batches(rows(), ["row", "paired", "shared"], [pa.binary(), pa.bool_(), pa.binary()])
 
 
 OUT = "text string, n_chars long, n_lines long, n_marked long, n_shared long, n_deleted long, paired boolean"

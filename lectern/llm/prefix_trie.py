@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import runs, table, written
+from .common import record_batches, table, written
 from .ranges import in_ranges, with_neighbours
 
 DIGEST = 16
@@ -145,23 +145,6 @@ def _sweep_range(part: int, rows):
         yield from pop(False)
 
 
-def _batches(rows, names: list[str], types, most: int = 8192):
-    import pyarrow as pa
-
-    out: list[tuple] = []
-
-    def batch():
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
-
-    for row in rows:
-        out.append(row)
-        if len(out) == most:
-            yield batch()
-            out.clear()
-    if out:
-        yield batch()
-
-
 def sweep(batches):
     import pyarrow as pa
 
@@ -186,7 +169,7 @@ def sweep(batches):
             while row is not None and row[0] == part:
                 row = next(it, None)
 
-    yield from _batches(rows(), names, types)
+    yield from record_batches(rows(), names, types)
 
 
 def hash_pieces(batches):
@@ -210,7 +193,7 @@ def hash_pieces(batches):
         if key is not None:
             yield key, digest.hexdigest()
 
-    yield from _batches(rows(), ["key", "ends"], schema)
+    yield from record_batches(rows(), ["key", "ends"], schema)
 
 
 def trie(arrays: DataFrame, parts: int | None = None) -> DataFrame:
