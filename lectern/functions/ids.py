@@ -73,8 +73,10 @@ def salvaged_json(answer: Column) -> Column:
     inside it. Characters are read once, left to right."""
     text = F.regexp_replace(F.coalesce(answer, F.lit("")), r"(?is)<think>.*?</think>", "")
     text = F.trim(F.element_at(F.split(text, "(?i)</think>", 2), -1))
-    block = F.regexp_extract(text, r"(?is)```(?:json)?\s*(.*?)```", 1)
-    text = F.btrim(F.when(block != "", block).otherwise(text), F.lit(" \t\r\n"))
+    fences = F.split(text, "```")
+    block = F.when(F.size(fences) > 2, F.ltrim(F.get(fences, F.lit(1))))
+    block = F.when(F.startswith(F.lower(block), F.lit("json")), F.substring(block, F.lit(5), F.length(block))).otherwise(block)
+    text = F.btrim(F.coalesce(F.nullif(block, F.lit("")), text), F.lit(" \t\r\n"))
     valid = lambda t: F.try_parse_json(t).isNotNull()
     # the reader stops behind a value, so the text must be one within either bracket
     whole = lambda t: valid(F.concat(F.lit("["), t, F.lit("]"))) & valid(F.concat(F.lit('{"a":'), t, F.lit("}")))
