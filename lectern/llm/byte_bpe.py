@@ -31,11 +31,13 @@ import zlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import wordhash
 from .common import lean, short_batches, table, whole_text
 
 BUCKETS = 1 << 16
 CHUNK = 4096
 DOCS = 1024
+TOGETHER = 3
 KNOWN = 1 << 20
 LONG = 512
 #: Signs in rising order, for the places of a word.
@@ -142,6 +144,45 @@ def java_pattern(pattern: str) -> str:
     return "(?U)" + pattern
 
 
+class WordTable:
+    """Numbers of the words a task has met, held in flat arrays: their bytes, and their 64-bit
+    hashes in order. A word that a hash alone would mistake is told by its bytes and goes without a
+    place in the table, so it is new every time."""
+
+    def __init__(self):
+        import numpy as np
+
+        self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.words, self.size = [], 0
+
+    def meet(self, words):
+        """(number of each of an array of distinct words, which of them are new)."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        h = wordhash.text_hashes(words)
+        at = np.minimum(np.searchsorted(self.hashes, h), max(len(self.hashes) - 1, 0))
+        known = self.hashes[at] == h if len(self.hashes) else np.zeros(len(h), bool)
+        number = np.zeros(len(h), np.int32)
+        if known.any():
+            number[known] = self.numbers[at[known]]
+            if len(self.words) > 1:
+                self.words = [pa.concat_arrays(self.words)]
+            known[known] = pc.equal(self.words[0].take(pa.array(number[known])), words.filter(pa.array(known))).to_numpy(zero_copy_only=False)
+        new = np.flatnonzero(~known)
+        number[new] = np.arange(self.size, self.size + len(new), dtype=np.int32)
+        self.size += len(new)
+        self.words.append(words.take(pa.array(new)))
+        once, first = np.unique(h[new], return_index=True)
+        place = np.searchsorted(self.hashes, once)
+        free = place == len(self.hashes)
+        free[~free] = self.hashes[place[~free]] != once[~free]
+        self.hashes = np.insert(self.hashes, place[free], once[free])
+        self.numbers = np.insert(self.numbers, place[free], number[new][first[free]])
+        return number, new
+
+
 def _blocks(batches):
     """Documents with their words -> rows of the words that the task has not met yet, then a row
     with the documents as numbers of words; an empty row where the table of words is full and
@@ -152,7 +193,7 @@ def _blocks(batches):
 
     names = ["words", "ids", "offsets", "positions", "whole", "long"]
     types = [pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.string())]
-    known: dict[bytes, int] = {}
+    known = WordTable()
 
     def row(*values):
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=names)
@@ -161,10 +202,8 @@ def _blocks(batches):
         for first in range(0, batch.num_rows, DOCS):
             words, ids = batch.column("words").slice(first, DOCS), batch.column("doc_id").slice(first, DOCS)
             coded = words.flatten().dictionary_encode()
-            met = len(known)
-            keys = coded.dictionary.cast(pa.binary()).to_pylist()
-            number = np.fromiter((known.setdefault(w, len(known)) for w in keys), "<i4", len(keys))
-            new = coded.dictionary.take(pa.array(np.flatnonzero(number >= met)))
+            number, at = known.meet(coded.dictionary)
+            new = coded.dictionary.take(pa.array(at))
             short = pc.less_equal(pc.binary_length(new), LONG)
             folded = pc.if_else(short, new, pa.scalar(None, pa.string()))
             for i in range(0, len(new), CHUNK):
@@ -172,11 +211,11 @@ def _blocks(batches):
                 words_ = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part)
                 yield pa.RecordBatch.from_arrays([words_, *(pa.array([None], t) for t in types[1:-1]), pa.array([rest.to_pylist()], types[-1])], names=names)
             offsets = np.concatenate([[0], np.cumsum(np.diff(words.offsets.to_numpy()))]).astype("<i8")
-            positions = number[coded.indices.to_numpy()]
+            positions = number[coded.indices.to_numpy()].astype("<i4")
             whole = ids.is_valid().to_numpy(zero_copy_only=False).astype("u1")
             yield row(None, ids.fill_null(0).to_numpy().astype("<i8").tobytes(), offsets.tobytes(), positions.tobytes(), whole.tobytes(), None)
-            if len(known) > KNOWN:
-                known.clear()
+            if known.size > KNOWN:
+                known = WordTable()
                 yield row(*[None] * len(types))
 
 
@@ -295,6 +334,9 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     merges = rank_map(read_ranks(ranks_path))
     words = F.regexp_extract_all(whole_text(text_col), F.lit(java_pattern(pattern)), F.lit(0))
     cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), words.alias("words"))
+    # several partitions a task, as far as all cores stay busy: the more a task reads, the fewer words it folds
+    parts = cut.rdd.getNumPartitions()
+    cut = cut.coalesce(max(1, min(parts, max(2 * docs.sparkSession.sparkContext.defaultParallelism, parts // TOGETHER))))
     blocks = cut.mapInArrow(lean(_blocks), "words array<string>, ids binary, offsets binary, positions binary, whole binary, long array<string>")
     folded = blocks.select(F.transform("words", lambda w: fold_merges(w, merges)).alias("symbols"), "ids", "offsets", "positions", "whole", "long")
     return folded.mapInArrow(lean(_assemble(ranks_path)), OUT)

@@ -741,6 +741,23 @@ def test_bpe_matches_library_and_round_trips(spark, odd, empty):
     assert all(r.ids == enc.encode_ordinary(r.word) and bytes(r.decoded) == r.word.encode() for r in coded)
 
 
+def test_bpe_word_table(monkeypatch):
+    """Numbers of words over many slices, with hashes that cannot tell them apart among them."""
+    import pyarrow as pa
+
+    r = random.Random(8)
+    for weak in (False, True):
+        if weak:
+            monkeypatch.setattr(byte_bpe.wordhash, "text_hashes", lambda words: np.array([len(w) % 3 for w in words.to_pylist()], np.uint64))
+        table, said = byte_bpe.WordTable(), []
+        for _ in range(30):
+            words = sorted({"".join(r.choice("abAé") for _ in range(r.randint(1, 3))) for _ in range(12)}, key=lambda w: r.random())
+            number, new = table.meet(pa.array(words))
+            said += [words[i] for i in new]
+            assert [said[n] for n in number] == words and table.size == len(said)
+            assert weak or len(set(said)) == len(said)
+
+
 # 10 -----------------------------------------------------------------------------------
 
 
