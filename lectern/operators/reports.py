@@ -141,3 +141,39 @@ def batches(rows: DataFrame, key: str, size: int) -> DataFrame:
     them apart: every batch but the last holds `size`."""
     numbered_ = numbered(rows, [(F.col(key), False)], "_n")
     return numbered_.withColumn("batch", F.floor((F.col("_n") - 1) / size)).drop("_n")
+
+
+# How often a check runs without a word on it, and the limits of what it may report.
+INTERVAL, LONGEST, COUNTS, ERROR_CHARS = 15, 1440, 100_000, 300
+REPORT = "ok boolean, needLogin boolean, added bigint, fetched bigint, intervalMin string, error string"
+
+
+def health_reports(reports: DataFrame) -> DataFrame:
+    """(id, ok, need_login, added, fetched, interval, error) of reports (id, body: JSON). One with a
+    field of another form, or a number beyond its limits, is dropped as a whole; fields that are not
+    known are left out, control characters go from the error's text."""
+    read = reports.select("id", F.from_json("body", REPORT, {"mode": "PERMISSIVE"}).alias("r"), F.try_parse_json("body").alias("v"))
+    said = lambda f: F.try_variant_get("v", f"$.{f}", "string")
+    kinds = {"ok": "BOOLEAN", "needLogin": "BOOLEAN", "added": "BIGINT", "fetched": "BIGINT", "error": "STRING"}
+    fine = F.col("r.ok").isNotNull()
+    for field, kind in kinds.items():
+        own = F.schema_of_variant(F.try_variant_get("v", f"$.{field}", "variant"))
+        fine = fine & (said(field).isNull() | (own == kind))
+    limits = lambda c: F.coalesce(F.col(c), F.lit(0)).between(0, COUNTS)
+    minutes = F.coalesce(F.trim("r.intervalMin").try_cast("bigint"), F.when(F.col("r.intervalMin").isNull(), F.lit(INTERVAL).cast("bigint")))
+    rows = read.where(fine & limits("r.added") & limits("r.fetched") & minutes.between(1, LONGEST))
+    plain = F.regexp_replace(F.coalesce("r.error", F.lit("")), r"\p{Cntrl}", "")
+    return rows.select("id", F.col("r.ok").alias("ok"), F.coalesce("r.needLogin", F.lit(False)).alias("need_login"), F.coalesce("r.added", F.lit(0)).alias("added"), F.col("r.fetched").alias("fetched"), minutes.alias("interval"), F.substring(plain, 1, ERROR_CHARS).alias("error"))
+
+
+def seen_picks(kept: DataFrame) -> DataFrame:
+    """(owner, day, id) of kept histories (owner, text) of what was shown when; what cannot be read
+    counts for nothing."""
+    days = kept.select("owner", F.explode(F.from_json("text", "array<struct<day:string,ids:array<string>>>")).alias("e"))
+    return days.where("e.day is not null").select("owner", "e.day", F.explode("e.ids").alias("id")).where("id is not null")
+
+
+def shuffle_seeds(kept: DataFrame, day: Column) -> DataFrame:
+    """(owner, seed): the seed that was chosen for that day, empty for another day's or none."""
+    r = F.from_json("text", "struct<day:string,seed:string>")
+    return kept.select("owner", F.coalesce(F.when(r["day"] == day, r["seed"]), F.lit("")).alias("seed"))

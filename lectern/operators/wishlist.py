@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import title_key
+from lectern.functions.text import normalize_text, search_words, title_key
 
 from .order import numbered
 
@@ -17,13 +17,27 @@ def shelf(name: str) -> Column:
     return ~F.col("purchased") & (F.col("wanted") if name == "wanted" else ~F.col("wanted"))
 
 
-def filtered(books: DataFrame, shelf_name: str | None = None, words: str = "", ku: bool | None = None, label: str | None = None, least: float | None = None, most: float | None = None) -> DataFrame:
-    """All conditions together; an inverted price range is ignored and flagged."""
+def filtered(books: DataFrame, shelf_name: str | None = None, words: str = "", ku: bool | None = None, label: str | None = None, least: float | None = None, most: float | None = None, tag: str = "", kind: str = "", reading: str = "", mark: Column | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    """All conditions together; an inverted price range is ignored and flagged. Words are looked
+    up in the title and the columns `also`, whatever their width and case; tag `untagged` asks for none;
+    reading (`unread` or `reading`) counts on the shelf of purchased books only; `mark` is a
+    price mark's test."""
     out = books
     if shelf_name:
         out = out.where(shelf(shelf_name))
-    for word in words.lower().split():
-        out = out.where(F.contains(F.lower("title"), F.lit(word)))
+    if shelf_name == "purchased" and reading in ("unread", "reading"):
+        begun = F.coalesce("reading", F.lit(False))
+        out = out.where(begun if reading == "reading" else ~begun)
+    hay = normalize_text(F.concat_ws(" ", "title", *[F.col(c).cast("string") for c in also]))
+    for word in search_words(words):
+        out = out.where(F.contains(hay, F.lit(word)))
+    if tag:
+        held = F.coalesce("tag", F.lit(""))
+        out = out.where(held == ("" if tag == "untagged" else tag))
+    if kind:
+        out = out.where(F.col("kind") == kind)
+    if mark is not None:
+        out = out.where(F.coalesce(mark, F.lit(False)))
     if ku is not None:
         out = out.where(F.col("ku") == ku)
     if label:
@@ -69,11 +83,16 @@ def totals(books: DataFrame) -> DataFrame:
     return books.agg(F.round(F.sum("price"), 2).alias("total"), F.count("price").alias("priced"), F.count_if(F.col("price").isNull()).alias("unpriced"))
 
 
-def summary(books: DataFrame, top: int = 3) -> DataFrame:
-    """Counts, and the best unlimited picks (cheapest first) as text."""
-    picks = books.where("ku").orderBy(F.col("price").asc_nulls_last(), "idx").limit(top)
-    shown = picks.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("price", F.lit(1e12)).alias("p"), "idx"))), lambda x: x["idx"].cast("string")), ",").alias("picks"))
-    return books.agg(F.count("*").alias("n"), F.count_if("ku").alias("n_ku")).crossJoin(shown)
+def summary(books: DataFrame, top: int = 3, dropped: Column | None = None) -> DataFrame:
+    """Counts, with those of unlimited books and of dropped prices, and the best unlimited picks
+    (cheapest first) as text."""
+    fell = F.coalesce(dropped, F.lit(False)) if dropped is not None else F.lit(False)
+    place = F.struct(F.col("price").isNull().alias("none"), "price", "idx")
+    none = F.lit(None).cast(books.where("ku").select(place.alias("p")).schema["p"].dataType)
+    rows = books.select(F.lit(1).alias("n"), F.col("ku").cast("int").alias("ku"), fell.cast("int").alias("fell"), none.alias("p"))
+    picks = books.where("ku").orderBy(F.col("price").asc_nulls_last(), "idx").limit(top).select(F.lit(0).alias("n"), F.lit(0).alias("ku"), F.lit(0).alias("fell"), place.alias("p"))
+    best = F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["idx"].cast("string")), ",")
+    return rows.unionByName(picks).agg(F.sum("n").alias("n"), F.sum("ku").alias("n_ku"), F.sum("fell").alias("n_dropped"), best.alias("picks"))
 
 
 def ranked(books: DataFrame, by: str, descending: bool = False) -> DataFrame:

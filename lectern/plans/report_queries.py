@@ -70,3 +70,30 @@ Q["w09_interleave"] = lambda spark, d: G.interleave(A.read(spark, d, "part").sel
 S["w09_interleave"] = "SELECT p_partkey AS item, row_number() OVER (ORDER BY n, p_brand) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part)"
 Q["t10_batches"] = lambda spark, d: R.batches(A.read(spark, d, "orders").select("o_orderkey"), "o_orderkey", 400)
 S["t10_batches"] = "SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 400 AS batch FROM orders"
+
+
+def bodies(spark, d):
+    """Reports of checks, some with fields of another form or beyond their limits."""
+    e, k = A.read(spark, d, "events"), F.col("event_id")
+    ok = F.when(k % 13 == 0, F.lit('"yes"')).otherwise(F.when(k % 2 == 0, "true").otherwise("false"))
+    added = F.when(k % 11 == 0, F.lit("100001")).when(k % 7 == 0, F.lit("1.5")).otherwise(F.concat(F.lit(""), k % 50))
+    body = F.concat(F.lit('{"ok": '), ok, F.lit(', "added": '), added, F.when(k % 3 == 0, F.lit(', "intervalMin": "30"')).when(k % 3 == 1, F.lit(', "intervalMin": 0')).otherwise(""), F.when(k % 5 == 0, F.concat(F.lit(', "fetched": '), k % 9)).otherwise(""), F.lit(', "error": "bad\\n'), k, F.lit('", "other": {"a": 1}}'))
+    return e.select(k.alias("id"), F.when(k % 17 == 0, F.substring(body, 1, 12)).otherwise(body).alias("body"))
+
+
+Q["x28_health_reports"] = lambda spark, d: R.health_reports(bodies(spark, d))
+S["x28_health_reports"] = "SELECT event_id AS id, event_id % 2 = 0 AS ok, false AS need_login, CAST(event_id % 50 AS BIGINT) AS added, CASE WHEN event_id % 5 = 0 THEN CAST(event_id % 9 AS BIGINT) END AS fetched, CAST(CASE WHEN event_id % 3 = 0 THEN 30 ELSE 15 END AS BIGINT) AS interval, 'bad' || event_id AS error FROM events WHERE event_id % 13 > 0 AND event_id % 11 > 0 AND event_id % 7 > 0 AND event_id % 3 <> 1 AND event_id % 17 > 0"
+
+
+def kept(spark, d):
+    """Histories of what users were shown, by day, as they are kept; some are broken."""
+    e = A.read(spark, d, "events")
+    day = e.groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.array_sort(F.collect_set(F.concat(F.lit("h"), "event_id"))).alias("ids"))
+    rows = day.groupBy(F.col("user_id").alias("owner")).agg(F.to_json(F.array_sort(F.collect_list(F.struct("day", "ids")))).alias("text"))
+    return rows.select("owner", F.when(F.col("owner") % 9 == 0, F.substring("text", 1, 40)).otherwise(F.col("text")).alias("text"))
+
+
+Q["x32_seen_picks"] = lambda spark, d: R.seen_picks(kept(spark, d))
+S["x32_seen_picks"] = "SELECT DISTINCT user_id AS owner, strftime(ts, '%Y-%m-%d') AS day, 'h' || event_id AS id FROM events WHERE user_id % 9 > 0"
+Q["x32_shuffle_seeds"] = lambda spark, d: R.shuffle_seeds(A.read(spark, d, "orders").select(F.col("o_orderkey").alias("owner"), F.when(F.col("o_orderkey") % 5 == 0, "{").otherwise(F.to_json(F.struct(F.when(F.col("o_orderkey") % 3 == 0, "2024-01-01").otherwise("2024-01-02").alias("day"), F.col("o_custkey").cast("string").alias("seed")))).alias("text")), F.lit("2024-01-01"))
+S["x32_shuffle_seeds"] = "SELECT o_orderkey AS owner, CASE WHEN o_orderkey % 5 > 0 AND o_orderkey % 3 = 0 THEN CAST(o_custkey AS VARCHAR) ELSE '' END AS seed FROM orders"

@@ -32,8 +32,8 @@ Q["g05_facets"] = wl(lambda b: W.facets(b, purchased=W.shelf("purchased"), wante
 S["g05_facets"] = oracle("wl", "SELECT 'purchased' AS facet, count(*) AS n FROM wl WHERE purchased UNION ALL SELECT 'wanted', count(*) FROM wl WHERE wanted AND NOT purchased UNION ALL SELECT 'ku', count(*) FROM wl WHERE ku UNION ALL SELECT 'missing', count(*) FROM wl WHERE price IS NULL UNION ALL SELECT 'cheap', count(*) FROM wl WHERE price < 1000")
 Q["g06_price_total"] = wl(W.totals)
 S["g06_price_total"] = oracle("wl", "SELECT round(sum(price), 2) AS total, count(price) AS priced, count(*) FILTER (WHERE price IS NULL) AS unpriced FROM wl")
-Q["g07_summary"] = wl(W.summary)
-S["g07_summary"] = oracle("wl", "SELECT count(*) AS n, count(*) FILTER (WHERE ku) AS n_ku, (SELECT string_agg(CAST(idx AS VARCHAR), ',' ORDER BY price NULLS LAST, idx) FROM (SELECT idx, price FROM wl WHERE ku ORDER BY price NULLS LAST, idx LIMIT 3)) AS picks FROM wl")
+Q["g07_summary"] = wl(lambda b: W.summary(b, 3, (F.col("idx") % 5 == 1) & F.col("price").isNotNull()))
+S["g07_summary"] = oracle("wl", "SELECT count(*) AS n, count(*) FILTER (WHERE ku) AS n_ku, count(*) FILTER (WHERE idx % 5 = 1 AND price IS NOT NULL) AS n_dropped, (SELECT string_agg(CAST(idx AS VARCHAR), ',' ORDER BY price NULLS LAST, idx) FROM (SELECT idx, price FROM wl WHERE ku ORDER BY price NULLS LAST, idx LIMIT 3)) AS picks FROM wl")
 for key, by, down in (("o01_sort_price_up", "price", False), ("o01_sort_price_down", "price", True), ("o01_sort_title", "title", False)):
     Q[key] = wl(lambda b, by=by, down=down: W.ranked(b, by, down))
     S[key] = oracle("wl", f"SELECT idx, row_number() OVER (ORDER BY {by} {'DESC' if down else 'ASC'} NULLS LAST, idx) AS pos FROM wl")
@@ -69,3 +69,16 @@ Q["g12_automatic_records"] = rd(lambda r: W.automatic_records(r.select("book", "
 S["g12_automatic_records"] = oracle("rd", "SELECT book, read_on FROM rd WHERE book NOT IN (SELECT book FROM rd WHERE book % 4 = 0) AND book NOT IN (SELECT book FROM rd WHERE book % 10 = 7)")
 Q["k05_snapshot_retention"] = rd(lambda r: W.keep_newest(r.select(F.col("book").alias("id"), F.col("read_on").alias("at")), 12, F.col("id") % 5000 == 1))
 S["k05_snapshot_retention"] = oracle("rd", "SELECT id, \"at\" FROM (SELECT book AS id, read_on AS \"at\", row_number() OVER (ORDER BY read_on DESC, book DESC) AS r FROM rd) WHERE r <= 12 OR id % 5000 = 1")
+
+KIND = "ECONOMY"
+
+
+def begun(b):
+    """The list with tags and reading states."""
+    return b.withColumns({"tag": F.when(F.col("idx") % 3 == 0, "seen").when(F.col("idx") % 3 == 1, "want"), "reading": F.when(F.col("idx") % 4 > 0, F.col("idx") % 4 == 1)})
+
+
+Q["f07_purchased_unread"] = wl(lambda b: W.filtered(begun(b), "purchased", "Ａ  brand#1", reading="unread", tag="untagged", also=("label",)).select("idx"))
+S["f07_purchased_unread"] = oracle("wl", "SELECT idx FROM wl WHERE purchased AND idx % 3 = 2 AND idx % 4 <> 1 AND contains(lower(title || ' ' || label), 'a') AND contains(lower(title || ' ' || label), 'brand#1')")
+Q["f07_kind_and_mark"] = wl(lambda b: W.filtered(begun(b), None, kind=KIND, tag="seen", reading="unread", mark=F.col("price") < 1000).select("idx"))
+S["f07_kind_and_mark"] = oracle("wl", f"SELECT idx FROM wl WHERE kind = '{KIND}' AND idx % 3 = 0 AND price < 1000")
