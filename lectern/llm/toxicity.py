@@ -177,7 +177,8 @@ class Lookup:
 
 
 def _bags(features: np.ndarray):
-    """Rows of toxic, n (sentences without known features) and the others' features."""
+    """Rows of toxic, plain (sentences without known features) and the others: how many features each
+    has, and the features, as bytes; these rows meet on the driver."""
 
     def run(batches):
         import pyarrow as pa
@@ -191,18 +192,33 @@ def _bags(features: np.ndarray):
                 for sentence, feature in zip(who.tolist(), which.tolist()):
                     own[s.doc[sentence]].setdefault(sentence, []).append(feature)
                 total = np.bincount(s.doc, minlength=s.rows)
-                out += [(toxic[row + d], float(total[d] - len(bags)), list(bags.values())) for d, bags in enumerate(own)]
-            types = {"toxic": pa.int32(), "plain": pa.float64(), "bags": pa.list_(pa.list_(pa.int32()))}
+                for d, bags in enumerate(own):
+                    sizes, found = [len(b) for b in bags.values()], [f for b in bags.values() for f in b]
+                    out.append((toxic[row + d], float(total[d] - len(bags)), np.array(sizes, "<i4").tobytes(), np.array(found, "<i4").tobytes()))
+            types = {"toxic": pa.int32(), "plain": pa.float64(), "sizes": pa.binary(), "features": pa.binary()}
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types.values())], names=list(types))
 
     return run
 
 
+def coded_bags(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document of each sentence, sentence of each feature, feature) of rows of `_bags`."""
+    sizes = [np.frombuffer(r["sizes"], "<i4") for r in rows]
+    every = np.concatenate([np.zeros(0, "<i4"), *sizes])
+    doc = np.repeat(np.arange(len(rows)), [len(x) for x in sizes])
+    feat = np.concatenate([np.zeros(0, "<i4"), *(np.frombuffer(r["features"], "<i4") for r in rows)])
+    return doc, np.repeat(np.arange(len(every)), every), feat.astype(np.int64)
+
+
 class NoisyOr:
-    """Mean negative log-likelihood of labelled bags, and its gradient."""
+    """Mean negative log-likelihood of labelled bags, and its gradient. Bags are lists of sentences'
+    features, or their arrays (`coded_bags`)."""
 
-    def __init__(self, toxic: np.ndarray, plain: np.ndarray, bags: list, features: int, decay: float = 1e-3):
+    def __init__(self, toxic: np.ndarray, plain: np.ndarray, bags, features: int, decay: float = 1e-3):
         self.toxic, self.plain, self.size, self.decay = toxic, plain, features, decay
+        if isinstance(bags, tuple):
+            self.doc, self.sent, self.feat = bags
+            return
         self.doc = np.array([d for d, b in enumerate(bags) for _ in b], np.int64)
         self.sent = np.array([s for s, x in enumerate(x for b in bags for x in b) for _ in x], np.int64)
         self.feat = np.array([f for b in bags for x in b for f in x], np.int64)
@@ -218,7 +234,7 @@ class NoisyOr:
         return float(loss), grad
 
 
-def fit_bags(toxic: np.ndarray, plain: np.ndarray, bags: list, features: int, rounds: int = 400) -> tuple[np.ndarray, float]:
+def fit_bags(toxic: np.ndarray, plain: np.ndarray, bags, features: int, rounds: int = 400) -> tuple[np.ndarray, float]:
     """Weights and bias by gradient descent (Adam) on the noisy-or likelihood."""
     likelihood, rate = NoisyOr(toxic, plain, bags, features), 0.05
     theta = np.zeros(features + 1)
@@ -254,11 +270,11 @@ def fit(docs: DataFrame, labels: DataFrame, train=None, id_col: str = "doc_id",
         z = (rate_p - rate_n) / F.sqrt(pooled * (1 - pooled) * (1.0 / (pos + 1) + 1.0 / (neg + 1)))
         best = by_word.where("n >= 3").select("feature", F.abs(z).alias("z")).where(F.col("z") >= Z).orderBy(F.desc("z"), "feature").limit(FEATURES)
         known = np.sort(np.array([r["feature"] for r in best.collect()], np.int64).view(np.uint64))
-        rows = bags.mapInArrow(lean(_bags(known)), "toxic int, plain double, bags array<array<int>>").collect()
+        rows = bags.mapInArrow(lean(_bags(known)), "toxic int, plain double, sizes binary, features binary").collect()
     finally:
         bags.unpersist()
     toxic, plain = np.array([r["toxic"] for r in rows], np.int64), np.array([r["plain"] for r in rows], float)
-    weights, bias = fit_bags(toxic, plain, [r["bags"] for r in rows], len(known))
+    weights, bias = fit_bags(toxic, plain, coded_bags(rows), len(known))
     return Model(known, weights, bias)
 
 
