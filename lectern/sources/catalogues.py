@@ -3,7 +3,7 @@ wish lists.
 
 XML and JSON are read by Spark's own readers with a schema and a column for what is broken. Pages
 of HTML become rows, one for each element with the interval it spans, and what lies within what
-is a join of intervals.
+is told by windows in the order of the page.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import is_store_id, nfkc
+from lectern.operators.shared import written
 
 # The kind of content and of origin that make an item a sample, and what stands for
 # an absent field.
@@ -93,69 +94,122 @@ ELEMENTS = "name string, start int, end int, tag string, classes array<string>,
 
 class _Spans(HTMLParser):
     """Elements with the interval of events that they span, and the texts between them. An end
-    tag closes what was left open within its element; one without an element is nothing."""
+    tag closes what was left open within its element; one without an element is nothing. `done`
+    holds those whose end is known."""
 
-    def __init__(self, html: str):
+    def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.rows: list[list] = []
+        self.done: list[tuple] = []
         self.open: list[list] = []
+        self.count: dict[str, int] = {}
         self.n = 0
-        self.feed(html)
-        self.close()
-        for row in self.open:
-            row[1] = self.n + 1
 
-    def add(self, tag, attrs, said=None):
+    def add(self, tag, attrs, said=None, stays=False):
         self.n += 1
         known = {k: v or "" for k, v in attrs}
-        self.rows.append([self.n, self.n, tag, known.get("class", "").split(), known, said])
-        return self.rows[-1]
+        row = [self.n, self.n, tag, known.get("class", "").split(), list(known.items()), said]
+        (self.open if stays else self.done).append(row)
 
     def handle_starttag(self, tag, attrs):
-        row = self.add(tag, attrs)
+        stays = tag not in VOID
+        self.add(tag, attrs, stays=stays)
         if tag in HIDDEN:
             self.set_cdata_mode(tag)
-        if tag not in VOID:
-            self.open.append(row)
+        if stays:
+            self.count[tag] = self.count.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
         self.add(tag, attrs)
 
     def handle_endtag(self, tag):
-        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][2] == tag), None)
-        if at is not None:
+        if self.count.get(tag):
             self.n += 1
-            for row in self.open[at:]:
-                row[1] = self.n
-            del self.open[at:]
+            self.shut(self.n, tag)
+
+    def shut(self, end, tag=None):
+        """Ends what is open, up to the last element of the tag."""
+        while self.open:
+            row = self.open.pop()
+            row[1] = end
+            self.count[row[2]] -= 1
+            self.done.append(row)
+            if row[2] == tag:
+                break
 
     def handle_data(self, data):
         if not (self.open and self.open[-1][2] in HIDDEN):
             self.add("#text", [], data)
 
 
+def _spans(html: str, most: int = 4096, piece: int = 1 << 16):
+    """The rows of a page, at most about so many at a time; pieces are cut before a tag, where no
+    text is cut."""
+    spans, at = _Spans(), 0
+    while at < len(html):
+        to = html.find("<", at + piece)
+        to = len(html) if to < 0 else to
+        spans.feed(html[at:to])
+        at = to
+        if len(spans.done) >= most:
+            yield spans.done
+            spans.done = []
+    spans.close()
+    spans.shut(spans.n + 1)
+    yield spans.done
+
+
 def elements(pages: DataFrame) -> DataFrame:
     """(name, start, end, tag, classes, attrs, said): a row for each element of pages (name, html),
     and one, tagged #text, for each text that is shown. One lies within another of its page if
-    its interval does."""
+    its interval does; two intervals of a page never cross."""
 
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
+
+        kinds = [pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.map_(pa.string(), pa.string()), pa.string()]
+        names = ["name", "start", "end", "tag", "classes", "attrs", "said"]
+        for batch in batches:
+            for i in range(len(batch)):
+                name = batch.column("name")[i].as_py()
+                for rows in _spans(batch.column("html")[i].as_py() or ""):
+                    columns = zip(*rows) if rows else [()] * len(kinds)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), *(pa.array(list(c), k) for c, k in zip(columns, kinds))], names=names)
+
+    return pages.select("name", "html").mapInArrow(run, ELEMENTS)
+
+
+def _upto(last: int = 0):
+    """The elements of a page that begin no later than a row does (last -1: earlier)."""
+    return Window.partitionBy("name").orderBy("start").rangeBetween(Window.unboundedPreceding, last)
+
 
-        for pdf in batches:
-            rows = [(name, *r) for name, html in zip(pdf["name"], pdf["html"]) for r in _Spans(html or "").rows]
-            yield pd.DataFrame(rows, columns=["name", "start", "end", "tag", "classes", "attrs", "said"])
+def _behind():
+    return Window.partitionBy("name").orderBy(F.col("start").desc()).rangeBetween(Window.unboundedPreceding, 0)
 
-    return pages.select("name", "html").mapInPandas(run, ELEMENTS)
 
+def _inside(kind: Column) -> Column:
+    """Whether a row lies within an element of the kind: the one that reaches farthest, of those
+    that began, reaches its end. (Intervals never cross.)"""
+    return F.coalesce(F.max(F.when(kind, F.col("end"))).over(_upto()) >= F.col("end"), F.lit(False))
 
-def _within(inner: DataFrame, outer: DataFrame, how: str = "inner") -> DataFrame:
-    """Rows of `inner` with (or without) an element of `outer` (name2, start2, end2) around them."""
-    return inner.join(outer, (inner["name"] == outer["name2"]) & inner["start"].between(outer["start2"], outer["end2"]) & (inner["end"] <= outer["end2"]), how)
 
+def _around(rows: DataFrame, outer: Column, inner: Column) -> DataFrame:
+    """The rows `inner`, once for each of the rows `outer` around them, that one's start as `around`.
 
-def _as(rows: DataFrame, n: str = "2") -> DataFrame:
-    return rows.select(F.col("name").alias("name" + n), F.col("start").alias("start" + n), F.col("end").alias("end" + n))
+    Outer elements of one depth (as many others are open) lie side by side. So an inner row asks at
+    each depth that is open there for the last one begun, and no pair is made that does not hold.
+    """
+    begin = F.struct(F.col("start").alias("at"), F.lit(0).alias("k"), F.lit(1).alias("step"))
+    met = F.struct(F.col("start").alias("at"), F.lit(1).alias("k"), F.lit(0).alias("step"))
+    end = F.struct(F.col("end").alias("at"), F.lit(2).alias("k"), F.lit(-1).alias("step"))
+    none = F.array().cast("array<struct<at:int,k:int,step:int>>")
+    events = F.concat(F.when(outer, F.array(begin, end)).otherwise(none), F.when(inner, F.array(met)).otherwise(none))
+    walk = Window.partitionBy("name").orderBy("e.at", "e.k").rowsBetween(Window.unboundedPreceding, 0)
+    deep = rows.withColumn("e", F.explode(events)).withColumn("depth", F.sum("e.step").over(walk)).where("e.k < 2 and depth > 0")
+    levels = F.when(F.col("e.k") == 0, F.array(F.col("depth"))).otherwise(F.sequence(F.lit(1).cast("long"), F.col("depth")))
+    side = Window.partitionBy("name", "level").orderBy("e.at", "e.k").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("e.k") == 0, F.col("start")), ignorenulls=True).over(side)
+    return deep.withColumn("level", F.explode(levels)).withColumn("around", last).where("e.k = 1").drop("e", "depth", "level")
 
 
 # The class of the list of results, classes of paid places and what is written on them.
@@ -166,18 +220,16 @@ def store_search(els: DataFrame) -> DataFrame:
     """(name, asin, pos) of the electronic books that store pages found, in order: outermost
     elements with a product number within the list of results. A card is paid for, and left out, if
     a paid place lies around it or within it or its text says so. Pages without a list give none."""
-    lists = _as(els.where(F.array_contains("classes", RESULTS)))
     asin = F.upper(F.trim(F.element_at("attrs", "data-asin")))
-    marked = els.where(F.coalesce(asin != "", F.lit(False))).select("name", "start", "end", asin.alias("asin"))
-    inside = _within(marked, lists, "left_semi")
-    nested = _as(inside, "3")
-    around = (inside["name"] == nested["name3"]) & (nested["start3"] < inside["start"]) & (inside["start"] <= nested["end3"])
-    cards = inside.join(nested, around, "left_anti")
-    paid = _as(els.where(F.arrays_overlap("classes", F.array(*[F.lit(c) for c in PAID_CLASSES]))), "4")
-    said = F.col("said")
-    texts = _as(els.where((F.col("tag") == "#text") & F.greatest(*[F.contains(said, F.lit(t)) for t in PAID_TEXTS])), "4")
-    meets = lambda o: (cards["name"] == o["name4"]) & (o["start4"] <= cards["end"]) & (cards["start"] <= o["end4"])
-    free = cards.join(paid, meets(paid), "left_anti").join(texts, meets(texts), "left_anti").where(is_store_id(F.col("asin")))
+    texts = F.coalesce((F.col("tag") == "#text") & F.greatest(*[F.contains("said", F.lit(t)) for t in PAID_TEXTS]), F.lit(False))
+    paid = F.arrays_overlap("classes", F.array(*[F.lit(c) for c in PAID_CLASSES])) | texts
+    rows = els.select("name", "start", "end", F.array_contains("classes", RESULTS).alias("list"), F.when(asin != "", asin).alias("asin"), paid.alias("paid"))
+    rows = rows.where("list or asin is not null or paid").withColumn("marked", F.col("asin").isNotNull() & _inside(F.col("list")))
+    outermost = F.col("marked") & F.coalesce(F.max(F.when(F.col("marked"), F.col("end"))).over(_upto(-1)) < F.col("start"), F.lit(True))
+    began = F.coalesce(F.max(F.when(F.col("paid"), F.col("end"))).over(_upto()) >= F.col("start"), F.lit(False))
+    begins = F.coalesce(F.min(F.when(F.col("paid"), F.col("start"))).over(_behind()) <= F.col("end"), F.lit(False))
+    cards = rows.withColumn("card", outermost).withColumn("sold", began).withColumn("sold", F.col("sold") | begins)
+    free = cards.where(F.col("card") & ~F.col("sold") & is_store_id(F.col("asin")))
     once = free.groupBy("name", "asin").agg(F.min("start").alias("start"))
     return once.select("name", "asin", F.row_number().over(Window.partitionBy("name").orderBy("start")).alias("pos"))
 
@@ -190,23 +242,19 @@ def wish_list_page(els: DataFrame) -> DataFrame:
     """(name, pos, title, author, book) of the cards of wish-list pages: the title's link (in full
     from the cover's text where it is cut), the authors' links and the book's number, empty where
     the link is of another form. Cards without a title are left out."""
-    cards = _as(els.where((F.col("tag") == "li") & F.array_contains("classes", CARD)), "5")
-    links = els.where("tag = 'a'").select("name", "start", "end", F.element_at("attrs", "href").alias("href"))
-    texts = els.where("tag = '#text'").select(F.col("name").alias("name6"), F.col("start").alias("start6"), "said")
-
-    def linked(kind: str) -> DataFrame:
-        """Links within a part of a card, with their texts."""
-        part = _as(els.where(F.array_contains("classes", kind)))
-        own = _within(links, part, "left_semi")
-        own = own.join(cards, (own["name"] == cards["name5"]) & own["start"].between(cards["start5"], cards["end5"]))
-        met = own.join(texts, (own["name"] == texts["name6"]) & texts["start6"].between(own["start"], own["end"]), "left")
-        said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start6", "said"))), lambda t: t["said"]), "")
-        return met.groupBy("name", "start5", "start", "href").agg(F.trim(said).alias("said"))
-
-    title = linked(TITLE).groupBy("name", "start5").agg(F.min_by(F.struct("said", "href"), "start").alias("t"))
-    names = linked(AUTHORS).groupBy("name", "start5").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "said"))), lambda t: t["said"]), "、").alias("author"))
-    images = els.where("tag = 'img'").select("name", "start", F.trim(F.element_at("attrs", "alt")).alias("alt"))
-    covers = images.join(cards, (images["name"] == cards["name5"]) & images["start"].between(cards["start5"], cards["end5"])).groupBy("name", "start5").agg(F.min_by("alt", "start").alias("alt"))
+    tag, held = F.col("tag"), lambda c: F.array_contains("classes", c)
+    marks = {"card": (tag == "li") & held(CARD), "heads": held(TITLE), "people": held(AUTHORS), "link": tag == "a", "text": tag == "#text", "image": tag == "img"}
+    rows = els.select("name", "start", "end", *(c.alias(n) for n, c in marks.items()), F.element_at("attrs", "href").alias("href"), F.trim(F.element_at("attrs", "alt")).alias("alt"), "said")
+    rows = written(rows.where(" or ".join(marks)), "elements")  # pages are read once
+    links = rows.where("link or heads or people").withColumns({"heads": _inside(F.col("heads")), "people": _inside(F.col("people"))}).where("link and (heads or people)")
+    shown = _around(rows.where("link or text"), F.col("link"), F.col("text")).groupBy("name", F.col("around").alias("start"))
+    shown = shown.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "said"))), lambda t: t["said"]), "").alias("said"))
+    links = links.drop("said").join(shown, ["name", "start"], "left").withColumn("said", F.trim(F.coalesce("said", F.lit(""))))
+    cards = rows.where("card").withColumns({"link": F.lit(False), "image": F.lit(False), "heads": F.lit(False), "people": F.lit(False)})
+    own = _around(cards.unionByName(links.withColumn("card", F.lit(False)).select(cards.columns)), F.col("card"), F.col("link")).withColumnRenamed("around", "start5")
+    title = own.where("heads").groupBy("name", "start5").agg(F.min_by(F.struct("said", "href"), "start").alias("t"))
+    names = own.where("people").groupBy("name", "start5").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "said"))), lambda t: t["said"]), "、").alias("author"))
+    covers = _around(rows.where("card or image"), F.col("card"), F.col("image")).groupBy("name", F.col("around").alias("start5")).agg(F.min_by("alt", "start").alias("alt"))
     rows = title.join(names, ["name", "start5"], "left").join(covers, ["name", "start5"], "left")
     said = F.col("t.said")
     head = F.substring(said, F.lit(1), F.length(said) - len(CUT))
