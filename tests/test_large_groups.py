@@ -30,3 +30,59 @@ def test_elements_around(spark):
     assert sorted(map(tuple, got)) == sorted(want) and want
     assert inside == {(a.name, a.start) for a in all_ if any(b.tag == "a" and held(a, b) for b in all_)}
     rows.unpersist()
+
+
+def test_grams_are_counted_in_their_row(spark):
+    """Repeated ids, null and short texts; no task holds a table of grams to count them."""
+    from collections import Counter
+
+    from lectern.operators import vectors as V
+
+    rows = [(1, "abab"), (1, "ab c"), (2, None), (3, "x"), (4, "aaaa"), (5, "")]
+    got = V.grams(spark.createDataFrame(rows, "id long, text string"))
+    want = Counter((i, t.replace(" ", "")[k : k + n]) for i, t in rows if t for n in (2, 3) for k in range(len(t.replace(" ", "")) - n + 1))
+    assert {(r.id, r.gram): r.tf for r in got.collect()} == dict(want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and "gram" not in plan[plan.index("Aggregate") :].split("\n")[0]
+
+
+def test_same_titles_meet_once(spark):
+    """Copies of a title: counts without pairs, and the first copies among the closest."""
+    from lectern.operators import analysis as N
+    from lectern.operators import vectors as V
+
+    n = 20000  # 400 million pairs
+    rows = spark.range(n).selectExpr("id", "element_at(array('blue ring', 'blue bolt', 'hot bolt'), cast(id % 3 as int) + 1) as title", "'B' as author")
+    left = rows.withColumn("title", F.substring_index("title", " ", 1))
+    got = {r.l % 3: r.n for r in N.title_match_counts(left, rows).collect()}
+    size = [len(range(k, n, 3)) for k in range(3)]
+    assert got == {0: size[0] + size[1], 1: size[0] + size[1]}
+    w = V.tfidf(V.grams(rows, text_col="title"), n)
+    top = N.closest_titles(w.where("id % 100 = 0"), w, 4).collect()
+    assert len(top) == 4 * n // 100 and all(r.sim == 1.0 and r.id % 3 == r.profile % 3 and r.id < 12 for r in top)
+
+
+def test_search_holds_the_best_only(spark, monkeypatch):
+    """Slices of any size give what all similarities together give, ties and bad numbers too."""
+    import numpy as np
+
+    from lectern.operators import vectors as V
+
+    rng = np.random.default_rng(3)
+    v = rng.integers(-2, 3, (120, 3)).astype(float)
+    v[7] = np.nan
+    rows = spark.createDataFrame([(i, [float(c) for c in x]) for i, x in enumerate(v)], "id long, v array<double>").repartition(3)
+    got = []
+    for cells in (1, 50, 1 << 22):
+        monkeypatch.setattr(V, "CELLS", cells)
+        got.append(sorted(map(tuple, V.search(rows.where("id % 40 = 0"), rows, 6).collect())))
+    sims = v[::40] @ v.T
+    want = [(40 * q, i, s, r + 1) for q, row in enumerate(sims) for r, (s, i) in enumerate(sorted((-s, i) for i, s in enumerate(row) if i != 40 * q and s == s)[:6])]
+    assert got[0] == got[1] == got[2] == sorted((q, i, -s, r) for q, i, s, r in want)
+    peak = []
+    real = np.partition
+    monkeypatch.setattr(np, "partition", lambda a, *k, **o: peak.append(a.size) or real(a, *k, **o))
+    monkeypatch.setattr(V, "CELLS", 1000)
+    for own in V._slices(5000, 40):
+        V._best(np.zeros((40, own.stop - own.start)), np.arange(own.stop - own.start), 3, 6)
+    assert max(peak) <= 1000
