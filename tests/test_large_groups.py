@@ -86,3 +86,74 @@ def test_search_holds_the_best_only(spark, monkeypatch):
     for own in V._slices(5000, 40):
         V._best(np.zeros((40, own.stop - own.start)), np.arange(own.stop - own.start), 3, 6)
     assert max(peak) <= 1000
+
+
+def test_contained_by_marks(spark):
+    """Copies, short texts, parts of long ones and common lines against all pairs."""
+    from lectern.operators import library as L
+
+    rng = random.Random(4)
+    line = "A line that stands in very many of the texts of this book, word for word, and is no part of its own."
+    long_ = ["".join(rng.choice("abcdé ") for _ in range(400)) + line for _ in range(6)]
+    texts = long_ + [t[a : a + n] for t in long_ for a, n in ((0, 30), (50, 90), (100, 200), (300, 201), (10, 70))] + [line, "", "x"]
+    rows = [(i, rng.choice("pq"), rng.randrange(8), rng.choice(texts), rng.random() < 0.1) for i in range(400)] + [(900, "p", None, line, False), (901, "p", 1, None, False)]
+    for gap in (0, 3):
+        got = L.contained(spark.createDataFrame(rows, "id long, book string, location long, text string, deleted boolean"), gap).collect()
+        live = [r for r in rows if not r[4] and r[2] is not None and r[3] is not None]
+        want = {}
+        for a in live:
+            fits = [(-len(b[3]), b[0]) for b in live if a[1] == b[1] and abs(a[2] - b[2]) <= gap and a[3] in b[3] and (len(b[3]) > len(a[3]) or (len(b[3]) == len(a[3]) and b[0] < a[0]))]
+            if fits:
+                want[a[0]] = min(fits)[1]
+        assert {r.id: r.keeper for r in got} == want and len(got) == len(want)
+
+
+def test_crowded_page_of_notes(spark):
+    """20,000 notes on a page with as many highlights, 400 million pairs."""
+    from lectern.operators import library as L
+
+    n = 20000
+    h = spark.range(n).selectExpr("id", "'b' as book", "id % 10 * 3 as start", "id % 10 * 3 + 1 as end", "0 as page")
+    notes = spark.range(n).selectExpr("id", "'b' as book", "id % 40 as at", "0 as page")
+    got = L.attach_notes(notes, h).groupBy(F.col("note") % 40, "highlight", "level").count().collect()
+    want = {k: (k // 3, int(k % 3 == 0)) if k % 3 < 2 and k < 30 else (0, 2) for k in range(40)}
+    assert {r[0]: (r.highlight, r.level) for r in got} == want and len(got) == 40
+
+
+def test_former_ids_meet_no_other(spark):
+    """Ids on both sides of 100,000."""
+    from lectern.plans import cluster_queries as Q
+
+    ids = [*range(120), *range(99900, 100200)]
+    p = spark.createDataFrame([(i, i % 10, i % 7, [1.0]) for i in ids], "id long, line long, source long, v array<double>")
+    after, before, _, former = Q.snapshots(p)
+    assert not {r.former for r in former.collect()} & set(ids)
+    got = {(r.point, r.state) for r in Q.G.connected(*Q.moved(p)).collect()}
+    assert got == {(i, "extended" if i % 27 == 0 and i % 10 != 5 else "connected") for i in ids if i % 10 != 4 and (i % 10 == 5 or i % 9 == 0)}
+
+
+def test_blocked_pages_have_a_reason(spark):
+    from lectern.functions.text import status_reason
+
+    rows = spark.createDataFrame([(200, True), (404, True), (None, True), (503, False), (404, False), (None, None)], "c int, b boolean")
+    assert [r[0] for r in rows.select(status_reason(F.col("c"), F.col("b"))).collect()] == ["blocked"] * 3 + ["page_error", "not_found", "no_price"]
+
+
+def test_discoveries_meet_in_blocks(spark, monkeypatch):
+    """Blocks of any size find the same, null vectors stand last."""
+    from lectern.operators import analysis as N
+
+    rng = random.Random(6)
+    rows = [(1, i, i, rng.randrange(3), None if i % 11 == 0 else [float(rng.randrange(-2, 3)) for _ in range(2)]) for i in range(90)]
+    after = spark.createDataFrame(rows, "line long, id long, place long, source long, v array<double>")
+    before, lone = after.where("id % 3 > 0").select("line", "id"), after.where("id % 6 = 0").select("id")
+    former = spark.createDataFrame([], "id long, former long")
+    want = set()
+    for _, i, place, source, v in rows:
+        if i % 3 == 0:
+            fits = [(s == source, float("inf") if v is None or w is None else -sum(x * y for x, y in zip(v, w)), j) for _, j, _, s, w in rows if j != i and (i % 6 == 0 or s != source)]
+            want.add((frozenset((i, min(fits)[2]))))
+    for size in (7, 1000):
+        monkeypatch.setattr(N, "BLOCK", size)
+        got = N.discoveries(after, before, lone, former, 1000).collect()
+        assert {frozenset((r.a, r.b)) for r in got} == want and len(got) == len(want)
