@@ -157,3 +157,10 @@ def test_discoveries_meet_in_blocks(spark, monkeypatch):
         monkeypatch.setattr(N, "BLOCK", size)
         got = N.discoveries(after, before, lone, former, 1000).collect()
         assert {frozenset((r.a, r.b)) for r in got} == want and len(got) == len(want)
+
+
+def test_label_computes_each_step_once(spark):
+    from lectern.functions.text import label
+
+    rows = spark.range(1).select(F.concat(F.lit("a (S 文庫 12)【上】"), F.col("id").cast("string"), F.lit(" (T 版)")).alias("t")).select(label(F.col("t")).alias("v"))
+    assert rows._jdf.queryExecution().analyzed().toString().count("translate(") == 2
