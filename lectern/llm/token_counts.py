@@ -5,6 +5,10 @@ tokenizer file. Keys already in the cache keep their stored count; each distinct
 text is encoded once and its count is appended. Normalisation must not change the count,
 so it only turns null into the empty text.
 
+A tokenizer that never joins a white space to what stands before it (byte-level BPE with its
+own pattern) encodes a text piece by piece, each piece from white space to the next: a task has
+the library encode a piece once and adds up counts. Other tokenizers get whole texts.
+
 Defined results: null and empty texts have 0 bytes and 0 tokens; repeated rows are kept;
 an empty table gives no rows; columns of the input other than the id and the text are
 ignored, whatever their names.
@@ -13,6 +17,8 @@ ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +26,13 @@ from pyspark.sql import functions as F
 from .common import crc_mod, new_path, table, whole_text, written
 
 SHARE = 1024
+#: Pieces whose counts a task keeps, and the longest of them.
+KNOWN, PIECE_CHARS = 1 << 19, 64
+CHUNK_CHARS = 1_000_000
+#: Pieces begin at a plain white space behind what is none. Python's white space holds all that the
+#: tokenizers' does, and more; the others of it begin no piece.
+PIECE = re.compile(r"\s*\S+(?:[^\S \t\n\r]\s*\S*)*|\s+")
+CUT = re.compile(r"(?<=\S)[ \t\n\r]")
 CACHE_SCHEMA = "tok string, digest binary, n_tokens long"
 
 
@@ -48,11 +61,66 @@ def _counter(path: str):
     return lambda texts: [len(ids) for ids in sp.encode(texts, num_threads=1)]
 
 
-def _encode_batches(path: str, chunk_chars: int = 1_000_000):
+def encodes_pieces(path: str) -> bool:
+    """Whether the counts of a text's pieces (`PIECE`) add up to the text's: nothing changes the text
+    beforehand, the byte-level pattern cuts it (no alternative of it goes from other characters on
+    to white space), and no added token holds or takes white space or looks at what is beside it."""
+    if not path.endswith(".json"):
+        return False
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    cut, model, after = spec.get("pre_tokenizer") or {}, spec["model"], spec.get("post_processor") or {}
+    plain = spec.get("normalizer") is None and model.get("type") == "BPE" and not model.get("dropout") and after.get("type", "ByteLevel") == "ByteLevel"
+    own = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True)
+    return plain and own and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in spec.get("added_tokens", []))
+
+
+def slices(text: str, chars: int = CHUNK_CHARS):
+    """(start, end) of parts of about so many characters, each of whole pieces."""
+    at = 0
+    while len(text) - at > chars and (cut := CUT.search(text, at + chars)):
+        yield at, cut.start()
+        at = cut.start()
+    yield at, len(text)
+
+
+def by_pieces(count):
+    """A counter of texts from one of pieces. What it has counted it keeps, up to KNOWN pieces."""
+    known: dict[str, int] = {}
+
+    def run(texts: list[str]) -> list[int]:
+        sums, held, size = [0] * len(texts), [], 0
+
+        def add():
+            new = list({p for _, pieces in held for p in pieces if p not in known})
+            counted = dict(zip(new, count(new)))
+            for i, pieces in held:
+                sums[i] += sum(known[p] if p in known else counted[p] for p in pieces)
+            if len(known) + len(counted) > KNOWN:
+                known.clear()
+            known.update((p, n) for p, n in counted.items() if len(p) <= PIECE_CHARS)
+            held.clear()
+
+        for i, text in enumerate(texts):
+            for a, b in slices(text):
+                held.append((i, PIECE.findall(text, a, b)))
+                size += b - a
+                if size > CHUNK_CHARS:
+                    add()
+                    size = 0
+        add()
+        return sums
+
+    return run
+
+
+def _encode_batches(path: str, chunk_chars: int = CHUNK_CHARS):
+    in_pieces = encodes_pieces(path)
+
     def run(batches):
         import pyarrow as pa
 
-        count = _counter(path)
+        count = by_pieces(_counter(path)) if in_pieces else _counter(path)
         for batch in batches:
             counts: list[int] = []
             part, size = [], 0

@@ -1,6 +1,7 @@
 """Each operator against brute force, and its defined results on odd input."""
 
 import hashlib
+import json
 import math
 import random
 import re
@@ -165,6 +166,27 @@ def test_token_counts_and_cache(spark, odd, empty, tmp_path):
     assert token_counts.count_tokens(empty, path, str(tmp_path / "none")).count() == 0
 
 
+def test_token_counts_encode_a_piece_once(tmp_path, monkeypatch):
+    path = P.path("byte_bpe_50k.json")
+    whole, sizes = token_counts._counter(path), []
+    in_pieces = token_counts.by_pieces(lambda texts: sizes.append(sum(map(len, texts))) or whole(texts))
+    texts = [text_of(3000, 1) for _ in range(20)]
+    assert token_counts.encodes_pieces(path) and in_pieces(texts) == whole(texts) and sum(sizes) < 1000
+    r = random.Random(5)
+    odd = [" ", "  ", "\n", "\t", "\r", "\x0b", "\x1c", "\x85", "\xa0", "\u3000", "\u2009", "\u200b", "\ufeff", "a", "B", "é", "中", "1", "'", "'s", "!", "<|endoftext|>", "\U0001f600"]
+    texts = ["".join(r.choices(odd, k=r.randrange(14))) for _ in range(20000)]
+    assert in_pieces(texts) == whole(texts)
+    monkeypatch.setattr(token_counts, "CHUNK_CHARS", 50)
+    monkeypatch.setattr(token_counts, "KNOWN", 100)
+    monkeypatch.setattr(token_counts.slices, "__defaults__", (50,))
+    assert token_counts.by_pieces(whole)(texts[:2000] + ["".join(texts)]) == whole(texts[:2000] + ["".join(texts)])
+    # a tokenizer that looks at the text as a whole gets it whole
+    spec = json.load(open(path, encoding="utf-8"))
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}, {"added_tokens": [spec["added_tokens"][0] | {"lstrip": True}]}):
+        (tmp_path / "other.json").write_text(json.dumps(spec | change))
+        assert not token_counts.encodes_pieces(str(tmp_path / "other.json"))
+
+
 # 3 ------------------------------------------------------------------------------------
 
 
