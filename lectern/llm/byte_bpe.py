@@ -2,7 +2,7 @@
 
 Texts are cut into words by the tokenizer's pattern. Every task numbers the distinct
 words of its documents as it meets them; Spark higher-order functions fold the ranked merges
-over the byte array of each new word, looking pairs up in a literal rank map; the documents
+over the byte array of each new word, looking pairs up in a rank map; the documents
 then take their words' ids, and decoding concatenates the ids' byte pieces. Words never leave
 their task, so nothing is shuffled, and a table of KNOWN words begins anew.
 
@@ -10,9 +10,10 @@ A symbol (one byte, or one token of the rank file) is written as one character:
 U+0000 to U+00FF, the token of rank r as U+0100 + r (or past the surrogates). A word is then a short
 string, a merge replaces two characters by one, and comparing characters compares ranks.
 
-The literal rank map holds, for every pair of symbols that form a token, that token's
-character; it is an array of small maps indexed by the pair's CRC-32, since Spark searches
-a map from its start.
+The rank map holds, for every pair of symbols that form a token, that token's character; it is
+an array of small maps indexed by the pair's CRC-32, since Spark searches a map from its
+start. It is one row that is sent to all tasks: as a literal it would stand in every form of the
+plan, and in its texts, which together take hundreds of megabytes of the driver.
 
 A step of the fold looks at all pairs left, so a word costs the square of its length; words
 of more than LONG bytes (texts without spaces) are merged by the same ranks with a heap.
@@ -64,8 +65,8 @@ def symbol(token: bytes, rank: int) -> str:
     return chr(token[0]) if len(token) == 1 else _char(rank)
 
 
-def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The pairs that merge, as a literal array<map<pair, merged symbol>>."""
+def with_rank_map(rows: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """Adds `merges`, the pairs that merge, an array<map<pair, merged symbol>>."""
     buckets: list[dict[str, str]] = [{} for _ in range(BUCKETS)]
     symbols = {t: symbol(t, r) for t, r in ranks.items()}
     for token, made in symbols.items():
@@ -73,7 +74,8 @@ def rank_map(ranks: dict[bytes, int]) -> Column:
             a, b = symbols.get(token[:cut]), symbols.get(token[cut:])
             if a is not None and b is not None:
                 buckets[zlib.crc32((a + b).encode()) % BUCKETS][a + b] = made
-    return F.from_json(F.lit(json.dumps(buckets, ensure_ascii=False)), "array<map<string,string>>")
+    one = rows.sparkSession.createDataFrame([(json.dumps(buckets, ensure_ascii=False),)], "merges string").coalesce(1)
+    return rows.crossJoin(F.broadcast(one.select(F.from_json("merges", "array<map<string,string>>").alias("merges"))))
 
 
 def fold_merges(word: Column, merges: Column) -> Column:
@@ -314,11 +316,10 @@ def _assemble(ranks_path: str):
 def encode_words(words: DataFrame, ranks_path: str, word: str = "word") -> DataFrame:
     """(word, ids array<int>) of a table of words of up to LONG bytes, by the fold alone."""
     ranks = read_ranks(ranks_path)
-    merges = rank_map(ranks)
     singles = F.lit([ranks[bytes([i])] for i in range(256)])
-    code = F.transform(F.split(fold_merges(F.col(word), merges), ""), lambda c: F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("int"))
+    code = F.transform(F.split(fold_merges(F.col(word), F.col("merges")), ""), lambda c: F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("int"))
     to_id = F.transform(code, lambda c: F.when(c < 256, F.get(singles, c)).when(c < 0xD800, c - 256).otherwise(c - 0x2900))
-    return words.select(word, F.when(F.col(word) == "", F.array().cast("array<int>")).otherwise(to_id).alias("ids"))
+    return with_rank_map(words.select(word), ranks).select(word, F.when(F.col(word) == "", F.array().cast("array<int>")).otherwise(to_id).alias("ids"))
 
 
 def decode_ids(ids: DataFrame, ranks_path: str, col: str = "ids") -> DataFrame:
@@ -331,14 +332,13 @@ def decode_ids(ids: DataFrame, ranks_path: str, col: str = "ids") -> DataFrame:
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row."""
     short_batches(docs.sparkSession)
-    merges = rank_map(read_ranks(ranks_path))
     words = F.regexp_extract_all(whole_text(text_col), F.lit(java_pattern(pattern)), F.lit(0))
     cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), words.alias("words"))
     # several partitions a task, as far as all cores stay busy: the more a task reads, the fewer words it folds
     parts = cut.rdd.getNumPartitions()
     cut = cut.coalesce(max(1, min(parts, max(2 * docs.sparkSession.sparkContext.defaultParallelism, parts // TOGETHER))))
     blocks = cut.mapInArrow(lean(_blocks), "words array<string>, ids binary, offsets binary, positions binary, whole binary, long array<string>")
-    folded = blocks.select(F.transform("words", lambda w: fold_merges(w, merges)).alias("symbols"), "ids", "offsets", "positions", "whole", "long")
+    folded = with_rank_map(blocks, read_ranks(ranks_path)).select(F.transform("words", lambda w: fold_merges(w, F.col("merges"))).alias("symbols"), "ids", "offsets", "positions", "whole", "long")
     return folded.mapInArrow(lean(_assemble(ranks_path)), OUT)
 
 

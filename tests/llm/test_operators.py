@@ -744,6 +744,12 @@ def test_pii_recovers_hidden_matches(spark):
 # 9 ------------------------------------------------------------------------------------
 
 
+def test_byte_bpe_plan_is_short(spark, odd, capsys):
+    """The driver keeps plans and their texts; ranks belong in neither."""
+    byte_bpe.encode_documents(odd, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).explain("extended")
+    assert len(capsys.readouterr().out) < 100_000
+
+
 def test_bpe_matches_library_and_round_trips(spark, odd, empty):
     import tiktoken
 
