@@ -43,7 +43,7 @@ from .components import connected_components
 HOME = 8192
 BLOCK = 32768
 BLOCK_MB = 16
-SPREAD = 32
+SPREAD = 8
 NODES = 16384
 PER_NODE = 16
 FAN = 16
@@ -84,11 +84,12 @@ class CoverTree:
             own = self.members[node]
             if len(own) <= leaf or self.radius[node] <= SLACK:
                 continue
-            near = distance(rows[own], rows[self.centre[node]][None])[:, 0]
+            here = rows[own]
+            near = distance(here, rows[self.centre[node]][None])[:, 0]
             owner, centres = np.zeros(len(own), np.int64), [self.centre[node]]
             while len(centres) < FAN and near.max() > self.radius[node] / 2:
                 centres.append(int(own[near.argmax()]))
-                d = distance(rows[own], rows[centres[-1]][None])[:, 0]
+                d = distance(here, rows[centres[-1]][None])[:, 0]
                 d[near.argmax()] = 0.0
                 owner[d < near] = len(centres) - 1
                 near = np.minimum(near, d)
