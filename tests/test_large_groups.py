@@ -1,5 +1,6 @@
 """Large groups, long pages and crowded places: what is met stays in proportion to the rows."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -46,6 +47,26 @@ def test_grams_are_counted_in_their_row(spark):
     assert plan.count("Aggregate") == 1 and "gram" not in plan[plan.index("Aggregate") :].split("\n")[0]
 
 
+def broadcasts(rows):
+    """Joins of a plan that send a whole side through the driver."""
+    return rows._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+
+
+def test_weights_send_no_grams_to_the_driver(spark, tmp_path):
+    """A file far under the broadcast threshold, whose grams are far over it."""
+    from lectern.operators import vectors as V
+
+    n = 2000
+    path = str(tmp_path / "titles")
+    spark.range(n).selectExpr("id", "repeat(concat('blue ring ', id % 50), 20) as text").write.parquet(path)
+    rows = spark.read.parquet(path)
+    w = V.tfidf(V.grams(rows), n)
+    assert not broadcasts(w)
+    got = {r.gram: (r.n, r.w) for r in w.where("id % 50 < 2").groupBy("gram").agg(F.count("*").alias("n"), F.round(F.max("w"), 9).alias("w")).collect()}
+    at = lambda tf, df: round((1 + math.log(tf)) * (math.log((n + 1) / (df + 1)) + 1), 9)
+    assert got["bl"] == (80, at(20, n)) and got["g0"] == (40, at(20, n // 50)) and got["1b"] == (40, at(19, n // 10))
+
+
 def test_same_titles_meet_once(spark):
     """Copies of a title: counts without pairs, and the first copies among the closest."""
     from lectern.operators import analysis as N
