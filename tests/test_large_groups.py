@@ -83,6 +83,41 @@ def test_same_titles_meet_once(spark):
     assert len(top) == 4 * n // 100 and all(r.sim == 1.0 and r.id % 3 == r.profile % 3 and r.id < 12 for r in top)
 
 
+def test_titles_meet_in_blocks(spark, monkeypatch, tmp_path):
+    """Blocks and slices of any size against all pairs: copies, ties, grams of one side only; nothing
+    is broadcast, however small the file."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from lectern.operators import analysis as N
+    from lectern.operators import vectors as V
+
+    rng = random.Random(8)
+    known = [{rng.choice("abcdefghij"): float(rng.randint(1, 3)) for _ in range(rng.randint(1, 5))} for _ in range(60)]
+    titles = {i: rng.choice(known) for i in range(-40, 160)}
+    profile = {i: {**rng.choice(known), **({"q": 2.0} if i % 3 == 0 else {})} for i in range(30)} | {30: {"z": 1.0}}
+    size = lambda t: math.sqrt(sum(w * w for w in t.values()))
+    sim = lambda a, b: round(sum(a[g] * b[g] for g in a if g in b) / size(a) / size(b), 6)
+    want = {(p, t, s) for p, a in profile.items() for s, t in sorted((-sim(a, b), t) for t, b in titles.items() if a.keys() & b.keys())[:7]}
+    for name, rows in (("p", profile), ("t", titles)):
+        spark.createDataFrame([(i, g, w) for i, t in rows.items() for g, w in t.items()], "id long, gram string, w double").write.parquet(str(tmp_path / name))
+    read = [spark.read.parquet(str(tmp_path / name)) for name in "pt"]
+    assert not broadcasts(N.closest_titles(*read, 7))
+    for sizes in ((20, 30), (40, 1 << 18), (1 << 20, 1 << 18)):
+        monkeypatch.setattr(N, "PROFILE_GRAMS", sizes[0])
+        monkeypatch.setattr(N, "TITLE_GRAMS", sizes[1])
+        got = N.closest_titles(*read, 7).collect()
+        assert {(r.profile, r.id, -r.sim) for r in got} == want and len(got) == len(want) and 30 not in {r.profile for r in got}
+    rows = [(asks, i, g, w / size(t)) for asks, side in ((True, profile), (False, titles)) for i, t in side.items() for g, w in t.items()]
+    block = pa.table(dict(zip(("asks", "key", "gram", "x"), map(list, zip(*rows)))))
+    for cells in (1, 300, 1 << 22):
+        monkeypatch.setattr(V, "CELLS", cells)
+        got = N._titles_of_block(7)(block).to_pylist()
+        assert {(r["p"], r["t"], -r["sim"]) for r in got} == want and len(got) == len(want)
+    for side in (block["asks"], pc.invert(block["asks"])):
+        assert N._titles_of_block(7)(block.filter(side)).num_rows == 0
+
+
 def test_search_holds_the_best_only(spark, monkeypatch):
     """Slices of any size give what all similarities together give, ties and bad numbers too."""
     import numpy as np
